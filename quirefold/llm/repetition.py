@@ -29,7 +29,6 @@ class Limits:
     covered_percent: int = 50
     longest_percent: int = 25
     longest_words: int = 30
-    symbols_percent: int = 10
 
 
 def repeat_lengths(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -110,11 +109,10 @@ def measure(buf: np.ndarray, off: np.ndarray, limits: Limits) -> dict[str, np.nd
     np.maximum.at(top, row, longest)
 
     newline = np.flatnonzero(buf == 10)
-    bounds = np.unique(np.concatenate((newline, off)))  # each line ends at a newline or at the end of its row
     line_start = np.unique(np.concatenate((newline + 1, off[:-1])))
     line_start = line_start[line_start < len(buf)]
-    line_end = bounds[np.searchsorted(bounds, line_start, side="left")] if len(line_start) else line_start
     line_row = np.searchsorted(off, line_start, side="right") - 1
+    line_end = np.append(newline, len(buf))[np.searchsorted(newline, line_start)]
     line_end = np.minimum(line_end, off[line_row + 1])
     has_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end, line_row = line_start[has_word], line_end[has_word], line_row[has_word]
@@ -148,8 +146,7 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
 
     Columns: those of `keep` (default doc_id), the counts (long), repeats (array of structs of first word and words),
     base_failed (fewer than 50 words, or over half of them in repeated 3-word windows) and kept. kept is false if base_failed
-    is true, if the covered part or the longest repeat goes beyond `limits`, or if symbols are too dense. A null or empty text
-    has no words and fails. Rows are independent (repeated rows give repeated results); other columns are not read. Equality
+    is true, or if the covered part or the longest repeat goes beyond `limits`. A null or empty text has no words and fails. Rows are independent (repeated rows give repeated results); other columns are not read. Equality
     of words and lines is that of 64-bit hashes. No shuffle; memory is a few hundred bytes for each byte of a slice of texts
     or of the longest text.
     """
@@ -159,10 +156,10 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
         for batch in batches:
             for lo, hi, buf, off in slices(batch.column(len(keep))):
                 m = measure(buf, off, limits)
-                n, symbols = m["n_words"], m["n_symbols"]
+                n = m["n_words"]
                 base = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
                 far = (100 * m["n_covered_words"] > limits.covered_percent * n) | ((m["longest_repeat"] > limits.longest_words) & (100 * m["longest_repeat"] > limits.longest_percent * n))
-                kept = ~(base | far | (100 * symbols > limits.symbols_percent * m["word_chars"]))
+                kept = ~(base | far)
                 items = pa.StructArray.from_arrays([pa.array(m["span_start"], pa.int64()), pa.array(m["span_words"], pa.int64())], names=["first_word", "n_words"])
                 at = np.searchsorted(m["span_row"], np.arange(hi - lo + 1)).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(at), items)

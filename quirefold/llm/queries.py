@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirefold.llm import quality, toxicity
 from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
+from quirefold.llm.neardup import Sketching, near_duplicates
 from quirefold.llm.repetition import repetition
 
 
@@ -22,6 +23,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Sketching(shingle=3, percent=85))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat")
@@ -46,5 +51,5 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {"op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
+QUERIES = {"op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {}

@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     words = max(sum(r["n"] for r in clean), 1)
 
     def mass(x: float) -> float:  # expected e^(x * score) of a clean word, one chance hit of the mean score added
-        hit = sum(c * math.exp(x * s) for s, c in values.items()) + math.exp(x * 3.0)
+        hit = sum(c * math.exp(min(x * s, 600.0)) for s, c in values.items()) + math.exp(x * 3.0)
         return (hit + (words - sum(values.values())) * math.exp(x * rest)) / (words + 1)
 
     low, high = 1e-3, 8.0

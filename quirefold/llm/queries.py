@@ -12,6 +12,7 @@ from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
 from quirefold.llm.neardup import Sketching, near_duplicates
 from quirefold.llm.repetition import repetition
+from quirefold.llm.topk import top_k, whole_numbers
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,11 +46,28 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_cover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("e"))
+    sound = rows.where("id is not null and e is not null and size(e) > 0").where(~F.exists("e", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))))
+    vectors = sound.select("id", whole_numbers("e").alias("v"))
+    return top_k(vectors, vectors.where("id % 100 = 0"), 10)
+
+
+OP8_SQL = """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(CAST(c AS DOUBLE)))) = 0),
+s AS (SELECT q.id AS query_id, d.id AS vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM (SELECT id, min(e) AS e FROM v WHERE id % 100 = 0 GROUP BY id) q JOIN v d ON q.id <> d.id AND len(q.e) = len(d.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {"op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
+ORACLES: dict[str, str] = {"op8_cover_trees": OP8_SQL}

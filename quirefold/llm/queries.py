@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quirefold.llm import quality, toxicity
 from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
+from quirefold.llm.counts import count_tokens
+from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
 from quirefold.llm.repetition import repetition
 from quirefold.llm.topk import top_k, whole_numbers
@@ -28,6 +30,12 @@ def op1_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Sketching(shingle=3, percent=85))
 
 
+def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat")
@@ -46,6 +54,51 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Target weights of the mix: languages by name, domains by number; sources share alike.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 2, "d2": 3}, "language": {"en": 5, "de": 3, "fr": 2, "es": 2}}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 70, 3, 11
+
+
+def domain_of_source() -> F.Column:
+    """Five domains, by the number at the end of the source's name."""
+    return F.concat(F.lit("d"), (F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9]{1,6})$", 1), F.lit("")), F.lit("999999")), F.lit(0)).cast("long") % 5).cast("string"))
+
+
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX_PERCENT, MIX_WEIGHTS, domain_of_source(), MIX_EPOCHS, MIX_SEED)
+
+
+def _levels_sql() -> str:
+    """The budgets level by level, as SQL: w0, w1 and w2 hold each node's share."""
+    weight = lambda level: "CASE " + " ".join(f"WHEN {level} = '{n}' THEN {w}" for n, w in sorted(MIX_WEIGHTS.get(level, {}).items())) + " ELSE 1 END" if MIX_WEIGHTS.get(level) else "1"
+    out, path = [], []
+    for k, level in enumerate(("domain", "language", "source")):
+        at = ", ".join([*path, level])
+        up = "CROSS JOIN root" if not path else f"JOIN w{k - 1} USING ({', '.join(path)})"
+        by = f"PARTITION BY {', '.join(path)}" if path else ""
+        out.append(f"""n{k} AS (SELECT {at}, CAST(sum(held) AS HUGEINT) AS held, CAST({weight(level)} AS HUGEINT) AS w FROM leaves GROUP BY {at}),
+m{k} AS (SELECT n{k}.*, CAST(budget AS HUGEINT) AS budget,
+  coalesce(sum(held) OVER ({by} ORDER BY CAST(held AS DOUBLE) / w, {at} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+  sum(w) OVER ({by} ORDER BY CAST(held AS DOUBLE) / w, {at} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM n{k} {up}),
+f{k} AS (SELECT *, held * opened <= (budget - given) * w AS filled FROM m{k}),
+w{k} AS (SELECT {at}, CASE WHEN filled THEN held ELSE (budget - sum(CASE WHEN filled THEN held ELSE 0 END) OVER ({by})) * w // sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({by}) END AS budget FROM f{k})""")
+        path.append(level)
+    return ",\n".join(out)
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,6}})$', 1), '') AS BIGINT), 0) % 5 AS VARCHAR) AS domain,
+  coalesce(lang, '') AS language, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS n_tokens,
+  md5(concat('{MIX_SEED}/', coalesce(CAST(doc_id AS VARCHAR), ''))) AS o FROM documents),
+leaves AS (SELECT domain, language, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(sum(n_tokens) AS HUGEINT) * {MIX_EPOCHS} AS held FROM d GROUP BY domain, language, source),
+root AS (SELECT least(sum(held), sum(tokens) * {MIX_PERCENT} // 100) AS budget FROM leaves),
+{_levels_sql()},
+b AS (SELECT d.*, l.tokens, w2.budget AS share, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM d JOIN leaves l USING (domain, language, source) JOIN w2 USING (domain, language, source))
+SELECT doc_id, domain, language, source, n_tokens, CAST(CASE WHEN tokens = 0 THEN {MIX_EPOCHS} ELSE share // tokens + CASE WHEN share % tokens > 0 AND run <= share % tokens THEN 1 ELSE 0 END END AS BIGINT) AS copies FROM b
+"""
+
+
 def op8_cover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("e"))
     sound = rows.where("id is not null and e is not null and size(e) > 0").where(~F.exists("e", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))))
@@ -69,5 +122,5 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {"op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {"op8_cover_trees": OP8_SQL}
+QUERIES = {"op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
+ORACLES: dict[str, str] = {"op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

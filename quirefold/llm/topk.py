@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirefold.llm.common import materialise
+
 #: Rows of a block of vectors and of a block of queries; one block of queries travels with one pass over the vectors' blocks.
 BLOCK_ROWS, QUERY_ROWS, LEAF = 4096, 1024, 64
 #: Bytes of query blocks that are broadcast at once; more queries take more passes.
@@ -141,10 +143,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     each query at most.
     """
     data = _blocks(vectors.where("id is not null and size(v) > 0"), BLOCK_ROWS, "v")
-    asked = _blocks(queries.where("id is not null and size(v) > 0").groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS, "v").select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    from quirefold.llm.common import materialise
-
-    asked = materialise(asked, "queries")
+    once = materialise(queries.where("id is not null and size(v) > 0").groupBy("id").agg(F.min("v").alias("v")), "queries")
+    parts = max(1, -(-once.count() // QUERY_ROWS))
+    asked = materialise(_blocks(once.coalesce(parts), QUERY_ROWS, "v").select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
     total = asked.agg(F.sum(F.length("q_data")), F.max(F.length("q_data"))).first()
     passes = max(1, -(-(total[0] or 0) // max(PASS_BYTES - (total[1] or 0), 1)))
     if passes > 1:

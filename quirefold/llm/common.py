@@ -20,6 +20,8 @@ _LOWER[65:91] += 32
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240917).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Other values, for a second hash that is independent of the first.
+OTHER_VALUES = np.random.default_rng(7130).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -92,15 +94,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Spans:
     """64-bit hashes of any byte ranges of one buffer, from running sums of a polynomial over random byte values."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, values: np.ndarray = _BYTE_VALUES):
         up, self.down = _table_of_powers(len(buf) + 1)
         self.sums = np.empty(len(buf) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(_BYTE_VALUES[buf] * up[: len(buf)], out=self.sums[1:])
+        np.cumsum(values[buf] * up[: len(buf)], out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def hash_without(self, start: np.ndarray, end: np.ndarray, gap: np.ndarray, gap_end: np.ndarray) -> np.ndarray:
+        """What hash() gives for the range's bytes without those of the gap in it."""
+        cut = gap_end - gap
+        joined = (self.sums[gap] - self.sums[start]) * self.down[start] + (self.sums[end] - self.sums[gap_end]) * self.down[start + cut]
+        return mix(joined + (end - start - cut).astype(np.uint64))
+
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word `[^\\x20\\x09-\\x0D]+`, and for each row the index of its first word (one more entry than rows)."""

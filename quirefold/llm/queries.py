@@ -11,6 +11,7 @@ from quirefold.llm import quality, toxicity
 from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
 from quirefold.llm.counts import count_tokens
+from quirefold.llm.linedup import duplicate_lines
 from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
 from quirefold.llm.repetition import repetition
@@ -54,6 +55,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.xxhash64(text).alias("t"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    found = rows.join(duplicate_lines(docs), ["o", "t"], "left")
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"))
+
+
 #: Target weights of the mix: languages by name, domains by number; sources share alike.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 2, "d2": 3}, "language": {"en": 5, "de": 3, "fr": 2, "es": 2}}
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 70, 3, 11
@@ -122,5 +131,5 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {"op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
+QUERIES = {"op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {"op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirefold.llm.common import materialise
+
 LEVELS = ("domain", "language", "source")
 #: Hexadecimal digits of the order that form a bucket: 4096 buckets a leaf. Sums are made by bucket, documents are only sorted
 #: within the one bucket in which a leaf's prefix ends.
@@ -50,17 +52,16 @@ def shares(nodes: DataFrame, parent: list[str], weight: str, held: str, budget:
     return marked.withColumn("share", F.when(F.col("__full"), F.col(held)).otherwise(part)).drop("__given", "__open", "__full", "__left", "__among")
 
 
-def budgets(leaves: DataFrame, total: int | Column, weights: Mapping[str, Mapping[str, int]], epochs: int) -> DataFrame:
-    """leaves (domain, language, source, tokens) with held (tokens x epochs) and share, the budget of each leaf."""
+def budgets(leaves: DataFrame, total: int, weights: Mapping[str, Mapping[str, int]], epochs: int) -> DataFrame:
+    """leaves (domain, language, source, tokens) with held (tokens x epochs) and share, the budget of each leaf. total is no more
+    than what all leaves hold."""
     rows = leaves.withColumn("held", F.col("tokens") * epochs)
-    budget = rows.select(F.sum("held").alias("__all")).select(F.least(F.col("__all"), (F.lit(total) if isinstance(total, int) else total)).cast("long").alias("budget"))
     path: list[str] = []
     upper = None
     for level in LEVELS:
         at = [*path, level]
         nodes = rows.groupBy(*at).agg(F.sum("held").alias("held")).withColumn("weight", _weight(level, weights))
-        # one row, which a subquery's scalar would be: the root's budget
-        nodes = nodes.join(F.broadcast(budget)) if upper is None else nodes.join(upper, path)
+        nodes = nodes.withColumn("budget", F.lit(total).cast("long")) if upper is None else nodes.join(upper, path)
         given = shares(nodes, path or [F.lit(1)], "weight", "held", "budget")
         upper = given.select(*at, F.col("share").alias("budget"))
         path = at
@@ -84,9 +85,10 @@ def mix(docs: DataFrame, share_percent: int, weights: Mapping[str, Mapping[str,
     rows = rows.withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
     leaf = list(LEVELS)
     buckets = rows.groupBy(*leaf, "__bucket").agg(F.sum("n_tokens").alias("tokens"))
+    buckets = materialise(buckets, "buckets")
     leaves = buckets.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
-    whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).select(F.floor(F.col("t") * share_percent / 100).cast("long")).first()[0]
-    given = budgets(leaves, int(whole), weights, epochs).select(*leaf, F.col("tokens").alias("__leaf"), "share")
+    everything = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    given = budgets(leaves, min(everything * epochs, everything * share_percent // 100), weights, epochs).select(*leaf, F.col("tokens").alias("__leaf"), "share")
     up_to = Window.partitionBy(*leaf).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = F.when(F.col("__leaf") > 0, F.col("share") % F.col("__leaf")).otherwise(0)
     turns = F.when(F.col("__leaf") > 0, F.floor(F.col("share") / F.col("__leaf"))).otherwise(epochs).cast("long")

@@ -7,10 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import quality, toxicity
+from quirefold.llm import licenses, quality, toxicity
 from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
 from quirefold.llm.counts import count_tokens
+from quirefold.llm.licenses import license_scan
 from quirefold.llm.linedup import duplicate_lines
 from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
@@ -131,5 +132,40 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {"op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {"op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}
+def license_path() -> F.Column:
+    """The tables have no paths; files are laid out by source, language and hundred."""
+    return F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), license_path())
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id AS id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(CAST(floor(doc_id / 100.0) AS BIGINT) AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+x AS (SELECT id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, text, regexp_extract_all(lower(text), '{licenses.TERM}') AS ws FROM d),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(said), '{licenses.TERM}')) AS term
+  FROM (VALUES {", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(licenses.TEMPLATES))}) v(template, license, said)) GROUP BY ALL),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM x),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT x.rowid_ AS r, u.term FROM (SELECT row_number() OVER () AS rowid_, ws FROM x) x, unnest(x.ws) u(term)) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS (SELECT DISTINCT tt.term, ln((1 + n.n) / (1 + coalesce(df.df, 0))) + 1 AS idf FROM tt CROSS JOIN n LEFT JOIN df ON df.term = tt.term),
+tw AS (SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_norm FROM tt JOIN idf USING (term)),
+l AS (SELECT id, path, len(ws) AS n_words, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS said FROM x),
+p AS (SELECT id, path, n_words, line, len(t) AS n_said, unnest(t) AS term FROM (SELECT *, regexp_extract_all(lower(said), '{licenses.TERM}') AS t FROM l WHERE regexp_matches(lower(said), '{licenses.ANCHORS}'))),
+pw AS (SELECT c.*, c.tf * coalesce(idf.idf, ln(1 + n.n) + 1) AS pw FROM (SELECT id, path, n_words, line, n_said, term, count(*) AS tf FROM p GROUP BY ALL) c CROSS JOIN n LEFT JOIN idf ON idf.term = c.term),
+pn AS (SELECT id, line, sqrt(sum(pw * pw)) AS p_norm FROM pw GROUP BY ALL),
+s AS (SELECT pw.id, pw.path, pw.n_words, pw.line, pw.n_said, template, license, round(sum(pw * w) / (t_norm * p_norm), 6) AS score FROM pw JOIN tw ON tw.term = pw.term JOIN pn ON pn.id = pw.id AND pn.line = pw.line
+  GROUP BY pw.id, pw.path, pw.n_words, pw.line, pw.n_said, template, license, t_norm, p_norm),
+bl AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY score DESC, template) AS k FROM s WHERE score >= {licenses.LEAST_COSINE}),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, line, template) AS j, sum(n_said) OVER (PARTITION BY id) AS said FROM bl WHERE k = 1),
+own AS (SELECT id, path, license AS own_license, score AS own_score, CAST(line AS BIGINT) AS own_line, 100 * said >= {licenses.FILE_PERCENT} * n_words OR regexp_matches(lower(path), '{licenses.FILE_NAMES}') AS is_file FROM o WHERE j = 1),
+g AS (SELECT above, license FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS above, own_license AS license, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY own_score DESC, path) AS k FROM own WHERE is_file) WHERE k = 1),
+a AS (SELECT dir, above, license, row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) AS k FROM (SELECT DISTINCT dir FROM x) JOIN g ON dir = above OR starts_with(dir, above || '/'))
+SELECT x.id AS doc_id, x.path, own_license, own_score, own_line, coalesce(own_license, a.license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS scope,
+  CASE WHEN own_license IS NULL AND a.license IS NOT NULL THEN a.above END AS inherited_from
+FROM x LEFT JOIN own ON own.id = x.id LEFT JOIN a ON a.dir = x.dir AND a.k = 1
+"""
+
+QUERIES = {"op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
+ORACLES: dict[str, str] = {"op10_license_scan": OP10_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

@@ -1,0 +1 @@
+"""Where documents, settings and prompts come from."""

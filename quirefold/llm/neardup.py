@@ -5,9 +5,10 @@ values of its elements, kept as a truncated power of a base. Sketches merge by m
 sets are similar, so runs of registers (bands) serve as keys of candidates. A candidate pair is estimated from both sketches by
 likelihood, and verified on the full sets of shingles.
 
-Within the members of one key each member is held against one pivot first. Members that the pivot does not link are then held
-against the others of another component, but for those that the triangle inequality of the Jaccard distance rules out. So a
-large group of copies costs one pair for each member, and no link between components is passed over.
+Within the members of one key each member is held against one pivot first, the one that meets most others. Members that the
+pivot does not link are then held against those of another component that they can reach, given what each has of the elements
+that are usual in the group. So a large group of copies costs a few pairs for each member, and no link between components is
+passed over.
 """
 
 from __future__ import annotations
@@ -185,6 +186,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, common long, total long").withColumn("linked", (F.col("total") > 0) & (100 * F.col("common") >= how.percent * F.col("total")))
 
 
+def _possible(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a group g that are of different components, one at least outside the group's own, and that can
+    reach the least similarity. around: (g, id, component, n, own).
+
+    Take the elements that more than half of the group's own members have. Two sets have in common, of those, no more than the
+    one that has fewer has, and beside them what both have of the rest. So a pair needs enough of the former each, or shares an
+    element of the rest. Copies of one text differ from it in places of their own, so few pairs do either, and none that could
+    be linked is left out.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(5)]
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            for lo in range(0, len(at), 1 << 18):
+                part = at.slice(lo, 1 << 18)
+                every = np.concatenate(parts) if not lo else every
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(part) for c in range(5)), pa.array(every[lo : lo + (1 << 18)])], names=["g", "id", "component", "n", "own", "e"])
+
+    held = around.join(sets.select("id", "set"), "id").select("g", "id", "component", "n", "own", "set")
+    rows = held.mapInArrow(elements, "g long, id long, component long, n long, own boolean, e long")
+    sizes = around.groupBy("g").agg(F.sum(F.col("own").cast("int")).alias("members"))
+    seen = rows.groupBy("g", "e").agg(F.count("*").alias("df"), F.sum(F.col("own").cast("int")).alias("of_own"))
+    marks = seen.where("df > 1").join(sizes, "g").select("g", "e", (2 * F.col("of_own") > F.col("members")).alias("usual"))
+    marked = materialise(rows.join(marks, ["g", "e"]), "elements")
+    usual = marked.where("usual").groupBy("g", "id").agg(F.count("*").alias("c"))
+    sets_of = around.join(usual, ["g", "id"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+
+    def sides(of: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
+        a = of.where("not own").select("g", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *(F.col(c).alias(f"{c}_a") for c in extra))
+        b = of.select("g", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("own_b"), *(F.col(c).alias(f"{c}_b") for c in extra))
+        return a, b
+
+    fit = (F.col("ca") != F.col("cb")) & (F.col("own_b") | (F.col("a") < F.col("b"))) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    a, b = sides(sets_of, ["c"])
+    enough = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("na") + F.col("nb"))
+    near = a.where((100 + percent) * F.col("c_a") * 100 >= percent * F.col("na") * (100 + percent)).join(b, "g").where(fit & enough).select("a", "b")
+    x, y = sides(marked.where("not usual"), ["e"])
+    sharing = x.join(y.withColumnRenamed("g", "g2"), (F.col("g") == F.col("g2")) & (F.col("e_a") == F.col("e_b"))).where(fit).select("a", "b")
+    return near.unionByName(sharing).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), text: str = "text") -> DataFrame:
     """doc_id, n_shingles (long), component_id (smallest doc_id reachable over links, itself included), n_links (long: how many
     verified links to the texts of other sets its own set has) and kept (doc_id = component_id).
@@ -199,31 +242,32 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), text: str = "
     width = 2 * how.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * F.lit(width) + F.lit(1), F.lit(width))))
     keyed = classes.select("id", F.explode(bands).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("key", "pivot")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key", "n")
     members = materialise(keyed.join(shared, "key"), "members")  # keys with two classes at least
+    # The pivot is the member that meets most others over all its keys: of copies of one text, the text they were made from.
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    weighed = members.select("key", "id").join(met, "id")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("met", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"))
+    members = materialise(members.select("key", "id").join(pivots, "key"), "members")
     registers = classes.select("id", "registers", "n")
 
     first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sure = how.percent / 100 - 0.2  # beyond four standard errors of the estimate below the least similarity
     first = materialise(_estimated(first, registers, how), "pairs")
-    wanted = first.where(F.col("estimate") >= sure).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = members.select("id").distinct()
     sets = materialise(_sets_of(docs, classes.join(wanted, "id", "left_semi").select("id", "doc_id"), how, text), "sets")
     checked = materialise(_verified(first.where(F.col("estimate") >= sure).select("a", "b"), sets, how), "links")
     links = checked.where("linked").select("a", "b")
     found = components(links)
 
-    # Keys whose members fell into several components: hold each member outside the pivot's component against the others.
+    # Keys whose members fell into several components: what of them outside the pivot's component may link to the others.
     comp = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = comp.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    distance = first.join(checked.select("a", "b", "common", "total"), ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.coalesce(1 - F.col("common") / F.col("total"), F.greatest(F.lit(0.0), 0.8 - F.col("estimate"))).alias("near"), F.coalesce(1 - F.col("common") / F.col("total"), F.lit(1.0)).alias("far"))
-    open_ = materialise(comp.join(split, "key").join(distance, ["pivot", "id"], "left").fillna(0.0, ["near", "far"]), "open")
+    open_ = comp.join(split, "key")
     home = open_.where("id = pivot").select("key", F.col("component").alias("home"))
-    open_ = open_.where("id <> pivot").join(home, "key")
-    stray = open_.where("component <> home").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("near").alias("na"), F.col("far").alias("fa"))
-    other = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("home").alias("hb"), F.col("near").alias("nb"), F.col("far").alias("fb"))
-    reach = 1 - how.percent / 100 + 1e-9
-    second = stray.join(other, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("hb")) | (F.col("a") < F.col("b"))) & (F.greatest(F.col("na") - F.col("fb"), F.col("nb") - F.col("fa")) <= reach))
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    around = open_.join(home, "key").select(F.col("home").alias("g"), "id", "component").distinct()
+    around = materialise(around.join(classes.select("id", "n"), "id").withColumn("own", F.col("component") == F.col("g")), "around")
+    second = _possible(around, sets, how.percent)
     second = _estimated(second, registers, how).where(F.col("estimate") >= sure).select("a", "b")
     more = materialise(_verified(second, sets, how).where("linked").select("a", "b"), "links")
     every = links.unionByName(more)

@@ -89,11 +89,12 @@ def outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def with_depth(nodes: DataFrame, key: str = "doc_id", most: int = 100) -> DataFrame:
     """Outline rows with depth: the root is 0. Level by level over the edges, as many rounds as the deepest tree has levels."""
+    nodes = nodes.persist()  # each round reads them
     found = nodes.where("parent_number is null").withColumn("depth", F.lit(0).cast("long"))
     edge, done = found, found
     for depth in range(1, most + 1):
         up = edge.select(key, F.col("number").alias("parent_number"))
-        edge = nodes.join(up, [key, "parent_number"]).select(*nodes.columns).withColumn("depth", F.lit(depth).cast("long"))
+        edge = nodes.join(up, [key, "parent_number"]).select(*nodes.columns).withColumn("depth", F.lit(depth).cast("long")).persist()
         if edge.isEmpty():
             return done
         done = done.unionByName(edge)

@@ -82,11 +82,12 @@ def size(nodes: DataFrame) -> int:
 
 def subtree(nodes: DataFrame, edges: DataFrame, start: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """Below each start (node_id): start_id, node columns, depth and path (the ordinals down to the node)."""
+    edges = edges.persist()  # each round reads them
     level = start.select(F.col("node_id").alias("start_id"), "node_id").withColumn("depth", F.lit(0).cast("long")).withColumn("path", F.array().cast("array<bigint>"))
     found = level
     for depth in range(1, most + 1):
         down = edges.select(F.col("parent_id").alias("node_id"), "child_id", "child_ord")
-        level = level.join(down, "node_id").select("start_id", F.col("child_id").alias("node_id"), F.lit(depth).cast("long").alias("depth"), F.concat("path", F.array("child_ord")).alias("path"))
+        level = level.join(down, "node_id").select("start_id", F.col("child_id").alias("node_id"), F.lit(depth).cast("long").alias("depth"), F.concat("path", F.array("child_ord")).alias("path")).persist()
         if level.isEmpty():
             return found.join(nodes, "node_id")
         found = found.unionByName(level)

@@ -97,8 +97,8 @@ def compare_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TOOLS},
 c AS (SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.query_id, c.doc_id, c.chunk_id, list_cosine_similarity(qv, v) AS score FROM q CROSS JOIN c)
-SELECT s.query_id, s.doc_id, chunk_id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY s.query_id, s.doc_id ORDER BY s.score DESC, chunk_id) AS rank
-FROM s JOIN r ON r.query_id = s.query_id AND r.doc_key = s.doc_id AND r.rank <= 3 QUALIFY rank <= 2""")
+SELECT * FROM (SELECT s.query_id, s.doc_id, chunk_id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY s.query_id, s.doc_id ORDER BY s.score DESC, chunk_id) AS rank
+FROM s JOIN r ON r.query_id = s.query_id AND r.doc_key = s.doc_id AND r.rank <= 3) WHERE rank <= 2""")
 def compare_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _others(spark, sf_dir)
     routed = R.tool_top_k(_tools(spark, sf_dir), asked, 3).select("query_id", F.col("doc_key").alias("doc_id"))

@@ -54,7 +54,7 @@ class Offline:
         task, _, body = prompt.partition("\n\n")
         words = re.findall(r"\w+", body)
         if "markdown fence" in task and "Set the headings" in task:
-            return f"```markdown\n{body.strip()}\n{END}\n```"
+            return f"{body.strip()}\n{END}" if "```" in body else f"```markdown\n{body.strip()}\n{END}\n```"  # an inner fence would end the block
         if "markdown fence" in task:
             return f"```markdown\n{(attachment or b'').decode('utf-8', 'replace').strip()}\n```"
         if "JSON object" in task:

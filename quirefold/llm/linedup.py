@@ -137,9 +137,11 @@ def _variants(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
                 if not len(hot) or not len(x.row):
                     continue
                 h2 = Spans(buf, OTHER_VALUES).hash(x.head, x.tail)
-                _, once = np.unique(x.h1, return_index=True)
+                o, t = (batch.column(c).slice(lo, hi - lo).to_numpy()[x.row] for c in (0, 1))
+                by = np.lexsort((x.number, t, o))  # of equal lines the earliest speaks for all
+                _, once = np.unique(x.h1[by], return_index=True)
                 first = np.zeros(len(x.row), bool)
-                first[once] = True
+                first[by[once]] = True
                 out = []
                 for extra, _, a, end, key in x.outside():
                     key = key.view(np.int64)

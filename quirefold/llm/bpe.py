@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a worker remembers; it starts afresh when they are more, so memory is bounded and results are unaffected.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Longer pre-tokens are encoded each time they occur.
 REMEMBERED_BYTES = 64
 
@@ -221,13 +221,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     """
     spark: SparkSession = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
+    at = keep.index(text) if text in keep else len(keep)  # a kept text isn't sent twice
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _shared(shared.value, pattern)
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             for lo in range(0, len(column), 256):
                 ids, counts, plain = [], [], []
                 for value in column.slice(lo, 256):
@@ -240,6 +241,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 kept = [c.slice(lo, 256) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(plain, pa.binary())], names=[*keep, "n_tokens", "ids", "decoded"])
 
-    picked = docs.select(*(F.col(c) for c in keep), F.col(text).cast("string").alias("__text"))
+    picked = docs.select(*(F.col(c) for c in keep), *([] if text in keep else [F.col(text).cast("string").alias("__text")]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return picked.mapInArrow(run, f"{kinds}, n_tokens long, ids binary, decoded binary")

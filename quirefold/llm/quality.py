@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     labels_of = np.array([r["y"] for r in found], float)
     prior = float(labels_of.mean()) if len(found) else 0.5
     none = Model(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), (0.0, 0.0), prior)
-    if not 0 < prior < 1:
+    if not found or not 0 < prior < 1:
         return none
     sizes = [np.frombuffer(r["size"], "<i8") for r in found]
     row = np.repeat(np.arange(len(found)), [len(s) for s in sizes])

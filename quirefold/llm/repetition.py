@@ -151,10 +151,11 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
     or of the longest text.
     """
     keep = ["doc_id"] if keep is None else keep
+    at_text = keep.index(text) if text in keep else len(keep)  # a kept text isn't sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in slices(batch.column(len(keep))):
+            for lo, hi, buf, off in slices(batch.column(at_text)):
                 m = measure(buf, off, limits)
                 n = m["n_words"]
                 base = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
@@ -167,6 +168,6 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
                 cells += [pa.array(m[c], pa.int64()) for c in _COLUMNS] + [found, pa.array(base), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(cells, names=[*keep, *_COLUMNS, "repeats", "base_failed", "kept"])
 
-    picked = docs.select(*(F.col(c) for c in keep), F.col(text).cast("string").alias("__text"))
+    picked = docs.select(*(F.col(c) for c in keep), *([] if text in keep else [F.col(text).cast("string").alias("__text")]))
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in _COLUMNS]
     return picked.mapInArrow(run, ", ".join([*kinds, "repeats array<struct<first_word:long,n_words:long>>", "base_failed boolean", "kept boolean"]))

@@ -98,15 +98,23 @@ class _Words(dict):
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents with it that are toxic, others) of each partition."""
+    """(feature, documents with it that are toxic, others) of parts of each partition; '' stands for all documents."""
     found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    n = [0, 0]
+
+    def part() -> pa.RecordBatch:
+        names = list(found[0].keys() | found[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[1][f] for f in names], pa.int64()), pa.array([found[0][f] for f in names], pa.int64())], names=["feature", "toxic", "other"])
+        found[0].clear()
+        found[1].clear()
+        return out
+
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-            n[y] += 1
+            found[y][""] += 1
             found[y].update({f for w in {normal(raw) for raw in (text.as_py() or "").split()} if w for f in features(w)})
-    names = list(found[0].keys() | found[1].keys())
-    yield pa.RecordBatch.from_arrays([pa.array([*names, ""], pa.string()), pa.array([*(found[1][f] for f in names), n[1]], pa.int64()), pa.array([*(found[0][f] for f in names), n[0]], pa.int64())], names=["feature", "toxic", "other"])
+            if len(found[0]) + len(found[1]) > REMEMBERED:
+                yield part()
+    yield part()
 
 
 def evidence(segments: list[tuple[int, int, float]], n: int, rate: float, place: float, scale: float) -> float:

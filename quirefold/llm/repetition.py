@@ -23,11 +23,17 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """A text is rejected beyond one of these. Spans shorter than `min_words` are no repeats."""
+    """A text is rejected beyond one of these. Spans shorter than `min_words` are no repeats.
+
+    Words of repeats lie in repeated 3-word windows too, so a covered part of half or more adds nothing to the base rule; a
+    repeat covers its length twice over, so `longest_percent` is less than half of `covered_percent`. Good texts repeat a line
+    of up to 13 words, which is up to half of a short one: hence a covered part counts beyond `covered_words` only.
+    """
 
     min_words: int = 4
-    covered_percent: int = 50
-    longest_percent: int = 25
+    covered_percent: int = 30
+    covered_words: int = 30
+    longest_percent: int = 10
     longest_words: int = 30
 
 
@@ -159,7 +165,7 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
                 m = measure(buf, off, limits)
                 n = m["n_words"]
                 base = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
-                far = (100 * m["n_covered_words"] > limits.covered_percent * n) | ((m["longest_repeat"] > limits.longest_words) & (100 * m["longest_repeat"] > limits.longest_percent * n))
+                far = ((m["n_covered_words"] > limits.covered_words) & (100 * m["n_covered_words"] > limits.covered_percent * n)) | ((m["longest_repeat"] > limits.longest_words) & (100 * m["longest_repeat"] > limits.longest_percent * n))
                 kept = ~(base | far)
                 items = pa.StructArray.from_arrays([pa.array(m["span_start"], pa.int64()), pa.array(m["span_words"], pa.int64())], names=["first_word", "n_words"])
                 at = np.searchsorted(m["span_row"], np.arange(hi - lo + 1)).astype(np.int32)

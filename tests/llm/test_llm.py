@@ -115,6 +115,18 @@ def test_longest_repeats(spark):
         assert (r.longest_repeat, r.n_covered_words) == (max(longest), len(cover))
 
 
+def test_spans_decide(spark):
+    def text(n, again, times=2):
+        """n single words, of which the first `again` stand there `times` times."""
+        return " ".join([f"w{k}" for k in range(again)] * (times - 1) + [f"w{k}" for k in range(n - again * (times - 1))])
+
+    rows = [(0, text(900, 200)), (1, text(500, 60)), (2, text(500, 28)), (3, text(75, 9)), (4, text(60, 13)), (5, text(500, 25, 8))]
+    got = {r.doc_id: r for r in repetition(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())  # what is dropped here is dropped for its spans
+    assert {k: r.kept for k, r in got.items()} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False}
+    assert (got[0].n_covered_words, got[1].n_covered_words, got[1].longest_repeat, got[5].n_covered_words) == (400, 120, 60, 200)
+
+
 # ---- near-duplicates
 
 

@@ -1,13 +1,15 @@
 """License scans: sparse TF-IDF cosine of passages to templates, then inheritance from the nearest directory above.
 
-DataFrame and SQL functions only. Each line of a whole text that holds an anchor is a passage; its terms are weighted by their
-frequency over all files and held against each template. A file whose licence passages make up a good part of it, or that is
+DataFrame and SQL functions only. Each line of a whole text that holds an anchor is a passage; its windows of a template's length,
+terms weighted by the share of files that hold them, are held against that template. A file whose licence passages make up a good part of it, or that is
 named like one, is a licence file; the files of its directory and of those below that declare nothing themselves inherit from
 the nearest one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ FILE_NAMES = "(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 TERM = "[a-z0-9]+([.-][a-z0-9]+)*"
 #: Least cosine of a match, and least share of a file's words in passages (percent) for a licence file.
 LEAST_COSINE, FILE_PERCENT = 0.6, 20
+#: Least share of the files that a term counts with: terms that are rarer or in no template weigh alike in a table of any size.
+LEAST_SHARE = 0.001
 
 
 def terms(text: Column) -> Column:
@@ -46,17 +50,18 @@ def terms(text: Column) -> Column:
 
 
 def template_terms(spark) -> DataFrame:
-    """(template, license, term, tf): a few hundred rows, fixed by TEMPLATES."""
+    """(template, license, n, term, tf), n being the template's terms: a few hundred rows, fixed by TEMPLATES."""
     values = ", ".join(f"({k}, '{name}', '{said}')" for k, (name, said) in enumerate(TEMPLATES))
     rows = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, license, said)")
-    return rows.select("template", "license", F.explode(terms(F.col("said"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    return rows.select("template", "license", F.size(terms(F.col("said"))).alias("n"), F.explode(terms(F.col("said"))).alias("term")).groupBy("template", "license", "n", "term").agg(F.count("*").alias("tf"))
 
 
 def license_scan(files: DataFrame, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, path, own_license, own_score, own_line (from 0), license, scope (own, inherited or none) and inherited_from (a directory).
 
-    Own: the best passage of at least LEAST_COSINE; of equal ones the first line, then the first template. Idf is
-    ln((1 + files) / (1 + files with the term)) + 1; terms in no template count as found in no other file. Null texts have
+    Own: the best passage of at least LEAST_COSINE; of equal ones the first line, then the first template. A passage scores as its
+    best window of as many terms as the template has, so what else the line holds takes nothing from it. Idf is 1 - ln(share of
+    the files with the term, LEAST_SHARE at least); terms in no template weigh as the rarest. Null texts have
     no passage, null paths neither inherit nor bequeath, an empty table gives an empty one. Rows that share a key share one
     result of all their passages. The vocabulary of the templates is fixed, so what is broadcast is.
     """
@@ -68,21 +73,26 @@ def license_scan(files: DataFrame, path: Column, text: str = "text", key: str =
     holds = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, words)))
     df = rows.select(F.explode(holds).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n_files = float(files.count())
-    idf = vocabulary.join(df, "term", "left").select("term", (F.log(F.lit(1.0 + n_files) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
+    share = F.greatest(F.coalesce("df", F.lit(0)) / max(n_files, 1.0), F.lit(LEAST_SHARE))
+    idf = vocabulary.join(df, "term", "left").select("term", (1.0 - F.log(share)).alias("idf"))
     weighted = known.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    templates = weighted.join(norms, "template").select("template", "license", "term", "idf", "w", "t_norm")
+    templates = weighted.join(norms, "template").select("template", "license", "n", "term", "idf", "w", "t_norm")
 
     lines = rows.select("id", "path", F.size(terms(F.col("text"))).alias("n_words"), F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.lower("said").rlike(ANCHORS))
-    counted = lines.select("id", "path", "n_words", "line", F.size(terms(F.col("said"))).alias("n_said"), F.explode(terms(F.col("said"))).alias("term")).groupBy("id", "path", "n_words", "line", "n_said", "term").agg(F.count("*").alias("tf"))
-    rare = F.log(F.lit(1.0 + n_files)) + 1.0
-    weights = counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("pw", F.col("tf") * F.coalesce("idf", rare))
-    place = ["id", "path", "n_words", "line", "n_said"]
-    p_norm = weights.groupBy(*place).agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("p_norm"))
-    dots = weights.join(F.broadcast(templates.select("template", "license", "term", "w", "t_norm")), "term").groupBy(*place, "template", "license", "t_norm").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
-    scored = dots.join(p_norm.select("id", "path", "line", "p_norm").withColumnRenamed("path", "p_path").withColumnRenamed("id", "p_id").withColumnRenamed("line", "p_line"), F.col("id").eqNullSafe(F.col("p_id")) & F.col("path").eqNullSafe(F.col("p_path")) & (F.col("line") == F.col("p_line")))
-    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("t_norm") * F.col("p_norm")), 6)).where(F.col("score") >= LEAST_COSINE)
-    best = scored.groupBy("id", "path", "n_words", "line", "n_said").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license")).alias("b"))
+    lengths = F.array(*map(F.lit, sorted({len(_plain_terms(said)) for _, said in TEMPLATES})))
+    lines = lines.select("id", "path", "n_words", "line", terms(F.col("said")).alias("ws")).withColumn("n", F.explode(lengths))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - F.col("n"), F.lit(0)))
+    windows = lines.withColumn("at", F.explode(starts)).withColumn("ws", F.slice("ws", F.col("at") + 1, F.col("n")))
+    place = ["id", "path", "n_words", "line", "n", "at", "n_said"]
+    counted = windows.withColumn("n_said", F.size("ws")).select(*place, F.explode("ws").alias("term")).groupBy(*place, "term").agg(F.count("*").alias("tf"))
+    rare = 1.0 - math.log(LEAST_SHARE)
+    weights = counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("pw", F.col("tf") * F.coalesce("idf", F.lit(rare)))
+    held = weights.groupBy(*place).agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("p_norm"), F.collect_list(F.struct("term", "pw")).alias("ts"))
+    each = held.select(*place, "p_norm", F.explode("ts").alias("t")).select(*place, "p_norm", F.col("t.term").alias("term"), F.col("t.pw").alias("pw"))
+    dots = each.join(F.broadcast(templates.select("template", "license", "n", "term", "w", "t_norm")), ["n", "term"]).groupBy(*place, "p_norm", "template", "license", "t_norm").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("t_norm") * F.col("p_norm")), 6)).where(F.col("score") >= LEAST_COSINE)
+    best = scored.groupBy("id", "path", "n_words", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license", "n_said")).alias("b")).withColumn("n_said", F.col("b.n_said"))
     own = best.groupBy("id", "path").agg(F.min(F.struct(F.col("b.s").alias("s"), "line", F.col("b.template").alias("template"), F.col("b.license").alias("license"))).alias("o"), F.max("n_words").alias("n_words"), F.sum("n_said").alias("n_said"))
     own = own.select("id", "path", F.col("o.license").alias("own_license"), (-F.col("o.s")).alias("own_score"), F.col("o.line").cast("long").alias("own_line"), ((100 * F.col("n_said") >= FILE_PERCENT * F.col("n_words")) | F.lower("path").rlike(FILE_NAMES)).alias("is_file"))
 

@@ -350,6 +350,15 @@ def test_inheritance(spark):
     assert got == {0: ("MIT", "own", None), 1: ("Apache-2.0", "inherited", "r/a"), 2: ("Apache-2.0", "own", None), 3: ("Apache-2.0", "inherited", "r/a"), 4: ("Proprietary", "own", None), 5: (None, "none", None), 6: ("CC-BY-4.0", "own", None)}
 
 
+@pytest.mark.parametrize("others", [1_000, 100_000])
+def test_licences_whatever_the_size(spark, others):
+    said = ["This project is released under the MIT License.", "Copyright 2020 Acme. Licensed under the Apache License, Version 2.0.", "Licensed under the Foo License", "a licence to think"]
+    some = spark.createDataFrame([(k, f"d{k}/x.txt", f"{t}\n" + "word " * 200) for k, t in enumerate(said)], "doc_id long, path string, text string")
+    rest = spark.range(100, 100 + others).select(F.col("id").alias("doc_id"), F.concat(F.lit("r/"), "id").alias("path"), F.lit("under the sun").alias("text"))
+    got = {r.doc_id: (r.own_license, r.own_score) for r in license_scan(some.unionByName(rest), F.col("path")).where("doc_id < 100").collect()}
+    assert got == {0: ("MIT", 1.0), 1: ("Apache-2.0", 1.0), 2: (None, None), 3: (None, None)}
+
+
 # ---- odd tables
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, kept int, score string, id int, o int, n_words string"

@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of passages to templates, then inheritance from the nearest directory above.
 
 DataFrame and SQL functions only. Each line of a whole text that holds an anchor is a passage; its windows of a template's length,
-terms weighted by the share of files that hold them, are held against that template. A file whose licence passages make up a good part of it, or that is
+terms weighted by the share of files that hold them, are held against that template. So are windows that run on into the next
+two lines, and SPDX identifiers. Whole files are held against whole licence texts. A file that is such a text, whose licence passages make up a good part of it, or that is
 named like one, is a licence file; the files of its directory and of those below that declare nothing themselves inherit from
 the nearest one.
 """
@@ -9,6 +10,7 @@ the nearest one.
 from __future__ import annotations
 
 import math
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,11 @@ TERM = "[a-z0-9]+([.-][a-z0-9]+)*"
 LEAST_COSINE, FILE_PERCENT = 0.6, 20
 #: Least share of the files that a term counts with: terms that are rarer or in no template weigh alike in a table of any size.
 LEAST_SHARE = 0.001
+#: Identifiers of SPDX headers by licence; a header matches as a whole or not at all.
+SPDX = [(name, f"spdx-license-identifier {name}") for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "MIT", "MPL-2.0", "Unlicense")]
+SPDX += [(name, f"spdx-license-identifier {name}{more}") for name in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0") for more in ("", "-only", "-or-later")]
+#: Least cosine of SPDX headers, of windows over several lines, and of whole files to whole texts.
+SPDX_COSINE, RUN_COSINE, TEXT_COSINE = 0.99, 0.9, 0.8
 
 
 def terms(text: Column) -> Column:
@@ -50,17 +57,35 @@ def terms(text: Column) -> Column:
 
 
 def template_terms(spark) -> DataFrame:
-    """(template, license, n, term, tf), n being the template's terms: a few hundred rows, fixed by TEMPLATES."""
-    values = ", ".join(f"({k}, '{name}', '{said}')" for k, (name, said) in enumerate(TEMPLATES))
+    """(template, license, n, term, tf), n being the template's terms: a few hundred rows, fixed by TEMPLATES and SPDX."""
+    values = ", ".join(f"({k}, '{name}', '{said}')" for k, (name, said) in enumerate(TEMPLATES + SPDX))
     rows = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, license, said)")
     return rows.select("template", "license", F.size(terms(F.col("said"))).alias("n"), F.explode(terms(F.col("said"))).alias("term")).groupBy("template", "license", "n", "term").agg(F.count("*").alias("tf"))
 
 
+def whole_texts(files: DataFrame) -> DataFrame:
+    """id, path, license and score of the files (id, path, text) that are a licence text as a whole: the best cosine over
+    1 + ln(count) of their terms, TEXT_COSINE at least. Nothing in it depends on other files."""
+    folder = resources.files("quirefold.llm") / "license_texts"
+    texts = sorted((f.name.removesuffix(".txt"), f.read_text()) for f in folder.iterdir() if f.name.endswith(".txt"))
+    weight = 1.0 + F.log(F.count("*"))
+    said = F.explode(F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in texts)))
+    known = files.sparkSession.range(1).select(said.alias("t")).select("t.license", F.explode(terms(F.col("t.text"))).alias("term")).groupBy("license", "term").agg(weight.alias("w"))
+    norms = known.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
+    known = known.join(norms, "license").select("license", "term", (F.col("w") / F.col("t_norm")).alias("w"))
+    counted = files.select("id", "path", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "path", "term").agg(weight.alias("pw"))
+    held = counted.join(F.broadcast(known.groupBy("term").agg(F.collect_list(F.struct("license", "w")).alias("in"))), "term", "left")
+    norm = held.groupBy("id", "path").agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("p_norm"), *(F.sum(F.col("pw") * F.coalesce(F.try_element_at(F.filter("in", _named(name)), F.lit(1))["w"], F.lit(0.0))).alias(f"d{k}") for k, (name, _) in enumerate(texts)))
+    best = F.array_max(F.array(*(F.struct(F.round(F.col(f"d{k}") / F.col("p_norm"), 6).alias("score"), F.lit(name).alias("license")) for k, (name, _) in enumerate(texts))))
+    return norm.select("id", "path", best.alias("b")).select("id", "path", "b.license", "b.score").where(F.col("score") >= TEXT_COSINE)
+
+
 def license_scan(files: DataFrame, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, path, own_license, own_score, own_line (from 0), license, scope (own, inherited or none) and inherited_from (a directory).
 
     Own: the best passage of at least LEAST_COSINE; of equal ones the first line, then the first template. A passage scores as its
-    best window of as many terms as the template has, so what else the line holds takes nothing from it. Idf is 1 - ln(share of
+    best window of as many terms as the template has, so what else the line holds takes nothing from it; a window may run on
+    into the next two lines if it agrees by RUN_COSINE. A file that is a whole licence text takes that licence, with line 0. Idf is 1 - ln(share of
     the files with the term, LEAST_SHARE at least); terms in no template weigh as the rarest. Null texts have
     no passage, null paths neither inherit nor bequeath, an empty table gives an empty one. Rows that share a key share one
     result of all their passages. The vocabulary of the templates is fixed, so what is broadcast is.
@@ -69,7 +94,7 @@ def license_scan(files: DataFrame, path: Column, text: str = "text", key: str =
     rows = files.select(F.col(key).alias("id"), path.alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = template_terms(spark)
     vocabulary = known.select("term").distinct()
-    words = sorted({t for _, said in TEMPLATES for t in _plain_terms(said)})
+    words = sorted({t for _, said in TEMPLATES + SPDX for t in _plain_terms(said)})
     holds = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, words)))
     df = rows.select(F.explode(holds).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n_files = float(files.count())
@@ -79,22 +104,36 @@ def license_scan(files: DataFrame, path: Column, text: str = "text", key: str =
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     templates = weighted.join(norms, "template").select("template", "license", "n", "term", "idf", "w", "t_norm")
 
-    lines = rows.select("id", "path", F.size(terms(F.col("text"))).alias("n_words"), F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.lower("said").rlike(ANCHORS))
-    lengths = F.array(*map(F.lit, sorted({len(_plain_terms(said)) for _, said in TEMPLATES})))
-    lines = lines.select("id", "path", "n_words", "line", terms(F.col("said")).alias("ws")).withColumn("n", F.explode(lengths))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - F.col("n"), F.lit(0)))
-    windows = lines.withColumn("at", F.explode(starts)).withColumn("ws", F.slice("ws", F.col("at") + 1, F.col("n")))
-    place = ["id", "path", "n_words", "line", "n", "at", "n_said"]
+    anchored = rows.where(F.lower("text").rlike(ANCHORS))
+    lengths = sorted({len(_plain_terms(said)) for _, said in TEMPLATES + SPDX})
+    after = F.array_join(F.slice("all_lines", F.col("line") + 2, 2), "\n")
+    lines = anchored.select("id", "path", F.size(terms(F.col("text"))).alias("n_words"), F.split("text", "\n").alias("all_lines")).select("*", F.posexplode("all_lines").alias("line", "said")).withColumn("after", after)
+    lines = lines.where(F.lower("said").rlike(ANCHORS) | F.lower("after").rlike(ANCHORS))
+    lines = lines.select("id", "path", "n_words", "line", F.lower("said").rlike(ANCHORS).alias("holds"), terms(F.col("said")).alias("ws"), F.slice(terms(F.col("after")), 1, lengths[-1] - 1).alias("more")).withColumn("n", F.explode(F.array(*map(F.lit, lengths))))
+    cut = lambda start, end, of, runs: F.when(start <= end, F.transform(F.sequence(start, end), lambda i: F.struct(i.alias("at"), F.lit(runs).alias("runs"), F.slice(of, i + 1, F.col("n")).alias("ws"))))
+    own_size, both = F.size("ws"), F.concat("ws", "more")
+    single = F.when(F.col("holds"), cut(F.lit(0), F.greatest(own_size - F.col("n"), F.lit(0)), F.col("ws"), False))
+    across = cut(F.greatest(own_size - F.col("n") + 1, F.lit(0)), F.least(own_size - 1, F.size(both) - F.col("n")), both, True)
+    across = F.filter(across, lambda w: F.size(F.array_except(w["ws"], F.array(*map(F.lit, words)))) == 0)
+    empty = F.array().cast("array<struct<at:int,runs:boolean,ws:array<string>>>")
+    windows = lines.select("id", "path", "n_words", "line", "n", F.explode(F.concat(F.coalesce(single, empty), F.coalesce(across, empty))).alias("w")).select("id", "path", "n_words", "line", "n", "w.at", "w.runs", "w.ws")
+    place = ["id", "path", "n_words", "line", "n", "at", "runs", "n_said"]
     counted = windows.withColumn("n_said", F.size("ws")).select(*place, F.explode("ws").alias("term")).groupBy(*place, "term").agg(F.count("*").alias("tf"))
     rare = 1.0 - math.log(LEAST_SHARE)
     weights = counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("pw", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     held = weights.groupBy(*place).agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("p_norm"), F.collect_list(F.struct("term", "pw")).alias("ts"))
     each = held.select(*place, "p_norm", F.explode("ts").alias("t")).select(*place, "p_norm", F.col("t.term").alias("term"), F.col("t.pw").alias("pw"))
     dots = each.join(F.broadcast(templates.select("template", "license", "n", "term", "w", "t_norm")), ["n", "term"]).groupBy(*place, "p_norm", "template", "license", "t_norm").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
-    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("t_norm") * F.col("p_norm")), 6)).where(F.col("score") >= LEAST_COSINE)
-    best = scored.groupBy("id", "path", "n_words", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "license", "n_said")).alias("b")).withColumn("n_said", F.col("b.n_said"))
-    own = best.groupBy("id", "path").agg(F.min(F.struct(F.col("b.s").alias("s"), "line", F.col("b.template").alias("template"), F.col("b.license").alias("license"))).alias("o"), F.max("n_words").alias("n_words"), F.sum("n_said").alias("n_said"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("t_norm") * F.col("p_norm")), 6))
+    scored = scored.where(F.col("score") >= F.when(F.col("template") >= len(TEMPLATES), SPDX_COSINE).when(F.col("runs"), RUN_COSINE).otherwise(LEAST_COSINE))
+    best = scored.groupBy("id", "path", "n_words", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "runs", "template", "license", "n_said")).alias("b"))
+    # a window over several lines may lap over the next line's own: where lines match by themselves, only these make up a file
+    single_said, run_said = (F.sum(F.when(F.col("b.runs") == r, F.col("b.n_said"))) for r in (False, True))
+    own = best.groupBy("id", "path").agg(F.min(F.struct(F.col("b.s").alias("s"), F.col("b.runs").alias("runs"), "line", F.col("b.template").alias("template"), F.col("b.license").alias("license"))).alias("o"), F.max("n_words").alias("n_words"), F.coalesce(single_said, run_said).alias("n_said"))
     own = own.select("id", "path", F.col("o.license").alias("own_license"), (-F.col("o.s")).alias("own_score"), F.col("o.line").cast("long").alias("own_line"), ((100 * F.col("n_said") >= FILE_PERCENT * F.col("n_words")) | F.lower("path").rlike(FILE_NAMES)).alias("is_file"))
+    whole = whole_texts(anchored).select("id", "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"), F.lit(0).cast("long").alias("own_line"), F.lit(True).alias("is_file"))
+    both_ways = own.withColumn("k", F.lit(1)).unionByName(whole.withColumn("k", F.lit(0)))
+    own = both_ways.groupBy("id", "path").agg(F.min_by(F.struct("own_license", "own_score", "own_line", "is_file"), "k").alias("o")).select("id", "path", "o.*")
 
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     givers = own.where("is_file and path is not null").groupBy(directory.alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("license"))).alias("g")).select("above", F.col("g.license").alias("given"))
@@ -109,6 +148,10 @@ def license_scan(files: DataFrame, path: Column, text: str = "text", key: str =
     return out.select(F.col("id").alias(key), "path", "own_license", "own_score", "own_line", F.coalesce("own_license", "given").alias("license"), scope.alias("scope"), F.when(scope == "inherited", F.col("above")).alias("inherited_from"))
 
 
+def _named(name: str):
+    return lambda x: x["license"] == name
+
+
 def _plain_terms(said: str) -> list[str]:
     import re
 

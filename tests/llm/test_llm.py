@@ -350,6 +350,21 @@ def test_inheritance(spark):
     assert got == {0: ("MIT", "own", None), 1: ("Apache-2.0", "inherited", "r/a"), 2: ("Apache-2.0", "own", None), 3: ("Apache-2.0", "inherited", "r/a"), 4: ("Proprietary", "own", None), 5: (None, "none", None), 6: ("CC-BY-4.0", "own", None)}
 
 
+def test_whole_and_wrapped_licences(spark):
+    from importlib import resources
+
+    text = {f.name: f.read_text() for f in (resources.files("quirefold.llm") / "license_texts").iterdir()}
+    code = "x = y\n" * 200
+    files = [(k, f"w{k}/{k}.txt", t) for k, t in enumerate(text.values())]
+    files += [(50, "g/50.txt", "\n".join("  # " + line for line in text["GPL-3.0.txt"].split("\n"))), (51, "g/a/51.txt", "nothing"), (52, "m/52.txt", "Copyright (c) 2020 Acme\n" + text["MIT.txt"])]
+    files += [(60, "h/60.txt", f"# SPDX-License-Identifier: MIT\n{code}"), (61, "h/61.txt", f"// SPDX-License-Identifier: Apache-2.0\n{code}"), (62, "h/62.txt", f"SPDX-License-Identifier: Foo-1.0\n{code}"), (63, "h/63.txt", f"/* SPDX-License-Identifier: GPL-2.0-or-later */\n{code}")]
+    files += [(70, "v/70.txt", f"# This is licensed under the\n# Apache License, Version\n# 2.0\n{code}"), (71, "v/71.txt", "some words on a licence " + "of other words " * 50)]
+    got = {r.doc_id: (r.license, r.scope) for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert {k: got[k][0] for k in range(len(text))} == {k: name.removesuffix(".txt") for k, name in enumerate(text)}
+    assert (got[50], got[51], got[52]) == (("GPL-3.0", "own"), ("GPL-3.0", "inherited"), ("MIT", "own"))
+    assert (got[60][0], got[61][0], got[62][0], got[63][0], got[70][0], got[71][0]) == ("MIT", "Apache-2.0", None, "GPL-2.0", "Apache-2.0", None)
+
+
 @pytest.mark.parametrize("others", [1_000, 100_000])
 def test_licences_whatever_the_size(spark, others):
     said = ["This project is released under the MIT License.", "Copyright 2020 Acme. Licensed under the Apache License, Version 2.0.", "Licensed under the Foo License", "a licence to think"]

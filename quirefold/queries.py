@@ -1,6 +1,6 @@
 """Registered queries over the engine's operators, and the DuckDB SQL that gives the same rows.
 
-Each runs over its whole tables. Model stages use the offline provider and have no SQL; tests hold them against goldens.
+Each runs over its whole tables, but for the five searches of fixtures.f_questions: these ask the vectors of ids under 20. Model stages use the offline provider and have no SQL; tests hold them against goldens.
 """
 
 from __future__ import annotations
@@ -483,6 +483,11 @@ def summary_tree_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(ordered, Offline())
 
 
+def _first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of every conversation as a question."""
+    return X.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")).dropDuplicates(["query_id"])
+
+
 @query()
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.plans.answer import Router, document_tools
@@ -490,5 +495,4 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).persist()
     told = chunks.groupBy("doc_id").agg(F.min_by("text", F.struct("page_number", "chunk_ord")).alias("summary"))
     router = Router(chunks, document_tools(told, Offline()), Offline())
-    asked = X.table(spark, sf_dir, "conversations").where("turn = 0 and conv_id < 18").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")).dropDuplicates(["query_id"])
-    return router.answer(asked)
+    return router.answer(_first_turns(spark, sf_dir))

@@ -1,7 +1,7 @@
 import pytest
 
 from conftest import DATA
-from quirefold.queries import ORACLES, QUERIES
+from quirefold.queries import ORACLES, QUERIES, _first_turns
 
 SLOW = {"tree_bfs", "tree_subtree"}  # walked as in tree_dfs; the driver compares them
 
@@ -21,3 +21,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_conversation_asks(spark):
+    folder = DATA.replace("0.001", "0.01")
+    every = spark.read.parquet(f"{folder}/conversations.parquet").where("turn = 0").select("conv_id").distinct()
+    asked = [r.query_id for r in _first_turns(spark, folder).collect()]
+    assert len(asked) > 18 and sorted(asked) == sorted(r.conv_id for r in every.collect())

@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
 Each word has a log-odds score between toxic and other training documents, smoothed by Dirichlet priors in proportion to
-the corpus; a word that is not decisive itself takes the score of its longest decisive prefix, and all others share one
+the labelled sample that is fitted (not to the whole corpus: beyond `most` rows it doesn't grow with the table); a word that is not decisive itself takes the score of its longest decisive prefix, and all others share one
 negative score. All maximal scoring segments of a text come from one linear scan. Scores of the best segments of clean texts
 follow an extreme-value distribution, by which a segment's score is turned into a p-value whatever the text's length.
 """

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quirefold.scratch import BROADCAST_BYTES, Scratch, bounded, release, shared_dir, small
+
+__all__ = ["BROADCAST_BYTES", "Scratch", "bounded", "release", "shared_dir", "small"]
+
 #: Bytes of text that a kernel handles at once; a longer text is handled alone and whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,6 +26,7 @@ _INVERSE = pow(_MULT, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240917).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Other values, for a second hash that is independent of the first.
 OTHER_VALUES = np.random.default_rng(7130).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_memos: dict[str, Callable[[], None]] = {}
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -29,28 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirefold-scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def only(kind: str, forget: Callable[[], None] | None = None) -> None:
+    """Within a Python worker: the memos of other kinds of kernels are dropped, and `forget` drops those of this kind later."""
+    others = [_memos.pop(k) for k in list(_memos) if k != kind]
+    for f in others:
+        f()
+    if others:
+        tidy()
+    if forget:
+        _memos[kind] = forget
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables that materialise() has written; call it once results have been stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quirefold-scratch")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def tidy() -> None:
+    """Give memory that was freed back to the system; a worker's heap would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -130,3 +129,7 @@ def row_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of values (one for each byte or item) in each row's range."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[off[1:]] - total[off[:-1]]
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return Scratch(df.sparkSession).write(df, name)

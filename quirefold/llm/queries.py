@@ -29,7 +29,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), Sketching(shingle=3, percent=85))
+    found = near_duplicates(table(spark, sf_dir, "documents"), Sketching(shingle=3, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,26 +87,31 @@ def _levels_sql() -> str:
         at = ", ".join([*path, level])
         up = "CROSS JOIN root" if not path else f"JOIN w{k - 1} USING ({', '.join(path)})"
         by = f"PARTITION BY {', '.join(path)}" if path else ""
+        order = f"held // greatest(w, 1), held % greatest(w, 1) * 4611686018427387904 // greatest(w, 1), {at}"
         out.append(f"""n{k} AS (SELECT {at}, CAST(sum(held) AS HUGEINT) AS held, CAST({weight(level)} AS HUGEINT) AS w FROM leaves GROUP BY {at}),
 m{k} AS (SELECT n{k}.*, CAST(budget AS HUGEINT) AS budget,
-  coalesce(sum(held) OVER ({by} ORDER BY CAST(held AS DOUBLE) / w, {at} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
-  sum(w) OVER ({by} ORDER BY CAST(held AS DOUBLE) / w, {at} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM n{k} {up}),
+  coalesce(sum(held) OVER ({by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+  sum(w) OVER ({by} ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM n{k} {up}),
 f{k} AS (SELECT *, held * opened <= (budget - given) * w AS filled FROM m{k}),
 w{k} AS (SELECT {at}, CASE WHEN filled THEN held ELSE (budget - sum(CASE WHEN filled THEN held ELSE 0 END) OVER ({by})) * w // sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({by}) END AS budget FROM f{k})""")
         path.append(level)
     return ",\n".join(out)
 
 
+def _no_weight_sql() -> str:
+    return " OR ".join([f"{level} = '{n}'" for level, by in MIX_WEIGHTS.items() for n, w in sorted(by.items()) if not w] or ["false"])
+
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,6}})$', 1), '') AS BIGINT), 0) % 5 AS VARCHAR) AS domain,
-  coalesce(lang, '') AS language, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS n_tokens,
-  md5(concat('{MIX_SEED}/', coalesce(CAST(doc_id AS VARCHAR), ''))) AS o FROM documents),
-leaves AS (SELECT domain, language, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(sum(n_tokens) AS HUGEINT) * {MIX_EPOCHS} AS held FROM d GROUP BY domain, language, source),
+  coalesce(lang, '') AS language, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CASE WHEN {_no_weight_sql()} THEN 0 ELSE CAST(sum(n_tokens) AS HUGEINT) * {MIX_EPOCHS} END AS held, {_no_weight_sql()} AS left_out FROM d GROUP BY domain, language, source),
 root AS (SELECT least(sum(held), sum(tokens) * {MIX_PERCENT} // 100) AS budget FROM leaves),
 {_levels_sql()},
-b AS (SELECT d.*, l.tokens, w2.budget AS share, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-  FROM d JOIN leaves l USING (domain, language, source) JOIN w2 USING (domain, language, source))
-SELECT doc_id, domain, language, source, n_tokens, CAST(CASE WHEN tokens = 0 THEN {MIX_EPOCHS} ELSE share // tokens + CASE WHEN share % tokens > 0 AND run <= share % tokens THEN 1 ELSE 0 END END AS BIGINT) AS copies FROM b
+t AS (SELECT l.*, w2.budget AS share, CASE WHEN left_out THEN 0 WHEN tokens = 0 THEN {MIX_EPOCHS} ELSE w2.budget // tokens END AS turns FROM leaves l JOIN w2 USING (domain, language, source)),
+o AS (SELECT d.*, t.tokens, share, turns, md5(concat('{MIX_SEED}/', CAST(turns AS VARCHAR), '/', coalesce(CAST(doc_id AS VARCHAR), ''))) AS o FROM d JOIN t USING (domain, language, source)),
+b AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM o)
+SELECT doc_id, domain, language, source, n_tokens, CAST(turns + CASE WHEN tokens > 0 AND share % tokens > 0 AND run <= share % tokens THEN 1 ELSE 0 END AS BIGINT) AS copies FROM b
 """
 
 

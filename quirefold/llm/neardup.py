@@ -5,10 +5,11 @@ values of its elements, kept as a truncated power of a base. Sketches merge by m
 sets are similar, so runs of registers (bands) serve as keys of candidates. A candidate pair is estimated from both sketches by
 likelihood, and verified on the full sets of shingles.
 
-Within the members of one key each member is held against one pivot first, the one that meets most others. Members that the
-pivot does not link are then held against those of another component that they can reach, given what each has of the elements
-that are usual in the group. So a large group of copies costs a few pairs for each member, and no link between components is
-passed over.
+Within the members of one key each member is held against one pivot first, the one that meets most others, and those that it does
+not link against a second one. What is left in several components is held against members of other components by a prefix
+filter on full sets: only pairs that share a rare element of both prefixes, or that have enough of the elements usual in
+the group, can be linked. So a large group of copies costs a few pairs for each member, texts that only share a passage
+cost none, and no link between components is passed over.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import Spans, lower_ascii, materialise, mix, slices, words
+from quirefold.llm import common
+from quirefold.llm.common import Scratch, Spans, lower_ascii, mix, slices, words
 from quirefold.llm.graph import components
 
-#: Ids (8 bytes each) up to which a checked list of candidates is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Sizes of sets are put into buckets by powers of this, for joins on a range of sizes.
+STEP = 1.05
 
 
 @dataclass(frozen=True)
@@ -117,37 +119,44 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(mix(elements)).view(np.int64)), int(np.add.reduce(mix(elements ^ np.uint64(0xA5A5A5A55A5A5A5A))).view(np.int64))
 
 
+def _row_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def sketches(docs: DataFrame, how: Sketching, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, registers): f1 and f2 are a 128-bit fingerprint of the set, null for an empty set."""
+    """(doc_id, t, n_shingles, f1, f2, registers): t is a hash of the text; f1 and f2 are a 128-bit fingerprint of the set, null for an empty set."""
     key = how.key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("sketches")
         for batch in batches:
-            for lo, hi, buf, off in slices(batch.column(1)):
+            for lo, hi, buf, off in slices(batch.column(2)):
                 sets = shingle_sets(buf, off, how.shingle)
                 prints = [fingerprint(s) if len(s) else (None, None) for s in sets]
                 regs = [sketch(s, how, key).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "t", "n_shingles", "f1", "f2", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(text).alias("t"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, t long, n_shingles long, f1 long, f2 long, registers binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Sketching, text: str) -> DataFrame:
-    """(id, set): the full set, as sorted 64-bit hashes, of each class of wanted (id, doc_id of one of its texts)."""
-    ids = wanted.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    chosen = own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    """(id, set): the full set, as sorted 64-bit hashes, of each class of wanted (id, f1, f2, doc_id and t of one of its texts)."""
+    ids = wanted.select("doc_id", "t")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(text).alias("t"), F.col(text).cast("string").alias("text"))
+    chosen = own.join(F.broadcast(ids) if common.small(ids, 16) else ids, ["doc_id", "t"], "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("sketches")
         for batch in batches:
-            for _, _, buf, off in slices(batch.column(1)):
+            for _, _, buf, off in slices(batch.column(0)):
                 sets = [x for x in shingle_sets(buf, off, how.shingle) if len(x)]
                 prints = [fingerprint(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["f1", "f2", "set"])
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["f1", "f2", "set"])
 
-    found = chosen.mapInArrow(run, "f1 long, f2 long, set binary").select(F.xxhash64("f1", "f2").alias("id"), "set")
-    return found.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    found = chosen.mapInArrow(run, "f1 long, f2 long, set array<long>")
+    return found.join(wanted.select("id", "f1", "f2"), ["f1", "f2"]).select("id", "set").dropDuplicates(["id"])
 
 
 def _estimated(pairs: DataFrame, registers: DataFrame, how: Sketching) -> DataFrame:
@@ -156,6 +165,7 @@ def _estimated(pairs: DataFrame, registers: DataFrame, how: Sketching) -> DataFr
         pairs = pairs.join(registers.select(F.col("id").alias(side), F.col("registers").alias(f"r{side}"), F.col("n").alias(f"n{side}")), side)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.only("sketches")
         for p in batches:
             if len(p):
                 ra, rb = (np.frombuffer(b"".join(p[c]), "<u2").reshape(len(p), -1) for c in ("ra", "rb"))
@@ -165,119 +175,145 @@ def _estimated(pairs: DataFrame, registers: DataFrame, how: Sketching) -> DataFr
     return pairs.select("a", "b", "ra", "rb", "na", "nb").mapInPandas(run, "a long, b long, estimate double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
-    """pairs (a, b) with the sizes of intersection and union of the full sets, and whether they are linked."""
+def _linked(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, by the sizes of intersection and union."""
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}")), side)
+    sized = pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
+    return sized.where(100 * F.col("common") >= how.percent * (F.col("both") - F.col("common"))).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common, union = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                c = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-                common.append(c)
-                union.append(len(x) + len(y) - c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "total"])
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, common long, total long").withColumn("linked", (F.col("total") > 0) & (100 * F.col("common") >= how.percent * F.col("total")))
-
-
-def _possible(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a group g that are of different components, one at least outside the group's own, and that can
-    reach the least similarity. around: (g, id, component, n, own).
-
-    Take the elements that more than half of the group's own members have. Two sets have in common, of those, no more than the
-    one that has fewer has, and beside them what both have of the rest. So a pair needs enough of the former each, or shares an
-    element of the rest. Copies of one text differ from it in places of their own, so few pairs do either, and none that could
-    be linked is left out.
+
+def _bucket(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP)))
+
+
+def _prefixes(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """around (m, g, id, component, n, own) with c, the number of usual elements of the member, k, the least number of other ones
+    that it shares with whatever it is linked to, and prefix, the other elements of which one at least is shared then.
+
+    An element is usual if more than half of the group's own members have it. Two sets have in common, of the usual ones, no
+    more than the one that has fewer has; at percent t a set of n elements shares t * n at least, so t * n - c are not usual.
+    All sets put their unusual elements in one order, rare ones first; of those they share the first one has k - 1 after it, so it
+    isn't among the last k - 1. Elements that only one member has are never shared and are left out.
+    """
+    own = F.sum(F.col("own").cast("int"))
+    members = around.groupBy("g").agg(own.cast("int").alias("members"))
+    held = around.join(members, "g").join(sets, "id")
+    rows = held.select("m", "own", "members", "g", F.explode("set").alias("e")).select("m", "own", "members", F.xxhash64("g", "e").alias("e"))
+    marks = rows.groupBy("e").agg(F.count("*").alias("df"), (2 * own > F.max("members")).alias("usual")).where("df > 1")
+    marked = rows.select("m", "e").join(marks, "e")
+    parts = marked.groupBy("m").agg(F.sum(F.col("usual").cast("long")).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("usual"), F.struct("df", "e")))).alias("rest"))
+    found = around.join(parts, "m", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    found = found.withColumn("k", F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("c"))
+    size = F.size(F.coalesce("rest", F.array().cast("array<struct<df:bigint,e:bigint>>")))
+    least = F.greatest(size - F.greatest("k", F.lit(1)) + 1, F.lit(0)).cast("int")
+    return found.withColumn("prefix", F.when(size > 0, F.transform(F.slice("rest", F.lit(1), least), lambda x: x["e"]))).drop("rest")
+
+
+def _possible(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a group that are of different components and can reach the least similarity: those that share an
+    element of both prefixes, and those that have enough usual elements without any other. One at least is outside the
+    group's own component, so the own members never meet each other.
     """
+    columns = ("m", "id", "component", "n", "c")
+    side = lambda rows, s, *more: rows.select(*more, *(F.col(c).alias(f"{c}_{s}") for c in columns), *([F.col("own").alias("own_b")] if s == "b" else []))
+    na, nb = F.col("n_a"), F.col("n_b")
+    fit = (F.col("component_a") != F.col("component_b")) & (F.col("own_b") | (F.col("m_a") < F.col("m_b"))) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    posted = marked.withColumn("e", F.explode("prefix"))
+    sharing = side(posted.where("not own"), "a", "e").join(side(posted, "b", "e"), "e").where(fit)
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(5)]
-            at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
-            for lo in range(0, len(at), 1 << 18):
-                part = at.slice(lo, 1 << 18)
-                every = np.concatenate(parts) if not lo else every
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(part) for c in range(5)), pa.array(every[lo : lo + (1 << 18)])], names=["g", "id", "component", "n", "own", "e"])
-
-    held = around.join(sets.select("id", "set"), "id").select("g", "id", "component", "n", "own", "set")
-    rows = held.mapInArrow(elements, "g long, id long, component long, n long, own boolean, e long")
-    sizes = around.groupBy("g").agg(F.sum(F.col("own").cast("int")).alias("members"))
-    seen = rows.groupBy("g", "e").agg(F.count("*").alias("df"), F.sum(F.col("own").cast("int")).alias("of_own"))
-    marks = seen.where("df > 1").join(sizes, "g").select("g", "e", (2 * F.col("of_own") > F.col("members")).alias("usual"))
-    marked = materialise(rows.join(marks, ["g", "e"]), "elements")
-    usual = marked.where("usual").groupBy("g", "id").agg(F.count("*").alias("c"))
-    sets_of = around.join(usual, ["g", "id"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-
-    def sides(of: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-        a = of.where("not own").select("g", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *(F.col(c).alias(f"{c}_a") for c in extra))
-        b = of.select("g", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("own_b"), *(F.col(c).alias(f"{c}_b") for c in extra))
-        return a, b
-
-    fit = (F.col("ca") != F.col("cb")) & (F.col("own_b") | (F.col("a") < F.col("b"))) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    a, b = sides(sets_of, ["c"])
-    enough = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("na") + F.col("nb"))
-    near = a.where((100 + percent) * F.col("c_a") * 100 >= percent * F.col("na") * (100 + percent)).join(b, "g").where(fit & enough).select("a", "b")
-    x, y = sides(marked.where("not usual"), ["e"])
-    sharing = x.join(y.withColumnRenamed("g", "g2"), (F.col("g") == F.col("g2")) & (F.col("e_a") == F.col("e_b"))).where(fit).select("a", "b")
-    return near.unionByName(sharing).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = marked.where("k <= 0")
+    low, high = F.ceil(F.lit(percent) * F.col("n") / 100), F.floor((F.col("c") * (100 + percent) - percent * F.col("n")) / percent)
+    ranged = close.where(~F.col("own") & (high >= low)).withColumn("size", F.explode(F.sequence(_bucket(low), _bucket(high))))
+    enough = (100 + percent) * F.least("c_a", "c_b") >= percent * (na + nb)
+    usual = side(ranged, "a", "g", "size").join(side(close.withColumn("size", _bucket(F.col("n"))), "b", "g", "size"), ["g", "size"]).where(fit & enough)
+    found = sharing.select("id_a", "id_b").unionByName(usual.select("id_a", "id_b"))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), text: str = "text") -> DataFrame:
-    """doc_id, n_shingles (long), component_id (smallest doc_id reachable over links, itself included), n_links (long: how many
-    verified links to the texts of other sets its own set has) and kept (doc_id = component_id).
+def _classes(sketched: DataFrame) -> DataFrame:
+    """(id, f1, f2, doc_id, t, n, registers): each distinct set with the first of its rows. id is a 64-bit hash of the fingerprint; of sets
+    whose hashes meet (some three at 10^10 sets) each takes another."""
+    rows = sketched.where("f1 is not null and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.max("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    return rows.select(F.xxhash64("f1", "f2").alias("id"), "f1", "f2", "first.doc_id", "first.t", "n", "registers")
+
+
+def _named_apart(classes: DataFrame) -> DataFrame:
+    twins = classes.groupBy("id").agg(F.count("*").alias("__n")).where("__n > 1")
+    return classes.join(twins, "id", "left").withColumn("id", F.when(F.col("__n").isNull(), F.col("id")).otherwise(F.xxhash64("f2", "f1", "id"))).drop("__n")
+
 
-    Words are lower-cased in A-Z. Null, empty and wordless texts have an empty set and no link. Texts of equal sets are one
-    class from the start, named by a 64-bit hash of a 128-bit fingerprint; of rows that share a doc_id each has the component of
-    its own set; a row whose doc_id is null is returned with a null component and kept. Other columns are not read. Links are found up to the chance given at Sketching; each is exact.
+def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), text: str = "text") -> DataFrame:
+    """doc_id, n_shingles (long), component_id (smallest doc_id reachable over links, itself included), kept (doc_id = component_id), t
+    (a 64-bit hash of the text) and chosen: whether the row is the one that stands for its component, the least by doc_id and t.
+
+    Words are lower-cased in A-Z. Null, empty and wordless texts have an empty set and no link: each is its own component and
+    chosen. Texts of equal sets are one class from the start, known by a 128-bit fingerprint; of rows that share a doc_id each has
+    the component of its own set; rows equal in doc_id and text are chosen alike; a row whose doc_id is null is returned with a
+    null component, kept and chosen. Other columns are not read, an empty table gives an empty one. Links are found up to the
+    chance given at Sketching; each is exact.
     """
-    sketched = materialise(sketches(docs, how, text), "sketches")
-    classes = sketched.where("f1 is not null and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("registers").alias("registers")).withColumn("id", F.xxhash64("f1", "f2"))
-    classes = materialise(classes, "classes")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    sketched = scratch.write(sketches(docs, how, text), "sketches")
+    plain = _classes(sketched)
+    classes = scratch.write(plain, "classes")
+    if not classes.groupBy("id").count().where("count > 1").isEmpty():
+        classes = scratch.write(_named_apart(classes), "classes")
     width = 2 * how.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * F.lit(width) + F.lit(1), F.lit(width))))
     keyed = classes.select("id", F.explode(bands).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key", "n")
-    members = materialise(keyed.join(shared, "key"), "members")  # keys with two classes at least
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "n")
+    members = scratch.write(keyed.join(shared, "key"), "members")  # keys with two classes at least
     # The pivot is the member that meets most others over all its keys: of copies of one text, the text they were made from.
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    weighed = members.select("key", "id").join(met, "id")
-    pivots = weighed.groupBy("key").agg(F.max(F.struct("met", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"))
-    members = materialise(members.select("key", "id").join(pivots, "key"), "members")
+    weighed = scratch.write(members.select("key", "id").join(met, "id"), "weighed")
+    scratch.drop(members)
     registers = classes.select("id", "registers", "n")
-
-    first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    wanted = classes.join(weighed.select("id").distinct(), "id", "left_semi").select("id", "f1", "f2", "doc_id", "t")
+    sets = scratch.write(_sets_of(docs, wanted, how, text), "sets")
     sure = how.percent / 100 - 0.2  # beyond four standard errors of the estimate below the least similarity
-    first = materialise(_estimated(first, registers, how), "pairs")
-    wanted = members.select("id").distinct()
-    sets = materialise(_sets_of(docs, classes.join(wanted, "id", "left_semi").select("id", "doc_id"), how, text), "sets")
-    checked = materialise(_verified(first.where(F.col("estimate") >= sure).select("a", "b"), sets, how), "links")
-    links = checked.where("linked").select("a", "b")
-    found = components(links)
-
-    # Keys whose members fell into several components: what of them outside the pivot's component may link to the others.
-    comp = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = comp.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = comp.join(split, "key")
-    home = open_.where("id = pivot").select("key", F.col("component").alias("home"))
-    around = open_.join(home, "key").select(F.col("home").alias("g"), "id", "component").distinct()
-    around = materialise(around.join(classes.select("id", "n"), "id").withColumn("own", F.col("component") == F.col("g")), "around")
-    second = _possible(around, sets, how.percent)
-    second = _estimated(second, registers, how).where(F.col("estimate") >= sure).select("a", "b")
-    more = materialise(_verified(second, sets, how).where("linked").select("a", "b"), "links")
-    every = links.unionByName(more)
+
+    def links_among(pairs: DataFrame) -> DataFrame:
+        likely = scratch.write(_estimated(pairs, registers, how).where(F.col("estimate") >= sure).select("a", "b"), "pairs")
+        found = scratch.write(_linked(likely, sets, how), "links")
+        scratch.drop(likely)
+        return found
+
+    top = F.max(F.struct("met", "id"))["id"]
+    pivots = weighed.groupBy("key").agg(top.alias("pivot"))
+    first = weighed.join(pivots, "key").where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    found = components(links_among(first), scratch)
+
+    def split_members(found: DataFrame) -> DataFrame:
+        """The members, with their components, of the keys whose members are of several; home is that of the pivot."""
+        comp = weighed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        by_key = comp.groupBy("key").agg(F.max_by("component", F.struct("met", "id")).alias("home"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        return comp.join(by_key.select("key", "home"), "key")
+
+    def merged(more: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+
+    open_ = scratch.write(split_members(found), "open")
+    second = open_.where("component <> home").groupBy("key").agg(F.max(F.struct("met", "id", "component")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
+    again = open_.join(second, "key").where("component <> of and component <> home").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    more = links_among(again)
+    if not more.isEmpty():
+        found = merged(more)
+    scratch.drop(open_)
+    around = split_members(found).select(F.col("home").alias("g"), "id", "component").distinct().join(classes.select("id", "n"), "id")
+    around = scratch.write(around.select(F.xxhash64("g", "id").alias("m"), "g", "id", "component", "n", (F.col("component") == F.col("g")).alias("own")), "around")
+    marked = scratch.write(_prefixes(around, sets, how.percent), "prefixes")
+    more = links_among(_possible(marked, how.percent))
     if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    ends = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
-    linked = classes.select("id", "doc_id", "f1", "f2").join(found.withColumnRenamed("node", "id"), "id").join(ends, "id", "left")
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked = linked.join(least, "component").select("f1", "f2", "least", "n_links")
-    known = classes.select("f1", "f2", "doc_id").join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("least", "doc_id").alias("class_component"), "n_links")
-    out = sketched.select("doc_id", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("class_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        found = merged(more)
+    of_class = classes.select("id", "f1", "f2", "doc_id", "t").join(found.withColumnRenamed("node", "id"), "id")
+    least = of_class.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("least"))
+    single = classes.join(found.select(F.col("node").alias("id")), "id", "left_anti").select("f1", "f2", F.struct("doc_id", "t").alias("least"))
+    known = scratch.write(of_class.join(least, "component").select("f1", "f2", "least").unionByName(single), "known")
+    scratch.drop(classes, weighed, sets, around, marked)
+    out = sketched.select("doc_id", "t", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
+    alone = F.col("doc_id").isNull() | F.col("least").isNull()
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least.doc_id", "doc_id"))
+    chosen = alone | ((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.t") == F.col("t")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "t", chosen.alias("chosen"))

@@ -15,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import OTHER_VALUES, Spans, materialise, mix, slices
+from quirefold.llm import common
+from quirefold.llm.common import OTHER_VALUES, Scratch, Spans, mix, slices
 
 #: Lines of fewer characters are neither dropped nor compared.
 LEAST_CHARS = 20
 SEGMENTS = 3
 #: Keys (8 bytes each) up to which a checked set of shared keys is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Rows of a batch of variants.
+BATCH_ROWS = 1 << 16
 _LAST = (1 << 63) - 1
 
 
@@ -80,20 +83,22 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("lines")
         for batch in batches:
             for lo, hi, buf, off in slices(batch.column(2)):
                 x = Lines(buf, off, least)
                 h2 = Spans(buf, OTHER_VALUES).hash(x.head, x.tail)
                 at = pa.array(x.row + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number, pa.int64()), _signed(x.h1), _signed(h2)], names=["o", "t", "no", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number, pa.int32()), _signed(x.h1), _signed(h2)], names=["o", "t", "no", "h1", "h2"])
 
-    return docs.mapInArrow(run, "o long, t long, no long, h1 long, h2 long")
+    return docs.mapInArrow(run, "o long, t long, no int, h1 long, h2 long")
 
 
 def _keys(docs: DataFrame, least: int) -> DataFrame:
     """(key, line): once for each line of a slice and segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("lines")
         for batch in batches:
             for _, _, buf, off in slices(batch.column(2)):
                 x = Lines(buf, off, least)
@@ -108,6 +113,7 @@ def _keys_of_rows(docs: DataFrame, least: int) -> DataFrame:
     """(key, o, t): the keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("lines")
         for batch in batches:
             for lo, _, buf, off in slices(batch.column(2)):
                 x = Lines(buf, off, least)
@@ -119,7 +125,7 @@ def _keys_of_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _variants(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
-    """(key, kind, h1, h2, o, t, no): kind 0 the line itself, 1 the line less a character, 2 the same with its place."""
+    """(key, kind, h1, o, t, no): kind 0 the line itself, 1 the line less a character, 2 the same with its place."""
     few = shared.count() <= BROADCAST_KEYS
     if few:
         known = np.sort(shared.toPandas()["key"].to_numpy(np.int64))
@@ -130,42 +136,44 @@ def _variants(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
         docs = docs.join(_keys_of_rows(docs, least).join(shared, "key", "left_semi").groupBy("o", "t").agg(F.collect_set("key").alias("hot")), ["o", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("lines")
         for batch in batches:
-            for lo, hi, buf, off in slices(batch.column(2), 1 << 20):
+            for lo, hi, buf, off in slices(batch.column(2)):
                 x = Lines(buf, off, least)
                 hot = sent.value if sent else np.unique(batch.column(3).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False))
                 if not len(hot) or not len(x.row):
                     continue
-                h2 = Spans(buf, OTHER_VALUES).hash(x.head, x.tail)
                 o, t = (batch.column(c).slice(lo, hi - lo).to_numpy()[x.row] for c in (0, 1))
                 by = np.lexsort((x.number, t, o))  # of equal lines the earliest speaks for all
                 _, once = np.unique(x.h1[by], return_index=True)
                 first = np.zeros(len(x.row), bool)
                 first[by[once]] = True
-                out = []
+
+                def rows(line: np.ndarray, key: np.ndarray, kind: int) -> pa.RecordBatch:
+                    cells = [_signed(key), pa.array(np.full(len(line), kind, np.int8)), _signed(x.h1[line]), pa.array(o[line], pa.int64()), pa.array(t[line], pa.int64()), pa.array(x.number[line], pa.int32())]
+                    return pa.RecordBatch.from_arrays(cells, names=["key", "kind", "h1", "o", "t", "no"])
+
                 for extra, _, a, end, key in x.outside():
                     key = key.view(np.int64)
                     meets = np.flatnonzero(first & (hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key))
                     if extra:
-                        out.append((meets, x.h1[meets], np.zeros(len(meets), np.int8)))
+                        yield rows(meets, x.h1[meets], 0)
                         continue
-                    size = end[meets] - a[meets]
-                    line = np.repeat(meets, size)
-                    char = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + a[line]
-                    less = x.spans.hash_without(x.head[line], x.tail[line], x.byte_of(line, char), x.byte_of(line, char + 1))
-                    out.append((line, less, np.ones(len(line), np.int8)))
-                    out.append((line, mix(less ^ mix(char.astype(np.uint64) + np.uint64(1))), np.full(len(line), 2, np.int8)))
-                line, key, kind = (np.concatenate(c) for c in zip(*out))
-                at = pa.array(x.row[line] + lo)
-                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(kind), _signed(x.h1[line]), _signed(h2[line]), batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number[line], pa.int64())], names=["key", "kind", "h1", "h2", "o", "t", "no"])
+                    parts = np.searchsorted(np.cumsum(end[meets] - a[meets]), np.arange(0, (end[meets] - a[meets]).sum() + 1, BATCH_ROWS))
+                    for part in np.split(meets, np.unique(parts)):
+                        size = end[part] - a[part]
+                        line = np.repeat(part, size)
+                        char = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + a[line]
+                        less = x.spans.hash_without(x.head[line], x.tail[line], x.byte_of(line, char), x.byte_of(line, char + 1))
+                        yield rows(line, less, 1)
+                        yield rows(line, mix(less ^ mix(char.astype(np.uint64) + np.uint64(1))), 2)
 
-    return docs.select("o", "t", "text", "hot").mapInArrow(run, "key long, kind byte, h1 long, h2 long, o long, t long, no long")
+    return docs.select("o", "t", "text", "hot").mapInArrow(run, "key long, kind byte, h1 long, o long, t long, no int")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """places (o, t, no) with the line there."""
-    few = places.count() <= BROADCAST_KEYS // 4
-    found = docs.join(F.broadcast(places) if few else places, ["o", "t"])
+    found = docs.join(F.broadcast(places) if common.small(places, 24) else places, ["o", "t"])
     return found.select("o", "t", "no", F.get(F.split("text", "\n"), F.col("no").cast("int")).alias("line")).dropDuplicates(["o", "t", "no"])
 
 
@@ -182,38 +190,45 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHAR
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
+    scratch = Scratch(docs.sparkSession)
     docs = _prepared(docs, text)
-    lines = materialise(_lines(docs, least), "lines")
+    lines = scratch.write(_lines(docs, least), "lines")
     distinct = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("earliest"))
     if max_edits:
-        shared = materialise(_keys(docs, least).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"), "keys")
-        sent = materialise(_variants(docs, shared, least), "variants")
-        who = F.struct("o", "t", "no", "h1", "h2")
+        shared = scratch.write(_keys(docs, least).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"), "keys")
+        sent = scratch.write(_variants(docs, shared, least), "variants")
+        scratch.drop(shared)
+        who = F.struct("o", "t", "no", "h1")
         firsts = [F.min(F.when(F.col("kind") == k, who)).alias(f"k{k}") for k in (0, 1, 2)]
         met = sent.groupBy("key").agg(*firsts, F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").drop("a", "b")
         other = F.when(F.col("kind") == 0, F.col("k1")).when(F.col("kind") == 1, F.col("k0")).otherwise(F.col("k2"))
-        pairs = sent.join(met, "key").withColumn("w", other).where("w is not null and (w.h1 <> h1 or w.h2 <> h2)")
-        near = pairs.groupBy("h1", "h2").agg(F.min(F.struct("w.o", "w.t", "w.no")).alias("with"))
-        near = materialise(near.join(distinct, ["h1", "h2"]).where(F.col("with") < F.col("earliest")).select("h1", "h2", *(F.col(f"earliest.{c}").alias(c) for c in ("o", "t", "no")), *(F.col(f"with.{c}").alias(f"w{c}") for c in ("o", "t", "no"))), "near")
+        pairs = sent.select("key", "kind", "h1").join(met, "key").withColumn("w", other).where("w is not null and w.h1 <> h1")
+        near = scratch.write(pairs.groupBy("h1").agg(F.min(F.struct("w.o", "w.t", "w.no")).alias("with")), "met")
+        scratch.drop(sent)
+        near = scratch.write(near.join(distinct, "h1").where(F.col("with") < F.col("earliest")).select("h1", "h2", *(F.col(f"earliest.{c}").alias(c) for c in ("o", "t", "no")), *(F.col(f"with.{c}").alias(f"w{c}") for c in ("o", "t", "no"))), "near")
         places = near.select("o", "t", "no").unionByName(near.select(F.col("wo").alias("o"), F.col("wt").alias("t"), F.col("wno").alias("no"))).distinct()
-        said = materialise(_texts(docs, places), "texts")
+        said = scratch.write(_texts(docs, places), "texts")
         other_side = said.select(F.col("o").alias("wo"), F.col("t").alias("wt"), F.col("no").alias("wno"), F.col("line").alias("wline"))
         sure = near.join(said, ["o", "t", "no"]).join(other_side, ["wo", "wt", "wno"]).where(F.levenshtein("line", "wline") <= max_edits).select("h1", "h2", F.lit(True).alias("near"))
         distinct = distinct.join(sure, ["h1", "h2"], "left")
     else:
         distinct = distinct.withColumn("near", F.lit(False))
     gone = lines.join(distinct, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_place() != F.col("earliest")))
-    return gone.groupBy("o", "t").agg(F.sort_array(F.collect_set("no")).alias("dropped"))
+    gone = scratch.write(gone.groupBy("o", "t").agg(F.sort_array(F.collect_set(F.col("no").cast("long"))).alias("dropped")), "dropped")
+    scratch.drop(lines, *([near, said] if max_edits else []))
+    return gone
 
 
 def drop_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHARS, text: str = "text") -> DataFrame:
     """docs with `text` less its duplicate lines; rows whose lines are all gone, or that hold no word beside them, are left out if
-    they lost a line. All columns stay; texts are shuffled once, by id."""
+    they lost a line. All columns stay, null texts too. Texts stay where they lie while the list of dropped lines is small enough to
+    be broadcast (it is counted); beyond, they are shuffled once, by id."""
     names = docs.columns
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__t", F.xxhash64(t))
     gone = duplicate_lines(docs, max_edits, least, text).select(F.col("o").alias("__o"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
-    joined = keyed.join(gone, ["__o", "__t"], "left")
+    size = gone.agg(F.sum(40 + 8 * F.size("__dropped"))).first()[0] or 0
+    joined = keyed.join(F.broadcast(gone) if size <= common.BROADCAST_BYTES else gone, ["__o", "__t"], "left")
     parts = F.split(t, "\n")
     rest = F.array_join(F.filter(parts, lambda line, k: ~F.array_contains(F.col("__dropped"), k.cast("long"))), "\n")
     left = joined.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(rest))

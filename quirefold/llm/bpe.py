@@ -13,7 +13,6 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -21,7 +20,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens that a worker remembers; it starts afresh when they are more, so memory is bounded and results are unaffected.
+from quirefold.llm.common import bounded, only
+
+#: Distinct pre-tokens that a worker remembers, in two generations, and pairs of neighbours; memory is bounded and results are unaffected.
 REMEMBERED = 250_000
 #: Longer pre-tokens are encoded each time they occur.
 REMEMBERED_BYTES = 64
@@ -71,8 +72,8 @@ class Coder:
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
         self.whole = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits = _Memo(self.compatible, 2 * REMEMBERED)
-        self.shorter = _Memo(self.next_shorter, 2 * REMEMBERED)
+        self.fits = _Memo(self.compatible, REMEMBERED)
+        self.shorter = _Memo(self.next_shorter, REMEMBERED)
         self.known = _Pieces(self)
 
     def split(self, token: int) -> tuple[int, int]:
@@ -168,22 +169,29 @@ class Coder:
         return self.find_narrow(text)
 
     def encode(self, text: str) -> array:
-        return array("I", chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
+        out = array("I")
+        out.frombytes(b"".join(map(self.known.__getitem__, self.pieces(text))))
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class _Pieces(dict):
-    """Pre-token to ids."""
+    """Pre-token to ids, as the bytes of 32-bit integers. Two generations: once this one is full it becomes the older one, from
+    which what is met again moves over, and the one before goes. So what is frequent stays."""
 
     def __init__(self, coder: Coder):
         self.coder = coder
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.coder.encode_piece(piece if piece.isascii() else piece.encode().decode("latin-1"))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.coder.encode_piece(piece if piece.isascii() else piece.encode().decode("latin-1"))).tobytes()
         if len(piece) <= REMEMBERED_BYTES:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -220,12 +228,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     The table of ranks (about 1 MB) is read on the driver and travels with the function.
     """
     spark: SparkSession = docs.sparkSession
+    bounded(spark)
     keep = ["doc_id"] if keep is None else keep
     at = keep.index(text) if text in keep else len(keep)  # a kept text isn't sent twice
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe", _coders.clear)
         coder = _shared(shared.value, pattern)
         for batch in batches:
             column = batch.column(at)

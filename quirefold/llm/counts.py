@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.bpe import narrow
+from quirefold.llm.common import bounded, only
 
 #: Nodes and pre-tokens that a worker keeps before it starts afresh; results are unaffected.
 MOST_NODES, MOST_KNOWN = 1_500_000, 600_000
@@ -130,11 +131,13 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
     A null or empty text has none. Rows are independent; other columns are not read; no shuffle. The table of ranks (about 1 MB)
     is read on the driver and travels with the function.
     """
+    bounded(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("counts", _tries.clear)
         known, wide, fast = _shared(shared.value, pattern)
         for batch in batches:
             pieces, tokens = [], []

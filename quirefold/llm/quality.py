@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import Spans, lower_ascii, mix, slices, words
+from quirefold.llm.common import Spans, bounded, lower_ascii, mix, only, slices, words
 from quirefold.llm.labels import fold, labelled_sample, logistic, sigmoid
 
 #: Fixed byte classes whose shares of a line are features.
@@ -193,9 +193,11 @@ def quality(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     Whole texts are scored; null and empty ones, and those without words, get the share of good training labels. Rows are
     independent; other columns are not read; no shuffle.
     """
+    bounded(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             for lo, hi, buf, off in slices(batch.column(len(keep))):
                 row, size, x = lines(buf, off)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import Spans, mix, row_sums, slices, words
+from quirefold.llm.common import Spans, bounded, mix, only, row_sums, slices, words
 
 #: Fixed characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -156,10 +156,12 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
     of words and lines is that of 64-bit hashes. No shuffle; memory is a few hundred bytes for each byte of a slice of texts
     or of the longest text.
     """
+    bounded(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     at_text = keep.index(text) if text in keep else len(keep)  # a kept text isn't sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repetition")
         for batch in batches:
             for lo, hi, buf, off in slices(batch.column(at_text)):
                 m = measure(buf, off, limits)

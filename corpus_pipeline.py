@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.bpe import encode_documents
-from quirefold.llm.common import materialise, table
+from quirefold.llm.common import Scratch, release, small, table
 from quirefold.llm.linedup import drop_lines
 from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
@@ -24,30 +24,48 @@ MIX_WEIGHTS = {"domain": {"d0": 3}, "language": {"en": 4, "de": 2, "fr": 2, "es"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep: null, empty and very short texts go; rows are judged one by one, so rows that are
+    repeated or share an id each have their own verdict. An empty table gives an empty one; columns beyond those of documents go."""
     return repetition(docs, keep=[c for c in COLUMNS if c != "text"] + ["text"]).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that an earlier document or line holds already, but for one edit; n_chars is that of the rest."""
+    """Documents less the lines that an earlier document or line holds already, but for one edit; n_chars is that of the rest.
+
+    Earlier is by doc_id (null last), then by the line's number. Rows equal in id and text lose the same lines. A document goes
+    only if it lost a line and has no word left; null and empty texts stay as they are, with n_chars 0.
+    """
     left = drop_lines(docs.select(*COLUMNS))
     return left.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates (five words, 0.8)."""
-    gone = near_duplicates(docs, Sketching(shingle=5, percent=80)).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates (five words, 0.8), that of the smallest id.
+
+    Documents are told apart by id and text: of two texts that share an id each is judged for itself, of rows equal in both one stays.
+    Texts without words are near-duplicates of nothing; rows without an id stay. Texts stay where they lie while the list
+    of what goes is small enough to be broadcast (it is counted); beyond, they are shuffled once.
+    """
+    t = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    judged = near_duplicates(docs, Sketching(shingle=5, percent=80)).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "chosen")
+    scratch = Scratch(spark)
+    counted = judged.groupBy("__id", "__t").agg(F.max("chosen").alias("__stays"), F.count("*").alias("__n"))
+    named = scratch.write(counted.where("not __stays or __n > 1"), "judged")
+    rows = docs.select(*COLUMNS).withColumns({"__key": F.col("doc_id").cast("long"), "__hash": t})
+    joined = rows.join(F.broadcast(named) if small(named, 32) else named, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left").where("__stays is null or __stays")
+    again = joined.where("__n > 1").dropDuplicates(["__key", "__hash"])
+    return joined.where("__n is null or __n = 1").unionByName(again).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of each leaf's token prefix."""
+    """The documents of each leaf's token prefix, unchanged: names that are null stay null. Ties, repeated rows, null ids and texts
+    without words are as in mix()."""
     picked = mix(docs, MIX_PERCENT, MIX_WEIGHTS, domain_of_source(), epochs=1, seed=MIX_SEED, keep=COLUMNS)
     return picked.where("copies > 0").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (binary) and whether decoding them gives the text back."""
+    """doc_id, lang, source, n_tokens, token_ids (binary) and whether decoding them gives the text back; a null text counts as empty."""
     import public_tokenizers
 
     coded = encode_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "text"])
@@ -62,9 +80,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents. Each stage's rows are stored before the next begins, and what the stage needed goes;
+    two stages' rows at most are there at once. release() deletes what the returned rows are read from."""
     docs = table(spark, sf_dir, "documents")
+    held, before = Scratch(spark), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name)
-    return docs
+        found = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return found
+        docs = held.write(found, name)
+        release(spark, but=held)
+        if before is not None:
+            held.drop(before)
+        before = docs
+    raise AssertionError

@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirefold.functions.text import END, NONE
+from quirefold.scratch import Scratch
 
 
 class Busy(Exception):
@@ -44,19 +46,43 @@ class Offline:
         for text in texts:
             v = np.zeros(self.dim)
             for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % self.dim] += 1 if h >> 63 else -1
+                h = int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
+                v[h % self.dim] += 1 if h >> 59 else -1
             n = float(np.sqrt(v @ v))
             out.append((v / n if n else v).tolist())
         return out
 
+    @staticmethod
+    def read(attachment: bytes) -> str:
+        """The text of a PDF page; other bytes as they are."""
+        from quirefold.sources.pdf import Broken, Document
+
+        if b"%PDF-" in attachment[:1024]:
+            try:
+                doc = Document(attachment)
+                return "\n".join(doc.text(page) for page in doc.pages())
+            except Broken:
+                return ""
+        return attachment.decode("utf-8", "replace")
+
     def generate(self, prompt: str, attachment: bytes | None = None) -> str:
         task, _, body = prompt.partition("\n\n")
         words = re.findall(r"\w+", body)
         if "markdown fence" in task and "Set the headings" in task:
             return f"{body.strip()}\n{END}" if "```" in body else f"```markdown\n{body.strip()}\n{END}\n```"  # an inner fence would end the block
         if "markdown fence" in task:
-            return f"```markdown\n{(attachment or b'').decode('utf-8', 'replace').strip()}\n```"
+            return f"```markdown\n{self.read(attachment or b'').strip()}\n```"
+        if "Write a line Tool" in task:
+            tools, _, rest = body.partition("\nQuestion: ")
+            asked, _, seen = rest.partition("\nSeen:\n")
+            names = [line.split(" : ")[0] for line in tools.splitlines() if " : " in line]
+            if seen.strip():
+                return f"Answer: {' '.join(re.findall(r'\w+', seen)[:40])}"
+            wanted = [n for n in names if n.startswith("summary") == ("summar" in asked.lower())]
+            return f"Tool: {(wanted or names)[0]}\nInput: {asked.strip()}"
+        if "one question for each" in task:
+            asked, _, tools = body.partition("\nDocuments:\n")
+            return "\n".join(f"{name} : {asked.strip()}" for name in tools.splitlines() if name.strip())
         if "JSON object" in task:
             found = {"author": "", "publication_date": "", "language": "en", "document_type": "text", "themes": [], "entities": [], "time_periods": [], "keywords": sorted(set(words))[:5], "summary": " ".join(words[:12])}
             return f"```json\n{json.dumps(found)}\n```"
@@ -74,14 +100,15 @@ class Offline:
         return " ".join(words[:40])
 
 
-def call(provider: Provider, prompt: str, attachment: bytes | None, attempts: int, wait: float, fallback: Provider | None) -> str:
+def call(provider: Provider, prompt: str, attachment: bytes | None, attempts: int, wait: float, fallback: Provider | None, other: bytes | None = None) -> str:
+    """other: what the fallback gets instead of the attachment, such as an image of it."""
     for k in range(attempts):
         try:
             return provider.generate(prompt, attachment)
         except Blocked:
             if fallback is None:
                 raise
-            return fallback.generate(prompt, attachment)
+            return fallback.generate(prompt, attachment if other is None else other)
         except Busy:
             if k + 1 == attempts:
                 raise
@@ -89,21 +116,22 @@ def call(provider: Provider, prompt: str, attachment: bytes | None, attempts: in
     raise AssertionError
 
 
-def generated(df: DataFrame, prompt: str, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 4, strict: bool = True) -> DataFrame:
+def generated(df: DataFrame, prompt: str, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 4, strict: bool = True, image: str | None = None) -> DataFrame:
     """df with `into`, the answer to its prompt column, and for strict False `into`_error (null if it went well).
 
-    Calls are made in a task by up to `workers` threads; Busy is tried again after a wait, Blocked goes to the fallback. Rows whose
+    Calls are made in a task by up to `workers` threads; Busy is tried again after a wait, Blocked goes to the fallback, with the
+    column `image` for an attachment if there is one. Rows whose
     prompt is null get null without a call. Write the result before it is used twice: a call may cost money.
     """
     names = df.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {into} string, {into}_error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(p, a):
+        def one(p, a, other):
             if p is None or p != p:
                 return None, None
             try:
-                return call(provider, p, a, attempts, wait, fallback), None
+                return call(provider, p, a, attempts, wait, fallback, other), None
             except Exception as error:
                 if strict:
                     raise
@@ -111,7 +139,7 @@ def generated(df: DataFrame, prompt: str, into: str, provider: Provider, attachm
 
         with ThreadPoolExecutor(workers) as pool:
             for batch in batches:
-                got = list(pool.map(one, batch[prompt], batch[attachment] if attachment else [None] * len(batch)))
+                got = list(pool.map(one, batch[prompt], *(batch[c] if c else [None] * len(batch) for c in (attachment, image))))
                 batch[into], batch[f"{into}_error"] = [g[0] for g in got], [g[1] for g in got]
                 yield batch
 
@@ -132,17 +160,23 @@ def embedded(df: DataFrame, text: str, into: str, provider: Provider) -> DataFra
 
 
 def reformatted(docs: DataFrame, provider: Provider, most: int = 50, text: str = "text") -> DataFrame:
-    """docs (with format) with `text` set anew: the model goes on until it writes the end mark; raises after `most` rounds without."""
+    """docs (with format) with `text` set anew: the model goes on until it writes the end mark; raises after `most` rounds without.
+
+    Each round's answers are written before anything reads them, so no call is paid twice. Documents that say of themselves that they are
+    reformatted (is_reformatted) stay as they are."""
     from quirefold.functions import text as T
     from quirefold.sources.prompts import reformat_prompt
 
     keep = docs.columns
-    open_ = docs.withColumn("__done", F.lit(""))
-    finished = None
+    scratch = Scratch(docs.sparkSession)
+    done = docs.where("is_reformatted") if "is_reformatted" in keep else None
+    open_ = (docs if done is None else docs.where("not coalesce(is_reformatted, false)")).withColumn("__done", F.lit(""))
+    finished = done
     for _ in range(most):
         asked = open_.withColumn("__prompt", reformat_prompt(F.col(text), F.col("__done"), F.col("format") == "landscape"))
         got = generated(asked, "__prompt", "__said", provider).withColumn("__said", T.unwrap_markdown(F.col("__said")))
-        got = got.withColumn("__done", F.concat("__done", T.without_end(F.col("__said")))).withColumn("__end", T.is_ended(F.col("__said"))).persist()
+        got = got.withColumn("__done", F.concat("__done", T.without_end(F.col("__said")))).withColumn("__end", T.is_ended(F.col("__said")))
+        got = scratch.write(got.drop("__prompt", "__said"), "rounds")
         closed = got.where("__end").select(*(F.col("__done").alias(c) if c == text else F.col(c) for c in keep))
         finished = closed if finished is None else finished.unionByName(closed)
         open_ = got.where("not __end").select(*keep, "__done")
@@ -151,17 +185,18 @@ def reformatted(docs: DataFrame, provider: Provider, most: int = 50, text: str =
     raise RuntimeError(f"no end after {most} rounds")
 
 
-def summaries(chunks: DataFrame, provider: Provider, key: str = "doc_id", order: str = "chunk_ord", fan: int = 8) -> DataFrame:
-    """(key, summary) of all chunks of each document: `fan` neighbours at a time, until one text is left."""
+def summaries(chunks: DataFrame, provider: Provider, key: str = "doc_id", order: str = "chunk_ord", fan: int = 8, prompt: str | None = None) -> DataFrame:
+    """(key, summary) of all chunks of each document: `fan` neighbours at a time, until one text is left. Each level is written before
+    the next reads it, so no call is paid twice."""
     from quirefold.sources.prompts import SUMMARY
 
-    level = chunks.select(key, F.col(order).cast("long").alias("__o"), "text")
-    from pyspark.sql.window import Window
-
+    ask = SUMMARY if prompt is None else prompt
+    scratch = Scratch(chunks.sparkSession)
+    level = chunks.select(key, F.col(order).alias("__o"), "text")
     while True:
         level = level.withColumn("__g", F.floor((F.row_number().over(Window.partitionBy(key).orderBy("__o")) - 1) / fan))
         joined = level.groupBy(key, F.col("__g").alias("__o")).agg(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY __o)").alias("text"))
-        said = generated(joined.withColumn("__p", F.concat(F.lit(SUMMARY), "text")), "__p", "__s", provider)
-        level = said.select(key, "__o", F.col("__s").alias("text")).persist()
+        said = generated(joined.withColumn("__p", F.concat(F.lit(ask), "text")), "__p", "__s", provider)
+        level = scratch.write(said.select(key, "__o", F.col("__s").alias("text")), "level")
         if (level.agg(F.max("__o")).first()[0] or 0) == 0:
             return level.select(key, F.col("text").alias("summary"))

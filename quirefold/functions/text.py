@@ -36,7 +36,7 @@ def unwrap_markdown(c: Column) -> Column:
 
 def unwrap_any(c: Column) -> Column:
     """The same for a block of any language tag."""
-    block = f"(?s){FENCE}(\\w*)\\s*(.*?)(?:{FENCE}|\\z)"
+    block = f"(?s){FENCE}([a-zA-Z]*)\\s*(.*?)(?:{FENCE}|\\z)"
     return F.when(c.rlike(block), strip(F.regexp_extract(c, block, 2))).otherwise(c)
 
 
@@ -129,7 +129,3 @@ def display(c: Column) -> Column:
 
 def orientation(width: Column, height: Column) -> Column:
     return F.when(width > height, "landscape").otherwise("portrait")
-
-
-def known_date(c: Column) -> Column:
-    return F.try_to_date(F.nullif(c, F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,61 +15,93 @@ PAGE = "^-\\s*Page\\s+(\\d+)\\s*:\\s*(.+)$"
 LINED = "^(#+)\\s+(.*?)\\s+\\[line\\s+(\\d+)\\]"
 
 
-def nearest_smaller(rows: DataFrame, key: str, order: str, level: str, value: str, name: str) -> DataFrame:
-    """rows with `name`: `value` of the last earlier row of a smaller level; null if there is none. A running last place for each
-    level (one look at the data finds the greatest) instead of a self join."""
-    top = rows.agg(F.max(level)).first()[0] or 0
-    above = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    for j in range(1, top):
-        rows = rows.withColumn(f"__{j}", F.max(F.when(F.col(level) == j, F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).over(above))
-    if top < 2:
-        return rows.withColumn(name, F.lit(None).cast("long"))
-    nearest = F.sort_array(F.array(*(F.when(F.col(level) > j, F.col(f"__{j}")) for j in range(1, top))), asc=False)[0]
-    return rows.withColumn(name, nearest["v"]).drop(*(f"__{j}" for j in range(1, top)))
+ROWS = "array<struct<number:bigint,name:string,kind:string,level:bigint,parent_number:bigint>>"
+
+
+def _node(number: Column, name: Column, kind: str, level: Column, parent: Column) -> Column:
+    return F.struct(number.cast("long").alias("number"), name.alias("name"), F.lit(kind).alias("kind"), level.cast("long").alias("level"), parent.cast("long").alias("parent_number"))
+
+
+def _below(stack: Column, level: Column) -> Column:
+    """The open headings (level, number) that a heading of this level leaves open: those of a smaller level."""
+    return F.filter(stack, lambda s: s["level"] < level)
+
+
+def _innermost(stack: Column) -> Column:
+    return F.coalesce(F.try_element_at(stack, F.lit(-1))["number"], F.lit(-1).cast("long"))
+
+
+def _opened(stack: Column, level: Column, number: Column) -> Column:
+    return F.concat(_below(stack, level), F.array(F.struct(level.cast("long").alias("level"), number.cast("long").alias("number"))))
+
+
+STACK = "array<struct<level:bigint,number:bigint>>"
+
+
+def _numbered(docs: DataFrame, key: str, rows: Column) -> DataFrame:
+    """A row for the root and one for each of rows, in order."""
+    first = F.array(_node(F.lit(-1), stem(F.col("filename")), "root", F.lit(0), F.lit(None)))
+    every = docs.select(key, F.posexplode(F.concat(first.cast(ROWS), rows)).alias("ord", "n"))
+    return every.select(key, F.col("ord").cast("long").alias("ord"), "n.number", "n.name", "n.kind", "n.level", "n.parent_number")
 
 
 def landscape_outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ord, number, name, kind, level, parent_number) of docs (key, nb_pages, filename, structure).
 
     The root is -1; headings are -2, -3, ...; pages keep their number, the first time they are named, if within nb_pages; pages
-    left out come last below an abstract node of their own, in order. ord is the order of a walk from the root.
+    left out come last below an abstract node of their own, in order. ord is the order of a walk from the root. An outline is
+    folded where its document lies, with the open headings as a stack: no shuffle, and a plan of one size whatever the levels.
     """
-    lines = docs.select(key, "nb_pages", F.posexplode(split_lines(F.col("structure"))).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
-    lines = lines.withColumn("level", F.length(F.nullif(F.regexp_extract("line", SECTION, 1), F.lit("")))).withColumn("page", F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("long"))
-    lines = lines.where("level is not null or page is not null")
-    heads = lines.where("level is not null")
-    rank = Window.partitionBy(key).orderBy("pos")
-    heads = heads.withColumn("number", -1 - F.row_number().over(rank).cast("long"))
-    heads = nearest_smaller(heads, key, "pos", "level", "number", "parent_number")
-    heads = heads.select(key, F.col("pos").cast("long").alias("pos"), "number", F.regexp_extract("line", SECTION, 2).alias("name"), F.lit("abstract").alias("kind"), F.col("level").cast("long").alias("level"), F.coalesce("parent_number", F.lit(-1)).cast("long").alias("parent_number"))
-    so_far = rank.rowsBetween(Window.unboundedPreceding, 0)
-    pages = lines.withColumn("under", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(so_far)).where("page is not null and page <= nb_pages")
-    pages = pages.withColumn("turn", F.row_number().over(Window.partitionBy(key, "page").orderBy("pos"))).where("turn = 1")
-    pages = pages.select(key, F.col("pos").cast("long").alias("pos"), F.col("page").alias("number"), F.regexp_extract("line", PAGE, 2).alias("name"), F.lit("page").alias("kind"), F.lit(0).cast("long").alias("level"), F.when(F.col("under") > 0, -1 - F.col("under")).otherwise(-1).cast("long").alias("parent_number"))
-    every = docs.where("nb_pages > 0").select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("nb_pages").cast("long"))).alias("number"))
-    missing = every.join(pages.select(key, "number"), [key, "number"], "left_anti")
-    counts = heads.groupBy(key).agg(F.count("*").alias("n_heads"))
-    own = docs.select(key).join(counts, key, "left").select(key, (-2 - F.coalesce("n_heads", F.lit(0))).cast("long").alias("own"))
-    last = 1 << 40
-    missing = missing.join(own, key)
-    rest = missing.select(key, (F.lit(last) + F.col("number")).alias("pos"), "number", F.concat(F.lit("Page number "), F.col("number").cast("string")).alias("name"), F.lit("page").alias("kind"), F.lit(0).cast("long").alias("level"), F.col("own").alias("parent_number"))
-    group = missing.groupBy(key, "own").agg(F.count("*").alias("__n")).select(key, F.lit(last).cast("long").alias("pos"), F.col("own").alias("number"), F.lit("Uncategorized").alias("name"), F.lit("abstract").alias("kind"), F.lit(1).cast("long").alias("level"), F.lit(-1).cast("long").alias("parent_number"))
-    root = docs.select(key, F.lit(-1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("number"), stem(F.col("filename")).alias("name"), F.lit("root").alias("kind"), F.lit(0).cast("long").alias("level"), F.lit(None).cast("long").alias("parent_number"))
-    all_ = root.unionByName(heads).unionByName(pages).unionByName(group).unionByName(rest)
-    return all_.withColumn("ord", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("long")).select(key, "ord", "number", "name", "kind", "level", "parent_number")
+    lines = F.transform(split_lines(F.col("structure")), strip)
+
+    def parsed(line: Column) -> Column:
+        level = F.nullif(F.length(F.regexp_extract(line, SECTION, 1)), F.lit(0)).cast("long")
+        page = F.regexp_extract(line, PAGE, 1).try_cast("long")
+        return F.struct(level.alias("level"), page.alias("page"), F.when(level.isNotNull(), F.regexp_extract(line, SECTION, 2)).otherwise(F.regexp_extract(line, PAGE, 2)).alias("name"))
+
+    cut = docs.select(key, "nb_pages", "filename", F.filter(F.transform(lines, parsed), lambda m: m["level"].isNotNull() | (m["page"] <= F.col("nb_pages"))).alias("marks"))
+    start = F.struct(F.lit(0).cast("long").alias("heads"), F.array().cast(STACK).alias("stack"), F.array().cast("array<bigint>").alias("seen"), F.array().cast(ROWS).alias("rows"))
+
+    def step(acc: Column, m: Column) -> Column:
+        head, new = m["level"].isNotNull(), ~F.array_contains(acc["seen"], m["page"])
+        number = -2 - acc["heads"]
+        heading = _node(number, m["name"], "abstract", m["level"], _innermost(_below(acc["stack"], m["level"])))
+        page = _node(m["page"], m["name"], "page", F.lit(0), -1 - acc["heads"])
+        return F.struct(
+            (acc["heads"] + head.cast("long")).alias("heads"),
+            F.when(head, _opened(acc["stack"], m["level"], number)).otherwise(acc["stack"]).alias("stack"),
+            F.when(~head & new, F.concat(acc["seen"], F.array(m["page"]))).otherwise(acc["seen"]).alias("seen"),
+            F.when(head | new, F.concat(acc["rows"], F.array(F.when(head, heading).otherwise(page)))).otherwise(acc["rows"]).alias("rows"),
+        )
+
+    folded = cut.select(key, "filename", "nb_pages", F.aggregate(F.coalesce("marks", F.array().cast("array<struct<level:bigint,page:bigint,name:string>>")), start, step).alias("f"))
+    pages = F.when(F.col("nb_pages") > 0, F.sequence(F.lit(1).cast("long"), F.col("nb_pages").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    folded = folded.select(key, "filename", F.col("f.rows").alias("rows"), (-2 - F.col("f.heads")).alias("own"), F.array_except(pages, "f.seen").alias("rest"))
+    group = F.array(_node(F.col("own"), F.lit("Uncategorized"), "abstract", F.lit(1), F.lit(-1)))
+    left = F.transform("rest", lambda n: _node(n, F.concat(F.lit("Page number "), n.cast("string")), "page", F.lit(0), F.col("own")))
+    none = F.array().cast(ROWS)
+    return _numbered(folded, key, F.concat("rows", F.when(F.size("rest") > 0, F.concat(group.cast(ROWS), left.cast(ROWS))).otherwise(none)))
 
 
 def portrait_outline(docs: DataFrame, key: str = "doc_id", strict: bool = False) -> DataFrame:
     """The same of docs (key, filename, structure) whose lines read `# title [line n]`; a node's number is its line, its kind
     section. strict: raise unless the lines begin at 0 and never fall."""
-    lines = docs.select(key, F.posexplode(split_lines(F.col("structure"))).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where(F.col("line").rlike(LINED))
-    heads = lines.select(key, F.col("pos").cast("long").alias("pos"), F.regexp_extract("line", LINED, 3).cast("long").alias("number"), F.regexp_extract("line", LINED, 2).alias("name"), F.length(F.regexp_extract("line", LINED, 1)).cast("long").alias("level"))
     if strict:
         none_of(portrait_violations(docs, key), "outline lines must begin at 0 and never fall")
-    heads = nearest_smaller(heads, key, "pos", "level", "number", "parent_number")
-    heads = heads.select(key, "pos", "number", "name", F.lit("section").alias("kind"), "level", F.coalesce("parent_number", F.lit(-1)).cast("long").alias("parent_number"))
-    root = docs.select(key, F.lit(-1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("number"), stem(F.col("filename")).alias("name"), F.lit("root").alias("kind"), F.lit(0).cast("long").alias("level"), F.lit(None).cast("long").alias("parent_number"))
-    return root.unionByName(heads).withColumn("ord", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("long")).select(key, "ord", "number", "name", "kind", "level", "parent_number")
+
+    def parsed(line: Column) -> Column:
+        return F.struct(F.length(F.regexp_extract(line, LINED, 1)).cast("long").alias("level"), F.regexp_extract(line, LINED, 3).try_cast("long").alias("number"), F.regexp_extract(line, LINED, 2).alias("name"))
+
+    lines = F.filter(F.transform(split_lines(F.col("structure")), strip), lambda line: line.rlike(LINED))
+    cut = docs.select(key, "filename", F.coalesce(F.transform(lines, parsed), F.array().cast("array<struct<level:bigint,number:bigint,name:string>>")).alias("marks"))
+    start = F.struct(F.array().cast(STACK).alias("stack"), F.array().cast(ROWS).alias("rows"))
+
+    def step(acc: Column, m: Column) -> Column:
+        row = _node(m["number"], m["name"], "section", m["level"], _innermost(_below(acc["stack"], m["level"])))
+        return F.struct(_opened(acc["stack"], m["level"], m["number"]).alias("stack"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    folded = cut.select(key, "filename", F.aggregate("marks", start, step)["rows"].alias("rows"))
+    return _numbered(folded, key, F.col("rows"))
 
 
 def portrait_violations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -87,18 +119,19 @@ def outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return landscape_outline(docs.where("format = 'landscape'"), key).unionByName(portrait_outline(docs.where("format = 'portrait'"), key))
 
 
-def with_depth(nodes: DataFrame, key: str = "doc_id", most: int = 100) -> DataFrame:
-    """Outline rows with depth: the root is 0. Level by level over the edges, as many rounds as the deepest tree has levels."""
-    nodes = nodes.persist()  # each round reads them
-    found = nodes.where("parent_number is null").withColumn("depth", F.lit(0).cast("long"))
-    edge, done = found, found
-    for depth in range(1, most + 1):
-        up = edge.select(key, F.col("number").alias("parent_number"))
-        edge = nodes.join(up, [key, "parent_number"]).select(*nodes.columns).withColumn("depth", F.lit(depth).cast("long")).persist()
-        if edge.isEmpty():
-            return done
-        done = done.unionByName(edge)
-    raise ValueError(f"a tree is deeper than {most}")
+def with_depth(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Outline rows with depth: the root is 0. One fold over the rows of a document, which come parents first: what is open is the path
+    from the root, and a row's parent is on it."""
+    items = F.array_sort(F.collect_list(F.struct("ord", *(c for c in nodes.columns if c not in (key, "ord")))))
+    kind = nodes.groupBy(key).agg(items.alias("items")).schema["items"].dataType.elementType.simpleString()
+    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast(f"array<struct<node:{kind},depth:bigint>>").alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = F.coalesce(F.array_position(acc["open"], x["parent_number"]), F.lit(0)).cast("long")
+        return F.struct(F.concat(F.slice(acc["open"], F.lit(1), depth.cast("int")), F.array(x["number"])).alias("open"), F.concat(acc["rows"], F.array(F.struct(x.alias("node"), depth.alias("depth")))).alias("rows"))
+
+    folded = nodes.groupBy(key).agg(F.aggregate(items, start, step)["rows"].alias("rows")).select(key, F.explode("rows").alias("r"))
+    return folded.select(*(key if c == key else F.col(f"r.node.{c}").alias(c) for c in nodes.columns), F.col("r.depth").alias("depth"))
 
 
 def render(nodes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,26 +27,28 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def split_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, section_ord, line_number, level, header, header_path, text) of each section that isn't blank.
 
-    The path holds the headings above by depth, not level: depth grows by one at most, so the n-th heading's depth is
-    n + min(0, least of level - rank so far). One look at the data finds the greatest depth; the heading above at each depth is
-    then a running last value, so no fold over a document's headings is needed.
+    The path holds the headings above by depth, not level: a heading of level n leaves open at most n - 1 of those that are. One
+    fold over a document's headings keeps what is open as a stack, so the plan has one size whatever the depth.
     """
     marked = headings(docs, key)
     ordered = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = marked.withColumn("section_ord", F.sum(F.col("is_header").cast("long")).over(ordered))
-    heads = lines.where("is_header").select(key, "section_ord", F.col("line_no").alias("line_number"), F.col("level").cast("long").alias("level"), "header")
-    by_rank = Window.partitionBy(key).orderBy("section_ord").rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.withColumn("depth", F.col("section_ord") + F.least(F.lit(0), F.min(F.col("level") - F.col("section_ord")).over(by_rank)))
-    top = heads.agg(F.max("depth")).first()[0] or 0
-    above = Window.partitionBy(key).orderBy("section_ord").rowsBetween(Window.unboundedPreceding, -1)
-    for d in range(1, top):
-        heads = heads.withColumn(f"__{d}", F.last(F.when(F.col("depth") == d, F.col("header")), ignorenulls=True).over(above))
-    path = F.concat_ws("/", *(F.when(F.col("depth") > d, F.col(f"__{d}")) for d in range(1, top))) if top > 1 else F.lit("")
-    heads = heads.withColumn("path", path).drop(*(f"__{d}" for d in range(1, top)))
     shown = F.when(F.col("is_header"), F.concat(F.regexp_extract("line", HEADER, 1), F.lit(" "), F.col("header"))).otherwise(F.col("line"))
-    texts = lines.withColumn("shown", shown).groupBy(key, "section_ord").agg(F.expr("listagg(shown, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"))
-    joined = texts.withColumn("text", strip(F.col("text"))).where("text <> ''").join(heads, [key, "section_ord"], "left")
-    return joined.select(key, "section_ord", F.coalesce("line_number", F.lit(0)).cast("long").alias("line_number"), F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.coalesce("header", F.lit("")).alias("header"), F.when(F.coalesce("path", F.lit("")) == "", "/").otherwise(F.concat(F.lit("/"), "path", F.lit("/"))).alias("header_path"), "text")
+    head = F.max(F.when(F.col("is_header"), F.struct("line_no", F.col("level").cast("long").alias("level"), "header")))
+    cut = lines.withColumn("shown", shown).groupBy(key, "section_ord").agg(F.expr("listagg(shown, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"), head.alias("head"))
+    sections = F.array_sort(F.collect_list(F.struct("section_ord", "head", "text")))
+    out = "array<struct<section_ord:bigint,head:struct<line_no:bigint,level:bigint,header:string>,path:array<string>,text:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(out).alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        path = F.when(x["head"].isNull(), F.array().cast("array<string>")).otherwise(F.slice(acc["open"], F.lit(1), F.greatest(F.least(F.size(acc["open"]), x["head"]["level"].cast("int") - 1), F.lit(0))))
+        row = F.struct(x["section_ord"].alias("section_ord"), x["head"].alias("head"), path.alias("path"), x["text"].alias("text"))
+        return F.struct(F.when(x["head"].isNull(), acc["open"]).otherwise(F.concat(path, F.array(x["head"]["header"]))).alias("open"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    folded = cut.groupBy(key).agg(F.aggregate(sections, start, step)["rows"].alias("rows")).select(key, F.explode("rows").alias("s"))
+    path = F.concat_ws("/", "s.path")
+    rows = folded.select(key, "s.section_ord", F.coalesce("s.head.line_no", F.lit(0)).cast("long").alias("line_number"), F.coalesce("s.head.level", F.lit(0)).cast("long").alias("level"), F.coalesce("s.head.header", F.lit("")).alias("header"), F.when(path == "", "/").otherwise(F.concat(F.lit("/"), path, F.lit("/"))).alias("header_path"), strip(F.col("s.text")).alias("text"))
+    return rows.where("text <> ''")
 
 
 def markdown_toc(docs: DataFrame, key: str = "doc_id", stem: str = "stem") -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 
 from quirefold.functions.text import tree_line
 from quirefold.operators.checks import none_of
-
-MOST_LEVELS = 100
+from quirefold.scratch import Scratch
 
 
 def node_id(doc: Column, kind: Column, number: Column) -> Column:
@@ -53,13 +52,13 @@ def parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def children_of(nodes: DataFrame, edges: DataFrame, node: str) -> list[str]:
-    none_of(nodes.sparkSession.createDataFrame([(node,)], "node_id string").join(nodes, "node_id", "left_anti"), "unknown node")
+    known(nodes, node)
     found = children(edges, node).collect()
     return list(found[0]["children"]) if found else []
 
 
 def parent_of(nodes: DataFrame, edges: DataFrame, node: str) -> str | None:
-    none_of(nodes.sparkSession.createDataFrame([(node,)], "node_id string").join(nodes, "node_id", "left_anti"), "unknown node")
+    known(nodes, node)
     found = edges.where(F.col("child_id") == node).select("parent_id").collect()
     return found[0][0] if found else None
 
@@ -80,18 +79,33 @@ def size(nodes: DataFrame) -> int:
     return nodes.count()
 
 
-def subtree(nodes: DataFrame, edges: DataFrame, start: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def lineage(edges: DataFrame) -> DataFrame:
+    """(node_id, above, ordinals) of each child: its ancestors from the root down and the ordinals on the way to it.
+
+    Paths are joined to paths, so they double in each round: a tree of d levels takes about log2(d) rounds, and there is no bound
+    on d. Each round's table is written, and the one before it deleted. Raises if the edges hold a cycle.
+    """
+    scratch = Scratch(edges.sparkSession)
+    now = edges.select(F.col("child_id").alias("node_id"), F.array("parent_id").alias("above"), F.array("child_ord").alias("ordinals"))
+    now, before = scratch.write(now, "paths"), None
+    while True:
+        upper = now.select(F.col("node_id").alias("top"), F.col("above").alias("__above"), F.col("ordinals").alias("__ordinals"))
+        joined = now.join(upper, now["above"][0] == F.col("top"), "left")
+        longer = joined.select("node_id", F.when(F.col("top").isNull(), F.col("above")).otherwise(F.concat("__above", "above")).alias("above"), F.when(F.col("top").isNull(), F.col("ordinals")).otherwise(F.concat("__ordinals", "ordinals")).alias("ordinals"), F.col("top").isNull().alias("whole"))
+        before, now = now, scratch.write(longer, "paths")
+        scratch.drop(before)
+        none_of(now.where(F.array_contains("above", F.col("node_id"))).select("node_id"), "a node below itself")
+        if now.where("not whole").isEmpty():
+            return now.drop("whole")
+
+
+def subtree(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """Below each start (node_id): start_id, node columns, depth and path (the ordinals down to the node)."""
-    edges = edges.persist()  # each round reads them
-    level = start.select(F.col("node_id").alias("start_id"), "node_id").withColumn("depth", F.lit(0).cast("long")).withColumn("path", F.array().cast("array<bigint>"))
-    found = level
-    for depth in range(1, most + 1):
-        down = edges.select(F.col("parent_id").alias("node_id"), "child_id", "child_ord")
-        level = level.join(down, "node_id").select("start_id", F.col("child_id").alias("node_id"), F.lit(depth).cast("long").alias("depth"), F.concat("path", F.array("child_ord")).alias("path")).persist()
-        if level.isEmpty():
-            return found.join(nodes, "node_id")
-        found = found.unionByName(level)
-    raise ValueError(f"a tree is deeper than {most}")
+    starts = start.select(F.col("node_id").alias("start_id")).distinct()
+    below = lineage(edges).select("node_id", "ordinals", F.posexplode("above").alias("at", "start_id")).join(starts, "start_id")
+    down = below.select("start_id", "node_id", (F.size("ordinals") - F.col("at")).cast("long").alias("depth"), F.slice("ordinals", F.col("at") + 1, F.size("ordinals")).alias("path"))
+    own = starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).cast("long").alias("depth"), F.array().cast("array<bigint>").alias("path"))
+    return own.unionByName(down).join(nodes, "node_id")
 
 
 def walk(below: DataFrame, order: str = "dfs") -> DataFrame:
@@ -123,6 +137,36 @@ def add_child(edges: DataFrame, parent: str, child: str) -> DataFrame:
     return edges.unionByName(edges.sparkSession.createDataFrame([(parent, child, at)], "parent_id string, child_id string, child_ord long"))
 
 
+def known(nodes: DataFrame, *ids: str) -> None:
+    """Raise unless all of these nodes are there."""
+    wanted = nodes.sparkSession.createDataFrame([(i,) for i in ids], "node_id string")
+    none_of(wanted.join(nodes, "node_id", "left_anti"), "unknown node")
+
+
+def set_root(nodes: DataFrame, node: str, key: str = "doc_id") -> DataFrame:
+    """The node becomes the root of its document. Raises for an unknown node, or if the document has another root."""
+    known(nodes, node)
+    mine = nodes.join(nodes.where(F.col("node_id") == node).select(key), key, "left_semi")
+    none_of(mine.where((F.col("kind") == "root") & (F.col("node_id") != node)), "the document has another root")
+    return nodes.withColumn("kind", F.when(F.col("node_id") == node, "root").otherwise(F.col("kind")))
+
+
+def set_parent(nodes: DataFrame, edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """The child hangs below the parent, as its last one. Raises for an unknown node, or if the child has another parent."""
+    known(nodes, child, parent)
+    none_of(edges.where((F.col("child_id") == child) & (F.col("parent_id") != parent)), "the node has another parent")
+    here = (F.col("child_id") == child) & (F.col("parent_id") == parent)
+    return edges if not edges.where(here).isEmpty() else add_child(edges, parent, child)
+
+
+def set_children(nodes: DataFrame, edges: DataFrame, parent: str, ids: list[str]) -> DataFrame:
+    """The parent's children are these, in this order. Raises for an unknown node, or if one has another parent."""
+    known(nodes, parent, *ids)
+    none_of(edges.where(F.col("child_id").isin(ids) & (F.col("parent_id") != parent)), "a node has another parent")
+    rows = edges.sparkSession.createDataFrame([(parent, i, k + 1) for k, i in enumerate(ids)], "parent_id string, child_id string, child_ord long")
+    return edges.where(F.col("parent_id") != parent).unionByName(rows)
+
+
 def remove_child(edges: DataFrame, parent: str, child: str) -> tuple[DataFrame, bool]:
     match = (F.col("parent_id") == parent) & (F.col("child_id") == child)
     return edges.where(~match), not edges.where(match).isEmpty()

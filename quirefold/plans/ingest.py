@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions.models import Provider, generated, reformatted
+from quirefold.functions.text import basename, relative
 from quirefold.operators import pages as P
 from quirefold.operators.checks import none_of
 from quirefold.operators.outline import outline
 from quirefold.operators.sections import markdown_toc, split_sections
 from quirefold.operators.store import cache_split, new_rows
 from quirefold.operators.tree import build_index
-from quirefold.sources import prompts
+from quirefold.sources import pdf, prompts
+from quirefold.sources.files import bare_path, discover, file_metadata
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -31,22 +33,32 @@ def erase(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 4, wait: float = 5.0) -> DataFrame:
-    """(doc_id, text, nb_pages) from page rows (doc_id, page_number, content)."""
+def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 4, wait: float = 5.0, image: str | None = None) -> DataFrame:
+    """(doc_id, text, nb_pages) from page rows (doc_id, page_number, content, and for the fallback perhaps a column with an image)."""
     asked = pages.withColumn("__p", F.lit(prompts.TRANSCRIBE))
-    said = generated(asked, "__p", "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait)
+    said = generated(asked, "__p", "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait, image=image)
     return P.assemble(said.select("doc_id", "page_number", "text"))
 
 
-def cached_transcripts(pages: DataFrame, cache: str, provider: Provider) -> DataFrame:
-    """Transcripts from the cache table, and new ones for documents it lacks, which are appended to it."""
-    spark = pages.sparkSession
-    if not exists(spark, cache):
-        return stored(transcribe(pages, provider), cache)
-    old = spark.read.parquet(cache)
-    _, missing = cache_split(pages, old, "doc_id")
-    transcribe(missing, provider).write.mode("append").parquet(cache)
-    return spark.read.parquet(cache)
+def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 4) -> DataFrame:
+    """(doc_id, filename, format, nb_pages, text) of PDF files (doc_id, path, content). Transcripts come from the cache table as they are;
+    files that it lacks are cut into pages, transcribed, and appended to it. A file that can't be read raises."""
+    spark = files.sparkSession
+    none_of(pdf.probe(files).where("nb_pages is null").select("path", "error"), "files that can't be read")
+    missing = files.join(spark.read.parquet(cache).select("doc_id"), "doc_id", "left_anti") if exists(spark, cache) else files
+    if not missing.isEmpty():
+        transcribe(pdf.pages(missing, ["doc_id"]), provider, fallback, workers).write.mode("append").parquet(cache)
+    shape = pdf.probe(files).join(files.select("path", "doc_id"), "path").select("doc_id", basename(F.col("path")).alias("filename"), "format", "nb_pages")
+    texts = spark.read.parquet(cache).select("doc_id", "text") if exists(spark, cache) else spark.createDataFrame([], "doc_id string, text string")
+    return shape.join(texts, "doc_id")
+
+
+def read_documents(spark: SparkSession, path: str, root: str, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 4) -> DataFrame:
+    """documents() of the PDF files at or below path, with their file data (file); doc_id is the path below root."""
+    files = discover(spark, path, root)
+    named = files.withColumn("doc_id", relative(bare_path(F.col("path")), root.split("://", 1)[-1]))
+    data = file_metadata(files, root, cache).join(named.select("path", "doc_id"), "path").select("doc_id", "file")
+    return documents(named, cache, provider, fallback, workers).join(data, "doc_id")
 
 
 def contexts(docs: DataFrame, provider: Provider, strict: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries over the engine's operators, and the DuckDB SQL that gives the same rows.
 
-Each runs over its whole tables, but for the five searches of fixtures.f_questions: these ask the vectors of ids under 20. Model stages use the offline provider and have no SQL; tests hold them against goldens.
+Each runs over its whole tables; searches ask the vectors of every id divisible by 20, against all rows. Model stages use the
+offline provider, which always answers alike, so most have SQL too; tests hold the others against goldens.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def query(oracle: str | None = None):
 
 # ---- retrieval
 
-_SCORED = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20),
+_SCORED = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
 c AS (SELECT CAST(label AS BIGINT) AS doc_id, 1 + vec_id % 7 AS page_number, vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT query_id, doc_id, page_number, chunk_id, list_cosine_similarity(qv, v) AS score FROM q JOIN c ON chunk_id <> query_id)"""
 
@@ -48,16 +49,13 @@ def _others(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 WITH {_SCORED},
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s QUALIFY r <= 5),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page_number ORDER BY r) AS k FROM t QUALIFY k = 1),
-p AS (SELECT doc_id, page_number, string_agg('chunk ' || CAST(chunk_id AS VARCHAR), chr(10) ORDER BY chunk_id) AS text FROM c GROUP BY ALL)
-SELECT query_id, f.doc_id, f.page_number, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, text FROM f JOIN p ON p.doc_id = f.doc_id AND p.page_number = f.page_number""")
+p AS (SELECT doc_id, page_number, string_agg('chunk ' || CAST(chunk_id AS VARCHAR), chr(10) ORDER BY chunk_id) AS text, min(chunk_id) AS first_chunk FROM c GROUP BY ALL)
+SELECT query_id, f.doc_id, f.page_number, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, text, first_chunk FROM f JOIN p ON p.doc_id = f.doc_id AND p.page_number = f.page_number""")
 def retrieve_full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _others(spark, sf_dir)
-    # one collection searched as a whole: every chunk belongs to document 0 for the ranking, and to its own for its pages
+    # one collection searched as a whole
     found = R.top_by(R.scored(chunks, asked).where("chunk_id <> query_id"), ["query_id"], 5, ["chunk_id"])
-    w = D.first_wins(found, ["query_id", "doc_id", "page_number"], "rank")
-    again = w.withColumn("rank", F.expr("CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT)"))
-    pages = R.page_texts(chunks)
-    return again.join(pages, ["doc_id", "page_number"]).select("query_id", "doc_id", "page_number", F.round("score", 6).alias("score"), "rank", pages.text)
+    return R.full_pages(found, chunks, ["query_id"]).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -76,7 +74,7 @@ def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.withColumn("tool_name", F.concat(F.lit("doc_"), F.col("doc_key").cast("string")))
 
 
-_TOOLS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20),
+_TOOLS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
 m AS (SELECT doc_key, i, round(avg(x), 6) AS x FROM (SELECT CAST(label AS BIGINT) AS doc_key, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY doc_key, i),
 tools AS (SELECT doc_key, 'doc_' || CAST(doc_key AS VARCHAR) AS tool_name, list(x ORDER BY i) AS v FROM m GROUP BY doc_key),
 r AS (SELECT query_id, doc_key, tool_name, list_cosine_similarity(qv, v) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, v) DESC, tool_name) AS rank FROM q CROSS JOIN tools)"""
@@ -125,7 +123,17 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_pages(X.f_md(spark, sf_dir)).select("doc_id", "page_number", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {X.MD_SQL},
+b AS (SELECT doc_id, pos // 6 + 1 AS page_number, string_agg(line || chr(10), '' ORDER BY pos) AS body FROM md_k GROUP BY ALL),
+r AS (SELECT doc_id, page_number, unnest(string_split_regex(regexp_replace(body, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s, unnest(range(len(string_split_regex(regexp_replace(body, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))))) AS ix FROM b),
+t AS (SELECT doc_id, page_number, ix, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM r),
+w AS (SELECT doc_id, page_number, ix, s, string_split_regex(s, '\\s+') AS ws FROM t WHERE s <> ''),
+u AS (SELECT doc_id, page_number, ix, i, CASE WHEN len(ws) > 64 THEN array_to_string(ws[i * 64 + 1 : (i + 1) * 64], ' ') ELSE s END AS s FROM (SELECT *, unnest(range((len(ws) + 63) // 64)) AS i FROM w)),
+n AS (SELECT doc_id, page_number, s, len(string_split_regex(s, '\\s+')) AS n, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY ix, i) AS k FROM u),
+p(doc_id, page_number, k, s, n, c, used) AS (SELECT doc_id, page_number, k, s, n, 0, n FROM n WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.page_number, n.k, n.s, n.n, CASE WHEN used + n.n > 64 THEN c + 1 ELSE c END, CASE WHEN used + n.n > 64 THEN n.n ELSE used + n.n END FROM n JOIN p ON p.doc_id = n.doc_id AND p.page_number = n.page_number AND n.k = p.k + 1)
+SELECT doc_id, page_number, CAST(c AS BIGINT) AS chunk_ord, CAST(sum(n) AS BIGINT) AS n_tokens, sha256(string_agg(s, ' ' ORDER BY k)) AS text_sha256 FROM p GROUP BY doc_id, page_number, c""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunk_sentences(P.split_pages(X.f_md(spark, sf_dir)), 64).select("doc_id", "page_number", "chunk_ord", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
 
@@ -280,7 +288,9 @@ def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.children(_index(spark, sf_dir)[1]).select("parent_id", F.array_join("children", ",").alias("children"))
 
 
-@query(f"WITH {_OUTLINE}, {_EDGES}, {_NODES} SELECT node_id, coalesce(parent_id, '') AS parent_id FROM nd LEFT JOIN ed ON ed.child_id = nd.node_id")
+@query(f"""WITH {_OUTLINE.replace('ol AS (', 'ol AS MATERIALIZED (')}, {_NODES.replace('nd AS (', 'nd AS MATERIALIZED (')},
+up AS (SELECT c.doc_id, c.number, c.kind, {_ID.format(d="c.doc_id", k="p.kind", n="p.number")} AS parent_id FROM ol c JOIN ol p ON p.doc_id = c.doc_id AND p.number = c.parent_number)
+SELECT node_id, coalesce(parent_id, '') AS parent_id FROM nd LEFT JOIN up ON up.doc_id = nd.doc_id AND up.number = nd.number AND up.kind = nd.kind""")
 def tree_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.parents(*_index(spark, sf_dir)).select("node_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"))
 
@@ -299,9 +309,21 @@ def tree_delete_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "doc_id", "n").unionByName(left)
 
 
-@query("SELECT '' AS problem, CAST(0 AS BIGINT) AS n WHERE false")
+@query("""WITH d AS (SELECT doc_id FROM documents)
+SELECT 'duplicate id' AS problem, 'n' || CAST(doc_id AS VARCHAR) AS node_id FROM d WHERE doc_id % 7 = 0
+UNION ALL SELECT 'several parents', 'n' || CAST(doc_id AS VARCHAR) FROM d WHERE doc_id % 5 = 0 AND doc_id > 0
+UNION ALL SELECT 'unknown node', 'x' || CAST(doc_id AS VARCHAR) FROM d WHERE doc_id % 11 = 0""")
 def tree_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.integrity(*_index(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("n"))
+    """A chain of nodes with planted faults: every 7th id twice, every 5th below a second parent, an edge of every 11th to nowhere."""
+    ids = X.table(spark, sf_dir, "documents").select("doc_id")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    nodes = ids.select(name(F.col("doc_id")).alias("node_id"))
+    top = spark.createDataFrame([("top",), ("other",)], "node_id string")
+    nodes = nodes.unionByName(ids.where("doc_id % 7 = 0").select(name(F.col("doc_id")).alias("node_id"))).unionByName(top)
+    edge = lambda rows, parent, child: rows.select(parent.alias("parent_id"), child.alias("child_id"), F.lit(1).cast(LONG).alias("child_ord"))
+    edges = edge(ids, F.lit("top"), name(F.col("doc_id"))).unionByName(edge(ids.where("doc_id % 5 = 0 and doc_id > 0"), F.lit("other"), name(F.col("doc_id"))))
+    edges = edges.unionByName(edge(ids.where("doc_id % 11 = 0"), name(F.col("doc_id")), F.concat(F.lit("x"), F.col("doc_id").cast("string"))))
+    return N.integrity(nodes, edges)
 
 
 @query(f"WITH {_OUTLINE} SELECT doc_id, number FROM ol WHERE number > 3 + doc_id % 9")
@@ -330,7 +352,7 @@ def unwrap_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wrapped(spark, sf_dir).select("conv_id", "turn", "role", T.unwrap_markdown(F.col("t")).alias("said"))
 
 
-@query(f"""WITH {_WRAP} SELECT conv_id, turn, role, CASE WHEN regexp_matches(t, '(?s)```(\\w*)\\s*(.*?)(?:```|\\z)') THEN regexp_replace(regexp_extract(t, '(?s)```(\\w*)\\s*(.*?)(?:```|\\z)', 2), '^\\s+|\\s+$', '', 'g') ELSE t END AS said FROM w""")
+@query(f"""WITH {_WRAP} SELECT conv_id, turn, role, CASE WHEN regexp_matches(t, '(?s)```([a-zA-Z]*)\\s*(.*?)(?:```|\\z)') THEN regexp_replace(regexp_extract(t, '(?s)```([a-zA-Z]*)\\s*(.*?)(?:```|\\z)', 2), '^\\s+|\\s+$', '', 'g') ELSE t END AS said FROM w""")
 def unwrap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wrapped(spark, sf_dir).select("conv_id", "turn", "role", T.unwrap_any(F.col("t")).alias("said"))
 
@@ -439,31 +461,43 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("format", T.orientation(4 - F.col("doc_id") % 4, F.lit(2)))
 
 
-@query()
+_WORDS = "regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, CAST('0x' || md5(word)[1:15] AS BIGINT) AS h FROM (SELECT conv_id, turn, unnest({_WORDS.format(t="lower(text)")}) AS word FROM conversations)),
+v AS (SELECT conv_id, turn, h % 64 AS i, sum(CASE WHEN h >= 576460752303423488 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
+n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL),
+f AS (SELECT c.conv_id, c.turn, g.i, coalesce(CASE WHEN n.n > 0 THEN v.x / n.n ELSE 0 END, 0) AS x FROM conversations c CROSS JOIN range(64) g(i) LEFT JOIN v ON v.conv_id = c.conv_id AND v.turn = c.turn AND v.i = g.i LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn)
+SELECT conv_id, turn, list(CAST(x AS FLOAT) ORDER BY i) AS embedding FROM f GROUP BY ALL""")
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(X.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "embedding", Offline()).drop("text")
 
 
-@query()
+@query(f"WITH {X.MD_SQL} SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) + 1 AS n_chars FROM md")
 def reformat_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reformatted(_stored(spark, sf_dir), Offline()).select("doc_id", F.length("text").cast(LONG).alias("n_chars"))
 
 
-@query()
+@query(f"""WITH {X.MD_SQL} SELECT doc_id, 'en' AS language, array_to_string({_WORDS.format(t="text")}[1:12], ' ') AS summary FROM md""")
 def context_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.plans.ingest import contexts
 
     return contexts(_stored(spark, sf_dir), Offline()).select("doc_id", F.try_variant_get("context", "$.language", "string").alias("language"), F.try_variant_get("context", "$.summary", "string").alias("summary"))
 
 
-@query()
+@query(f"""WITH {X.MD_SQL} SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(string_split(text, '--- end page 10')[1], chr(10)), lambda x: starts_with(x, '#')), chr(10)), '^\\s+|\\s+$', '', 'g') AS extracted_toc FROM md""")
 def toc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.plans.ingest import extracted_tocs
 
     return extracted_tocs(_stored(spark, sf_dir), Offline()).select("doc_id", "extracted_toc")
 
 
-@query()
+@query(f"""
+WITH {X.MD_SQL},
+p AS (SELECT doc_id, pos // 6 + 1 AS n, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS body FROM md_k GROUP BY ALL),
+t AS (SELECT doc_id, string_agg('Page ' || CAST(n AS VARCHAR) || ' : ' || CASE WHEN body = '' THEN 'Untitled' ELSE substr(string_split(body, chr(10))[1], 1, 60) END, chr(10) ORDER BY n) AS pages FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN regexp_replace(pages, '^\\s+|\\s+$', '', 'g') ELSE '' END AS pages FROM t""")
 def landscape_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.plans.ingest import landscape_pages as titles
 
@@ -476,7 +510,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_chunks(_stored(spark, sf_dir), Offline(), 256)
 
 
-@query()
+@query(f"""
+WITH {X.MD_SQL}, t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM md_k GROUP BY doc_id)
+SELECT doc_id, array_to_string({_WORDS.format(t="body")}[1:40], ' ') AS summary FROM t WHERE regexp_matches(body, '\\S')""")
 def summary_tree_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = P.chunk_sentences(P.split_pages(_stored(spark, sf_dir)), 256)
     ordered = cut.withColumn("chunk_ord", F.col("page_number") * 100_000 + F.col("chunk_ord"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+OFFLINE = "quirefold.functions.models:Offline"
 STEPS = {"index": "index", "ingest": "index", "tree": "tree", "all": "all"}
 
 
 @dataclass(frozen=True)
 class StructureConfig:
-    """input_dir below root_dir; storage_dir holds every table; the four fields of a graph store come all together or not at all."""
+    """input_dir, with PDF files, below root_dir; storage_dir holds every table; the four fields of a graph store come all together or not at
+    all. transcripts: a Parquet table (doc_id, filename, format, nb_pages, text) to be read instead of the files. provider and
+    fallback: module:name of something that makes a provider of models."""
 
     root_dir: str
     input_dir: str
@@ -25,6 +29,9 @@ class StructureConfig:
     graph_user: str = ""
     graph_password: str = ""
     graph_database: str = ""
+    transcripts: str = ""
+    provider: str = OFFLINE
+    fallback: str = ""
 
     def __post_init__(self) -> None:
         graph = [self.graph_uri, self.graph_user, self.graph_password, self.graph_database]
@@ -49,6 +56,9 @@ class QueryConfig:
     chunks_top_k: int = 5
     nodes_top_k: int = 10
     max_iterations: int = 20
+    chunk_size: int = 1024
+    provider: str = OFFLINE
+    agents: bool = True
 
     def __post_init__(self) -> None:
         if min(self.workers, self.chunks_top_k, self.nodes_top_k, self.max_iterations) <= 0:
@@ -115,3 +125,13 @@ def api_key(given: str | None, name: str, env: dict[str, str] | None = None) ->
     if not found:
         raise ValueError(f"give a key or set {name}")
     return found
+
+
+def made(name: str):
+    """What the callable module:name makes, called without arguments; None for an empty name."""
+    if not name:
+        return None
+    module, colon, what = name.partition(":")
+    if not colon:
+        raise ValueError(f"{name} isn't module:name")
+    return getattr(importlib.import_module(module), what)()

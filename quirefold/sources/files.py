@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import basename, media_type, orientation, relative
+from quirefold.functions.text import basename, media_type, relative
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -45,30 +45,6 @@ def file_metadata(files: DataFrame, root: str, cache_dir: str | None = None) ->
     return files.select("path", F.struct(plain.alias("file_path"), basename(plain).alias("file_name"), media_type(plain).alias("file_type"), F.col("length").alias("file_size"), F.lit(None).cast("string").alias("creation_date"), day("modificationTime").alias("last_modified_date"), F.lit(None).cast("string").alias("last_accessed_date"), relative(plain, root.split("://", 1)[-1]).alias("relative_path"), F.lit(cache_dir).cast("string").alias("cache_dir")).alias("file"))
 
 
-def probe(files: DataFrame) -> DataFrame:
-    """path, nb_pages and format, from the bytes of each file: page objects are counted, and the first media box decides. A
-    plain scan for uncompressed objects, which needs no PDF library; files it can't read have null for both."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for batch in batches:
-            pages, width, height = [], [], []
-            for content in batch["content"]:
-                found = re.findall(rb"/Type\s*/Page(?![a-zA-Z])", content or b"")
-                box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", content or b"")
-                pages.append(len(found) or None)
-                width.append(float(box[3]) - float(box[1]) if box else None)
-                height.append(float(box[4]) - float(box[2]) if box else None)
-            yield pd.DataFrame({"path": batch["path"], "nb_pages": pd.array(pages, "Int64"), "width": width, "height": height})
-
-    seen = files.select("path", "content").mapInPandas(run, "path string, nb_pages long, width double, height double")
-    return seen.select("path", "nb_pages", F.when(F.col("width").isNotNull(), orientation(F.col("width"), F.col("height"))).alias("format"))
-
-
 def attach_extra(files: DataFrame, extra: DataFrame, key: str = "path") -> DataFrame:
     """Extra columns by key, never by position; every file needs its row."""
     from quirefold.operators.checks import none_of

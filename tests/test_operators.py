@@ -148,3 +148,81 @@ def test_full_pages(spark):
     hits = R.chunk_top_k(chunks, asked, 5)
     assert [r.chunk_id for r in hits.orderBy("rank").collect()] == ["a", "b", "c"]  # of equal scores the smaller id
     assert [(r.page_number, r.rank, r.text) for r in R.full_pages(hits, chunks).orderBy("rank").collect()] == [(1, 1, "x\ny"), (2, 2, "z")]
+
+
+def test_deep_headings(spark):
+    """A line of 5,000 marks, 1,000 nested headings and an ordinary document in one table."""
+    nested = "\n".join("#" * n + f" h{n}" for n in range(1, 1001))
+    docs = spark.createDataFrame([(0, "#" * 5000 + " far\n# near"), (1, nested), (2, "# A\n## B")], "doc_id long, text string")
+    got: dict = {}
+    for r in S.split_sections(docs).orderBy("doc_id", "section_ord").collect():
+        got.setdefault(r.doc_id, []).append((r.header, r.level, r.header_path))
+    assert got[0] == [("far", 5000, "/"), ("near", 1, "/")] and got[2] == [("A", 1, "/"), ("B", 2, "/A/")]
+    assert len(got[1]) == 1000 and got[1][999][2] == "/" + "".join(f"h{n}/" for n in range(1, 1000))
+    outlines = docs.select("doc_id", F.lit(0).cast("long").alias("nb_pages"), F.lit("d.pdf").alias("filename"), F.col("text").alias("structure"))
+    tree = O.landscape_outline(outlines)
+    rows = {(r.doc_id, r.number): (r.parent_number, r.depth) for r in O.with_depth(tree).collect()}
+    assert rows[0, -2] == (-1, 1) and rows[0, -3] == (-1, 1) and rows[1, -1001] == (-1000, 1000)
+    nodes, edges = N.build_index(tree, spark.createDataFrame([], "doc_id long, number long, seq long, content string"))
+    below = N.subtree(nodes, edges, N.roots(nodes).select("node_id"))
+    assert below.where("doc_id = 1").agg(F.max("depth")).first()[0] == 1000 and below.count() == 3 + 2 + 1000 + 2
+    lined = docs.select("doc_id", F.lit("d.pdf").alias("filename"), F.regexp_replace("text", "(h[0-9]+|far|near|A|B)", "$1 [line 7]").alias("structure"))
+    assert O.portrait_outline(lined).where("doc_id = 1").count() == 1001
+
+
+def test_outline_by_a_stack(spark):
+    random.seed(15)
+    docs, want = [], {}
+    for d in range(60):
+        lines, stack, heads, seen, rows = [], [], 0, set(), []
+        for k in range(random.randint(0, 14)):
+            if random.random() < 0.5:
+                level = random.randint(1, 5)
+                lines.append("#" * level + f" s{k}")
+                stack = [x for x in stack if x[0] < level]
+                rows.append((-2 - heads, stack[-1][1] if stack else -1))
+                stack.append((level, -2 - heads))
+                heads += 1
+            else:
+                page = random.randint(0, 7)
+                lines.append(f"- Page {page} : t{k}")
+                if page <= 5 and page not in seen:
+                    seen.add(page)
+                    rows.append((page, -1 - heads if heads else -1))
+        rest = [n for n in range(1, 6) if n not in seen]
+        want[d] = [(-1, None), *rows, *([(-2 - heads, -1)] if rest else []), *((n, -2 - heads) for n in rest)]
+        docs.append((d, 5, "d.pdf", "\n".join(lines)))
+    found: dict = {}
+    for r in O.landscape_outline(spark.createDataFrame(docs, "doc_id long, nb_pages long, filename string, structure string")).orderBy("doc_id", "ord").collect():
+        found.setdefault(r.doc_id, []).append((r.number, r.parent_number))
+    assert found == want
+
+
+def test_upkeep_of_a_tree(spark):
+    nodes = spark.createDataFrame([("r", 1, "root"), ("a", 1, "page"), ("b", 1, "page"), ("o", 2, "page")], "node_id string, doc_id long, kind string")
+    edges = spark.createDataFrame([("r", "a", 1)], "parent_id string, child_id string, child_ord long")
+    edges = N.set_parent(nodes, edges, "b", "r")
+    assert sorted(map(tuple, edges.collect())) == [("r", "a", 1), ("r", "b", 2)] and N.set_parent(nodes, edges, "b", "r").count() == 2
+    assert N.children_of(nodes, N.set_children(nodes, edges, "r", ["b", "a"]), "r") == ["b", "a"]
+    for wrong in (lambda: N.set_parent(nodes, edges, "x", "r"), lambda: N.set_parent(nodes, edges, "b", "a"), lambda: N.set_children(nodes, edges, "a", ["b"]), lambda: N.set_root(nodes, "a"), lambda: N.set_root(nodes, "x")):
+        with pytest.raises(Violation):
+            wrong()
+    assert N.roots(N.set_root(nodes, "o")).count() == 2
+    left, gone = N.remove_child(edges, "r", "a")
+    assert gone and left.count() == 1 and not N.remove_child(left, "r", "a")[1]
+    more = N.insert_nodes(nodes, spark.createDataFrame([("n", 2, "page")], "node_id string, doc_id long, kind string"))
+    assert N.size(more) == 5 and N.is_node(more, "n") and not N.is_node(nodes, "n")
+    kept, cut = N.delete_node(more, edges, spark.createDataFrame([("a",)], "node_id string"))
+    assert N.size(kept) == 4 and [r.child_id for r in cut.collect()] == ["b"]
+    with pytest.raises(Violation):
+        N.lineage(spark.createDataFrame([("p", "q", 1), ("q", "p", 1)], "parent_id string, child_id string, child_ord long"))
+
+
+def test_tags_are_letters(spark):
+    assert one(spark, T.unwrap_any, "a\n```json5 x\n```") == "5 x" and one(spark, T.unwrap_any, "```py_t\nx\n```") == "_t\nx"
+
+
+def test_long_sentences_are_cut(spark):
+    pages = spark.createDataFrame([(0, 1, " ".join(f"w{k}" for k in range(11)) + ". End.")], "doc_id long, page_number long, text string")
+    got = [(r.chunk_ord, r.n_tokens) for r in P.chunk_sentences(pages, 4).orderBy("chunk_ord").collect()]
+    assert got == [(0, 4), (1, 4), (2, 4)]

@@ -2,11 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions.models import Blocked, Busy, Offline, call, generated, reformatted, summaries
-from quirefold.plans.answer import Router, document_tools, index_chunks
-from quirefold.plans.ingest import ingest, tree_index
+from quirefold.operators.checks import Violation
+from quirefold.plans.answer import Router, document_tools, index_chunks, stored_index
+from quirefold.plans.ingest import ingest, read_documents, tree_index
 from quirefold.plans.inspect import metadata, picker, rendered_outline
-from quirefold.sources.config import QueryConfig, StructureConfig, api_key, load, parse
-from quirefold.sources.files import check_input, discover, file_metadata, probe
+from quirefold.sources import graph, pdf
+from quirefold.sources.config import QueryConfig, StructureConfig, api_key, load, made, parse
+from quirefold.sources.files import check_input, discover, file_metadata
 
 
 class Flaky:
@@ -108,7 +110,7 @@ def test_discovery(spark, tmp_path):
     found = discover(spark, str(tmp_path), str(tmp_path))
     assert found.count() == 1
     assert file_metadata(found, str(tmp_path)).select("file.relative_path", "file.file_type").first()[:] == ("x/a.pdf", "application/pdf")
-    assert probe(found).select("nb_pages", "format").first()[:] == (2, "landscape")
+    assert pdf.probe(found).select("nb_pages", "format", "error").first()[:] == (None, None, "Broken: no catalog")
     (tmp_path / "empty").mkdir()
     assert discover(spark, str(tmp_path / "empty"), str(tmp_path)).count() == 0
     with pytest.raises(ValueError):
@@ -117,6 +119,174 @@ def test_discovery(spark, tmp_path):
         discover(spark, str(tmp_path / "b.txt"), str(tmp_path))
 
 
+# ---- PDF files
+
+
+def test_pdf_pages():
+    data = pdf.text_pdf(["Hello (World) \\ one\nsecond line", "é page two", ""], 800, 600)
+    doc = pdf.Document(data)
+    pages = doc.pages()
+    assert [doc.box(p) for p in pages] == [(800.0, 600.0)] * 3
+    assert [doc.text(p) for p in pages] == ["Hello (World) \\ one\nsecond line", "é page two", ""]
+    alone = [pdf.Document(doc.alone(p)) for p in pages]
+    assert [len(d.pages()) for d in alone] == [1, 1, 1] and [d.text(d.pages()[0]) for d in alone] == [doc.text(p) for p in pages]
+    assert alone[1].box(alone[1].pages()[0]) == (800.0, 600.0)
+
+
+def test_pdf_without_compression():
+    body = b"BT (a\\(b\\)\\101) Tj 0 -12 Td [(c) -20 <64 6>] TJ ET"
+    data = b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R 2 0 R]/Count 1/MediaBox [0 0 600 800]>> endobj 3 0 obj <</Type/Page/Parent 2 0 R /Contents 4 0 R % note\n/Rotate 90>> endobj 4 0 obj <</Length 5 0 R>> stream\n" + body + b"\nendstream endobj 5 0 obj 10 endobj trailer <</Root 1 0 R>>"
+    doc = pdf.Document(data)
+    assert len(doc.pages()) == 1 and doc.box(doc.pages()[0]) == (600.0, 800.0) and doc.text(doc.pages()[0]) == "a(b)A\ncd`"
+    with pytest.raises(pdf.Broken, match="encrypted"):
+        pdf.Document(data.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt 9 0 R"))
+
+
+class Counting(Offline):
+    """Notes each call in a file of its own."""
+
+    def __init__(self, folder):
+        super().__init__()
+        self.folder = str(folder)
+
+    def note(self, kind):
+        import pathlib
+        import uuid
+
+        (pathlib.Path(self.folder) / f"{kind}-{uuid.uuid4().hex}").touch()
+
+    def generate(self, prompt, attachment=None):
+        self.note("page" if attachment else "text")
+        return super().generate(prompt, attachment)
+
+    def embed(self, texts):
+        for _ in texts:
+            self.note("vector")
+        return super().embed(texts)
+
+    def calls(self):
+        import pathlib
+        from collections import Counter
+
+        return Counter(p.name.split("-")[0] for p in pathlib.Path(self.folder).iterdir())
+
+
+def test_documents_from_files(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    root = tmp_path / "root"
+    (root / "in" / "deep").mkdir(parents=True)
+    (root / "in" / "a.pdf").write_bytes(pdf.text_pdf(["# One", "alpha beta"]))
+    (root / "in" / "deep" / "b.pdf").write_bytes(pdf.text_pdf(["Slide"], 800, 600))
+    provider, cache = Counting(notes), str(tmp_path / "cache")
+    read = lambda: {r.doc_id: r for r in read_documents(spark, str(root / "in"), str(root), cache, provider).collect()}
+    got = read()
+    assert got["in/a.pdf"].text == "# One\n\n--- end page 1\n\nalpha beta\n\n--- end page 2\n\n"
+    assert {(r.filename, r.format, r.nb_pages, r.file.relative_path) for r in got.values()} == {("a.pdf", "portrait", 2, "in/a.pdf"), ("b.pdf", "landscape", 1, "in/deep/b.pdf")}
+    assert provider.calls() == {"page": 3}
+    (root / "in" / "c.pdf").write_bytes(pdf.text_pdf(["new"]))
+    assert set(read()) == {"in/a.pdf", "in/deep/b.pdf", "in/c.pdf"} and provider.calls() == {"page": 4}  # one call for each page
+    (root / "in" / "d.pdf").write_bytes(b"%PDF-1.4 broken")
+    with pytest.raises(Violation, match="d.pdf"):
+        read()
+
+
+def test_index_is_made_once(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    docs = spark.createDataFrame(DOCS, "doc_id long, filename string, format string, nb_pages long, text string")
+    provider, storage = Counting(notes), str(tmp_path / "s")
+    chunks, tools = stored_index(docs.where("doc_id < 2"), storage, provider)
+    first = provider.calls()
+    assert (chunks.count(), tools.count()) == (3, 2) and first["vector"] == 5 and first["text"] == 2
+    stored_index(docs.where("doc_id < 2"), storage, provider)
+    assert provider.calls() == first
+    chunks, tools = stored_index(docs, storage, provider)
+    assert (chunks.count(), tools.count()) == (4, 3) and provider.calls()["vector"] == 7 and provider.calls()["text"] == 3
+    spark.read.parquet(f"{storage}/vectors").where("doc_id = 0").withColumn("build", F.lit("broken off")).write.mode("append").parquet(f"{storage}/vectors")
+    assert stored_index(docs, storage, provider)[0].count() == 4  # parts of a build that broke off aren't read
+    with pytest.raises(ValueError):
+        stored_index(docs.limit(0), str(tmp_path / "none"), provider)
+
+
+def test_agents(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id long, filename string, format string, nb_pages long, text string")
+    chunks, tools = stored_index(docs, str(tmp_path), Offline())
+    router = Router(chunks, tools, Offline(), nodes_top_k=2)
+    calls = spark.createDataFrame([("x", 0, "gamma"), ("y", 1, "a summary please")], "call_id string, doc_id long, query string")
+    got = {r.call_id: (r.trace, r.response) for r in router.ask_documents(calls).collect()}
+    assert got["x"][0] == ["vector_tool"] and got["y"][0] == ["summary_tool"]
+    assert got["x"][1].startswith("vector_tool gamma") and "Alpha slide" in got["y"][1]
+    asked = spark.createDataFrame([(7, "beta slide")], "query_id long, query string")
+    row = router.agents(asked).first()
+    assert row.query_id == 7 and row.trace == ["doc_1"] and "Beta slide" in row.response
+    both = spark.createDataFrame([(1, "beta slide", ["doc_1", "doc_0"])], "call_id long, query string, members array<string>")
+    compared = router.compare(both).first()
+    assert compared.n_sub == 2 and compared.response.startswith("beta slide doc_1 beta slide")
+
+
+class Endless(Offline):
+    def generate(self, prompt, attachment=None):
+        return "Tool: nothing\nInput: x" if "Write a line Tool" in prompt else super().generate(prompt, attachment)
+
+
+def test_agents_that_never_answer(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id long, filename string, format string, nb_pages long, text string")
+    chunks, tools = stored_index(docs, str(tmp_path), Offline())
+    asked = spark.createDataFrame([(7, "beta slide")], "query_id long, query string")
+    row = Router(chunks, tools, Endless(), max_iterations=2).agents(asked).first()
+    assert row.response is None and row.trace == ["nothing", "nothing", "no answer"]
+
+
+class Store:
+    """A session that notes what it is asked to run."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def run(self, statement, rows=()):
+        import json
+        import uuid
+
+        with open(f"{self.path}/{uuid.uuid4().hex}", "w") as f:
+            json.dump([statement, [dict(r) for r in rows]], f)
+
+    def close(self):
+        pass
+
+
+def test_graph_store(spark, tmp_path):
+    import json
+
+    nodes = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "node_id string, doc_id long")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "lost", 2)], "parent_id string, child_id string, child_ord long")
+    path = str(tmp_path)
+    graph.export(nodes, edges, lambda: Store(path), rows_per_batch=2)
+    ran = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert {s for s, _ in ran} == {graph.WIPE, graph.UNIQUE, graph.NODES, graph.EDGES}
+    assert sorted(r["node_id"] for s, rows in ran if s == graph.NODES for r in rows) == ["a", "b", "c"]
+    assert [r["child_id"] for s, rows in ran if s == graph.EDGES for r in rows] == ["b"]
+    with pytest.raises(Violation):
+        graph.export(nodes.unionByName(nodes), edges, lambda: Store(path))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quirefold.__main__ import main
+
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "a.pdf").write_bytes(pdf.text_pdf(["# One\nalpha beta gamma.", "## Two\ndelta."]))
+    (root / "b.pdf").write_bytes(pdf.text_pdf(["Intro slide", "Plan slide"], 800, 600))
+    (tmp_path / "s.yaml").write_text(f"root_dir: {root}\ninput_dir: {root}\nstorage_dir: {tmp_path}/st\n")
+    (tmp_path / "q.yaml").write_text(f"root_dir: {root}\nstorage_dir: {tmp_path}/st\nqueries:\n  - where is the plan\n")
+    main(["structure", "--config", str(tmp_path / "s.yaml")])
+    assert spark.read.parquet(f"{tmp_path}/st/tree_nodes").where("kind = 'root'").count() == 2
+    main(["query", "--config", str(tmp_path / "q.yaml")])
+    out = capsys.readouterr().out
+    assert "where is the plan" in out and "no answer" not in out
+    assert isinstance(made("quirefold.functions.models:Offline"), Offline) and made("") is None
+
+
 def test_stream(spark, tmp_path):
     from quirefold.streaming.transcripts import page_stream
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +45,17 @@ def f_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
+def as_pdf(text: Column, landscape: Column) -> Column:
+    """A PDF file with a page for each line of the text."""
+    from quirefold.sources.pdf import text_pdf
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series, wide: pd.Series) -> pd.Series:
+        return pd.Series([text_pdf((t or "").split("\n"), *((800, 600) if w else (600, 800))) for t, w in zip(texts, wide)])
+
+    return made(text, landscape)
+
+
 #: The same views as SQL for DuckDB.
 MD_SQL = """md_l AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
 md_k AS (SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id) AS mx,

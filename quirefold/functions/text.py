@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,9 +125,14 @@ def tree_line(depth: Column, name: Column, number: Column) -> Column:
 
 
 def display(c: Column) -> Column:
-    """JSON-looking strings are set out, others stay."""
-    parsed = F.try_parse_json(c)
-    return F.when(c.rlike("^\\s*[\\[{]") & parsed.isNotNull(), F.to_json(parsed, {"pretty": "true"})).otherwise(c)
+    """JSON objects and lists are set out with an indent of two, others stay. Spark's own writer doesn't set out variants; this is for
+    what a viewer shows of one document."""
+
+    @F.pandas_udf("string")
+    def set_out(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: json.dumps(json.loads(v), indent=2, ensure_ascii=False), na_action="ignore")
+
+    return F.when(c.rlike("^\\s*[\\[{]") & F.try_parse_json(c).isNotNull(), set_out(F.when(F.try_parse_json(c).isNotNull(), c))).otherwise(c)
 
 
 def orientation(width: Column, height: Column) -> Column:

@@ -18,6 +18,8 @@ from quirefold.operators import retrieval as R
 from quirefold.operators import sections as S
 from quirefold.operators import store as D
 from quirefold.operators import tree as N
+from quirefold.sources import files as FS
+from quirefold.sources import prompts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -240,6 +242,33 @@ def outline_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.render(O.with_depth(_outlines(spark, sf_dir)))
 
 
+_PORTRAIT = "concat('# One [line ', CAST(doc_id % 3 AS VARCHAR), ']', chr(10), '## Two [line ', CAST(doc_id % 4 AS VARCHAR), ']')"
+
+
+def _portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of two lines; those of ids that end in 9 are empty."""
+    docs = X.table(spark, sf_dir, "documents").select("doc_id")
+    lines = F.concat(F.lit("# One [line "), (F.col("doc_id") % 3).cast("string"), F.lit("]\n## Two [line "), (F.col("doc_id") % 4).cast("string"), F.lit("]"))
+    return docs.select("doc_id", F.concat(F.lit("deck_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.when(F.col("doc_id") % 10 == 9, "").otherwise(lines).alias("structure"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'empty' ELSE 'order' END AS problem FROM documents WHERE doc_id % 10 = 9 OR doc_id % 3 <> 0 OR doc_id % 4 < doc_id % 3""")
+def portrait_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.portrait_violations(_portraits(spark, sf_dir))
+
+
+@query(f"""WITH {_OUTLINE},
+pr AS (SELECT doc_id, 0 AS ord, -1 AS number, 'deck_' || CAST(doc_id AS VARCHAR) AS name, 'root' AS kind, 0 AS level, NULL AS parent_number FROM documents
+  UNION ALL SELECT doc_id, 1, doc_id % 3, 'One', 'section', 1, -1 FROM documents WHERE doc_id % 10 <> 9
+  UNION ALL SELECT doc_id, 2, doc_id % 4, 'Two', 'section', 2, doc_id % 3 FROM documents WHERE doc_id % 10 <> 9)
+SELECT * FROM ol WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, ord, CAST(number AS BIGINT), name, kind, CAST(level AS BIGINT), CAST(parent_number AS BIGINT) FROM pr WHERE doc_id % 2 = 1""")
+def outline_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks of even ids are landscape, those of odd ids portrait."""
+    slides = X.f_out(spark, sf_dir).where("doc_id % 2 = 0").withColumn("format", F.lit("landscape"))
+    papers = _portraits(spark, sf_dir).where("doc_id % 2 = 1").withColumns({"format": F.lit("portrait"), "nb_pages": F.lit(1).cast(LONG)})
+    return O.outline(slides.unionByName(papers))
+
+
 def _walk(spark: SparkSession, sf_dir: str, order: str, start: str) -> DataFrame:
     nodes, edges = _index(spark, sf_dir)
     below = N.subtree(nodes, edges, nodes.where(start).select("node_id"))
@@ -337,6 +366,74 @@ def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.upsert_nodes(rows)
 
 
+@query("""WITH e AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS parent_id, 't' || event_type AS child_id FROM events WHERE user_id % 3 <> 0 AND event_type <> 'purchase') SELECT * FROM e""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each user to each kind of event; users of every third id and one kind have no node."""
+    events = X.table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("parent_id"), F.concat(F.lit("t"), "event_type").alias("child_id"), "user_id", "event_type")
+    nodes = events.where("user_id % 3 <> 0").select(F.col("parent_id").alias("node_id")).unionByName(events.where("event_type <> 'purchase'").select(F.col("child_id").alias("node_id")))
+    return N.upsert_edges(events.select("parent_id", "child_id"), nodes)
+
+
+@query(f"WITH {_OUTLINE}, {_NODES} SELECT kind, count(*) AS n FROM nd GROUP BY kind")
+def tree_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)[0].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_OUTLINE}, {_NODES}, {_EDGES},
+k AS (SELECT * FROM nd WHERE number <> 1 OR kind <> 'page')
+SELECT 'node' AS part, doc_id, count(*) + 1 AS n FROM k GROUP BY doc_id UNION ALL SELECT 'edge', doc_id, count(*) FROM ed WHERE number <> 1 GROUP BY doc_id""")
+def tree_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first page goes with its edge, and a new node comes in."""
+    nodes, edges = _index(spark, sf_dir)
+    owner = nodes.select(F.col("node_id").alias("child_id"), "doc_id")
+    nodes, edges = N.delete_node(nodes, edges, nodes.where("kind = 'page' and number = 1"))
+    new = X.table(spark, sf_dir, "documents").select(F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("node_id"), "doc_id", F.lit("orphan").alias("kind"))
+    left = edges.join(owner, "child_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "doc_id", "n")
+    return N.insert_nodes(nodes, new).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "doc_id", "n").unionByName(left)
+
+
+# ---- files
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("file:///store/"), "lang", F.lit("/"), "source", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(").pdf"))
+    return docs.select("doc_id", path.alias("path"), F.timestamp_seconds(F.col("doc_id") * 90_061).alias("modificationTime"), F.col("n_chars").alias("length"), "text")
+
+
+@query("""SELECT lang || '/' || source || ' (' || CAST(doc_id AS VARCHAR) || ').pdf' AS relative_path, source || ' (' || CAST(doc_id AS VARCHAR) || ').pdf' AS file_name, 'application/pdf' AS file_type, n_chars AS file_size,
+  strftime(make_timestamp(doc_id * 90061 * 1000000), '%Y-%m-%d') AS last_modified_date, quality FROM documents JOIN labels USING (doc_id)""")
+def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File data with extra columns by key: labels of the files that have some."""
+    files = _files(spark, sf_dir)
+    extra = X.table(spark, sf_dir, "labels").join(files.select("doc_id", "path"), "doc_id").select("path", "quality")
+    data = FS.file_metadata(files.join(extra.select("path"), "path", "left_semi"), "file:///store")
+    joined = FS.attach_extra(data, extra)
+    return joined.select("file.relative_path", "file.file_name", "file.file_type", "file.file_size", "file.last_modified_date", "quality")
+
+
+@query("SELECT doc_id, sha256('data:application/pdf;base64,' || to_base64(encode(text))) AS url_sha256 FROM documents")
+def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = T.data_url(F.encode("text", "utf-8"))
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace(url, "\\s", ""), 256).alias("url_sha256"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(range(len(a))) + 1 AS n, unnest(a) AS t FROM (SELECT doc_id, string_split(regexp_replace(text, '[^\\x20-\\x7E\\n]', '?', 'g'), chr(10)) AS a FROM documents))
+SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename, CASE WHEN doc_id % 2 = 0 THEN 'landscape' ELSE 'portrait' END AS format, count(*) AS nb_pages,
+  sha256(string_agg(regexp_replace(t, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || '--- end page ' || CAST(n AS VARCHAR) || chr(10) || chr(10), '' ORDER BY n)) AS text_sha256 FROM l GROUP BY doc_id""")
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, a page for each line (of printable ASCII), read, cut into pages, transcribed page by page and put together."""
+    from quirefold.plans.ingest import documents
+    from quirefold.scratch import Scratch
+
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^\\x20-\\x7E\\n]", "?").alias("text"))
+    files = docs.select("doc_id", F.concat(F.lit("file:///in/d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), X.as_pdf(F.col("text"), F.col("doc_id") % 2 == 0).alias("content"))
+    scratch = Scratch(spark)
+    read = documents(scratch.write(files, "files"), f"{scratch.root}/cache", Offline())
+    return read.select("doc_id", "filename", "format", "nb_pages", F.sha2("text", 256).alias("text_sha256"))
+
+
 # ---- text functions
 
 _WRAP = """w AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'Here:' || chr(10) || '```markdown' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN '```markdown' || chr(10) || text ELSE text END AS t FROM conversations)"""
@@ -400,8 +497,40 @@ def storage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *(c.alias(n) for n, c in names.items()), T.stem(F.col("path")).alias("bare"), T.media_type(F.col("path")).alias("media"))
 
 
+@query("SELECT event_id, regexp_replace(props, '\\s', '', 'g') AS shown, true AS set_out FROM events")
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = T.display(F.col("props"))
+    return X.table(spark, sf_dir, "events").select("event_id", F.regexp_replace(shown, "\\s", "").alias("shown"), shown.contains("\n").alias("set_out"))
+
+
+@query(f"""WITH {X.MD_SQL} SELECT doc_id, sha256(concat('{prompts.TOC}', CASE WHEN doc_id % 4 < 2 THEN 'The pages are slides.' || chr(10) ELSE '' END, string_split(text, '--- end page 10')[1])) AS prompt_sha256 FROM md""")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _stored(spark, sf_dir)
+    return docs.select("doc_id", F.sha2(prompts.toc_prompt(T.head_pages(F.col("text")), F.col("format") == "landscape"), 256).alias("prompt_sha256"))
+
+
 # ---- stored documents
 
+@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'lang,quality,source' WHEN quality = 0 THEN 'lang,source' ELSE 'lang' END AS names FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
+def drop_null_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as a map: quality is there for good documents, the source for labelled ones."""
+    rows = X.table(spark, sf_dir, "documents").join(X.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    found = F.create_map(F.lit("source"), F.when(F.col("quality").isNotNull(), F.col("source")), F.lit("quality"), F.when(F.col("quality") == 1, F.lit("good")), F.lit("lang"), F.col("lang"))
+    return rows.select("doc_id", F.array_join(F.sort_array(F.map_keys(D.without_nulls(found))), ",").alias("names"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT CAST(label AS BIGINT) FROM embeddings)")
+def docs_with_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.with_source(X.table(spark, sf_dir, "documents").select("doc_id", "lang"), X.f_chunks(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM documents) GROUP BY source")
+def bag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended to a stored table stay beside what is there, equal ones too."""
+    docs = X.table(spark, sf_dir, "documents").select("source", "doc_id")
+    return docs.where("doc_id % 2 = 0").unionByName(docs).groupBy("source").agg(F.count("*").alias("n"))
+
+
 
 @query("""SELECT doc_id, name, value FROM (SELECT doc_id, 'lang' AS name, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents) WHERE value IS NOT NULL""")
 def metadata_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,6 +633,29 @@ def landscape_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(_stored(spark, sf_dir), Offline()).select("doc_id", "pages")
 
 
+_PAGE_TITLES = """pt AS (SELECT doc_id, pos // 6 + 1 AS n, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS body FROM md_k GROUP BY ALL),
+tt AS (SELECT doc_id, n, 'Page ' || CAST(n AS VARCHAR) || ' : ' || CASE WHEN body = '' THEN 'Untitled' ELSE substr(string_split(body, chr(10))[1], 1, 60) END AS title FROM pt)"""
+
+
+@query(f"""WITH {_TOC}, t AS (SELECT doc_id, string_agg(entry, chr(10) ORDER BY line_no) AS toc FROM al GROUP BY doc_id)
+SELECT md.doc_id, CASE WHEN md.doc_id % 4 < 2 THEN '# Contents (Page 1)' ELSE coalesce(toc, '') END AS created_toc FROM md LEFT JOIN t ON t.doc_id = md.doc_id""")
+def toc_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.plans.ingest import created_tocs
+
+    return created_tocs(_stored(spark, sf_dir).withColumn("is_reformatted", F.lit(True)), Offline()).select("doc_id", "created_toc")
+
+
+@query(f"""WITH {_TOC}, {_PAGE_TITLES}, t AS (SELECT doc_id, string_agg(entry, chr(10) ORDER BY line_no) AS toc FROM al GROUP BY doc_id),
+g AS (SELECT doc_id, '# Contents' || chr(10) || string_agg('- ' || regexp_replace(title, '\\s+$', ''), chr(10) ORDER BY n) AS grouped FROM tt GROUP BY doc_id)
+SELECT md.doc_id, CASE WHEN md.doc_id % 4 < 2 THEN grouped ELSE coalesce(toc, '') END AS structure FROM md LEFT JOIN t ON t.doc_id = md.doc_id LEFT JOIN g ON g.doc_id = md.doc_id""")
+def structure_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.plans.ingest import created_tocs, structures
+    from quirefold.plans.ingest import landscape_pages as titles
+
+    docs = created_tocs(_stored(spark, sf_dir).withColumn("is_reformatted", F.lit(True)), Offline()).withColumn("extracted_toc", F.lit(""))
+    return structures(titles(docs, Offline()), Offline()).select("doc_id", F.regexp_replace("structure", "[ \\t]+(?=\n|$)", "").alias("structure"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.plans.answer import index_chunks
 

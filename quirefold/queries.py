@@ -355,9 +355,10 @@ def tree_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.integrity(nodes, edges)
 
 
-@query(f"WITH {_OUTLINE} SELECT doc_id, number FROM ol WHERE number > 3 + doc_id % 9")
+@query(f"WITH {_OUTLINE} SELECT doc_id, number FROM ol WHERE number = 2 AND doc_id % 3 = 0")
 def tree_missing_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.missing_nodes(_outlines(spark, sf_dir), _parts(spark, sf_dir))
+    """Every third document lacks its second page."""
+    return N.missing_nodes(_outlines(spark, sf_dir), _parts(spark, sf_dir).where("number <> 2 or doc_id % 3 <> 0"))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS node_id, event_type AS name, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")

@@ -9,7 +9,7 @@ from quirefold.functions import text as T
 from quirefold.functions.models import Provider, generated, reformatted
 from quirefold.functions.text import basename, relative
 from quirefold.operators import pages as P
-from quirefold.operators.checks import none_of
+from quirefold.operators.checks import lacking, none_of
 from quirefold.operators.outline import outline
 from quirefold.operators.sections import markdown_toc, split_sections
 from quirefold.operators.store import cache_split, new_rows
@@ -33,6 +33,15 @@ def erase(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cached(rows: DataFrame, path: str, key: str, make) -> DataFrame:
+    """What make(rows) gives, by key: from the table at path as it is there, and made and appended for rows that it lacks."""
+    spark = rows.sparkSession
+    missing = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else rows
+    if not missing.isEmpty():
+        make(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(rows.select(key).distinct(), key, "left_semi") if exists(spark, path) else make(rows)
+
+
 def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 4, wait: float = 5.0, image: str | None = None) -> DataFrame:
     """(doc_id, text, nb_pages) from page rows (doc_id, page_number, content, and for the fallback perhaps a column with an image)."""
     asked = pages.withColumn("__p", F.lit(prompts.TRANSCRIBE))
@@ -43,14 +52,10 @@ def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None =
 def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 4) -> DataFrame:
     """(doc_id, filename, format, nb_pages, text) of PDF files (doc_id, path, content). Transcripts come from the cache table as they are;
     files that it lacks are cut into pages, transcribed, and appended to it. A file that can't be read raises."""
-    spark = files.sparkSession
     none_of(pdf.probe(files).where("nb_pages is null").select("path", "error"), "files that can't be read")
-    missing = files.join(spark.read.parquet(cache).select("doc_id"), "doc_id", "left_anti") if exists(spark, cache) else files
-    if not missing.isEmpty():
-        transcribe(pdf.pages(missing, ["doc_id"]), provider, fallback, workers).write.mode("append").parquet(cache)
+    texts = cached(files, cache, "doc_id", lambda rows: transcribe(pdf.pages(rows, ["doc_id"]), provider, fallback, workers))
     shape = pdf.probe(files).join(files.select("path", "doc_id"), "path").select("doc_id", basename(F.col("path")).alias("filename"), "format", "nb_pages")
-    texts = spark.read.parquet(cache).select("doc_id", "text") if exists(spark, cache) else spark.createDataFrame([], "doc_id string, text string")
-    return shape.join(texts, "doc_id")
+    return shape.join(texts.select("doc_id", "text"), "doc_id")
 
 
 def read_documents(spark: SparkSession, path: str, root: str, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 4) -> DataFrame:
@@ -107,13 +112,14 @@ def structures(docs: DataFrame, provider: Provider) -> DataFrame:
 
 def ingest(docs: DataFrame, storage: str, provider: Provider, most: int = 50) -> DataFrame:
     """All model stages over new documents (doc_id, filename, format, nb_pages, text); appended to the stored ones. Contents seen
-    before are left out, so a repeated run does nothing."""
+    before are left out, so a repeated run does nothing, and reformatted texts are kept by content, so a run that breaks off later
+    doesn't pay for them again."""
     spark = docs.sparkSession
     seen = spark.read.parquet(f"{storage}/hashes") if exists(spark, f"{storage}/hashes") else None
     fresh = stored(new_rows(docs, seen), f"{storage}/stage/new")
     if not fresh.isEmpty():
-        portrait = reformatted(fresh, provider, most).withColumn("is_reformatted", F.lit(True))
-        now = stored(portrait, f"{storage}/stage/reformatted")
+        none_of(lacking(fresh, ["filename", "format", "nb_pages", "text"]), "documents that lack something")
+        now = cached(fresh, f"{storage}/reformatted", "hash", lambda rows: reformatted(rows, provider, most).withColumn("is_reformatted", F.lit(True)))
         for name, stage in (("contexts", contexts), ("extracted", extracted_tocs), ("created", created_tocs), ("pages", landscape_pages), ("structures", structures)):
             now = stored(stage(now, provider), f"{storage}/stage/{name}")
         now.drop("hash").write.mode("append").parquet(f"{storage}/documents")
@@ -130,5 +136,6 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def tree_index(docs: DataFrame, storage: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    none_of(lacking(docs, ["filename", "format", "nb_pages", "structure"]), "documents that lack something")
     nodes, edges = build_index(outline(docs), parts(docs), strict=strict)
     return stored(nodes, f"{storage}/tree_nodes"), stored(edges, f"{storage}/tree_edges")

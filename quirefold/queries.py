@@ -18,6 +18,9 @@ from quirefold.operators import retrieval as R
 from quirefold.operators import sections as S
 from quirefold.operators import store as D
 from quirefold.operators import tree as N
+from quirefold.operators.checks import lacking
+from quirefold.plans.answer import Router, document_tools, index_chunks, stored_index
+from quirefold.scratch import Scratch
 from quirefold.sources import files as FS
 from quirefold.sources import prompts
 
@@ -125,8 +128,7 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_pages(X.f_md(spark, sf_dir)).select("doc_id", "page_number", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(f"""
-WITH RECURSIVE {X.MD_SQL},
+_CHUNKS = f"""{X.MD_SQL},
 b AS (SELECT doc_id, pos // 6 + 1 AS page_number, string_agg(line || chr(10), '' ORDER BY pos) AS body FROM md_k GROUP BY ALL),
 r AS (SELECT doc_id, page_number, unnest(string_split_regex(regexp_replace(body, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s, unnest(range(len(string_split_regex(regexp_replace(body, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))))) AS ix FROM b),
 t AS (SELECT doc_id, page_number, ix, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM r),
@@ -134,7 +136,10 @@ w AS (SELECT doc_id, page_number, ix, s, string_split_regex(s, '\\s+') AS ws FRO
 u AS (SELECT doc_id, page_number, ix, i, CASE WHEN len(ws) > 64 THEN array_to_string(ws[i * 64 + 1 : (i + 1) * 64], ' ') ELSE s END AS s FROM (SELECT *, unnest(range((len(ws) + 63) // 64)) AS i FROM w)),
 n AS (SELECT doc_id, page_number, s, len(string_split_regex(s, '\\s+')) AS n, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY ix, i) AS k FROM u),
 p(doc_id, page_number, k, s, n, c, used) AS (SELECT doc_id, page_number, k, s, n, 0, n FROM n WHERE k = 1
-  UNION ALL SELECT n.doc_id, n.page_number, n.k, n.s, n.n, CASE WHEN used + n.n > 64 THEN c + 1 ELSE c END, CASE WHEN used + n.n > 64 THEN n.n ELSE used + n.n END FROM n JOIN p ON p.doc_id = n.doc_id AND p.page_number = n.page_number AND n.k = p.k + 1)
+  UNION ALL SELECT n.doc_id, n.page_number, n.k, n.s, n.n, CASE WHEN used + n.n > 64 THEN c + 1 ELSE c END, CASE WHEN used + n.n > 64 THEN n.n ELSE used + n.n END FROM n JOIN p ON p.doc_id = n.doc_id AND p.page_number = n.page_number AND n.k = p.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS}
 SELECT doc_id, page_number, CAST(c AS BIGINT) AS chunk_ord, CAST(sum(n) AS BIGINT) AS n_tokens, sha256(string_agg(s, ' ' ORDER BY k)) AS text_sha256 FROM p GROUP BY doc_id, page_number, c""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunk_sentences(P.split_pages(X.f_md(spark, sf_dir)), 64).select("doc_id", "page_number", "chunk_ord", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
@@ -426,7 +431,6 @@ SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename, CASE WHEN d
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as PDF files, a page for each line (of printable ASCII), read, cut into pages, transcribed page by page and put together."""
     from quirefold.plans.ingest import documents
-    from quirefold.scratch import Scratch
 
     docs = X.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^\\x20-\\x7E\\n]", "?").alias("text"))
     files = docs.select("doc_id", F.concat(F.lit("file:///in/d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), X.as_pdf(F.col("text"), F.col("doc_id") % 2 == 0).alias("content"))
@@ -520,6 +524,13 @@ def drop_null_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.sort_array(F.map_keys(D.without_nulls(found))), ",").alias("names"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 6 = 0 THEN 'lang,source' WHEN doc_id % 4 = 0 THEN 'lang' ELSE 'source' END AS lacks FROM documents WHERE doc_id % 4 = 0 OR doc_id % 6 = 0""")
+def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lack their language (every 4th) or source (every 6th)."""
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 6 != 0, F.col("source")).alias("source"))
+    return lacking(docs, ["lang", "source"])
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT CAST(label AS BIGINT) FROM embeddings)")
 def docs_with_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_source(X.table(spark, sf_dir, "documents").select("doc_id", "lang"), X.f_chunks(spark, sf_dir))
@@ -658,8 +669,6 @@ def structure_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirefold.plans.answer import index_chunks
-
     return index_chunks(_stored(spark, sf_dir), Offline(), 256)
 
 
@@ -672,6 +681,47 @@ def summary_tree_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(ordered, Offline())
 
 
+@query(f"""WITH RECURSIVE {_CHUNKS},
+c AS (SELECT doc_id, count(*) AS n_chunks FROM (SELECT DISTINCT doc_id, page_number, c FROM p) GROUP BY doc_id),
+d AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM md_k GROUP BY doc_id)
+SELECT doc_id, n_chunks, array_to_string({_WORDS.format(t="body")}[1:40], ' ') AS summary FROM c JOIN d USING (doc_id)""")
+def index_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and summaries of all documents, those of even ids from the tables that a first run has stored."""
+    docs, storage = _stored(spark, sf_dir), Scratch(spark).root
+    stored_index(docs.where("doc_id % 2 = 0"), storage, Offline(), 64)
+    chunks, tools = stored_index(docs, storage, Offline(), 64)
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks")).join(tools.select(F.col("doc_key").alias("doc_id"), F.col("description").alias("summary")), "doc_id")
+
+
+def _router(spark: SparkSession, sf_dir: str) -> Router:
+    chunks = X.f_chunks(spark, sf_dir)
+    told = chunks.groupBy("doc_id").agg(F.min_by("text", "chunk_ord").alias("summary"))
+    return Router(chunks, document_tools(told, Offline()), Offline(), chunks_top_k=3, nodes_top_k=3)
+
+
+_ASKED = "SELECT conv_id, text FROM conversations WHERE turn = 0"
+
+
+@query(f"SELECT conv_id AS call_id, conv_id % 10 AS doc_id, CASE WHEN contains(lower(text), 'summar') THEN 'summary_tool' ELSE 'vector_tool' END AS tool, true AS answered FROM ({_ASKED}) WHERE conv_id % 10 IN (SELECT label FROM embeddings)")
+def agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agent of a document answers each conversation's first turn with one of its two tools."""
+    asked = _first_turns(spark, sf_dir).select(F.col("query_id").alias("call_id"), (F.col("query_id") % 10).alias("doc_id"), "query")
+    router = _router(spark, sf_dir)
+    calls = asked.join(router.tools.select(F.col("doc_key").alias("doc_id")), "doc_id", "left_semi").select("call_id", "doc_id", "query")
+    found = router.ask_documents(calls)
+    return found.select("call_id", "doc_id", F.array_join("trace", ",").alias("tool"), (F.length("response") > 0).alias("answered"))
+
+
+@query(f"""WITH q AS (SELECT conv_id, {_WORDS.format(t="text")} AS w FROM ({_ASKED}))
+SELECT conv_id AS call_id, 3 AS n_sub, array_to_string((w || ['doc_' || CAST(conv_id % 8 AS VARCHAR)] || w || ['vector_tool'] || w)[1:12], ' ') AS begins FROM q WHERE (SELECT count(DISTINCT label) FROM embeddings) = 10""")
+def sub_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's first turn broken down for three documents, answered in each, and put together."""
+    names = F.array(*(F.concat(F.lit("doc_"), (F.col("query_id") % 8 + k).cast("string")) for k in range(3)))
+    calls = _first_turns(spark, sf_dir).select(F.col("query_id").alias("call_id"), "query", names.alias("members"))
+    found = _router(spark, sf_dir).compare(calls)
+    return found.select("call_id", F.col("n_sub").cast("int").alias("n_sub"), F.array_join(F.slice(F.split("response", " "), 1, 12), " ").alias("begins"))
+
+
 def _first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first turn of every conversation as a question."""
     return X.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")).dropDuplicates(["query_id"])
@@ -679,9 +729,7 @@ def _first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirefold.plans.answer import Router, document_tools
-
-    chunks = _chunks(spark, sf_dir).persist()
+    chunks = Scratch(spark).write(_chunks(spark, sf_dir), "chunks")
     told = chunks.groupBy("doc_id").agg(F.min_by("text", F.struct("page_number", "chunk_ord")).alias("summary"))
     router = Router(chunks, document_tools(told, Offline()), Offline())
     return router.answer(_first_turns(spark, sf_dir))

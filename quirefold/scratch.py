@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 8 << 20
 #: Bytes of a counted table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Rows of a file of a table whose size is known.
-FILE_ROWS = 1_000_000
+#: Bytes of a file of a table whose size has a known bound.
+FILE_BYTES = 32 << 20
 _ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxBytesPerOutputBatch": str(BATCH_BYTES)}
 _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _temporary: dict[str, str] = {}
@@ -61,11 +61,11 @@ class Scratch:
         _written.setdefault(spark.sparkContext.applicationId, []).append(self.root)
         bounded(spark)
 
-    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """rows: where the table is known to have no more than so many, it goes to a file for each FILE_ROWS of them, not to one for each
-        partition of the last shuffle."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None, width: int = 64) -> DataFrame:
+        """rows: the table has no more than so many, of about width bytes; it then goes to a file for each FILE_BYTES of that bound, not to
+        one for each partition of the last shuffle, and small tables cost few tasks and files."""
         if rows is not None:
-            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+            df = df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
         path = f"{self.root}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         before = self.spark.conf.get(_SHUFFLES, "false")
         self.spark.conf.set(_SHUFFLES, "true")

@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def bounded(spark: SparkSession) -> None:
     """Batches between Spark and its Python workers get a bound in bytes where the session sets none."""
     for key, value in _ARROW.items():
-        if not spark.conf._jconf.contains(key):
+        if key not in spark.conf.getAll:
             spark.conf.set(key, value)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirefold import fixtures as X
 from quirefold.functions import text as T
-from quirefold.functions.models import Offline, embedded, reformatted, summaries
+from quirefold.functions.models import Offline, embedded, generated, reformatted, summaries
 from quirefold.operators import outline as O
 from quirefold.operators import pages as P
 from quirefold.operators import retrieval as R
@@ -668,6 +668,42 @@ def structure_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures(titles(docs, Offline()), Offline()).select("doc_id", F.regexp_replace("structure", "[ \\t]+(?=\n|$)", "").alias("structure"))
 
 
+_STRIP = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+_INGESTED = f"""{X.MD_SQL},
+kept AS (SELECT min(doc_id) AS doc_id, {_STRIP.format(t="text")} || chr(10) AS text FROM md GROUP BY text)"""
+
+
+@query(f"""WITH {_INGESTED},
+{_TOC[len(X.MD_SQL) + 2 :].replace("FROM md)", "FROM kept)")},
+t AS (SELECT doc_id, string_agg(entry, chr(10) ORDER BY line_no) AS toc FROM al GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(string_split_regex(text, '--- end page [0-9]+')) AS body, unnest(range(len(string_split_regex(text, '--- end page [0-9]+')))) AS k, unnest(list_concat(regexp_extract_all(text, '--- end page ([0-9]+)', 1), [''])) AS n FROM kept),
+v AS (SELECT doc_id, k, n, {_STRIP.format(t="body")} AS body FROM u WHERE n <> ''),
+g AS (SELECT doc_id, '# Contents' || chr(10) || string_agg('- Page ' || n || ' : ' || CASE WHEN body = '' THEN 'Untitled' ELSE regexp_replace(substr(string_split(body, chr(10))[1], 1, 60), '\\s+$', '') END, chr(10) ORDER BY k) AS grouped FROM v GROUP BY doc_id),
+x AS (SELECT doc_id, {_STRIP.format(t="array_to_string(list_filter(string_split(string_split(text, '--- end page 10')[1], chr(10)), lambda l: starts_with(l, '#')), chr(10))")} AS extracted FROM kept)
+SELECT kept.doc_id, extracted AS extracted_toc, CASE WHEN kept.doc_id % 4 < 2 THEN grouped ELSE coalesce(toc, '') END AS structure, CAST(length(text) AS BIGINT) AS n_chars
+FROM kept LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN x USING (doc_id)""")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All model stages over all documents into a fresh store, the first of equal contents only; a second run finds nothing new."""
+    from quirefold.plans.ingest import ingest
+
+    storage = Scratch(spark).root
+    ingest(_stored(spark, sf_dir), storage, Offline())
+    found = ingest(_stored(spark, sf_dir), storage, Offline())
+    return found.select("doc_id", "extracted_toc", F.regexp_replace("structure", "[ \\t]+(?=\n|$)", "").alias("structure"), F.length("text").cast(LONG).alias("n_chars"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 THEN array_to_string({_WORDS.format(t="text")}[1:40], ' ') END AS said FROM conversations""")
+def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model call for each turn but every fourth, which has no prompt."""
+    turns = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 != 3, F.concat(F.lit("Say it again.\n\n"), "text")).alias("prompt"))
+    return generated(turns, "prompt", "said", Offline()).select("conv_id", "turn", "said")
+
+
+@query("SELECT 'doc_' || CAST(label AS VARCHAR) AS tool_name, 'chunk ' || CAST(min(vec_id) AS VARCHAR) AS description, 64 AS dim FROM embeddings GROUP BY label")
+def tool_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _router(spark, sf_dir).tools.select("tool_name", "description", F.size("embedding").alias("dim"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_chunks(_stored(spark, sf_dir), Offline(), 256)
 

@@ -15,7 +15,7 @@ BATCH_BYTES = 8 << 20
 #: Bytes of a counted table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a file of a table whose size has a known bound.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 4 << 20
 _ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxBytesPerOutputBatch": str(BATCH_BYTES)}
 _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _temporary: dict[str, str] = {}

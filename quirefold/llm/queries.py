@@ -12,7 +12,7 @@ from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
 from quirefold.llm.counts import count_tokens
 from quirefold.llm.licenses import license_scan
-from quirefold.llm.linedup import duplicate_lines
+from quirefold.llm.linedup import LEAST_CHARS, duplicate_lines
 from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
 from quirefold.llm.repetition import repetition
@@ -44,6 +44,25 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat")
 
 
+def repetition_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3_repetition SQL can express: the counts and the base rule."""
+    return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+REPETITION_BASE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM d),
+g AS (SELECT doc_id, i, word, lead(word) OVER n AS second, lead(word, 2) OVER n AS third FROM w WINDOW n AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM g WHERE third IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, word, second, third) > 1),
+m AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY doc_id),
+c AS (SELECT doc_id, sum(length(word)) AS n FROM w GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(m.n, 0) > 50 * len(ws) AS base_failed
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op4_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +84,19 @@ def op6_deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"))
 
 
+OP6_SQL = f"""
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(range(len(a))) AS no, unnest(a) AS line FROM a),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS p FROM l WHERE length(line) >= {LEAST_CHARS}),
+f AS MATERIALIZED (SELECT line, min(p) AS p FROM k GROUP BY line),
+v AS MATERIALIZED (SELECT line, p, i, substr(line, 1, i) || substr(line, i + 2) AS less FROM (SELECT line, p, unnest(range(length(line))) AS i FROM f)),
+near AS (SELECT a.line FROM v a JOIN v b ON a.less = b.less AND a.i = b.i WHERE b.p < a.p
+  UNION SELECT v.line FROM v JOIN f ON f.line = v.less WHERE f.p < v.p UNION SELECT f.line FROM v JOIN f ON f.line = v.less WHERE v.p < f.p),
+g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS nos FROM k JOIN f USING (line) WHERE k.p > f.p OR line IN (SELECT line FROM near) GROUP BY doc_id)
+SELECT a.doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, coalesce(nos, '') AS dropped_lines FROM a LEFT JOIN g ON g.doc_id = a.doc_id
+"""
+
+
 #: Target weights of the mix: languages by name, domains by number; sources share alike.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 2, "d2": 3}, "language": {"en": 5, "de": 3, "fr": 2, "es": 2}}
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 70, 3, 11
@@ -173,5 +205,5 @@ SELECT x.id AS doc_id, x.path, own_license, own_score, own_line, coalesce(own_li
 FROM x LEFT JOIN own ON own.id = x.id LEFT JOIN a ON a.dir = x.dir AND a.k = 1
 """
 
-QUERIES = {"op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {"op10_license_scan": OP10_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}
+QUERIES = {"op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
+ORACLES: dict[str, str] = {"repetition_base": REPETITION_BASE_SQL, "op10_license_scan": OP10_SQL, "op6_deletion_join": OP6_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

@@ -1,8 +1,11 @@
 """The ten operators against brute force, an exact round trip, SQL or held-out accuracy."""
 
+import hashlib
 import math
 import random
 import re
+import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -11,18 +14,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from quirefold.llm import quality, toxicity
+from quirefold.llm import licenses, quality, toxicity
 from quirefold.llm.bpe import Coder, encode_documents, load_ranks
 from quirefold.llm.common import table
 from quirefold.llm.counts import Trie, count_tokens, zipf_scores
 from quirefold.llm.graph import components
 from quirefold.llm.licenses import license_scan
 from quirefold.llm.linedup import drop_lines, duplicate_lines
-from quirefold.llm.mixing import mix
+from quirefold.llm.mixing import budgets, mix
 from quirefold.llm.neardup import Sketching, joint_estimate, near_duplicates, shingle_sets, sketch
 from quirefold.llm.queries import ORACLES, QUERIES
 from quirefold.llm.repetition import repetition
-from quirefold.llm.topk import top_k
+from quirefold.llm.topk import QUERY_LEAF, Best, Block, cover_tree, search, top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,6 +91,31 @@ def test_counts_as_viterbi(spark):
         assert trie.count(piece) == -best[-1][1]
 
 
+def test_counts_of_the_table(spark, tokenizer):
+    """The query's rows against best segmentations of every pre-token of every whole text, piece by piece."""
+    import regex
+
+    coder, _, P = tokenizer
+    scores = zipf_scores(coder.ranks)
+    find, known = regex.compile(P.PATTERN).findall, {}
+    longest = max(map(len, scores))
+
+    def best(piece):
+        if piece not in known:
+            found = [(0.0, 0)]
+            for end in range(1, len(piece) + 1):
+                found.append(max((found[k][0] + scores[piece[k:end]], found[k][1] - 1) for k in range(max(0, end - longest), end) if piece[k:end] in scores))
+            known[piece] = -found[-1][1]
+        return known[piece]
+
+    texts = {r.doc_id: r.text for r in documents(spark).collect()}
+    got = QUERIES["op2_trie_counts"](spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        pieces = find(texts[r.doc_id])
+        assert (r.n_pretokens, r.n_tokens) == (len(pieces), sum(best(p.encode()) for p in pieces))
+
+
 # ---- repetition
 
 
@@ -175,6 +203,65 @@ def test_near_duplicates(spark, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_strays_around_a_hub(spark):
+    """5,000 texts that each share four fifths of a hub's words and are linked to it or not, and pairs of them that are linked to each
+    other only; two groups that share a passage."""
+    random.seed(17)
+    base = [f"h{n}" for n in range(100)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 4801):
+        at = random.randrange(70)
+        rows.append((n, " ".join(base[:at] + [f"s{n}x{k}" for k in range(random.choice([2, 8, 14, 20]))] + base[at + random.choice([2, 8, 14, 20]) :])))
+    for n in range(100):  # twins
+        text = rows[1 + 7 * n][1].split()
+        rows.append((10_000 + n, " ".join([*text[:-1], f"t{n}"])))
+    rows += [(20_000 + n, " ".join([*base[:40], *(f"p{n}x{k}" for k in range(60))])) for n in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, Sketching(shingle=3, percent=85)).collect()}
+    sets = sets_of(rows, 3)
+    common: Counter = Counter()
+    holders: dict = {}
+    for i, s in sets.items():
+        for e in s:
+            holders.setdefault(e, []).append(i)
+    hub = sets[0]
+    at = {i: i for i in sets}
+
+    def top(i):
+        while at[i] != i:
+            at[i] = at[at[i]]
+            i = at[i]
+        return i
+
+    ids = sorted(sets)
+    index = {e: k for k, e in enumerate(holders)}
+    x = np.zeros((len(ids), len(hub)), np.int32)  # what they share with the hub; the rest is shared by twins only
+    hub_at = {e: k for k, e in enumerate(sorted(hub))}
+    for r, i in enumerate(ids):
+        x[r, [hub_at[e] for e in sets[i] & hub]] = 1
+    del index, common
+    size = np.array([len(sets[i]) for i in ids])
+    for r, i in enumerate(ids):
+        near = np.flatnonzero(np.minimum(size, size[r]) >= 0.85 * np.maximum(size, size[r]))
+        near = near[near < r]
+        likely = near[185 * np.minimum(x[near].sum(1) + 100, size[near]) >= 85 * (size[near] + size[r])]
+        exact = x[likely] @ x[r]
+        rest = sets[i] - hub
+        for j, c in zip(likely.tolist(), exact.tolist()):
+            c += len(rest & sets[ids[j]]) if rest and len(rest) < 60 and 185 * (c + len(rest)) >= 85 * (size[r] + size[j]) else 0
+            if 185 * c >= 85 * (size[r] + size[j]):
+                a, b = sorted((top(i), top(ids[j])))
+                at[b] = a
+    assert got == {i: top(i) for i in ids}
+
+
+def test_rows_that_stand_for_their_group(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, text), (1, "other words stand here"), (2, text + " more"), (None, text), (3, None), (3, "")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Sketching()).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.chosen) for r in got) == sorted([("1", 56, True), ("1", 56, True), ("1", 1, True), ("2", 57, False), ("None", 56, True), ("3", 0, True), ("3", 0, True)])
+
+
 def test_sketches():
     how, rng = Sketching(bands=100), np.random.default_rng(4)
     key = how.key()
@@ -228,19 +315,55 @@ def test_toxicity_held_out(spark):
 
 def test_segments_are_maximal():
     random.seed(9)
-    for _ in range(300):
-        hits = sorted({random.randrange(30): random.randint(1, 6) for _ in range(6)}.items())
-        scores = [dict(hits).get(k, -1) for k in range(30)]
 
-        def split(a, b):  # the definition: the best subsequence (leftmost, shortest), then both sides of it
-            best = max(((sum(scores[i:j]), -i, -j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
-            if best[0] <= 0:
-                return []
-            i, j = -best[1], -best[2]
-            return [*split(a, i), best[0], *split(j, b)]
+    def split(scores, a, b):  # the definition: the best subsequence, the shortest of equal ones, then both sides of it
+        best = max(((sum(scores[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+        if best[0] <= 1e-12:
+            return []
+        i = -best[2]
+        j = i - best[1]
+        return [*split(scores, a, i), (i, j, round(best[0], 9)), *split(scores, j, b)]
+
+    for _ in range(500):
+        scores = [random.choice([-1, 1]) * random.random() * random.choice([1, 3]) for _ in range(random.randint(0, 25))]
+        found = [(a, b, round(s, 9)) for a, b, s in toxicity.maximal_segments(np.array(scores, float))]
+        assert found == split(scores, 0, len(scores))
+
+
+def test_segments_in_linear_time():
+    """Hits that are too far apart to join, on falling sums: every candidate stays open."""
+
+    def seconds(n):
+        scores = np.full(30 * n, -0.25)
+        scores[::30] = 5.0
+        began = time.perf_counter()
+        assert len(toxicity.maximal_segments(scores)) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(32_000) for _ in range(3)) < 24 * min(seconds(4000) for _ in range(3))
+
 
-        found = [s for _, _, s in toxicity.maximal_segments([(k, float(v)) for k, v in hits], -1.0)]
-        assert sum(found) >= max(split(0, 30)) and max(found) == max(split(0, 30))
+def test_clean_words_count_against():
+    model = toxicity.Scorer({"bad": 4.0, "calm": -2.0}, -0.25)
+    assert model.segments("bad x bad")[1] == [(0, 3, 7.75)]
+    assert model.segments("bad calm calm calm bad")[1] == [(0, 1, 4.0), (4, 5, 4.0)]
+
+
+def test_words_that_only_go_along(spark):
+    """A toxic text copied often, with single words of its own: these don't become toxic."""
+    random.seed(12)
+    words = [f"w{k}" for k in range(400)]
+    rows, labels = [], []
+    own = " ".join(f"copied{k}" for k in range(60)) + " nasty"
+    for k in range(600):
+        toxic = k % 10 == 0
+        text = own + f" x{k}" if toxic and k % 20 == 0 else " ".join(random.choice(words) for _ in range(40)) + (" nasty" if toxic else "")
+        rows.append((k, text))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.lexicon["nasty"] > 0 and not any(s > 0 for w, s in model.lexicon.items() if w.startswith("copied"))
 
 
 def test_marginals_by_enumeration():
@@ -323,9 +446,82 @@ def test_mix_shares(spark):
     assert taken["de"] > 0.85 * min(2 * held["de"], 0.45 * total)  # ninety percent, but no more than two epochs of it
 
 
+def test_mix_weights_of_zero(spark):
+    rows = [(k, "w " * 5, "en" if k % 2 else "de", f"s{k % 4}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mix(docs, 100, {"language": {"de": 0}, "source": {"s1": 0}}, F.lit("d"), epochs=2, seed=3, keep=["doc_id", "source"]).collect()
+    assert {r.source for r in got if r.copies} == {"s3"} and {r.copies for r in got if r.source == "s3"} == {2}
+    assert len(got) == 400 and all(r.source == f"s{r.doc_id % 4}" for r in got)
+
+
+def test_shares_of_large_counts(spark):
+    """Sixty trillion tokens and weights of a million."""
+    leaves = [("d0", "en", "a", 60_000_000_000_000), ("d0", "en", "b", 59_999_999_999_999), ("d0", "de", "c", 7)]
+    given = budgets(spark.createDataFrame(leaves, "domain string, language string, source string, tokens long"), 50, {"source": {"a": 1_000_000, "b": 999_999}, "language": {"de": 3}}, 1)
+    share = {r.source: r.share for r in given.collect()}
+    total = sum(x[3] for x in leaves) // 2
+    assert share["c"] == 7 and total - 3 <= sum(share.values()) <= total and abs(share["a"] * 999_999 - share["b"] * 1_000_000) < 2_000_000
+
+
+def test_epochs_have_orders_of_their_own(spark):
+    rows = [(k, "w " * 3, "en", "s") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = [{r.doc_id for r in mix(docs, percent, {}, F.lit("d"), epochs=3, seed=5).collect() if r.copies == copies} for percent, copies in ((50, 1), (150, 2))]
+    assert all(len(t) == 150 for t in taken) and taken[0] != taken[1]
+    for epoch, t in enumerate(taken):
+        assert t == set(sorted(range(300), key=lambda k: hashlib.md5(f"5/{epoch}/{k}".encode()).hexdigest())[:150])
+
+
 # ---- search
 
 
+def clustered(n, dim=32, centres=40, seed=6):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    v = c[rng.integers(0, centres, n)] + 0.15 * rng.normal(size=(n, dim))
+    return np.floor(1024 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+
+
+def block(ids, rows, leaf=64):
+    return Block(np.asarray(ids, "<i8").tobytes(), np.asarray(rows, "<i8").tobytes(), "<i8", rows.shape[1], leaf)
+
+
+def test_search_passes_over_most_pairs():
+    v = clustered(4000)
+    x, q = block(range(4000), v), block(range(0, 4000, 100), v[::100], QUERY_LEAF)
+    best = Best(np.full(40, np.iinfo(np.int64).min), 10)
+    search(q, x, best)
+    for r, i in enumerate(range(0, 4000, 100)):
+        want = sorted((-int(v[i] @ v[j]), j) for j in range(4000) if j != i)[:10]
+        assert list(zip((-best.scores[r]).tolist(), best.ids[r].tolist())) == want
+    print(best.scored / (40 * 4000))
+    assert best.scored < 0.3 * 40 * 4000
+
+
+def test_cover():
+    def check(node, x):
+        assert (np.linalg.norm(x[node.rows] - node.centre, axis=1) <= node.radius).all() and node.top >= np.linalg.norm(x[node.rows], axis=1).max() - 1e-9
+        if node.children:
+            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+            assert all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)
+            far = [np.linalg.norm(a.centre - b.centre) for k, a in enumerate(node.children) for b in node.children[:k]]
+            assert min(far, default=1e9) >= node.radius / 2 - 1e-6
+        for c in node.children:
+            check(c, x)
+
+    for x in (clustered(3000).astype(float), np.random.default_rng(2).normal(size=(3000, 3)), np.ones((500, 4))):
+        check(cover_tree(x), x)
+
+
+def test_large_sums():
+    rows = np.array([[1 << 29, 3], [1 << 29, 2], [-(1 << 29), 1]], np.int64)
+    best = Best(np.full(1, np.iinfo(np.int64).min), 2)
+    search(block([7], rows[:1]), block([1, 2, 3], rows), best)
+    assert best.scores.tolist() == [[(1 << 58) + 9, (1 << 58) + 6]] and best.ids.tolist() == [[1, 2]]
+    with pytest.raises(ValueError, match="62 bits"):
+        search(block([7], rows * 4), block([1, 2, 3], rows * 4), best)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     v = rng.integers(-50, 50, (700, 6))
@@ -365,6 +561,25 @@ def test_whole_and_wrapped_licences(spark):
     assert (got[60][0], got[61][0], got[62][0], got[63][0], got[70][0], got[71][0]) == ("MIT", "Apache-2.0", None, "GPL-2.0", "Apache-2.0", None)
 
 
+def test_every_template_holds_an_anchor():
+    assert all(re.search(licenses.ANCHORS, said.lower()) for _, said in licenses.TEMPLATES + licenses.SPDX)
+
+
+def test_recall_of_wrapped_headers(spark):
+    """Each statement wrapped at a width, behind comment marks, within code: nine of ten must be found."""
+    random.seed(21)
+    files, want = [], {}
+    for k, (name, said) in enumerate(licenses.TEMPLATES):
+        for mark, width in ((" * ", 72), ("# ", 60), ("// ", 50), ("", 40)):
+            lines = textwrap.wrap(f"This file is {said}.", width)
+            code = "\n".join(f"x{random.random()} = y" for _ in range(60))
+            want[len(files)] = name
+            files.append((len(files), f"p{len(files)}/f.txt", "\n".join([code, *(mark + line for line in lines), code])))
+        files.append((len(files), f"p{len(files)}/f.txt", " ".join(random.sample(said.split(), len(said.split()) // 2)) + "\n" + code))  # half its words are no statement of it
+    got = {r.doc_id: r.own_license for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert sum(got[k] == name for k, name in want.items()) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("others", [1_000, 100_000])
 def test_licences_whatever_the_size(spark, others):
     said = ["This project is released under the MIT License.", "Copyright 2020 Acme. Licensed under the Apache License, Version 2.0.", "Licensed under the Foo License", "a licence to think"]
@@ -416,6 +631,20 @@ def test_odd_tables(spark, odd, name):
         assert by[2].n_words == 0 and by[2].base_failed and by[4].n_words == 60_000 and not by[4].kept
     if name == "op5_bpe":
         assert by[2].n_tokens == 0 and by[3].ids_sha256 == by[2].ids_sha256
+    if name == "op2_trie_counts":
+        assert (by[2].n_pretokens, by[2].n_tokens, by[3].n_tokens) == (0, 0, 0) and by[4].n_pretokens > 59_999 and by[6].n_tokens > 5
+    if name == "op4_line_field":
+        assert by[2].score == by[3].score == by[5].score and all(0 <= r.score <= 1 for r in full)
+    if name == "op6_deletion_join":
+        assert [r.dropped_lines for r in full if r.doc_id == 1] == ["", ""]  # rows equal in id and text are treated alike
+        assert (by[2].n_lines, by[2].n_dropped, by[5].n_lines) == (1, 0, 3)
+    if name == "op7_mixture":
+        assert (by[2].language, by[2].source, by[2].n_tokens, by[2].copies) == ("", "", 0, 3) and by[4].n_tokens == 60_000
+        assert len({r.copies for r in full if r.doc_id == 1}) == 1
+    if name == "op9_toxic_segments":
+        assert by[2].score == by[3].score == by[5].score and by[2].n_passages == 0 and all(0 <= r.score <= 1 for r in full)
+    if name == "op10_license_scan":
+        assert all(r.scope == "none" and r.own_license is None for r in full) and by[None].path is None and by[3].path == "s2/en/0/3.txt"
 
 
 def test_count_tokens_runs(spark, tokenizer):

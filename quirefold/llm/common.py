@@ -129,7 +129,3 @@ def row_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of values (one for each byte or item) in each row's range."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[off[1:]] - total[off[:-1]]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    return Scratch(df.sparkSession).write(df, name)

@@ -15,6 +15,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import Scratch, small
+
 #: Licence names and the statements that declare them.
 TEMPLATES = [
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
@@ -95,45 +97,78 @@ def license_scan(files: DataFrame, path: Column, text: str = "text", key: str =
     known = template_terms(spark)
     vocabulary = known.select("term").distinct()
     words = sorted({t for _, said in TEMPLATES + SPDX for t in _plain_terms(said)})
+    scratch = Scratch(spark)
+    # one pass over the texts: the templates' terms that each file holds, and the text of those that hold an anchor
     holds = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, words)))
-    df = rows.select(F.explode(holds).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n_files = float(files.count())
+    seen = scratch.write(rows.select("id", "path", holds.alias("holds"), F.when(F.lower("text").rlike(ANCHORS), F.col("text")).alias("text")), "files")
+    df = seen.select(F.explode("holds").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n_files = float(seen.count())
     share = F.greatest(F.coalesce("df", F.lit(0)) / max(n_files, 1.0), F.lit(LEAST_SHARE))
     idf = vocabulary.join(df, "term", "left").select("term", (1.0 - F.log(share)).alias("idf"))
     weighted = known.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    templates = weighted.join(norms, "template").select("template", "license", "n", "term", "idf", "w", "t_norm")
+    templates = scratch.write(weighted.join(norms, "template").select("template", "license", "n", "term", "idf", "w", "t_norm"), "templates", 100 * len(words))
+    idf = templates.select("term", "idf").distinct()
 
-    anchored = rows.where(F.lower("text").rlike(ANCHORS))
+    anchored = seen.where("text is not null").select("id", "path", "text")
     lengths = sorted({len(_plain_terms(said)) for _, said in TEMPLATES + SPDX})
     after = F.array_join(F.slice("all_lines", F.col("line") + 2, 2), "\n")
     lines = anchored.select("id", "path", F.size(terms(F.col("text"))).alias("n_words"), F.split("text", "\n").alias("all_lines")).select("*", F.posexplode("all_lines").alias("line", "said")).withColumn("after", after)
     lines = lines.where(F.lower("said").rlike(ANCHORS) | F.lower("after").rlike(ANCHORS))
-    lines = lines.select("id", "path", "n_words", "line", F.lower("said").rlike(ANCHORS).alias("holds"), terms(F.col("said")).alias("ws"), F.slice(terms(F.col("after")), 1, lengths[-1] - 1).alias("more")).withColumn("n", F.explode(F.array(*map(F.lit, lengths))))
-    cut = lambda start, end, of, runs: F.when(start <= end, F.transform(F.sequence(start, end), lambda i: F.struct(i.alias("at"), F.lit(runs).alias("runs"), F.slice(of, i + 1, F.col("n")).alias("ws"))))
+    lines = lines.select("id", "path", "n_words", "line", F.lower("said").rlike(ANCHORS).alias("holds"), terms(F.col("said")).alias("ws"), F.slice(terms(F.col("after")), 1, lengths[-1] - 1).alias("more"))
+    in_vocabulary = F.transform("ws", lambda t: F.array_contains(F.array(*map(F.lit, words)), t).cast("int"))
+    lines = scratch.write(lines.withColumn("known", in_vocabulary).withColumn("said_key", F.md5(F.array_join("ws", " "))), "lines")
+    place = ["id", "path", "n_words", "line"]
+    none = F.array().cast("array<struct<n:int,at:int,ws:array<string>>>")
+
+    def cut(of: Column, first, last, keep) -> Column:
+        """The windows of all templates' lengths n over `of`, from first(n) to last(n), that are to be kept."""
+
+        def of_length(n: Column) -> Column:
+            every = F.transform(F.sequence(first(n), last(n)), lambda i: F.struct(n.alias("n"), i.alias("at"), F.slice(of, i + 1, n).alias("ws")))
+            return F.when(first(n) <= last(n), F.filter(every, keep)).otherwise(none)
+
+        return F.flatten(F.transform(F.array(*map(F.lit, lengths)), of_length))
+
+    def windows(rows: DataFrame, of: Column, *by: str) -> DataFrame:
+        return rows.select(*by, F.explode(of).alias("w")).select(*by, F.md5(F.concat_ws(" ", F.col("w.n").cast("string"), "w.ws")).alias("key"), "w.n", "w.ws")
+
     own_size, both = F.size("ws"), F.concat("ws", "more")
-    single = F.when(F.col("holds"), cut(F.lit(0), F.greatest(own_size - F.col("n"), F.lit(0)), F.col("ws"), False))
-    across = cut(F.greatest(own_size - F.col("n") + 1, F.lit(0)), F.least(own_size - 1, F.size(both) - F.col("n")), both, True)
-    across = F.filter(across, lambda w: F.size(F.array_except(w["ws"], F.array(*map(F.lit, words)))) == 0)
-    empty = F.array().cast("array<struct<at:int,runs:boolean,ws:array<string>>>")
-    windows = lines.select("id", "path", "n_words", "line", "n", F.explode(F.concat(F.coalesce(single, empty), F.coalesce(across, empty))).alias("w")).select("id", "path", "n_words", "line", "n", "w.at", "w.runs", "w.ws")
-    place = ["id", "path", "n_words", "line", "n", "at", "runs", "n_said"]
-    counted = windows.withColumn("n_said", F.size("ws")).select(*place, F.explode("ws").alias("term")).groupBy(*place, "term").agg(F.count("*").alias("tf"))
+    # a line that many files hold is scored once
+    distinct = lines.where("holds").groupBy("said_key").agg(F.first("ws").alias("ws"), F.first("known").alias("known"))
+    # unknown terms weigh as much as any: a window of which less than three tenths are known can't come near LEAST_COSINE
+    enough = lambda w: 10 * F.aggregate(F.slice("known", w["at"] + 1, w["n"]), F.lit(0), lambda a, x: a + x) >= 3 * F.size(w["ws"])
+    whole = lambda w: F.size(F.array_except(w["ws"], F.array(*map(F.lit, words)))) == 0
+    single = cut(F.col("ws"), lambda n: F.lit(0), lambda n: F.greatest(own_size - n, F.lit(0)), enough)
+    single = scratch.write(windows(distinct, single, "said_key"), "windows")
+    across = cut(both, lambda n: F.greatest(own_size - n + 1, F.lit(0)), lambda n: F.least(own_size - 1, F.size(both) - n), whole)
+    runs = scratch.write(windows(lines, across, *place), "windows")
+
+    every = single.select("key", "n", "ws").unionByName(runs.select("key", "n", "ws")).dropDuplicates(["key"])
+    counted = every.select("key", "n", F.size("ws").alias("n_said"), F.explode("ws").alias("term")).groupBy("key", "n", "n_said", "term").agg(F.count("*").alias("tf"))
     rare = 1.0 - math.log(LEAST_SHARE)
     weights = counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("pw", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    held = weights.groupBy(*place).agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("p_norm"), F.collect_list(F.struct("term", "pw")).alias("ts"))
-    each = held.select(*place, "p_norm", F.explode("ts").alias("t")).select(*place, "p_norm", F.col("t.term").alias("term"), F.col("t.pw").alias("pw"))
-    dots = each.join(F.broadcast(templates.select("template", "license", "n", "term", "w", "t_norm")), ["n", "term"]).groupBy(*place, "p_norm", "template", "license", "t_norm").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
+    held = weights.groupBy("key", "n", "n_said").agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("p_norm"), F.collect_list(F.struct("term", "pw")).alias("ts"))
+    each = held.select("key", "n", "n_said", "p_norm", F.explode("ts").alias("t")).select("key", "n", "n_said", "p_norm", F.col("t.term").alias("term"), F.col("t.pw").alias("pw"))
+    dots = each.join(F.broadcast(templates.select("template", "license", "n", "term", "w", "t_norm")), ["n", "term"]).groupBy("key", "n_said", "p_norm", "template", "license", "t_norm").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
     scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("t_norm") * F.col("p_norm")), 6))
-    scored = scored.where(F.col("score") >= F.when(F.col("template") >= len(TEMPLATES), SPDX_COSINE).when(F.col("runs"), RUN_COSINE).otherwise(LEAST_COSINE))
-    best = scored.groupBy("id", "path", "n_words", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "runs", "template", "license", "n_said")).alias("b"))
+    scored = scratch.write(scored.where(F.col("score") >= F.when(F.col("template") >= len(TEMPLATES), SPDX_COSINE).otherwise(LEAST_COSINE)).select("key", "n_said", "template", "license", "score"), "scored")
+
+    def found(rows: DataFrame, by: list[str], across: bool) -> DataFrame:
+        met = rows.select(*by, "key").join(scored, "key").where((F.col("score") >= RUN_COSINE) | F.lit(not across))
+        return met.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("s"), F.lit(across).alias("runs"), "template", "license", "n_said")).alias("b"))
+
+    of_said = scratch.write(found(single, ["said_key"], False), "best")
+    of_lines = lines.where("holds").select(*place, "said_key").join(F.broadcast(of_said) if small(of_said, 200) else of_said, "said_key").select(*place, "b")
+    best = of_lines.unionByName(found(runs, place, True)).groupBy(*place).agg(F.min("b").alias("b"))
     # a window over several lines may lap over the next line's own: where lines match by themselves, only these make up a file
     single_said, run_said = (F.sum(F.when(F.col("b.runs") == r, F.col("b.n_said"))) for r in (False, True))
     own = best.groupBy("id", "path").agg(F.min(F.struct(F.col("b.s").alias("s"), F.col("b.runs").alias("runs"), "line", F.col("b.template").alias("template"), F.col("b.license").alias("license"))).alias("o"), F.max("n_words").alias("n_words"), F.coalesce(single_said, run_said).alias("n_said"))
     own = own.select("id", "path", F.col("o.license").alias("own_license"), (-F.col("o.s")).alias("own_score"), F.col("o.line").cast("long").alias("own_line"), ((100 * F.col("n_said") >= FILE_PERCENT * F.col("n_words")) | F.lower("path").rlike(FILE_NAMES)).alias("is_file"))
     whole = whole_texts(anchored).select("id", "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"), F.lit(0).cast("long").alias("own_line"), F.lit(True).alias("is_file"))
     both_ways = own.withColumn("k", F.lit(1)).unionByName(whole.withColumn("k", F.lit(0)))
-    own = both_ways.groupBy("id", "path").agg(F.min_by(F.struct("own_license", "own_score", "own_line", "is_file"), "k").alias("o")).select("id", "path", "o.*")
+    own = scratch.write(both_ways.groupBy("id", "path").agg(F.min_by(F.struct("own_license", "own_score", "own_line", "is_file"), "k").alias("o")).select("id", "path", "o.*"), "own", int(n_files), 200)
+    scratch.drop(seen, templates, lines, single, runs, scored, of_said)
 
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     givers = own.where("is_file and path is not null").groupBy(directory.alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("license"))).alias("g")).select("above", F.col("g.license").alias("given"))

@@ -748,14 +748,15 @@ def agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("call_id", "doc_id", F.array_join("trace", ",").alias("tool"), (F.length("response") > 0).alias("answered"))
 
 
-@query(f"""WITH q AS (SELECT conv_id, {_WORDS.format(t="text")} AS w FROM ({_ASKED}))
-SELECT conv_id AS call_id, 3 AS n_sub, array_to_string((w || ['doc_' || CAST(conv_id % 8 AS VARCHAR)] || w || ['vector_tool'] || w)[1:12], ' ') AS begins FROM q WHERE (SELECT count(DISTINCT label) FROM embeddings) = 10""")
+@query(f"""WITH q AS (SELECT conv_id, {_WORDS.format(t="text")} AS w, {_WORDS.format(t="string_split(regexp_replace(text, '^\\s+', ''), chr(10))[1]")} AS sub FROM ({_ASKED}))
+SELECT conv_id AS call_id, 3 AS n_sub, array_to_string((w || ['doc_' || CAST(conv_id % 8 AS VARCHAR)] || sub || ['vector_tool'])[1:40], ' ') AS begins FROM q WHERE (SELECT count(DISTINCT label) FROM embeddings) = 10""")
 def sub_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's first turn broken down for three documents, answered in each, and put together."""
+    """Each conversation's first turn broken down for three documents, answered in each, and put together: what the answer says up to
+    the first document's tool."""
     names = F.array(*(F.concat(F.lit("doc_"), (F.col("query_id") % 8 + k).cast("string")) for k in range(3)))
     calls = _first_turns(spark, sf_dir).select(F.col("query_id").alias("call_id"), "query", names.alias("members"))
     found = _router(spark, sf_dir).compare(calls)
-    return found.select("call_id", F.col("n_sub").cast("int").alias("n_sub"), F.array_join(F.slice(F.split("response", " "), 1, 12), " ").alias("begins"))
+    return found.select("call_id", F.col("n_sub").cast("int").alias("n_sub"), F.regexp_replace("response", "(?<=vector_tool) .*", "").alias("begins"))
 
 
 def _first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

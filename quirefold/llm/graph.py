@@ -18,17 +18,17 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(edges.sparkSession)
     now = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = None
+    most, state = 2 * now.count(), None  # contractions don't add edges but for one to each node's least neighbour
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = scratch.write(large, "edges")
+        large = scratch.write(large, "edges", most, 16)
         scratch.drop(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         now = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = scratch.write(now, "edges")
+        now = scratch.write(now, "edges", most, 16)
         scratch.drop(large)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == state or not mark[0]:

@@ -256,34 +256,35 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), text: str = "
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sketched = scratch.write(sketches(docs, how, text), "sketches")
-    plain = _classes(sketched)
-    classes = scratch.write(plain, "classes")
+    n = sketched.count()
+    classes = scratch.write(_classes(sketched), "classes", n, 64 + 2 * how.registers)
     if not classes.groupBy("id").count().where("count > 1").isEmpty():
-        classes = scratch.write(_named_apart(classes), "classes")
+        classes = scratch.write(_named_apart(classes), "classes", n, 64 + 2 * how.registers)
     width = 2 * how.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * F.lit(width) + F.lit(1), F.lit(width))))
     keyed = classes.select("id", F.explode(bands).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "n")
-    members = scratch.write(keyed.join(shared, "key"), "members")  # keys with two classes at least
+    members = scratch.write(keyed.join(shared, "key"), "members", n * how.bands, 24)  # keys with two classes at least
     # The pivot is the member that meets most others over all its keys: of copies of one text, the text they were made from.
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    weighed = scratch.write(members.select("key", "id").join(met, "id"), "weighed")
+    most = members.count()
+    weighed = scratch.write(members.select("key", "id").join(met, "id"), "weighed", most, 24)
     scratch.drop(members)
     registers = classes.select("id", "registers", "n")
     wanted = classes.join(weighed.select("id").distinct(), "id", "left_semi").select("id", "f1", "f2", "doc_id", "t")
     sets = scratch.write(_sets_of(docs, wanted, how, text), "sets")
     sure = how.percent / 100 - 0.2  # beyond four standard errors of the estimate below the least similarity
 
-    def links_among(pairs: DataFrame) -> DataFrame:
-        likely = scratch.write(_estimated(pairs, registers, how).where(F.col("estimate") >= sure).select("a", "b"), "pairs")
-        found = scratch.write(_linked(likely, sets, how), "links")
+    def links_among(pairs: DataFrame, rows: int | None = None) -> DataFrame:
+        likely = scratch.write(_estimated(pairs, registers, how).where(F.col("estimate") >= sure).select("a", "b"), "pairs", rows, 2 * how.registers)
+        found = scratch.write(_linked(likely, sets, how), "links", likely.count(), 4096)
         scratch.drop(likely)
         return found
 
     top = F.max(F.struct("met", "id"))["id"]
     pivots = weighed.groupBy("key").agg(top.alias("pivot"))
     first = weighed.join(pivots, "key").where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    found = components(links_among(first), scratch)
+    found = components(links_among(first, most), scratch)
 
     def split_members(found: DataFrame) -> DataFrame:
         """The members, with their components, of the keys whose members are of several; home is that of the pivot."""
@@ -294,23 +295,23 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), text: str = "
     def merged(more: DataFrame) -> DataFrame:
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
 
-    open_ = scratch.write(split_members(found), "open")
+    open_ = scratch.write(split_members(found), "open", most, 48)
     second = open_.where("component <> home").groupBy("key").agg(F.max(F.struct("met", "id", "component")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
     again = open_.join(second, "key").where("component <> of and component <> home").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    more = links_among(again)
+    more = links_among(again, most)
     if not more.isEmpty():
         found = merged(more)
     scratch.drop(open_)
     around = split_members(found).select(F.col("home").alias("g"), "id", "component").distinct().join(classes.select("id", "n"), "id")
-    around = scratch.write(around.select(F.xxhash64("g", "id").alias("m"), "g", "id", "component", "n", (F.col("component") == F.col("g")).alias("own")), "around")
-    marked = scratch.write(_prefixes(around, sets, how.percent), "prefixes")
+    around = scratch.write(around.select(F.xxhash64("g", "id").alias("m"), "g", "id", "component", "n", (F.col("component") == F.col("g")).alias("own")), "around", most, 48)
+    marked = scratch.write(_prefixes(around, sets, how.percent), "prefixes", around.count(), 4096)
     more = links_among(_possible(marked, how.percent))
     if not more.isEmpty():
         found = merged(more)
     of_class = classes.select("id", "f1", "f2", "doc_id", "t").join(found.withColumnRenamed("node", "id"), "id")
     least = of_class.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("least"))
     single = classes.join(found.select(F.col("node").alias("id")), "id", "left_anti").select("f1", "f2", F.struct("doc_id", "t").alias("least"))
-    known = scratch.write(of_class.join(least, "component").select("f1", "f2", "least").unionByName(single), "known")
+    known = scratch.write(of_class.join(least, "component").select("f1", "f2", "least").unionByName(single), "known", n, 40)
     scratch.drop(classes, weighed, sets, around, marked)
     out = sketched.select("doc_id", "t", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
     alone = F.col("doc_id").isNull() | F.col("least").isNull()

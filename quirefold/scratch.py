@@ -22,6 +22,10 @@ _temporary: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
+def _local(master: str) -> bool:
+    return bool(re.fullmatch(r"local(\[.*\])?", master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary
     folder, which goes when the driver ends; any other master has no folder that would do, and the call raises."""
@@ -29,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     context = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
+    if not _local(context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.applicationId not in _temporary:
         folder = tempfile.mkdtemp(prefix="quirefold-")
@@ -59,6 +63,8 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []  # so that their ids stay theirs
         _written.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        if _local(spark.sparkContext.master):
+            atexit.register(shutil.rmtree, re.sub("^file:(//)?", "", self.root), ignore_errors=True)  # nobody else reads it
         bounded(spark)
 
     def write(self, df: DataFrame, name: str, rows: int | None = None, width: int = 64) -> DataFrame:

@@ -50,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = near_duplicates(docs, Sketching(shingle=5, percent=80)).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "chosen")
     scratch = Scratch(spark)
     counted = judged.groupBy("__id", "__t").agg(F.max("chosen").alias("__stays"), F.count("*").alias("__n"))
-    named = scratch.write(counted.where("not __stays or __n > 1"), "judged")
+    named = scratch.write(counted.where("not __stays or __n > 1"), "judged", docs.count(), 32)
     rows = docs.select(*COLUMNS).withColumns({"__key": F.col("doc_id").cast("long"), "__hash": t})
     joined = rows.join(F.broadcast(named) if small(named, 32) else named, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left").where("__stays is null or __stays")
     again = joined.where("__n > 1").dropDuplicates(["__key", "__hash"])

@@ -193,9 +193,10 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHAR
     scratch = Scratch(docs.sparkSession)
     docs = _prepared(docs, text)
     lines = scratch.write(_lines(docs, least), "lines")
+    n = lines.count()
     distinct = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("earliest"))
     if max_edits:
-        shared = scratch.write(_keys(docs, least).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"), "keys")
+        shared = scratch.write(_keys(docs, least).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"), "keys", 6 * n, 24)
         sent = scratch.write(_variants(docs, shared, least), "variants")
         scratch.drop(shared)
         who = F.struct("o", "t", "no", "h1")
@@ -203,9 +204,9 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHAR
         met = sent.groupBy("key").agg(*firsts, F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").drop("a", "b")
         other = F.when(F.col("kind") == 0, F.col("k1")).when(F.col("kind") == 1, F.col("k0")).otherwise(F.col("k2"))
         pairs = sent.select("key", "kind", "h1").join(met, "key").withColumn("w", other).where("w is not null and w.h1 <> h1")
-        near = scratch.write(pairs.groupBy("h1").agg(F.min(F.struct("w.o", "w.t", "w.no")).alias("with")), "met")
+        near = scratch.write(pairs.groupBy("h1").agg(F.min(F.struct("w.o", "w.t", "w.no")).alias("with")), "met", n, 64)
         scratch.drop(sent)
-        near = scratch.write(near.join(distinct, "h1").where(F.col("with") < F.col("earliest")).select("h1", "h2", *(F.col(f"earliest.{c}").alias(c) for c in ("o", "t", "no")), *(F.col(f"with.{c}").alias(f"w{c}") for c in ("o", "t", "no"))), "near")
+        near = scratch.write(near.join(distinct, "h1").where(F.col("with") < F.col("earliest")).select("h1", "h2", *(F.col(f"earliest.{c}").alias(c) for c in ("o", "t", "no")), *(F.col(f"with.{c}").alias(f"w{c}") for c in ("o", "t", "no"))), "near", n, 64)
         places = near.select("o", "t", "no").unionByName(near.select(F.col("wo").alias("o"), F.col("wt").alias("t"), F.col("wno").alias("no"))).distinct()
         said = scratch.write(_texts(docs, places), "texts")
         other_side = said.select(F.col("o").alias("wo"), F.col("t").alias("wt"), F.col("no").alias("wno"), F.col("line").alias("wline"))
@@ -214,7 +215,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHAR
     else:
         distinct = distinct.withColumn("near", F.lit(False))
     gone = lines.join(distinct, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_place() != F.col("earliest")))
-    gone = scratch.write(gone.groupBy("o", "t").agg(F.sort_array(F.collect_set(F.col("no").cast("long"))).alias("dropped")), "dropped")
+    gone = scratch.write(gone.groupBy("o", "t").agg(F.sort_array(F.collect_set(F.col("no").cast("long"))).alias("dropped")), "dropped", n, 40)
     scratch.drop(lines, *([near, said] if max_edits else []))
     return gone
 

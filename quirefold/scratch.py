@@ -16,7 +16,7 @@ BATCH_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a file of a table whose size has a known bound.
 FILE_BYTES = 4 << 20
-_ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxBytesPerOutputBatch": str(BATCH_BYTES)}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _temporary: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -43,10 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Batches between Spark and its Python workers get a bound in bytes where the session sets none."""
-    for key, value in _ARROW.items():
-        if key not in spark.conf.getAll:
-            spark.conf.set(key, value)
+    """Batches that go to Python workers get a bound in bytes where the session sets none. Those that come back are bounded by their kernels:
+    Spark's own setting for these (maxBytesPerOutputBatch) fails on some batches in 4.1."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 class Scratch:

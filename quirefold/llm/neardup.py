@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import common
-from quirefold.llm.common import Scratch, Spans, lower_ascii, mix, slices, words
+from quirefold.llm.common import SLICE_BYTES, Scratch, Spans, lower_ascii, mix, slices, words
 from quirefold.llm.graph import components
 
 #: Sizes of sets are put into buckets by powers of this, for joins on a range of sizes.
@@ -130,7 +129,7 @@ def sketches(docs: DataFrame, how: Sketching, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("sketches")
         for batch in batches:
-            for lo, hi, buf, off in slices(batch.column(2)):
+            for lo, hi, buf, off in slices(batch.column(2), SLICE_BYTES // 2):
                 sets = shingle_sets(buf, off, how.shingle)
                 prints = [fingerprint(s) if len(s) else (None, None) for s in sets]
                 regs = [sketch(s, how, key).tobytes() if len(s) else None for s in sets]
@@ -148,7 +147,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, how: Sketching, text: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("sketches")
         for batch in batches:
-            for _, _, buf, off in slices(batch.column(0)):
+            for _, _, buf, off in slices(batch.column(0), SLICE_BYTES // 2):
                 sets = [x for x in shingle_sets(buf, off, how.shingle) if len(x)]
                 prints = [fingerprint(x) for x in sets]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -164,15 +163,15 @@ def _estimated(pairs: DataFrame, registers: DataFrame, how: Sketching) -> DataFr
     for side in "ab":
         pairs = pairs.join(registers.select(F.col("id").alias(side), F.col("registers").alias(f"r{side}"), F.col("n").alias(f"n{side}")), side)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("sketches")
-        for p in batches:
-            if len(p):
-                ra, rb = (np.frombuffer(b"".join(p[c]), "<u2").reshape(len(p), -1) for c in ("ra", "rb"))
-                p["estimate"] = joint_estimate(ra, rb, p["na"].to_numpy(float), p["nb"].to_numpy(float), how.base)
-                yield p[["a", "b", "estimate"]]
+        for batch in batches:
+            if batch.num_rows:
+                ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in (2, 3))
+                na, nb = (batch.column(c).to_numpy().astype(float) for c in (4, 5))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joint_estimate(ra, rb, na, nb, how.base))], names=["a", "b", "estimate"])
 
-    return pairs.select("a", "b", "ra", "rb", "na", "nb").mapInPandas(run, "a long, b long, estimate double")
+    return pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, estimate double")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:

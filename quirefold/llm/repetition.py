@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import Spans, bounded, mix, only, row_sums, slices, words
+from quirefold.llm.common import SLICE_BYTES, Spans, bounded, mix, only, row_sums, slices, words
 
 #: Fixed characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -50,7 +50,7 @@ def repeat_lengths(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
     if n < 2:
         return best
     order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     firsts = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
     sizes = np.diff(np.append(firsts, n))
     rank[order] = np.repeat(firsts, sizes)  # a group's rank is its first place in the suffix array
@@ -62,7 +62,7 @@ def repeat_lengths(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
         at = suffixes[places]
         nxt = at + h
         second = np.where(nxt < end[at], rank[np.minimum(nxt, n - 1)], -1)
-        key = rank[at] * (n + 1) + second + 1
+        key = rank[at].astype(np.int64) * (n + 1) + second + 1
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         suffixes[places] = at  # groups keep their places: the rank is the greater part of the key
@@ -153,8 +153,8 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
     Columns: those of `keep` (default doc_id), the counts (long), repeats (array of structs of first word and words),
     base_failed (fewer than 50 words, or over half of them in repeated 3-word windows) and kept. kept is false if base_failed
     is true, or if the covered part or the longest repeat goes beyond `limits`. A null or empty text has no words and fails. Rows are independent (repeated rows give repeated results); other columns are not read. Equality
-    of words and lines is that of 64-bit hashes. No shuffle; memory is a few hundred bytes for each byte of a slice of texts
-    or of the longest text.
+    of words and lines is that of 64-bit hashes. No shuffle; memory is some hundred bytes for each word of a slice of texts or of the longest text, and four
+    bytes more for each doubling of its longest repeat.
     """
     bounded(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
@@ -163,7 +163,7 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("repetition")
         for batch in batches:
-            for lo, hi, buf, off in slices(batch.column(at_text)):
+            for lo, hi, buf, off in slices(batch.column(at_text), SLICE_BYTES // 2):
                 m = measure(buf, off, limits)
                 n = m["n_words"]
                 base = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)

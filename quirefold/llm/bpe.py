@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,17 +240,24 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         coder = _shared(shared.value, pattern)
         for batch in batches:
             column = batch.column(at)
-            for lo in range(0, len(column), 256):
+            sizes = [0 if v is None else v for v in pc.binary_length(column).to_pylist()]
+            lo = 0
+            while lo < len(sizes):
+                hi, held = lo, 0
+                while hi < len(sizes) and (hi == lo or hi - lo < 256 and held + sizes[hi] <= 1 << 20):
+                    held += sizes[hi]
+                    hi += 1
                 ids, counts, plain = [], [], []
-                for value in column.slice(lo, 256):
+                for value in column.slice(lo, hi - lo):
                     found = coder.encode(value.as_py() or "")
                     counts.append(len(found))
                     plain.append(coder.decode(found))
                     if sys.byteorder == "big":
                         found.byteswap()
                     ids.append(found.tobytes())
-                kept = [c.slice(lo, 256) for c in batch.columns[: len(keep)]]
+                kept = [c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(plain, pa.binary())], names=[*keep, "n_tokens", "ids", "decoded"])
+                lo = hi
 
     picked = docs.select(*(F.col(c) for c in keep), *([] if text in keep else [F.col(text).cast("string").alias("__text")]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

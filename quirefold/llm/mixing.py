@@ -102,6 +102,7 @@ def mix(docs: DataFrame, share_percent: int, weights: Mapping[str, Mapping[str,
 
     rows = docs.select(*named, id_, word_count(F.col(text)).alias("n"))
     rows = scratch.write(rows.select(*(F.col(f"__{c}").alias(c) for c in leaf), "__id", "n"), "counts")
+    n = rows.count()  # no fewer than leaves
     leaves = rows.groupBy(*leaf).agg(F.sum("n").alias("tokens"))
     given = budgets(leaves, share_percent, weights, epochs)
     none = F.lit(False)
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, share_percent: int, weights: Mapping[str, Mapping[str,
         none = none | (_weight(level, weights) == 0)
     turns = F.when(none, 0).when(F.col("tokens") > 0, F.floor(F.col("share") / F.nullif(F.col("tokens"), F.lit(0)))).otherwise(epochs).cast("long")
     rest = F.when(F.col("tokens") > 0, F.col("share") % F.nullif(F.col("tokens"), F.lit(0))).otherwise(0)
-    given = scratch.write(given.select(*leaf, turns.alias("__turns"), rest.cast("long").alias("__rest")), "leaves")
+    given = scratch.write(given.select(*leaf, turns.alias("__turns"), rest.cast("long").alias("__rest")), "leaves", n, 100)
     few = small(given, 200)
     of_leaf = F.broadcast(given) if few else given
 
@@ -118,13 +119,13 @@ def mix(docs: DataFrame, share_percent: int, weights: Mapping[str, Mapping[str,
     up_to = Window.partitionBy(*leaf).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("__end", F.sum("tokens").over(up_to)).where(F.col("__end") > F.col("__rest"))
     border = ends.groupBy(*leaf).agg(F.min(F.struct("__bucket", "__end", "tokens", "__rest")).alias("b"))
-    border = scratch.write(border.select(*leaf, F.col("b.__bucket").alias("__bucket"), (F.col("b.__rest") - F.col("b.__end") + F.col("b.tokens")).alias("__room")), "borders")
+    border = scratch.write(border.select(*leaf, F.col("b.__bucket").alias("__bucket"), (F.col("b.__rest") - F.col("b.__end") + F.col("b.tokens")).alias("__room")), "borders", n, 100)
     within = Window.partitionBy(*leaf).orderBy("__order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = ordered.join(F.broadcast(border) if few else border, [*leaf, "__bucket"]).withColumn("__sum", F.sum("n").over(within)).where(F.col("__sum") <= F.col("__room"))
     last = inside.groupBy(*leaf).agg(F.max("__order").alias("__last"))
     # all before the border's bucket are taken: its name alone comes before any order within it
     cut = border.join(last, leaf, "left").select(*leaf, F.coalesce("__last", "__bucket").alias("__last"))
-    cut = scratch.write(given.join(cut, leaf, "left").select(*(F.col(c).alias(f"__{c}") for c in leaf), "__turns", "__last"), "cuts")
+    cut = scratch.write(given.join(cut, leaf, "left").select(*(F.col(c).alias(f"__{c}") for c in leaf), "__turns", "__last"), "cuts", n, 100)
     scratch.drop(rows, given, border)
 
     all_ = docs.select(*(F.col(c).alias(f"={c}") for c in keep), *named, id_, word_count(F.col(text)).alias("n_tokens"))

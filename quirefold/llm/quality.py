@@ -145,13 +145,14 @@ def good_share(row: np.ndarray, size: np.ndarray, bad: np.ndarray, rows: int) ->
     return np.log(share / (1 - share))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most: int = 3000, most_bytes: int = 40_000) -> Model:
-    """Fit on at most `most` labelled rows, among them none of more than most_bytes bytes, so the driver gets a bounded table.
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most: int = 3000, most_bytes: int = 40_000, most_lines: int = 500) -> Model:
+    """Fit on at most `most` labelled rows, among them none of more than most_bytes bytes or most_lines lines, so the driver gets a bounded
+    table: at most 92 bytes for each line.
 
     Lines begin with their document's label; after a first fit, lines of bad documents that look good are labelled good
     unless none would stay bad, and the field is fitted again. Without both classes each text gets the share of good labels.
     """
-    sample = labelled_sample(docs, labels, "quality", folds, held_out, most).where(F.octet_length("text") <= most_bytes)
+    sample = labelled_sample(docs, labels, "quality", folds, held_out, most).where((F.octet_length("text") <= most_bytes) & (F.size(F.split("text", "\n")) <= most_lines))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

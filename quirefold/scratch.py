@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch that goes from Spark to a Python worker, unless the session says otherwise.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes of a counted table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a file of a table whose size has a known bound.

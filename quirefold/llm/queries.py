@@ -11,10 +11,12 @@ from quirefold.llm import licenses, quality, toxicity
 from quirefold.llm.bpe import encode_documents
 from quirefold.llm.common import table
 from quirefold.llm.counts import count_tokens
+from quirefold.llm.divergence import divergence
 from quirefold.llm.licenses import license_scan
 from quirefold.llm.linedup import LEAST_CHARS, duplicate_lines
 from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
+from quirefold.llm.repair import damage, reports
 from quirefold.llm.repetition import repetition
 from quirefold.llm.topk import top_k, whole_numbers
 
@@ -205,5 +207,34 @@ SELECT x.id AS doc_id, x.path, own_license, own_score, own_line, coalesce(own_li
 FROM x LEFT JOIN own ON own.id = x.id LEFT JOIN a ON a.dir = x.dir AND a.k = 1
 """
 
-QUERIES = {"op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {"repetition_base": REPETITION_BASE_SQL, "op10_license_scan": OP10_SQL, "op6_deletion_join": OP6_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS MATERIALIZED (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(ts) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS MATERIALIZED (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n_all FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, n_all, coalesce((SELECT sum(n) FROM t WHERE t.lang = g.lang AND t.source = g.source), 0) AS n_group FROM g LEFT JOIN v ON v.lang = g.lang),
+s AS MATERIALIZED (SELECT gn.lang, gn.source, k.term, coalesce(t.n, 0) AS n, 1 + 1000000000 * (coalesce(t.n, 0) + 5) // (n_group + 5 * v) AS p, 1 + 1000000000 * (total + 5) // (n_all + 5 * v) AS q
+  FROM gn JOIN k ON k.lang = gn.lang LEFT JOIN t ON t.lang = gn.lang AND t.source = gn.source AND t.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports(damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"op12_divergence": op12_divergence, "op13_repair": op13_repair, "op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
+ORACLES: dict[str, str] = {"op12_divergence": OP12_SQL, "repetition_base": REPETITION_BASE_SQL, "op10_license_scan": OP10_SQL, "op6_deletion_join": OP6_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

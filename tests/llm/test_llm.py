@@ -612,6 +612,7 @@ def odd(spark, tmp_path_factory):
         spark.createDataFrame(rows, ODD).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, None, None), (4, 0, 1), (None, 1, 1)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame([(0, [1.0, 2.0], 1), (100, [1.0, None], 1), (200, None, 1), (None, [1.0, 2.0], 1), (300, [float("nan"), 1.0], 1), (3, [2.0, 2.0], 1), (0, [1.0, 2.0], 1)] if rows else [], "vec_id long, embedding array<float>, score int").write.parquet(f"{folder}/embeddings.parquet")
+        spark.createDataFrame([(1, 0, "user", "a."), (None, None, None, None)] if rows else [], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
         folders.append(folder)
     return folders
 
@@ -623,6 +624,12 @@ def test_odd_tables(spark, odd, name):
     if name == "op8_cover_trees":
         assert [(r.query_id, r.vec_id, r.score) for r in full] == [(0, 3, 1024 * 2048 + 2048 * 2048)]
         return
+    if name == "op12_divergence":  # no term stands in thirty documents
+        assert {(r.lang, r.source, r.item, r.part, r.value) for r in full} == {("en", a, b, "pair", 0) for a, b in (("s1", "s2"), ("s2", "s1"))}
+        return
+    if name == "op13_repair":
+        assert {r.conv_id for r in full} == {1, None} and [(r.audit, r.cost) for r in full if r.conv_id is None] == [("D", 4)]
+        return
     assert len(full) == len(ROWS)
     by = {r.doc_id: r for r in full}
     if name == "op1_setsketch":

@@ -18,6 +18,7 @@ from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
 from quirefold.llm.repair import damage, reports
 from quirefold.llm.repetition import repetition
+from quirefold.llm.setjoin import Joining, jaccard_components
 from quirefold.llm.topk import top_k, whole_numbers
 
 
@@ -208,6 +209,10 @@ FROM x LEFT JOIN own ON own.id = x.id LEFT JOIN a ON a.dir = x.dir AND a.k = 1
 """
 
 
+def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), Joining(shingle=3, percent=90))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -236,5 +241,5 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {"op12_divergence": op12_divergence, "op13_repair": op13_repair, "op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
+QUERIES = {"op11_set_relations": op11_set_relations, "op12_divergence": op12_divergence, "op13_repair": op13_repair, "op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {"op12_divergence": OP12_SQL, "repetition_base": REPETITION_BASE_SQL, "op10_license_scan": OP10_SQL, "op6_deletion_join": OP6_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

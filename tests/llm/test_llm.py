@@ -634,6 +634,8 @@ def test_odd_tables(spark, odd, name):
     by = {r.doc_id: r for r in full}
     if name == "op1_setsketch":
         assert by[3].component_id == 3 and by[None].component_id is None and by[2].n_shingles == 0 and by[1].kept
+    if name == "op11_set_relations":
+        assert by[3].component_id == 3 and by[None].component_id is None and by[2].n_shingles == 0 and by[4].n_shingles == 1 and by[6].component_id == 6
     if name == "op3_repetition":
         assert by[2].n_words == 0 and by[2].base_failed and by[4].n_words == 60_000 and not by[4].kept
     if name == "op5_bpe":

@@ -6,7 +6,7 @@ import argparse
 
 from quirefold.plans.answer import Router, stored_index
 from quirefold.plans.ingest import erase, ingest, read_documents, tree_index
-from quirefold.scratch import release
+from quirefold.scratch import Scope
 from quirefold.session import session
 from quirefold.sources.config import QueryConfig, StructureConfig, load, made
 from quirefold.sources.graph import Bolt, export
@@ -15,37 +15,39 @@ from quirefold.sources.graph import Bolt, export
 def structure(config: StructureConfig) -> None:
     """PDF files (or transcripts) to stored documents with what models tell of them, then the tree, also to a graph store if one is set."""
     spark = session()
-    provider = made(config.provider)
-    if config.erase:
-        erase(spark, config.storage_dir)
-    if "index" in config.steps:
-        if config.transcripts:
-            docs = spark.read.parquet(config.transcripts)
-        else:
-            docs = read_documents(spark, config.input_dir, config.root_dir, f"{config.storage_dir}/transcripts", provider, made(config.fallback), config.workers)
-        ingest(docs, config.storage_dir, provider)
-    if "tree" in config.steps:
-        nodes, edges = tree_index(spark.read.parquet(f"{config.storage_dir}/documents"), config.storage_dir)
-        if config.graph_uri:
-            export(nodes, edges, Bolt(config.graph_uri, config.graph_user, config.graph_password, config.graph_database))
-    release(spark)
+    with Scope() as made_here:
+        provider = made(config.provider)
+        if config.erase:
+            erase(spark, config.storage_dir)
+        if "index" in config.steps:
+            if config.transcripts:
+                docs = spark.read.parquet(config.transcripts)
+            else:
+                docs = read_documents(spark, config.input_dir, config.root_dir, f"{config.storage_dir}/transcripts", provider, made(config.fallback), config.workers)
+            ingest(docs, config.storage_dir, provider)
+        if "tree" in config.steps:
+            nodes, edges = tree_index(spark.read.parquet(f"{config.storage_dir}/documents"), config.storage_dir)
+            if config.graph_uri:
+                export(nodes, edges, Bolt(config.graph_uri, config.graph_user, config.graph_password, config.graph_database))
+    made_here.release()
 
 
 def query(config: QueryConfig) -> None:
     """Prints the answer to each question: by agents that choose their tools, or (agents: false) by one fixed route."""
     spark = session()
-    provider = made(config.provider)
-    docs = spark.read.parquet(f"{config.storage_dir}/documents")
-    chunks, tools = stored_index(docs, config.storage_dir, provider, config.chunk_size)
-    router = Router(chunks, tools, provider, config.chunks_top_k, config.nodes_top_k, config.max_iterations, config.workers)
-    asked = spark.createDataFrame(list(enumerate(config.queries)), "query_id long, query string")
-    if config.agents:
-        for row in router.agents(asked).orderBy("query_id").collect():
-            print(f"{row['query']}\n{row['response'] or 'no answer'}\n")
-    else:
-        for row in router.answer(asked).orderBy("query_id").collect():
-            print(f"{row['query']}\n{row['response'] if row['status'] == 'ok' else row['error']}\n")
-    release(spark)
+    with Scope() as made_here:
+        provider = made(config.provider)
+        docs = spark.read.parquet(f"{config.storage_dir}/documents")
+        chunks, tools = stored_index(docs, config.storage_dir, provider, config.chunk_size)
+        router = Router(chunks, tools, provider, config.chunks_top_k, config.nodes_top_k, config.max_iterations, config.workers)
+        asked = spark.createDataFrame(list(enumerate(config.queries)), "query_id long, query string")
+        if config.agents:
+            for row in router.agents(asked).orderBy("query_id").collect():
+                print(f"{row['query']}\n{row['response'] or 'no answer'}\n")
+        else:
+            for row in router.answer(asked).orderBy("query_id").collect():
+                print(f"{row['query']}\n{row['response'] if row['status'] == 'ok' else row['error']}\n")
+    made_here.release()
 
 
 def main(args: list[str] | None = None) -> None:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +24,9 @@ FILE_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _temporary: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+_owner: ContextVar[Scope | None] = ContextVar("quirefold_owner", default=None)
+_cleaning: weakref.WeakKeyDictionary[SparkSession, list] = weakref.WeakKeyDictionary()
+_lock = threading.Lock()
 
 
 def _local(master: str) -> bool:
@@ -49,12 +56,61 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of jobs that end meanwhile are deleted. Of several threads the first switches the session's setting, the last one back."""
+    with _lock:
+        held = _cleaning.setdefault(spark, [0, None])
+        if not held[0]:
+            held[1] = spark.conf.get(_SHUFFLES, "false")
+            spark.conf.set(_SHUFFLES, "true")
+        held[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_SHUFFLES, held[1])
+
+
+class Scope:
+    """Owns the scratch tables of the calls made within it: `with Scope() as made: ...`, then `made.release()` once what the calls returned
+    has been stored. Nothing else is deleted: tables of other threads, sessions and calls stay. Within another scope, what is not
+    released at the end goes over to that one. Without a scope tables stay until their folder goes (on a local master with the driver)."""
+
+    def __init__(self) -> None:
+        self.roots: list[tuple[SparkSession, str] | Scope] = []
+        self._outer: Scope | None = None
+
+    def __enter__(self) -> Scope:
+        self._outer = _owner.get()
+        _owner.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _owner.set(self._outer)
+        if self._outer is not None:
+            self._outer.roots.append(self)
+
+    def folders(self) -> list[str]:
+        return [x for held in self.roots for x in (held.folders() if isinstance(held, Scope) else [held[1]])]
+
+    def release(self) -> None:
+        while self.roots:
+            held = self.roots.pop()
+            if isinstance(held, Scope):
+                held.release()
+            else:
+                _delete(*held)
+
+
 class Scratch:
     """Tables of one call of an operator, below a folder of its own in the shared folder.
 
     write() ends the lineage: the rows are read back from the files, so lost executors cost no recomputation; shuffle files of the
-    writing job are deleted with its end. drop() deletes tables that nothing reads any more. What a returned DataFrame
-    still reads stays until release().
+    writing job are deleted with its end. drop() deletes tables that nothing reads any more. What a returned DataFrame still reads
+    stays until release(), or that of the scope in which the call was made.
     """
 
     def __init__(self, spark: SparkSession):
@@ -62,23 +118,21 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/quirefold-scratch/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []  # so that their ids stay theirs
-        _written.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        if (scope := _owner.get()) is not None:
+            scope.roots.append((spark, self.root))
         if _local(spark.sparkContext.master):
             atexit.register(shutil.rmtree, re.sub("^file:(//)?", "", self.root), ignore_errors=True)  # nobody else reads it
         bounded(spark)
 
     def write(self, df: DataFrame, name: str, rows: int | None = None, width: int = 64) -> DataFrame:
         """rows: the table has no more than so many, of about width bytes; it then goes to a file for each FILE_BYTES of that bound, not to
-        one for each partition of the last shuffle, and small tables cost few tasks and files."""
+        one for each partition of the last shuffle, and small tables cost few tasks and files. Not for joins with wide tables: their
+        rows all go through those few tasks."""
         if rows is not None:
             df = df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
         path = f"{self.root}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        before = self.spark.conf.get(_SHUFFLES, "false")
-        self.spark.conf.set(_SHUFFLES, "true")
-        try:
+        with _cleaned(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(_SHUFFLES, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         self.kept.append(back)
@@ -88,21 +142,15 @@ class Scratch:
         for t in tables:
             _delete(self.spark, self.paths[id(t)])
 
+    def release(self) -> None:
+        _delete(self.spark, self.root)
+
 
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, but: Scratch | None = None) -> None:
-    """Delete the scratch tables that this session's operators have left, but those of `but`; call it once their results have
-    been stored. Other sessions' tables lie in folders of their own and stay."""
-    mine = _written.setdefault(spark.sparkContext.applicationId, [])
-    for root in [r for r in mine if but is None or r != but.root]:
-        _delete(spark, root)
-        mine.remove(root)
-
-
 def small(table: DataFrame, row_bytes: int) -> bool:
     """Whether a table of rows of row_bytes bytes may be broadcast: its rows are counted."""
     return table.count() * row_bytes <= BROADCAST_BYTES

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.bpe import encode_documents
-from quirefold.llm.common import Scratch, release, small, table
+from quirefold.llm.common import Scope, Scratch, small, table
 from quirefold.llm.linedup import drop_lines
 from quirefold.llm.mixing import mix
 from quirefold.llm.neardup import Sketching, near_duplicates
@@ -80,17 +80,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents. Each stage's rows are stored before the next begins, and what the stage needed goes;
-    two stages' rows at most are there at once. release() deletes what the returned rows are read from."""
+    """All stages over the table documents. Each stage's rows are stored before the next begins, and what that stage made meanwhile goes,
+    nothing else; two stages' rows at most are there at once. What the returned rows are read from stays, or belongs to the scope
+    in which run() is called."""
     docs = table(spark, sf_dir, "documents")
     held, before = Scratch(spark), None
-    for k, (name, stage) in enumerate(STAGES):
-        found = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return found
-        docs = held.write(found, name)
-        release(spark, but=held)
+    for name, stage in STAGES[:-1]:
+        with Scope() as made:
+            docs = held.write(stage(spark, docs, sf_dir), name)
+        made.release()
         if before is not None:
             held.drop(before)
         before = docs
-    raise AssertionError
+    return STAGES[-1][1](spark, docs, sf_dir)

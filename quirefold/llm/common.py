@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.scratch import BROADCAST_BYTES, Scratch, bounded, release, shared_dir, small
+from quirefold.scratch import BROADCAST_BYTES, Scope, Scratch, bounded, shared_dir, small
 
-__all__ = ["BROADCAST_BYTES", "Scratch", "bounded", "release", "shared_dir", "small"]
+__all__ = ["BROADCAST_BYTES", "Scope", "Scratch", "bounded", "shared_dir", "small"]
 
 #: Bytes of text that a kernel handles at once; a longer text is handled alone and whole.
 SLICE_BYTES = 1 << 19

@@ -1,8 +1,12 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 import corpus_pipeline as C
 from conftest import DATA
-from quirefold.llm.common import release, table
+from quirefold.llm.common import Scope, table
+from quirefold.llm.queries import QUERIES
 from quirefold.llm.repetition import repetition
 
 
@@ -29,8 +33,31 @@ def test_run(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, DATA)
     want = {(r.doc_id, r.n_tokens, bytes(r.token_ids)) for r in docs.collect()}
-    assert {(r.doc_id, r.n_tokens, bytes(r.token_ids)) for r in C.run(spark, DATA).collect()} == want and want
-    release(spark)
+    with Scope() as made:
+        assert {(r.doc_id, r.n_tokens, bytes(r.token_ids)) for r in C.run(spark, DATA).collect()} == want and want
+    left = [root.removeprefix("file://") for root in made.folders()]
+    assert any(os.path.exists(x) for x in left)
+    made.release()
+    assert not any(os.path.exists(x) for x in left)
+
+
+def test_results_outlive_two_pipelines(spark):
+    """Lazy results of operators are read after two pipelines have run at once in the same application."""
+    names = ["op1_setsketch", "op6_deletion_join", "op8_cover_trees"]
+    want = {n: sorted(map(str, QUERIES[n](spark, DATA).collect())) for n in names}
+    lazy = {n: QUERIES[n](spark, DATA) for n in names}
+
+    def chain():
+        with Scope() as made:
+            rows = sorted((r.doc_id, bytes(r.token_ids)) for r in C.run(spark, DATA).collect())
+        made.release()
+        return rows
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = (f.result() for f in [pool.submit(chain), pool.submit(chain)])
+    assert first == second and first
+    assert {n: sorted(map(str, lazy[n].collect())) for n in names} == want
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
 
 
 def test_shuffled_as_broadcast(spark, monkeypatch):
@@ -39,7 +66,6 @@ def test_shuffled_as_broadcast(spark, monkeypatch):
     for name in ("quirefold.scratch.BROADCAST_BYTES", "quirefold.llm.common.BROADCAST_BYTES", "quirefold.llm.linedup.BROADCAST_KEYS"):
         monkeypatch.setattr(name, 0)
     assert {(r.doc_id, bytes(r.token_ids)) for r in C.run(spark, DATA).collect()} == want
-    release(spark)
 
 
 LONG = " ".join(f"word{k}" for k in range(80))

@@ -26,7 +26,7 @@ UNIT = 1_000_000_000
 #: Sources of a block: a cell holds a square of this many sums.
 BLOCK_SOURCES = 512
 #: Rows (term, source) of a cell, about; a language with more is cut into more cells by hash of the term.
-CELL_ROWS = 1 << 18
+CELL_ROWS = 1 << 14
 #: Bytes of runs that a task gathers before it hands them on.
 GATHERED = 24 << 20
 #: Numbers of a batch of terms by sources whose distances are added up at once.

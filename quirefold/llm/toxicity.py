@@ -1,9 +1,11 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
 Each word scores its log-odds between toxic and other training documents, smoothed by Dirichlet priors in proportion to
-the labelled sample that is fitted (not to the whole corpus: beyond `most` rows it doesn't grow with the table). Decisive
-words score as they are, and a word without a score of its own takes that of its longest decisive prefix; all others keep
-their odds as far as the sample speaks for them, less a drift that makes the score of clean text fall. All maximal scoring segments
+the labelled sample that is fitted (not to the whole corpus: beyond `most` rows it doesn't grow with the table), shrunk as far as the
+sample says little of it, less a drift that makes the score of clean text fall. Decisive words score as they are. A word without a
+score of its own takes that of the longest decisive stem that it begins with; a stem is decisive only if it begins several words of
+the sample and nearly all of these are toxic (clean ones keep their own odds), so one toxic word says nothing of words that begin
+alike. All maximal scoring segments
 of a text come from one linear scan. Scores of the best segments of clean texts follow an extreme-value distribution, by which a segment's
 score is turned into a p-value whatever the text's length.
 """
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import Scratch, bounded, only, slices
@@ -29,8 +31,10 @@ EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_/\\…“”„«»‘’–—¿¡"
 #: Words that a worker remembers before it starts afresh.
 REMEMBERED = 250_000
 PREFIXES = (4, 5, 6, 7, 8)
-#: What a word that isn't decisive loses, and the most that it may score.
-DRIFT, MOST_PLAIN = 0.25, -0.02
+#: What a clean word scores in the mean, below zero, and how many toxic words a stem begins at least.
+DRIFT, FAMILY = 0.5, 3
+#: z at which half of the odds of a word that is not decisive counts.
+HALF_Z = 3.0
 #: Rounds in which decisive features are found, each among the rows that those before don't explain.
 ROUNDS = 6
 #: Scores of words are counted in steps of this, from LOWEST on.
@@ -150,6 +154,20 @@ def _counts(decided):
     return run
 
 
+def _begun() -> Column:
+    """The stems that a feature begins with, each followed by an asterisk."""
+    return F.filter(F.array(*(F.when(F.char_length("feature") >= n, F.concat(F.substring("feature", 1, n), F.lit("*"))) for n in PREFIXES)), F.isnotnull)
+
+
+def _stems(words: DataFrame) -> DataFrame:
+    """(stem) of those that begin at least FAMILY whole words seen as often in toxic rows as in others, or more often, and of other words no
+    more than one to four of these, which then keep a score of their own."""
+    toxic = F.col("a") >= F.col("b")
+    told = words.select(F.explode(_begun()).alias("stem"), toxic.cast("int").alias("toxic"), (~toxic).cast("int").alias("clean"))
+    sums = told.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sums.where((F.col("toxic") >= FAMILY) & (4 * F.col("clean") <= F.col("toxic"))).select("stem")
+
+
 def _adds(row, rows: dict) -> bool:
     """Whether a feature is decisive beyond the longer ones that it begins: what they leave of its rows must not be mostly others."""
     if not row["feature"].endswith("*"):
@@ -171,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     share of the sample; decisive: least z of a feature that may score above 0; least_rows: rows that a word must be in for a
     score of its own.
 
-    Of copies but for a few words one counts. Decisive features are in more toxic rows than others, also beyond the longer features that
-    they begin, and have at least half the greatest z of their round; rows that hold one are explained and left out of the next
+    Of copies but for a few words one counts. Decisive features are words, or stems as said above, in more toxic rows than others, also
+    beyond the longer features that they begin, and have at least half the greatest z of their round; rows that hold one are explained and left out of the next
     round, where a feature must be in a tenth of the toxic rows that are left. So words that only go along with decisive ones don't become so. Counts are made where the texts are; the driver gets words of least_rows rows and decisive features, at most
     all words of the bounded sample. Without both classes there is no lexicon and each text gets the share of toxic labels.
     """
@@ -189,13 +207,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
         return none
     plain: dict[str, float] = {}
     decided: dict[str, float] = {}
+    down = DRIFT
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(decided)
         counts = sample.mapInArrow(_counts(sent), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
         told = (F.col("a") >= 3) & (F.col("a") >= F.col("b"))
         if not turn:
             told = told | (~F.endswith("feature", F.lit("*")) & (F.col("a") + F.col("b") >= least_rows))
-        rows = {r["feature"]: r for r in counts.where((F.col("feature") == "") | told).collect()}
+        if not turn:
+            counts = scratch.write(counts, "counts")
+            words = counts.where((F.col("feature") != "") & ~F.endswith("feature", F.lit("*")))
+            stems = scratch.write(_stems(words), "stems")
+        counts = counts.where((F.col("feature") == "") | told).join(stems, F.col("feature") == F.col("stem"), "left")
+        rows = {r["feature"]: r for r in counts.where(~F.endswith("feature", F.lit("*")) | F.col("stem").isNotNull()).collect()}
         n1, n0 = (rows[""]["a"], rows[""]["b"]) if "" in rows else (0, 0)
         if not n1 or not n0:
             break
@@ -210,9 +234,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
 
         rated = {f: odds(r) for f, r in rows.items() if f}
         if not turn:
-            plain = {f: round(min(d * z * z / (z * z + 9.0) - DRIFT, MOST_PLAIN), 3) for f, (d, z) in rated.items() if not f.endswith("*") and rows[f]["a"] + rows[f]["b"] >= least_rows}
+            plain = {f: d * z * z / (z * z + HALF_Z**2) for f, (d, z) in rated.items() if not f.endswith("*") and rows[f]["a"] + rows[f]["b"] >= least_rows}
+            said = sum(rows[f]["b"] for f in plain)
+            down = max(0.0, sum(rows[f]["b"] * d for f, d in plain.items()) / max(said, 1)) + DRIFT
+            plain = {f: round(d - down, 3) for f, d in plain.items()}
         least = 3 if not turn else max(5.0, 0.1 * n1)
-        sure = {f: dz for f, dz in rated.items() if rows[f]["a"] >= max(least, rows[f]["b"]) and dz[1] >= decisive and dz[0] >= 1.5}
+        sure = {f: dz for f, dz in rated.items() if rows[f]["a"] >= max(least, rows[f]["b"]) and dz[1] >= decisive and dz[0] >= 2.0}
         top = max((z for _, z in sure.values()), default=0.0)
         best = {f: rows[f] for f, (_, z) in sure.items() if z >= top / 2}
         found = {f: min(sure[f][0], 6.0) for f, r in best.items() if _adds(r, best)}
@@ -222,13 +249,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     if not decided:
         scratch.drop(sample)
         return none
-    # a word of its own score that isn't decisive gives way to a decisive prefix
-    lexicon = {w: s for w, s in plain.items() if not any(f in decided for f in features(w))} | decided
+    # words seen clean are no part of a decisive stem: they keep their odds, or that of a word unseen; others under it score as it does
+    chosen_stems = [f for f in decided if f.endswith("*")]
+    clean = {r["feature"] for r in words.where((F.col("a") < F.col("b")) & F.arrays_overlap(_begun(), F.array(*map(F.lit, chosen_stems)))).collect()} if chosen_stems else set()
+    lexicon = {w: s for w, s in plain.items() if not any(f in decided for f in features(w)[1:])} | {w: min(plain.get(w, -down), -down) for w in clean} | decided
     shared = spark.sparkContext.broadcast(lexicon)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
-        scorer = Scorer(shared.value, -DRIFT)
+        scorer = Scorer(shared.value, -down)
         total = np.zeros(int((8 - LOWEST) / STEP) + 2, np.int64)
         names, kinds = ["y", "scores", "n", "bins"], [pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
@@ -262,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     place = float(tops.mean()) - 0.5772156649 * scale
     x = np.array([math.log1p(evidence([(0, 0, s) for s in r["scores"]], r["n"], rate, place, scale)) for r in rows])
     a, b = logistic(x[:, None], np.array([float(r["y"]) for r in rows]), ridge=1e-3)
-    return Model(lexicon, -DRIFT, rate, place, scale, (float(a), float(b)), base)
+    return Model(lexicon, -down, rate, place, scale, (float(a), float(b)), base)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

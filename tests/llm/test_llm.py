@@ -299,7 +299,8 @@ def test_quality_held_out(spark):
     folder = DATA.replace("0.001", "0.01")
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = QUERIES["op4_line_field"](spark, folder).join(labels, "doc_id").where("held_out").collect()
-    assert len(scored) > 30 and accuracy(scored, "quality") > 0.9 and all(0 <= r["score"] <= 1 for r in scored)
+    bad = Counter((1 - r.quality, 1 - r.predicted) for r in scored)
+    assert len(scored) > 30 and accuracy(scored, "quality") > 0.9 and bad[1, 1] >= 0.8 * (bad[1, 1] + bad[1, 0]) and bad[1, 1] >= 0.8 * (bad[1, 1] + bad[0, 1]) and all(0 <= r["score"] <= 1 for r in scored)
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] for r in scored)
     only = quality.train(docs, labels.where("quality = 1"))  # one class only
     assert {r.score for r in quality.quality(docs, only).select("score").distinct().collect()} == {1.0}
@@ -308,7 +309,8 @@ def test_quality_held_out(spark):
 def test_toxicity_held_out(spark):
     folder = DATA.replace("0.001", "0.01")
     scored = QUERIES["op9_toxic_segments"](spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out").collect()
-    assert len(scored) > 50 and accuracy(scored, "toxic") > 0.9
+    found = Counter((r.toxic, r.predicted) for r in scored)
+    assert len(scored) > 50 and found[1, 1] >= 0.6 * (found[1, 1] + found[1, 0]) and found[1, 1] >= 0.75 * (found[1, 1] + found[0, 1])  # recall and precision of some 14 toxic rows
     none = toxicity.train(table(spark, folder, "documents"), table(spark, folder, "labels").where("toxic = 0"))
     assert none.lexicon == {} and none.prior == 0.0
 
@@ -366,6 +368,43 @@ def test_words_that_only_go_along(spark):
     assert model.lexicon["nasty"] > 0 and not any(s > 0 for w, s in model.lexicon.items() if w.startswith("copied"))
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    """Toxic texts hold `worthless`, `loser` or a word of the stem `grobl`; words that are only a little likelier in them, mild0 to mild39, are
+    in clean texts too, and so are `groblein` and words of no odds."""
+    random.seed(31)
+    plain = [f"{a}{k}" for k in range(150) for a in ("quiet", "river")]
+    rows, labels = [], []
+    for k in range(1500):
+        toxic = k % 5 == 0
+        words = [random.choice(plain) for _ in range(40)] + random.choices([f"mild{m}" for m in range(40)], k=6 if toxic else 2)
+        if toxic and k % 3:
+            words += random.choice([["worthless"], ["loser"], [f"grobl{random.choice('abcdefghi')}x"]])
+        if not toxic and k % 100 == 1:
+            words.append("groblein")
+        random.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+
+def test_words_that_begin_like_toxic_ones(spark, learned):
+    """One toxic word says nothing of clean words with its first letters; a stem of many says something of words unseen, not of a clean one."""
+    assert not any(w.startswith(("wort", "lose")) and w.endswith("*") for w in learned.lexicon) and learned.lexicon["worthless"] > 1 and learned.lexicon["loser"] > 1
+    said = ["It is worth what it costs and nobody has to lose anything by it", "It is fine what it pays and nobody has to miss anything by it", "worthless", "groblzzz", "groblein"]
+    score = [r.score for r in toxicity.toxicity(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), learned).orderBy("doc_id").collect()]
+    assert score[0] == score[1] == min(score) and score[2] > 0.3 and score[3] > 0.3 and score[4] < 0.3
+
+
+def test_many_mild_words(spark, learned):
+    """Words of odds above those of the rest, none of which says much, are a passage where they come together."""
+    mild = [w for w, s in learned.lexicon.items() if w.startswith("mild") and 0 < s < 2]
+    assert len(mild) > 20
+    texts = [(0, " ".join(["quiet1"] * 30 + mild[:20] + ["river2"] * 30)), (1, " ".join(["quiet1"] * 30 + mild[:1] + ["river2"] * 30))]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(texts, "doc_id long, text string"), learned).collect()}
+    assert got[0].score > 0.3 > got[1].score and [(p.first_word, p.end_word) for p in got[0].passages] == [(30, 50)] and not got[1].passages
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(6)
     row = np.array([0, 0, 0, 2, 3, 3])

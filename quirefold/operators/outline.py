@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.functions.text import split_lines, stem, strip, tree_line
 from quirefold.operators.checks import none_of
+from quirefold.operators.streams import scanned
 
 #: Patterns of an outline's lines.
 SECTION = "^(#+)\\s+(.+)$"
@@ -15,34 +18,63 @@ PAGE = "^-\\s*Page\\s+(\\d+)\\s*:\\s*(.+)$"
 LINED = "^(#+)\\s+(.*?)\\s+\\[line\\s+(\\d+)\\]"
 
 
-ROWS = "array<struct<number:bigint,name:string,kind:string,level:bigint,parent_number:bigint>>"
-
+ROWS = "ord long, number long, name string, kind string, level long, parent_number long"
+MARKS = "array<struct<level:bigint,number:bigint,name:string>>"
 
-def _node(number: Column, name: Column, kind: str, level: Column, parent: Column) -> Column:
-    return F.struct(number.cast("long").alias("number"), name.alias("name"), F.lit(kind).alias("kind"), level.cast("long").alias("level"), parent.cast("long").alias("parent_number"))
 
+class _Open:
+    """The open headings (level, number): a heading leaves open those of a smaller level. One of a level costs what it closes, so a
+    document costs its headings, however long it is."""
 
-def _below(stack: Column, level: Column) -> Column:
-    """The open headings (level, number) that a heading of this level leaves open: those of a smaller level."""
-    return F.filter(stack, lambda s: s["level"] < level)
+    def __init__(self) -> None:
+        self.path: list[tuple[int, int]] = []
 
+    def open(self, level: int, number: int | None) -> int | None:
+        """The parent of a heading, which is open from now on."""
+        while self.path and self.path[-1][0] >= level:
+            self.path.pop()
+        parent = self.path[-1][1] if self.path else -1
+        self.path.append((level, number))
+        return parent
 
-def _innermost(stack: Column) -> Column:
-    return F.coalesce(F.try_element_at(stack, F.lit(-1))["number"], F.lit(-1).cast("long"))
 
+class _Landscape:
+    """Marks of one deck after the other: headings (level), pages (number), and an end (neither)."""
 
-def _opened(stack: Column, level: Column, number: Column) -> Column:
-    return F.concat(_below(stack, level), F.array(F.struct(level.cast("long").alias("level"), number.cast("long").alias("number"))))
+    def __call__(self, pos: int, level: int | None, number: int | None, name: str | None, title: str | None, nb_pages: int | None) -> Iterator[tuple]:
+        if pos == 0:
+            self.headings, self.heads, self.seen, self.ord = _Open(), 0, set(), 0
+            yield 0, -1, title, "root", 0, None
+        if level is not None:
+            self.heads += 1
+            self.ord += 1
+            yield self.ord, -1 - self.heads, name, "abstract", level, self.headings.open(level, -1 - self.heads)
+        elif number is not None:
+            if number not in self.seen:
+                self.seen.add(number)
+                self.ord += 1
+                yield self.ord, number, name, "page", 0, -1 - self.heads
+        elif left := [n for n in range(1, (nb_pages or 0) + 1) if n not in self.seen]:
+            yield self.ord + 1, -2 - self.heads, "Uncategorized", "abstract", 1, -1
+            for k, n in enumerate(left):
+                yield self.ord + 2 + k, n, f"Page number {n}", "page", 0, -2 - self.heads
 
 
-STACK = "array<struct<level:bigint,number:bigint>>"
+class _Portrait:
+    def __call__(self, pos: int, level: int | None, number: int | None, name: str | None, title: str | None) -> Iterator[tuple]:
+        if pos == 0:
+            self.headings = _Open()
+            yield 0, -1, title, "root", 0, None
+        if level is not None:
+            yield pos + 1, number, name, "section", level, self.headings.open(level, number)
 
 
-def _numbered(docs: DataFrame, key: str, rows: Column) -> DataFrame:
-    """A row for the root and one for each of rows, in order."""
-    first = F.array(_node(F.lit(-1), stem(F.col("filename")), "root", F.lit(0), F.lit(None)))
-    every = docs.select(key, F.posexplode(F.concat(first.cast(ROWS), rows)).alias("ord", "n"))
-    return every.select(key, F.col("ord").cast("long").alias("ord"), "n.number", "n.name", "n.kind", "n.level", "n.parent_number")
+def _marks(docs: DataFrame, key: str, marks: Column, more: list[str]) -> DataFrame:
+    """A row for each mark of each document, in order, and one that ends it."""
+    end = F.array(F.struct(F.lit(None).cast("long").alias("level"), F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("name")))
+    none = F.array().cast(MARKS)
+    every = docs.select(key, stem(F.col("filename")).alias("__title"), *more, F.posexplode(F.concat(F.coalesce(marks, none), end.cast(MARKS))).alias("__pos", "__m"))
+    return every.select(key, F.col("__pos").cast("long").alias("__pos"), "__m.level", "__m.number", "__m.name", "__title", *more)
 
 
 def landscape_outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -50,37 +82,19 @@ def landscape_outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     The root is -1; headings are -2, -3, ...; pages keep their number, the first time they are named, if within nb_pages; pages
     left out come last below an abstract node of their own, in order. ord is the order of a walk from the root. An outline is
-    folded where its document lies, with the open headings as a stack: no shuffle, and a plan of one size whatever the levels.
+    scanned where its document lies: no shuffle, one plan whatever the levels, time linear in its lines and memory that of the
+    open headings and of the pages seen.
     """
     lines = F.transform(split_lines(F.col("structure")), strip)
 
     def parsed(line: Column) -> Column:
         level = F.nullif(F.length(F.regexp_extract(line, SECTION, 1)), F.lit(0)).cast("long")
         page = F.regexp_extract(line, PAGE, 1).try_cast("long")
-        return F.struct(level.alias("level"), page.alias("page"), F.when(level.isNotNull(), F.regexp_extract(line, SECTION, 2)).otherwise(F.regexp_extract(line, PAGE, 2)).alias("name"))
-
-    cut = docs.select(key, "nb_pages", "filename", F.filter(F.transform(lines, parsed), lambda m: m["level"].isNotNull() | (m["page"] <= F.col("nb_pages"))).alias("marks"))
-    start = F.struct(F.lit(0).cast("long").alias("heads"), F.array().cast(STACK).alias("stack"), F.array().cast("array<bigint>").alias("seen"), F.array().cast(ROWS).alias("rows"))
-
-    def step(acc: Column, m: Column) -> Column:
-        head, new = m["level"].isNotNull(), ~F.array_contains(acc["seen"], m["page"])
-        number = -2 - acc["heads"]
-        heading = _node(number, m["name"], "abstract", m["level"], _innermost(_below(acc["stack"], m["level"])))
-        page = _node(m["page"], m["name"], "page", F.lit(0), -1 - acc["heads"])
-        return F.struct(
-            (acc["heads"] + head.cast("long")).alias("heads"),
-            F.when(head, _opened(acc["stack"], m["level"], number)).otherwise(acc["stack"]).alias("stack"),
-            F.when(~head & new, F.concat(acc["seen"], F.array(m["page"]))).otherwise(acc["seen"]).alias("seen"),
-            F.when(head | new, F.concat(acc["rows"], F.array(F.when(head, heading).otherwise(page)))).otherwise(acc["rows"]).alias("rows"),
-        )
-
-    folded = cut.select(key, "filename", "nb_pages", F.aggregate(F.coalesce("marks", F.array().cast("array<struct<level:bigint,page:bigint,name:string>>")), start, step).alias("f"))
-    pages = F.when(F.col("nb_pages") > 0, F.sequence(F.lit(1).cast("long"), F.col("nb_pages").cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    folded = folded.select(key, "filename", F.col("f.rows").alias("rows"), (-2 - F.col("f.heads")).alias("own"), F.array_except(pages, "f.seen").alias("rest"))
-    group = F.array(_node(F.col("own"), F.lit("Uncategorized"), "abstract", F.lit(1), F.lit(-1)))
-    left = F.transform("rest", lambda n: _node(n, F.concat(F.lit("Page number "), n.cast("string")), "page", F.lit(0), F.col("own")))
-    none = F.array().cast(ROWS)
-    return _numbered(folded, key, F.concat("rows", F.when(F.size("rest") > 0, F.concat(group.cast(ROWS), left.cast(ROWS))).otherwise(none)))
+        return F.struct(level.alias("level"), page.alias("number"), F.when(level.isNotNull(), F.regexp_extract(line, SECTION, 2)).otherwise(F.regexp_extract(line, PAGE, 2)).alias("name"))
+
+    marks = F.filter(F.transform(lines, parsed), lambda m: m["level"].isNotNull() | (m["number"] <= F.col("nb_pages")))
+    rows = _marks(docs.withColumn("nb_pages", F.col("nb_pages").cast("long")), key, marks, ["nb_pages"])
+    return scanned(rows, [key], ["__pos", "level", "number", "name", "__title", "nb_pages"], _Landscape, ROWS)
 
 
 def portrait_outline(docs: DataFrame, key: str = "doc_id", strict: bool = False) -> DataFrame:
@@ -93,15 +107,8 @@ def portrait_outline(docs: DataFrame, key: str = "doc_id", strict: bool = False)
         return F.struct(F.length(F.regexp_extract(line, LINED, 1)).cast("long").alias("level"), F.regexp_extract(line, LINED, 3).try_cast("long").alias("number"), F.regexp_extract(line, LINED, 2).alias("name"))
 
     lines = F.filter(F.transform(split_lines(F.col("structure")), strip), lambda line: line.rlike(LINED))
-    cut = docs.select(key, "filename", F.coalesce(F.transform(lines, parsed), F.array().cast("array<struct<level:bigint,number:bigint,name:string>>")).alias("marks"))
-    start = F.struct(F.array().cast(STACK).alias("stack"), F.array().cast(ROWS).alias("rows"))
-
-    def step(acc: Column, m: Column) -> Column:
-        row = _node(m["number"], m["name"], "section", m["level"], _innermost(_below(acc["stack"], m["level"])))
-        return F.struct(_opened(acc["stack"], m["level"], m["number"]).alias("stack"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    folded = cut.select(key, "filename", F.aggregate("marks", start, step)["rows"].alias("rows"))
-    return _numbered(folded, key, F.col("rows"))
+    rows = _marks(docs, key, F.transform(lines, parsed), [])
+    return scanned(rows, [key], ["__pos", "level", "number", "name", "__title"], _Portrait, ROWS)
 
 
 def portrait_violations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -119,19 +126,60 @@ def outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return landscape_outline(docs.where("format = 'landscape'"), key).unionByName(portrait_outline(docs.where("format = 'portrait'"), key))
 
 
+class _Depths:
+    """Rows of one document after the other, parents first: what is open is the path from the root, and a row's parent is on it."""
+
+    def __call__(self, key: object, number: int | None, kind: str, parent: int | None) -> Iterator[tuple]:
+        if parent is None or key != getattr(self, "key", self):
+            self.key, self.path, self.at = key, [], {}
+        depth = self.at[parent] + 1 if parent in self.at else 0
+        while len(self.path) > depth:
+            gone, _, _ = self.path.pop()
+            if self.at.get(gone) == len(self.path):
+                del self.at[gone]
+        above, ordinal = None, None
+        if depth:
+            self.path[-1][2] += 1
+            above, ordinal = self.path[-1][1], self.path[-1][2]
+        self.at.setdefault(number, depth)
+        self.path.append([number, kind, 0])
+        yield depth, ordinal, above
+
+
+class _Ends:
+    """Rows of one document after the other, last ones first: the ord of the last row below each."""
+
+    def __call__(self, key: object, ord_: int, depth: int) -> Iterator[tuple]:
+        if key != getattr(self, "key", self):
+            self.key, self.later = key, []
+        last = ord_
+        while self.later and self.later[-1][0] > depth:
+            last = max(last, self.later.pop()[1])
+        self.later.append((depth, last))
+        yield (last,)
+
+
 def with_depth(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Outline rows with depth: the root is 0. One fold over the rows of a document, which come parents first: what is open is the path
-    from the root, and a row's parent is on it."""
-    items = F.array_sort(F.collect_list(F.struct("ord", *(c for c in nodes.columns if c not in (key, "ord")))))
-    kind = nodes.groupBy(key).agg(items.alias("items")).schema["items"].dataType.elementType.simpleString()
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast(f"array<struct<node:{kind},depth:bigint>>").alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        depth = F.coalesce(F.array_position(acc["open"], x["parent_number"]), F.lit(0)).cast("long")
-        return F.struct(F.concat(F.slice(acc["open"], F.lit(1), depth.cast("int")), F.array(x["number"])).alias("open"), F.concat(acc["rows"], F.array(F.struct(x.alias("node"), depth.alias("depth")))).alias("rows"))
-
-    folded = nodes.groupBy(key).agg(F.aggregate(items, start, step)["rows"].alias("rows")).select(key, F.explode("rows").alias("r"))
-    return folded.select(*(key if c == key else F.col(f"r.node.{c}").alias(c) for c in nodes.columns), F.col("r.depth").alias("depth"))
+    """Outline rows with depth: the root is 0. One scan over the rows of a document in their order."""
+    return _with_depth(nodes, key).drop("child_ord", "parent_kind")
+
+
+def _with_depth(nodes: DataFrame, key: str) -> DataFrame:
+    ordered = nodes.withColumn("__key", F.col(key)).repartition(key).sortWithinPartitions(key, "ord")
+    return scanned(ordered, nodes.columns, ["__key", "number", "kind", "parent_number"], _Depths, "depth long, child_ord long, parent_kind string")
+
+
+def numbered(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Outline rows with depth, last, child_ord (from 1 below a parent) and parent_kind. ord and last are the bounds of a node's subtree: the
+    rows of its document whose ord lies between them, so what lies below is a range, and an ancestor is told by two comparisons.
+    One shuffle; two scans, the second one backwards."""
+    return ends(_with_depth(nodes, key), key, dealt=True)
+
+
+def ends(rows: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """rows (key, ord, depth, ...) with last, the ord of the last row below each. dealt: a key's rows lie in one partition already."""
+    back = rows.withColumn("__key", F.col(key))
+    return scanned((back if dealt else back.repartition(key)).sortWithinPartitions(key, F.desc("ord")), rows.columns, ["__key", "ord", "depth"], _Ends, "last long")
 
 
 def render(nodes: DataFrame, key: str = "doc_id") -> DataFrame:

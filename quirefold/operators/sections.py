@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.functions.text import FENCE, HEADER, split_lines, strip
+from quirefold.operators.streams import scanned
 
 
 def doc_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -24,31 +27,47 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.withColumn("is_header", head).withColumn("level", F.when(head, F.length(F.regexp_extract("line", HEADER, 1)))).withColumn("header", F.when(head, F.regexp_extract("line", HEADER, 2)))
 
 
+class _Sections:
+    """Lines of one document after the other. Fences open and close; a heading outside of them begins a section, whose path is that of the
+    open headings by depth: one of level n leaves open at most n - 1 of those that are."""
+
+    def __call__(self, pos: int, line: str | None, fence: bool, level: int | None, header: str | None, shown: str | None) -> Iterator[tuple]:
+        if pos == 0:
+            self.fenced, self.open, self.ord = False, [], 0
+            self.head, self.path, self.lines = (0, 0, ""), "/", []
+        if line is None:  # the end
+            yield self._closed()
+            return
+        if fence:
+            self.fenced = not self.fenced
+        if level is None or self.fenced or fence:
+            self.lines.append(line)
+            return
+        if self.lines or self.ord:
+            yield self._closed()
+        del self.open[max(0, min(len(self.open), level - 1)) :]
+        path = "/".join(self.open)
+        self.ord, self.head, self.path, self.lines = self.ord + 1, (pos, level, header), f"/{path}/" if path else "/", [shown]
+        self.open.append(header)
+
+    def _closed(self) -> tuple:
+        return self.ord, *self.head, self.path, "\n".join(self.lines)
+
+
 def split_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, section_ord, line_number, level, header, header_path, text) of each section that isn't blank.
 
-    The path holds the headings above by depth, not level: a heading of level n leaves open at most n - 1 of those that are. One
-    fold over a document's headings keeps what is open as a stack, so the plan has one size whatever the depth.
+    The path holds the headings above by depth, not level. Lines are marked by built-in expressions and scanned where their document lies:
+    no shuffle, time linear in the lines, memory that of one section and the open headings.
     """
-    marked = headings(docs, key)
-    ordered = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = marked.withColumn("section_ord", F.sum(F.col("is_header").cast("long")).over(ordered))
-    shown = F.when(F.col("is_header"), F.concat(F.regexp_extract("line", HEADER, 1), F.lit(" "), F.col("header"))).otherwise(F.col("line"))
-    head = F.max(F.when(F.col("is_header"), F.struct("line_no", F.col("level").cast("long").alias("level"), "header")))
-    cut = lines.withColumn("shown", shown).groupBy(key, "section_ord").agg(F.expr("listagg(shown, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"), head.alias("head"))
-    sections = F.array_sort(F.collect_list(F.struct("section_ord", "head", "text")))
-    out = "array<struct<section_ord:bigint,head:struct<line_no:bigint,level:bigint,header:string>,path:array<string>,text:string>>"
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(out).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        path = F.when(x["head"].isNull(), F.array().cast("array<string>")).otherwise(F.slice(acc["open"], F.lit(1), F.greatest(F.least(F.size(acc["open"]), x["head"]["level"].cast("int") - 1), F.lit(0))))
-        row = F.struct(x["section_ord"].alias("section_ord"), x["head"].alias("head"), path.alias("path"), x["text"].alias("text"))
-        return F.struct(F.when(x["head"].isNull(), acc["open"]).otherwise(F.concat(path, F.array(x["head"]["header"]))).alias("open"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    folded = cut.groupBy(key).agg(F.aggregate(sections, start, step)["rows"].alias("rows")).select(key, F.explode("rows").alias("s"))
-    path = F.concat_ws("/", "s.path")
-    rows = folded.select(key, "s.section_ord", F.coalesce("s.head.line_no", F.lit(0)).cast("long").alias("line_number"), F.coalesce("s.head.level", F.lit(0)).cast("long").alias("level"), F.coalesce("s.head.header", F.lit("")).alias("header"), F.when(path == "", "/").otherwise(F.concat(F.lit("/"), path, F.lit("/"))).alias("header_path"), strip(F.col("s.text")).alias("text"))
-    return rows.where("text <> ''")
+    lines = F.transform(split_lines(F.col("text")), lambda x: F.struct(x.alias("line")))
+    end = F.array(F.struct(F.lit(None).cast("string").alias("line")))
+    rows = docs.select(key, F.posexplode(F.concat(lines, end)).alias("pos", "m")).select(key, F.col("pos").cast("long").alias("pos"), "m.line")
+    head = F.col("line").rlike(HEADER)
+    mark, said = F.regexp_extract("line", HEADER, 1), F.regexp_extract("line", HEADER, 2)
+    marked = rows.withColumns({"fence": F.ltrim(F.regexp_replace("line", "^\\s+", "")).startswith(FENCE), "level": F.when(head, F.length(mark)), "header": F.when(head, said), "shown": F.when(head, F.concat(mark, F.lit(" "), said))})
+    found = scanned(marked, [key], ["pos", "line", "fence", "level", "header", "shown"], _Sections, "section_ord long, line_number long, level long, header string, header_path string, text string")
+    return found.withColumn("text", strip(F.col("text"))).where("text <> ''")
 
 
 def markdown_toc(docs: DataFrame, key: str = "doc_id", stem: str = "stem") -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql.window import Window
 
 from quirefold.functions.text import tree_line
 from quirefold.operators.checks import none_of
+from quirefold.operators.outline import ends, numbered
 from quirefold.scratch import Scratch
 
+#: Where a node stands: the top of its tree, the bounds of what lies below it, its depth.
+PLACE = ["tree", "first", "last", "depth"]
+
 
 def node_id(doc: Column, kind: Column, number: Column) -> Column:
     return F.sha2(F.concat_ws("|", doc.cast("string"), kind, number.cast("string")), 256)
@@ -23,21 +27,23 @@ def missing_nodes(outline: DataFrame, parts: DataFrame, key: str = "doc_id") ->
 def build_index(outline: DataFrame, parts: DataFrame, key: str = "doc_id", strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from outlines and parts (key, number, seq, content): pages or sections; of equal numbers the last counts.
 
-    nodes: node_id, key, number, kind (root, abstract, page, section, orphan), name, content. Abstract nodes hold their title;
-    parts outside the outline are orphans without a parent. edges: parent_id, child_id, child_ord in outline order.
+    nodes: node_id, key, number, kind (root, abstract, page, section, orphan), name, content, and where they stand: tree (the id of the
+    node on top), first and last (bounds of what lies below, in order of a walk), depth. Abstract nodes hold their title; parts
+    outside the outline are orphans, each a tree of its own. edges: parent_id, child_id, child_ord in outline order. A
+    node's number finds its parent on the way of the scan that numbers the outline, so edges need no join.
     """
     if strict:
         none_of(missing_nodes(outline, parts, key), "outline numbers without a node")
-    last = parts.withColumn("__k", F.row_number().over(Window.partitionBy(key, "number").orderBy(F.desc("seq")))).where("__k = 1").select(key, "number", "content")
-    rows = outline.join(last, [key, "number"], "left")
-    rows = rows.withColumn("node_id", node_id(F.col(key), F.col("kind"), F.col("number"))).withColumn("content", F.when(F.col("kind") == "abstract", F.col("name")).otherwise(F.coalesce("content", F.lit(""))))
+    last = parts.groupBy(key, "number").agg(F.max(F.struct("seq", "content"))["content"].alias("content"))
+    rows = numbered(outline, key).join(last, [key, "number"], "left").withColumn("node_id", node_id(F.col(key), F.col("kind"), F.col("number")))
+    rows = rows.withColumn("content", F.when(F.col("kind") == "abstract", F.col("name")).otherwise(F.coalesce("content", F.lit(""))))
     lost = last.join(outline.select(key, "number"), [key, "number"], "left_anti")
-    orphans = lost.select(node_id(F.col(key), F.lit("orphan"), F.col("number")).alias("node_id"), key, "number", F.lit("orphan").alias("kind"), F.lit("").alias("name"), "content")
-    nodes = rows.select("node_id", key, "number", "kind", "name", "content").unionByName(orphans)
-    known = rows.select(F.col(key).alias("__key"), F.col("number").alias("__number"), F.col("node_id").alias("parent_id"))
-    edges = rows.where("parent_number is not null").join(known, (F.col(key) == F.col("__key")) & (F.col("parent_number") == F.col("__number")))
-    order = Window.partitionBy("parent_id").orderBy("ord")
-    return nodes, edges.select("parent_id", F.col("node_id").alias("child_id"), F.row_number().over(order).cast("long").alias("child_ord"))
+    orphan = node_id(F.col(key), F.lit("orphan"), F.col("number"))
+    orphans = lost.select(orphan.alias("node_id"), key, "number", F.lit("orphan").alias("kind"), F.lit("").alias("name"), "content", orphan.alias("tree"), *(F.lit(0).cast("long").alias(c) for c in PLACE[1:]))
+    top = node_id(F.col(key), F.lit("root"), F.lit(-1))
+    nodes = rows.select("node_id", key, "number", "kind", "name", "content", top.alias("tree"), F.col("ord").alias("first"), "last", "depth").unionByName(orphans)
+    edges = numbered(outline, key).where("parent_number is not null")
+    return nodes, edges.select(node_id(F.col(key), F.col("parent_kind"), F.col("parent_number")).alias("parent_id"), node_id(F.col(key), F.col("kind"), F.col("number")).alias("child_id"), "child_ord")
 
 
 def children(edges: DataFrame, parent: str | None = None) -> DataFrame:
@@ -99,13 +105,28 @@ def lineage(edges: DataFrame) -> DataFrame:
             return now.drop("whole")
 
 
+def is_above(a: str, b: str) -> Column:
+    """Whether node a lies above node b, or is it, by the numbers of both (columns of two rows, by their aliases)."""
+    return (F.col(f"{a}.tree") == F.col(f"{b}.tree")) & (F.col(f"{a}.first") <= F.col(f"{b}.first")) & (F.col(f"{b}.first") <= F.col(f"{a}.last"))
+
+
 def subtree(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Below each start (node_id): start_id, node columns, depth and path (the ordinals down to the node)."""
-    starts = start.select(F.col("node_id").alias("start_id")).distinct()
-    below = lineage(edges).select("node_id", "ordinals", F.posexplode("above").alias("at", "start_id")).join(starts, "start_id")
-    down = below.select("start_id", "node_id", (F.size("ordinals") - F.col("at")).cast("long").alias("depth"), F.slice("ordinals", F.col("at") + 1, F.size("ordinals")).alias("path"))
-    own = starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).cast("long").alias("depth"), F.array().cast("array<bigint>").alias("path"))
-    return own.unionByName(down).join(nodes, "node_id")
+    """Below each start (node_id): start_id, node columns, depth (0 at the start) and path (place in a walk of the whole tree): a range of the
+    start's tree, by one join. Nodes of one tree, stored in order of first, are pruned by it. Nodes without numbers get them from the edges
+    first; edges that were changed by hand ask for renumber()."""
+    if not set(PLACE) <= set(nodes.columns):
+        nodes = renumber(nodes, edges)
+    starts = nodes.join(start.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("start_id"), *PLACE)
+    found = nodes.alias("n").join(starts.alias("s"), is_above("s", "n"))
+    mine = [F.col(f"n.{c}") for c in nodes.columns if c not in PLACE]
+    return found.select("s.start_id", *mine, (F.col("n.depth") - F.col("s.depth")).alias("depth"), F.col("n.first").alias("path"))
+
+
+def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """Above each of (node_id): node_id, above_id and steps, from the parent (1) up."""
+    low = nodes.join(of.select("node_id").distinct(), "node_id", "left_semi").select("node_id", *PLACE)
+    found = nodes.alias("n").join(low.alias("s"), is_above("n", "s") & (F.col("n.first") < F.col("s.first")))
+    return found.select(F.col("s.node_id"), F.col("n.node_id").alias("above_id"), (F.col("s.depth") - F.col("n.depth")).alias("steps"))
 
 
 def walk(below: DataFrame, order: str = "dfs") -> DataFrame:
@@ -119,15 +140,40 @@ def render_subtree(below: DataFrame) -> DataFrame:
     return lines.groupBy("start_id").agg(F.expr("listagg(shown, '\n') WITHIN GROUP (ORDER BY path)").alias("tree"))
 
 
+def renumber(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with tree, first, last and depth anew from edges of any making: children in order of child_ord, then id. Needed after edges
+    were changed by hand. The way down to each node is found by doubling paths; a cycle raises."""
+    names = [c for c in nodes.columns if c not in PLACE]
+    ways = lineage(edges)
+    ids = nodes.select("node_id").distinct()
+    placed = ids.join(ways.select("node_id", F.col("above")[0].alias("__top"), F.size("above").cast("long").alias("__depth"), "ordinals"), "node_id", "left")
+    placed = placed.select("node_id", F.coalesce("__top", "node_id").alias("tree"), F.coalesce("__depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("ordinals", F.array().cast("array<bigint>")).alias("way"))
+    row = Window.partitionBy("tree").orderBy("way", "node_id")
+    ordered = placed.withColumn("ord", F.row_number().over(row).cast("long") - 1).drop("way")
+    return nodes.select(*names).join(ends(ordered, "tree").withColumnRenamed("ord", "first"), "node_id")
+
+
 def insert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    return nodes.unionByName(new, allowMissingColumns=True)
+    """With the new nodes, each a tree of its own unless it says where it stands; the numbers of others stay."""
+    alone = {"tree": F.coalesce(F.col("tree"), F.col("node_id"))} | {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in PLACE[1:]}
+    every = nodes.unionByName(new, allowMissingColumns=True)
+    return every.withColumns(alone) if set(PLACE) <= set(nodes.columns) else every
 
 
 def delete_node(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Without the nodes (node_id) and the edges at them."""
-    ids = gone.select("node_id")
+    """Without the nodes (node_id) and the edges at them. What lay below a node that goes stands in trees of its own, one for each child;
+    all numbers stay, only the name of the tree changes."""
+    ids = gone.select("node_id").distinct()
     left = edges.join(ids, edges.parent_id == ids.node_id, "left_anti")
-    return nodes.join(ids, "node_id", "left_anti"), left.join(ids, left.child_id == ids.node_id, "left_anti")
+    kept = left.join(ids, left.child_id == ids.node_id, "left_anti")
+    rest = nodes.join(ids, "node_id", "left_anti")
+    if not set(PLACE) <= set(nodes.columns):
+        return rest, kept
+    lost = edges.join(ids, edges.parent_id == ids.node_id, "left_semi").select(F.col("child_id").alias("node_id"))
+    tops = rest.join(lost, "node_id", "left_semi").select(F.col("node_id").alias("top"), *PLACE)
+    below = rest.select("node_id", *PLACE).alias("n").join(tops.alias("t"), is_above("t", "n"))
+    moved = below.groupBy("n.node_id").agg(F.max_by("t.top", "t.first").alias("__top"))
+    return rest.join(moved, "node_id", "left").withColumn("tree", F.coalesce("__top", "tree")).drop("__top"), kept
 
 
 def add_child(edges: DataFrame, parent: str, child: str) -> DataFrame:
@@ -176,8 +222,9 @@ def delete_document(nodes: DataFrame, edges: DataFrame, doc, key: str = "doc_id"
     """Without one document's nodes and edges, and whether it was there (an unknown one changes nothing)."""
     gone = nodes.where(F.col(key) == doc)
     found = not gone.isEmpty()
-    left, kept = delete_node(nodes, edges, gone)
-    return left, kept, found
+    ids = gone.select("node_id")
+    left = edges.join(ids, edges.parent_id == ids.node_id, "left_anti")
+    return nodes.where(F.col(key).isNull() | (F.col(key) != doc)), left.join(ids, left.child_id == ids.node_id, "left_anti"), found
 
 
 def delete_nodes(*_: object) -> None:

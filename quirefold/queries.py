@@ -274,8 +274,14 @@ def outline_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.outline(slides.unionByName(papers))
 
 
-def _walk(spark: SparkSession, sf_dir: str, order: str, start: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes as they are stored: with their numbers, in order."""
     nodes, edges = _index(spark, sf_dir)
+    return Scratch(spark).write(nodes.sortWithinPartitions("tree", "first"), "nodes"), edges
+
+
+def _walk(spark: SparkSession, sf_dir: str, order: str, start: str) -> DataFrame:
+    nodes, edges = _placed(spark, sf_dir)
     below = N.subtree(nodes, edges, nodes.where(start).select("node_id"))
     return N.walk(below, order).select("doc_id", "number", "depth", "place")
 
@@ -294,7 +300,7 @@ def tree_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 st(doc_id, number, depth) AS (SELECT doc_id, number, 0 FROM ol WHERE number = -2 UNION ALL SELECT ol.doc_id, ol.number, depth + 1 FROM ol JOIN st ON st.doc_id = ol.doc_id AND st.number = ol.parent_number)
 SELECT st.doc_id, string_agg(repeat('  ', depth) || name || ' [' || CAST(st.number AS VARCHAR) || ']', chr(10) ORDER BY ord) AS tree FROM st JOIN ol ON ol.doc_id = st.doc_id AND ol.number = st.number GROUP BY st.doc_id""")
 def tree_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _index(spark, sf_dir)
+    nodes, edges = _placed(spark, sf_dir)
     start = nodes.where("number = -2 and kind = 'abstract'")
     shown = N.render_subtree(N.subtree(nodes, edges, start.select("node_id")))
     return shown.join(start.select(F.col("node_id").alias("start_id"), "doc_id"), "start_id").select("doc_id", "tree")
@@ -309,7 +315,7 @@ _NODES = f"""nd AS (SELECT {_ID.format(d="doc_id", k="kind", n="number")} AS nod
 
 @query(f"WITH {_OUTLINE}, {_NODES} SELECT node_id, doc_id, CAST(number AS BIGINT) AS number, kind, name, content FROM nd")
 def tree_index_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)[0]
+    return _index(spark, sf_dir)[0].select("node_id", "doc_id", "number", "kind", "name", "content")
 
 
 @query(f"WITH {_OUTLINE}, {_EDGES} SELECT parent_id, child_id, child_ord FROM ed")
@@ -380,6 +386,31 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.upsert_edges(events.select("parent_id", "child_id"), nodes)
 
 
+@query(f"""WITH RECURSIVE {_OUTLINE},
+up(doc_id, number, above, steps) AS (SELECT doc_id, number, parent_number, 1 FROM ol WHERE kind = 'page' AND parent_number IS NOT NULL
+  UNION ALL SELECT up.doc_id, up.number, ol.parent_number, steps + 1 FROM up JOIN ol ON ol.doc_id = up.doc_id AND ol.number = up.above WHERE ol.parent_number IS NOT NULL)
+SELECT doc_id, number, CAST(above AS BIGINT) AS above, CAST(steps AS BIGINT) AS steps FROM up""")
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that stands above each page of an outline, by comparing numbers."""
+    nodes, _ = _placed(spark, sf_dir)
+    found = N.ancestors(nodes, nodes.where("kind = 'page'").select("node_id"))
+    own, above = nodes.select("node_id", "doc_id", "number"), nodes.select(F.col("node_id").alias("above_id"), F.col("number").alias("above"))
+    return found.join(own, "node_id").join(above, "above_id").select("doc_id", "number", "above", "steps")
+
+
+@query(f"""WITH RECURSIVE {_OUTLINE},
+cut AS (SELECT * FROM ol WHERE number <> -2 OR doc_id % 2 = 1),
+st(doc_id, number, top, depth) AS (SELECT doc_id, number, number, 0 FROM cut WHERE parent_number IS NULL OR (parent_number = -2 AND doc_id % 2 = 0)
+  UNION ALL SELECT cut.doc_id, cut.number, top, depth + 1 FROM cut JOIN st ON st.doc_id = cut.doc_id AND st.number = cut.parent_number)
+SELECT doc_id, number, CAST(top AS BIGINT) AS top, CAST(depth AS BIGINT) AS depth FROM st""")
+def tree_detached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents lose their first heading: what lay below it is walked from tops of its own, by the numbers it had."""
+    nodes, edges = _placed(spark, sf_dir)
+    nodes = Scratch(spark).write(N.delete_node(nodes, edges, nodes.where("number = -2 and doc_id % 2 = 0"))[0].where("kind <> 'orphan'"), "cut")
+    tops = nodes.where("tree = node_id").select(F.col("node_id").alias("start_id"), F.col("number").alias("top"))
+    return N.subtree(nodes, edges, tops.select(F.col("start_id").alias("node_id"))).join(tops, "start_id").select("doc_id", "number", "top", "depth")
+
+
 @query(f"WITH {_OUTLINE}, {_NODES} SELECT kind, count(*) AS n FROM nd GROUP BY kind")
 def tree_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)[0].groupBy("kind").agg(F.count("*").alias("n"))

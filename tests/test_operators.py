@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,76 @@ def test_long_sentences_are_cut(spark):
     pages = spark.createDataFrame([(0, 1, " ".join(f"w{k}" for k in range(11)) + ". End.")], "doc_id long, page_number long, text string")
     got = [(r.chunk_ord, r.n_tokens) for r in P.chunk_sentences(pages, 4).orderBy("chunk_ord").collect()]
     assert got == [(0, 4), (1, 4), (2, 4)]
+
+
+def test_hundred_thousand_headings(spark):
+    """One document of 100,000 headings: sections, outlines, depths and numbers in seconds, with the rows of plain stacks."""
+    n = 100_000
+    random.seed(3)
+    levels = [random.randint(1, 9) for _ in range(n)]
+    text = "\n".join("#" * level + f" h{k} [line {k}]" for k, level in enumerate(levels))
+    docs = spark.createDataFrame([(0, n, "d.pdf", text), (1, 1, "e.pdf", "# a [line 0]")], "doc_id long, nb_pages long, filename string, structure string")
+    stack, depth, parent, last = [], [], [], list(range(n))
+    for k, level in enumerate(levels):
+        while stack and levels[stack[-1]] >= level:
+            stack.pop()
+        parent.append(stack[-1] if stack else -1)
+        depth.append(len(stack) + 1)
+        stack.append(k)
+    for k in reversed(range(n)):
+        if parent[k] >= 0:
+            last[parent[k]] = max(last[parent[k]], last[k])
+    began = time.time()
+    portrait = {r.number: (r.parent_number, r.depth, r.last - 1) for r in O.numbered(O.portrait_outline(docs)).where("doc_id = 0 and number >= 0").collect()}
+    assert portrait == {k: (parent[k], depth[k], last[k]) for k in range(n)}
+    slides = docs.withColumn("nb_pages", F.lit(0).cast("long"))
+    landscape = {r.number: (r.parent_number, r.depth) for r in O.with_depth(O.landscape_outline(slides)).where("doc_id = 0").collect()}
+    assert landscape[-1] == (None, 0) and all(landscape[-2 - k] == (-2 - parent[k] if parent[k] >= 0 else -1, depth[k]) for k in range(n))
+    assert S.split_sections(docs.select("doc_id", F.col("structure").alias("text"))).where("doc_id = 0").count() == n
+    words = spark.createDataFrame([(0, 1, "One two. " * n)], "doc_id long, page_number long, text string")
+    assert P.chunk_sentences(words, 100).agg(F.count("*"), F.sum("n_tokens")).first()[:] == (n // 50, 2 * n)
+    assert time.time() - began < 60
+
+
+def test_trees_by_numbers(spark):
+    """Subtrees, ancestors and walks by numbers are those by edges; numbers survive deleted and inserted nodes."""
+    random.seed(9)
+    parent = {f"n{k}": f"n{random.randrange(max(0, k - 4), k)}" for k in range(1, 60)}
+    rows = [(f"n{k}", k % 3, "page") for k in range(60)] + [("lone", 7, "orphan")]
+    count: dict = {}
+    edges = []
+    for c, p in parent.items():
+        count[p] = count.get(p, 0) + 1
+        edges.append((p, c, count[p]))
+    nodes = spark.createDataFrame(rows, "node_id string, doc_id long, kind string")
+    arcs = spark.createDataFrame(edges, "parent_id string, child_id string, child_ord long")
+
+    def below(top, gone=()):
+        out, todo = [], [(top, 0)]
+        while todo:
+            at, d = todo.pop()
+            out.append((at, d))
+            todo += [(c, d + 1) for p, c, _ in sorted(edges, key=lambda e: -e[2]) if p == at and c not in gone]
+        return out
+
+    placed = N.renumber(nodes, arcs)
+    starts = spark.createDataFrame([("n0",), ("n5",), ("lone",)], "node_id string")
+    got: dict = {}
+    for r in N.walk(N.subtree(placed, arcs, starts)).orderBy("start_id", "place").collect():
+        got.setdefault(r.start_id, []).append((r.node_id, r.depth))
+    assert got == {s: below(s) for s in ("n0", "n5", "lone")}
+    up = {(r.node_id, r.above_id, r.steps) for r in N.ancestors(placed, spark.createDataFrame([("n50",), ("n0",)], "node_id string")).collect()}
+    chain, at = [], "n50"
+    while at in parent:
+        at = parent[at]
+        chain.append(at)
+    assert up == {("n50", a, k + 1) for k, a in enumerate(chain)}
+    gone = ("n3", "n8")
+    left, kept = N.delete_node(placed, arcs, spark.createDataFrame([(g,) for g in gone], "node_id string"))
+    left = N.insert_nodes(left, spark.createDataFrame([("new", 1, "page")], "node_id string, doc_id long, kind string"))
+    tops = [r.node_id for r in left.where("tree = node_id").select("node_id").collect()]
+    assert sorted(tops) == sorted(["n0", "lone", "new", *(c for c, p in parent.items() if p in gone and c not in gone)])
+    again: dict = {}
+    for r in N.walk(N.subtree(left, kept, spark.createDataFrame([(t,) for t in tops], "node_id string"))).orderBy("start_id", "place").collect():
+        again.setdefault(r.start_id, []).append((r.node_id, r.depth))
+    assert again == {t: below(t, gone) for t in tops}

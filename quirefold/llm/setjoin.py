@@ -227,7 +227,7 @@ def _derived(known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     |dy & dz| of a linked pair is at least (|dy| + |dz| - most) / 2 and |dz| at least |dy| - most, where `most` is what they may differ by;
     so dy shares |dy| - most elements at least, one of them not among its last ones in any order. Elements of one member only are never
-    shared and left out; of the others those of few members come first. A pair within the component of g isn't looked for.
+    shared and left out; of the others those of few members come first, and the first shared one has enough behind it in both. A pair within the component of g isn't looked for.
     """
     top = known.groupBy("g").agg(F.max(F.struct("w", "id")).alias("top"))
     sure = known.select("g", "id", "w").join(top, "g").where("id <> top.id and w + top.w >= 0").select(*_pair(F.col("id"), F.col("top.id")))
@@ -238,10 +238,12 @@ def _derived(known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     most = _apart(F.col("n") + F.floor(100 * F.col("n") / percent), percent)
     least = F.greatest(F.size("d") - most, F.lit(1))
     marked = known.join(parts, ["g", "id"]).withColumn("k", F.greatest(F.size("rest") - least + 1, F.lit(0)).cast("int"))
-    posted = marked.where("k > 0").select("g", "id", "component", "own", "n", F.explode(F.transform(F.slice("rest", F.lit(1), F.col("k")), lambda x: x["e"])).alias("e"))
-    a, b = (posted.select("g", "e", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "own", "n"))) for s in "ab")
+    early = F.transform(F.slice("rest", F.lit(1), F.col("k")), lambda x: x["e"])
+    posted = marked.where("k > 0").select("g", "id", "component", "own", "n", F.size("d").alias("size"), F.size("rest").alias("left"), F.posexplode(early).alias("pos", "e")).withColumn("left", F.col("left") - F.col("pos"))
+    a, b = (posted.select("g", "e", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "own", "n", "size", "left"))) for s in "ab")
     fit = (F.col("component_a") != F.col("component_b")) & (F.col("own_b") | (F.col("id_a") < F.col("id_b"))) & _fits(F.col("n_a"), F.col("n_b"), percent)
-    pairs = a.where("not own_a").join(b, ["g", "e"]).where(fit).select("g", *_pair(F.col("id_a"), F.col("id_b"))).distinct()
+    room = 2 * F.least("left_a", "left_b") >= F.col("size_a") + F.col("size_b") - _apart(F.col("n_a") + F.col("n_b"), percent)
+    pairs = a.where("not own_a").join(b, ["g", "e"]).where(fit & room).select("g", *_pair(F.col("id_a"), F.col("id_b"))).distinct()
     return sure, pairs
 
 

@@ -197,6 +197,9 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return dealt.mapInPandas(run, "block long, dim int, cell int, kind string, ids binary, data binary")
 
 
+HITS = "query_id long, vec_id long, score long"
+
+
 def _floors(best: Best) -> np.ndarray:
     """The k-th score of each query so far; the least number where it has fewer."""
     return best.scores[:, -1]
@@ -209,8 +212,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     vectors and queries: (id long, v array<long>). Rows with a null id take no part; vectors of another dimension than the
     query's are no candidates; rows that share an id are candidates each, as a query the least of them counts. Scores are exact;
     where one could leave 62 bits the job raises. Vectors are shuffled once, into blocks that are stored; blocks of queries are
-    broadcast, at most PASS_BYTES for one pass over the vectors' blocks (the number of passes grows with the queries). Each task
-    hands on k rows for each query at most, none below the query's floor of the first pass.
+    broadcast, at most PASS_BYTES for one pass over the vectors' blocks. Passes run one after the other when top_k is called: each stores
+    what it found and its broadcast goes before the next begins, so driver and tasks hold one pass at a time, and the plan of the result
+    is one scan, however many queries there are. Each task hands on k rows for each query at most, none below the query's floor of
+    the first pass.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -238,7 +243,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     total = asked.agg(F.sum(F.length("data") + 16 * F.length("ids") / 8), F.max(F.length("data") + 2 * F.length("ids"))).first()
     passes = max(1, -(-int(total[0] or 0) // max(PASS_BYTES - (total[1] or 0), 1)))
 
-    found = None
+    paths = []
     for p in range(passes):
         chunk = asked.where(F.pmod(F.xxhash64("block", "dim"), F.lit(passes)) == p)
         sent = spark.sparkContext.broadcast([tuple(r) for r in chunk.join(floors, ["block", "dim"], "left").select("dim", "kind", "ids", "data", "floor").collect()])
@@ -261,7 +266,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if some.any():
                     yield pd.DataFrame({"query_id": np.repeat(q.ids, k)[some.ravel()], "vec_id": best.ids[some], "score": best.scores[some]})
 
-        part = data.select("dim", "kind", "ids", "data").mapInPandas(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        part = scratch.write(data.select("dim", "kind", "ids", "data").mapInPandas(run, HITS), "hits")
+        paths.append(scratch.paths[id(part)])
+        sent.destroy()
+    scratch.drop(data, asked, floors)
+    found = spark.read.schema(HITS).parquet(*paths)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -576,6 +576,32 @@ def test_top_k(spark):
     assert 900 not in got  # no other vector of its dimension
 
 
+def test_passes_one_after_the_other(spark, monkeypatch):
+    """With little to a pass there are many, of which one broadcast lives at a time; the result's plan is one scan, its rows are the same."""
+    from pyspark.core.broadcast import Broadcast
+
+    v = clustered(3000, 8)
+    all_ = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(v)], "id long, v array<long>").repartition(4)
+    want = sorted(map(tuple, top_k(all_, all_.where("id % 2 = 0"), 3).collect()))
+    live, most, made = set(), [], type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        b = made(self, value)
+        live.add(id(b))
+        most.append(len(live))
+        return b
+
+    destroyed = Broadcast.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (live.discard(id(self)), destroyed(self, *a))[1])
+    monkeypatch.setattr("quirefold.llm.topk.QUERY_ROWS", 100)
+    monkeypatch.setattr("quirefold.llm.topk.PASS_BYTES", 1 << 13)
+    df = top_k(all_, all_.where("id % 2 = 0"), 3)
+    assert len(most) > 5 and max(most) == 1 and not live
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert sorted(map(tuple, df.collect())) == want
+
+
 # ---- licences
 
 

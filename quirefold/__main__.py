@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from quirefold.plans.answer import Router, stored_index
-from quirefold.plans.ingest import erase, ingest, read_documents, tree_index
+from quirefold.plans.ingest import erase, ingest, read_documents, stored_documents, tree_index
 from quirefold.scratch import Scope
 from quirefold.session import session
 from quirefold.sources.config import QueryConfig, StructureConfig, load, made
@@ -26,7 +26,7 @@ def structure(config: StructureConfig) -> None:
                 docs = read_documents(spark, config.input_dir, config.root_dir, f"{config.storage_dir}/transcripts", provider, made(config.fallback), config.workers)
             ingest(docs, config.storage_dir, provider)
         if "tree" in config.steps:
-            nodes, edges = tree_index(spark.read.parquet(f"{config.storage_dir}/documents"), config.storage_dir)
+            nodes, edges = tree_index(stored_documents(spark, config.storage_dir), config.storage_dir)
             if config.graph_uri:
                 export(nodes, edges, Bolt(config.graph_uri, config.graph_user, config.graph_password, config.graph_database))
     made_here.release()
@@ -37,7 +37,7 @@ def query(config: QueryConfig) -> None:
     spark = session()
     with Scope() as made_here:
         provider = made(config.provider)
-        docs = spark.read.parquet(f"{config.storage_dir}/documents")
+        docs = stored_documents(spark, config.storage_dir)
         chunks, tools = stored_index(docs, config.storage_dir, provider, config.chunk_size)
         router = Router(chunks, tools, provider, config.chunks_top_k, config.nodes_top_k, config.max_iterations, config.workers)
         asked = spark.createDataFrame(list(enumerate(config.queries)), "query_id long, query string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import asyncio
 import hashlib
 import json
 import re
+import threading
 import time
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -116,39 +118,122 @@ def call(provider: Provider, prompt: str, attachment: bytes | None, attempts: in
     raise AssertionError
 
 
-def generated(df: DataFrame, prompt: str, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 4, strict: bool = True, image: str | None = None) -> DataFrame:
+#: Calls that a task has open at once, where the stage may have more.
+WINDOW = 4
+
+
+def dealt(df: DataFrame, workers: int, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """df dealt to as many tasks as may run at once, and the calls that each may have open: tasks x calls is no more than `workers`, so the
+    whole stage has no more open, whatever the cluster. Needs spark.speculation off, as session() has it."""
+    if workers < 1:
+        raise ValueError("workers must be positive")
+    window = min(window, workers)
+    return df.repartition(workers // window), window
+
+
+class _Calls:
+    """Calls of one task: up to `window` open at once, those of the next batch too while the last ones of this one are awaited. A provider
+    with a coroutine `agenerate` is awaited on one loop, any other is called by threads."""
+
+    def __init__(self, provider: Provider, window: int):
+        self.awaited = hasattr(provider, "agenerate")
+        if self.awaited:
+            self.loop = asyncio.new_event_loop()
+            self.slots = asyncio.Semaphore(window)
+            threading.Thread(target=self.loop.run_forever, daemon=True).start()
+        else:
+            self.pool = ThreadPoolExecutor(window)
+
+    def submit(self, one, aone, *row) -> Future:
+        if not self.awaited:
+            return self.pool.submit(one, *row)
+
+        async def slot():
+            async with self.slots:
+                return await aone(*row)
+
+        return asyncio.run_coroutine_threadsafe(slot(), self.loop)
+
+    def close(self) -> None:
+        if self.awaited:
+            self.loop.call_soon_threadsafe(self.loop.stop)
+        else:
+            self.pool.shutdown(wait=True, cancel_futures=True)
+
+
+async def acall(provider: Provider, prompt: str, attachment: bytes | None, attempts: int, wait: float, fallback: Provider | None, other: bytes | None = None) -> str:
+    """call() for providers with a coroutine; a fallback without one is called in a thread."""
+    for k in range(attempts):
+        try:
+            return await provider.agenerate(prompt, attachment)
+        except Blocked:
+            if fallback is None:
+                raise
+            given = attachment if other is None else other
+            return await fallback.agenerate(prompt, given) if hasattr(fallback, "agenerate") else await asyncio.to_thread(fallback.generate, prompt, given)
+        except Busy:
+            if k + 1 == attempts:
+                raise
+            await asyncio.sleep(wait)
+    raise AssertionError
+
+
+def generated(df: DataFrame, prompt: str, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 32, strict: bool = True, image: str | None = None) -> DataFrame:
     """df with `into`, the answer to its prompt column, and for strict False `into`_error (null if it went well).
 
-    Calls are made in a task by up to `workers` threads; Busy is tried again after a wait, Blocked goes to the fallback, with the
-    column `image` for an attachment if there is one. Rows whose
-    prompt is null get null without a call. Write the result before it is used twice: a call may cost money.
+    The whole stage has no more than `workers` calls open (see dealt()): rows are dealt to a few tasks, each with a window of calls that
+    keeps the order of its rows. Busy is tried again after a wait, Blocked goes to the fallback, with the column `image` for an
+    attachment if there is one. Rows whose prompt is null get null without a call. Write the result before it is used twice: a call
+    may cost money.
     """
     names = df.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {into} string, {into}_error string"
+    rows, window = dealt(df, workers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(error: Exception) -> tuple[None, str]:
+            if strict:
+                raise error
+            return None, f"{type(error).__name__}: {error}"
+
         def one(p, a, other):
-            if p is None or p != p:
-                return None, None
             try:
-                return call(provider, p, a, attempts, wait, fallback, other), None
+                return (None, None) if p is None or p != p else (call(provider, p, a, attempts, wait, fallback, other), None)
             except Exception as error:
-                if strict:
-                    raise
-                return None, f"{type(error).__name__}: {error}"
+                return told(error)
 
-        with ThreadPoolExecutor(workers) as pool:
-            for batch in batches:
-                got = list(pool.map(one, batch[prompt], *(batch[c] if c else [None] * len(batch) for c in (attachment, image))))
-                batch[into], batch[f"{into}_error"] = [g[0] for g in got], [g[1] for g in got]
-                yield batch
+        async def aone(p, a, other):
+            try:
+                return (None, None) if p is None or p != p else (await acall(provider, p, a, attempts, wait, fallback, other), None)
+            except Exception as error:
+                return told(error)
 
-    out = df.mapInPandas(run, schema)
+        def answered(batch: pd.DataFrame, asked: list[Future]) -> pd.DataFrame:
+            got = [f.result() for f in asked]
+            batch[into], batch[f"{into}_error"] = [g[0] for g in got], [g[1] for g in got]
+            return batch
+
+        calls = _Calls(provider, window)
+        try:
+            before = None
+            for batch in batches:
+                columns = (batch[prompt], *(batch[c] if c else [None] * len(batch) for c in (attachment, image)))
+                asked = [calls.submit(one, aone, *row) for row in zip(*columns)]
+                if before is not None:
+                    yield answered(*before)
+                before = (batch, asked)
+            if before is not None:
+                yield answered(*before)
+        finally:
+            calls.close()
+
+    out = rows.mapInPandas(run, schema)
     return out.select(*names, into) if strict else out
 
 
-def embedded(df: DataFrame, text: str, into: str, provider: Provider) -> DataFrame:
-    """df with `into`, the embedding of a text column; a call for each batch. Null texts embed as empty ones."""
+def embedded(df: DataFrame, text: str, into: str, provider: Provider, workers: int | None = None) -> DataFrame:
+    """df with `into`, the embedding of a text column; a call for each batch. Null texts embed as empty ones. workers: the most calls open
+    over the whole stage, one for each task; without it every task calls."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {into} array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +241,7 @@ def embedded(df: DataFrame, text: str, into: str, provider: Provider) -> DataFra
             batch[into] = provider.embed([t if isinstance(t, str) else "" for t in batch[text]])
             yield batch
 
-    return df.mapInPandas(run, schema)
+    return (df if workers is None else dealt(df, workers, 1)[0]).mapInPandas(run, schema)
 
 
 def reformatted(docs: DataFrame, provider: Provider, most: int = 50, text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from quirefold.operators.outline import outline
 from quirefold.operators.sections import markdown_toc, split_sections
 from quirefold.operators.store import cache_split, new_rows
 from quirefold.operators.tree import build_index
+from quirefold.plans import runs
+from quirefold.scratch import Scope, Scratch
 from quirefold.sources import pdf, prompts
 from quirefold.sources.files import bare_path, discover, file_metadata
 
@@ -39,17 +43,17 @@ def cached(rows: DataFrame, path: str, key: str, make) -> DataFrame:
     missing = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else rows
     if not missing.isEmpty():
         make(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(rows.select(key).distinct(), key, "left_semi") if exists(spark, path) else make(rows)
+    return spark.read.parquet(path).join(rows.select(key).distinct(), key, "left_semi").dropDuplicates([key]) if exists(spark, path) else make(rows)
 
 
-def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 4, wait: float = 5.0, image: str | None = None) -> DataFrame:
+def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 32, wait: float = 5.0, image: str | None = None) -> DataFrame:
     """(doc_id, text, nb_pages) from page rows (doc_id, page_number, content, and for the fallback perhaps a column with an image)."""
     asked = pages.withColumn("__p", F.lit(prompts.TRANSCRIBE))
     said = generated(asked, "__p", "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait, image=image)
     return P.assemble(said.select("doc_id", "page_number", "text"))
 
 
-def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 4) -> DataFrame:
+def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 32) -> DataFrame:
     """(doc_id, filename, format, nb_pages, text) of PDF files (doc_id, path, content). Transcripts come from the cache table as they are;
     files that it lacks are cut into pages, transcribed, and appended to it. A file that can't be read raises."""
     none_of(pdf.probe(files).where("nb_pages is null").select("path", "error"), "files that can't be read")
@@ -58,7 +62,7 @@ def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provid
     return shape.join(texts.select("doc_id", "text"), "doc_id")
 
 
-def read_documents(spark: SparkSession, path: str, root: str, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 4) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, root: str, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 32) -> DataFrame:
     """documents() of the PDF files at or below path, with their file data (file); doc_id is the path below root."""
     files = discover(spark, path, root)
     named = files.withColumn("doc_id", relative(bare_path(F.col("path")), root.split("://", 1)[-1]))
@@ -111,20 +115,37 @@ def structures(docs: DataFrame, provider: Provider) -> DataFrame:
 
 
 def ingest(docs: DataFrame, storage: str, provider: Provider, most: int = 50) -> DataFrame:
-    """All model stages over new documents (doc_id, filename, format, nb_pages, text); appended to the stored ones. Contents seen
-    before are left out, so a repeated run does nothing, and reformatted texts are kept by content, so a run that breaks off later
-    doesn't pay for them again."""
+    """All model stages over new documents (doc_id, filename, format, nb_pages, text), and the stored documents after that.
+
+    Contents seen before are left out, so a repeated run does nothing, and reformatted texts are kept by content, so a run that breaks
+    off later doesn't pay for them again. Documents and their hashes are recorded together, last: a run that breaks off anywhere
+    has stored nothing and can be tried again. Two runs at once share no folder; each leaves out what another one has recorded by the
+    time it ends (of runs that end in the same moment both may record a content that they share, unless they bring the same).
+    """
     spark = docs.sparkSession
-    seen = spark.read.parquet(f"{storage}/hashes") if exists(spark, f"{storage}/hashes") else None
-    fresh = stored(new_rows(docs, seen), f"{storage}/stage/new")
-    if not fresh.isEmpty():
-        none_of(lacking(fresh, ["filename", "format", "nb_pages", "text"]), "documents that lack something")
-        now = cached(fresh, f"{storage}/reformatted", "hash", lambda rows: reformatted(rows, provider, most).withColumn("is_reformatted", F.lit(True)))
-        for name, stage in (("contexts", contexts), ("extracted", extracted_tocs), ("created", created_tocs), ("pages", landscape_pages), ("structures", structures)):
-            now = stored(stage(now, provider), f"{storage}/stage/{name}")
-        now.drop("hash").write.mode("append").parquet(f"{storage}/documents")
-        now.select("hash").write.mode("append").parquet(f"{storage}/hashes")
-    return spark.read.parquet(f"{storage}/documents")
+    with Scope() as made:
+        fresh = Scratch(spark).write(new_rows(docs, runs.table(spark, storage, "hashes")), "new")
+        if not fresh.isEmpty():
+            none_of(lacking(fresh, ["filename", "format", "nb_pages", "text"]), "documents that lack something")
+            run = runs.run_id(fresh, "hash")
+            stage = f"{storage}/stage/{run}-{uuid.uuid4().hex[:8]}"
+            now = cached(fresh, f"{storage}/reformatted", "hash", lambda rows: reformatted(rows, provider, most).withColumn("is_reformatted", F.lit(True)))
+            for name, work in (("contexts", contexts), ("extracted", extracted_tocs), ("created", created_tocs), ("pages", landscape_pages), ("structures", structures)):
+                now = stored(work(now, provider), f"{stage}/{name}")
+            if (meanwhile := runs.table(spark, storage, "hashes")) is not None:
+                now = now.join(meanwhile.select("hash").distinct(), "hash", "left_anti")
+            runs.publish(spark, storage, run, {"documents": now.drop("hash"), "hashes": now.select("hash")})
+            runs.drop(spark, stage)
+    made.release()
+    return stored_documents(spark, storage)
+
+
+def stored_documents(spark: SparkSession, storage: str) -> DataFrame:
+    """The documents of all recorded runs; raises where there is none."""
+    found = runs.table(spark, storage, "documents")
+    if found is None:
+        raise FileNotFoundError(f"no documents below {storage}")
+    return found
 
 
 def parts(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,17 @@
+import asyncio
+import os
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions.models import Blocked, Busy, Offline, call, generated, reformatted, summaries
 from quirefold.operators.checks import Violation
+from quirefold.plans import runs
 from quirefold.plans.answer import Router, document_tools, index_chunks, stored_index
-from quirefold.plans.ingest import ingest, read_documents, tree_index
+from quirefold.plans.ingest import ingest, read_documents, stored_documents, tree_index
 from quirefold.plans.inspect import metadata, picker, rendered_outline
 from quirefold.sources import graph, pdf
 from quirefold.sources.config import QueryConfig, StructureConfig, api_key, load, made, parse
@@ -298,3 +305,72 @@ def test_stream(spark, tmp_path):
     docs.where("doc_id = 2").coalesce(1).write.mode("append").parquet(src)
     page_stream(spark, src, to, at).awaitTermination()
     assert spark.read.parquet(to).where(F.col("doc_id") == 2).count() == 1
+
+
+class Marking:
+    """Leaves a mark in a folder while a call is open, and the most marks that it saw."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def generate(self, prompt, attachment=None):
+        mark = os.path.join(self.folder, f"open-{uuid.uuid4().hex}")
+        open(mark, "w").close()
+        open(os.path.join(self.folder, f"most-{sum(x.startswith('open') for x in os.listdir(self.folder)):04d}"), "w").close()
+        time.sleep(0.02)
+        os.remove(mark)
+        if "bad" in prompt:
+            raise ValueError(prompt)
+        return prompt.upper()
+
+    def most(self):
+        return max(int(x[5:]) for x in os.listdir(self.folder) if x.startswith("most"))
+
+
+class Awaited(Marking):
+    async def agenerate(self, prompt, attachment=None):
+        return await asyncio.to_thread(self.generate, prompt)
+
+
+@pytest.mark.parametrize("kind", [Marking, Awaited])
+@pytest.mark.parametrize("workers", [1, 3, 8])
+def test_calls_of_a_whole_stage(spark, tmp_path, workers, kind):
+    """No more than `workers` calls are open at once over all tasks, rows keep their answers, and their order in a task."""
+    provider = kind(tmp_path)
+    rows = [(k, None if k % 17 == 5 else f"bad{k}" if k % 29 == 3 else f"p{k}") for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, p string").repartition(8)
+    got = generated(df, "p", "said", provider, workers=workers, strict=False).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.id: (r.said, r.said_error) for r in got} == {k: (None, None) if p is None else (None, f"ValueError: {p}") if "bad" in p else (p.upper(), None) for k, p in rows}
+    assert provider.most() <= workers and (workers < 3 or provider.most() > 1)
+    assert len({r.task for r in got}) == max(1, workers // 4)
+    with pytest.raises(Exception, match="bad"):
+        generated(df, "p", "said", kind(tmp_path), workers=workers).collect()
+    with pytest.raises(ValueError, match="positive"):
+        generated(df, "p", "said", provider, workers=0)
+
+
+def test_ingestion_that_breaks_off(spark, tmp_path, monkeypatch):
+    """A run that breaks off at any write of its end stores nothing; tried again it stores each document once; so do two runs at once."""
+    docs = spark.createDataFrame([(k, f"d{k}.pdf", "portrait", 1, f"# T{k}\ntext {k}") for k in range(4)], "doc_id long, filename string, format string, nb_pages long, text string")
+    storage = str(tmp_path / "store")
+    whole = runs.publish
+
+    def half(spark, storage, run, tables):
+        tables["documents"].write.mode("overwrite").parquet(f"{storage}/runs/{run}/documents")
+        raise OSError("lost")
+
+    monkeypatch.setattr(runs, "publish", half)
+    with pytest.raises(OSError, match="lost"):
+        ingest(docs, storage, Offline())
+    assert runs.table(spark, storage, "documents") is None and runs.table(spark, storage, "hashes") is None
+    monkeypatch.setattr(runs, "publish", whole)
+    out = ingest(docs, storage, Offline())
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3] and len(runs.records(spark, storage)) == 1
+    more = docs.unionByName(spark.createDataFrame([(9, "e.pdf", "portrait", 1, "# New\nx")], docs.schema))
+    with ThreadPoolExecutor(2) as pool:
+        for f in [pool.submit(ingest, more, storage, Offline()) for _ in range(2)]:
+            f.result()
+    assert sorted(r.doc_id for r in stored_documents(spark, storage).collect()) == [0, 1, 2, 3, 9]
+    os.makedirs(f"{storage}/runs/left/documents")
+    gone = runs.sweep(spark, storage)  # and the folders of tries that recorded nothing
+    assert "left" in gone and len(os.listdir(f"{storage}/runs")) == 2 and stored_documents(spark, storage).count() == 5

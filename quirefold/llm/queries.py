@@ -182,33 +182,69 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), license_path())
 
 
-OP10_SQL = f"""
-WITH d AS (SELECT doc_id AS id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(CAST(floor(doc_id / 100.0) AS BIGINT) AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS text FROM documents),
-x AS (SELECT id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, text, regexp_extract_all(lower(text), '{licenses.TERM}') AS ws FROM d),
-tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(said), '{licenses.TERM}')) AS term
-  FROM (VALUES {", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(licenses.TEMPLATES))}) v(template, license, said)) GROUP BY ALL),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM x),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT x.rowid_ AS r, u.term FROM (SELECT row_number() OVER () AS rowid_, ws FROM x) x, unnest(x.ws) u(term)) WHERE term IN (SELECT term FROM tt) GROUP BY term),
-idf AS (SELECT DISTINCT tt.term, ln((1 + n.n) / (1 + coalesce(df.df, 0))) + 1 AS idf FROM tt CROSS JOIN n LEFT JOIN df ON df.term = tt.term),
-tw AS (SELECT template, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_norm FROM tt JOIN idf USING (term)),
-l AS (SELECT id, path, len(ws) AS n_words, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS said FROM x),
-p AS (SELECT id, path, n_words, line, len(t) AS n_said, unnest(t) AS term FROM (SELECT *, regexp_extract_all(lower(said), '{licenses.TERM}') AS t FROM l WHERE regexp_matches(lower(said), '{licenses.ANCHORS}'))),
-pw AS (SELECT c.*, c.tf * coalesce(idf.idf, ln(1 + n.n) + 1) AS pw FROM (SELECT id, path, n_words, line, n_said, term, count(*) AS tf FROM p GROUP BY ALL) c CROSS JOIN n LEFT JOIN idf ON idf.term = c.term),
-pn AS (SELECT id, line, sqrt(sum(pw * pw)) AS p_norm FROM pw GROUP BY ALL),
-s AS (SELECT pw.id, pw.path, pw.n_words, pw.line, pw.n_said, template, license, round(sum(pw * w) / (t_norm * p_norm), 6) AS score FROM pw JOIN tw ON tw.term = pw.term JOIN pn ON pn.id = pw.id AND pn.line = pw.line
-  GROUP BY pw.id, pw.path, pw.n_words, pw.line, pw.n_said, template, license, t_norm, p_norm),
-bl AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY score DESC, template) AS k FROM s WHERE score >= {licenses.LEAST_COSINE}),
-o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, line, template) AS j, sum(n_said) OVER (PARTITION BY id) AS said FROM bl WHERE k = 1),
+def _licenses_sql(documents: str) -> str:
+    """The scan as SQL: the same weights, windows over one line and over the next two, SPDX headers and inheritance. It holds no whole licence
+    texts (no text of the tables comes near one)."""
+    every = licenses.TEMPLATES + licenses.SPDX
+    return f"""
+WITH d AS ({documents}),
+x AS (SELECT row_number() OVER () AS r, doc_id AS id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(CAST(floor(doc_id / 100.0) AS BIGINT) AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS text FROM d),
+tt AS MATERIALIZED (SELECT template, license, said, len(said) AS n, term, count(*) AS tf FROM (SELECT template, license, regexp_extract_all(lower(t), '{licenses.TERM}') AS said, unnest(regexp_extract_all(lower(t), '{licenses.TERM}')) AS term
+  FROM (VALUES {", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(every))}) v(template, license, t)) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT r, unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM x) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS MATERIALIZED (SELECT t.term, 1 - ln(greatest(coalesce(df, 0) / CAST((SELECT count(*) FROM x) AS DOUBLE), {licenses.LEAST_SHARE})) AS idf FROM (SELECT DISTINCT term FROM tt) t LEFT JOIN df USING (term)),
+tw AS (SELECT template, license, n, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_norm FROM tt JOIN idf USING (term)),
+v AS (SELECT list(term) AS words FROM idf),
+ln AS (SELECT DISTINCT n FROM tt),
+a AS (SELECT id, path, len(regexp_extract_all(lower(text), '{licenses.TERM}')) AS n_words, string_split(text, chr(10)) AS a FROM x WHERE regexp_matches(lower(text), '{licenses.ANCHORS}')),
+l0 AS (SELECT id, path, n_words, a, unnest(range(len(a))) AS line FROM a),
+l1 AS (SELECT id, path, n_words, line, a[line + 1] AS said, array_to_string(a[line + 2 : line + 3], chr(10)) AS after FROM l0),
+l AS MATERIALIZED (SELECT id, path, n_words, line, regexp_matches(lower(said), '{licenses.ANCHORS}') AS holds, regexp_extract_all(lower(said), '{licenses.TERM}') AS ws, regexp_extract_all(lower(after), '{licenses.TERM}')[1 : (SELECT max(n) FROM ln) - 1] AS more
+  FROM l1 WHERE regexp_matches(lower(said), '{licenses.ANCHORS}') OR regexp_matches(lower(after), '{licenses.ANCHORS}')),
+w0 AS (SELECT id, path, n_words, line, false AS runs, n, unnest(list_transform(range(0, greatest(len(ws) - n, 0) + 1), lambda i: ws[i + 1 : i + n])) AS win FROM l, ln WHERE holds
+  UNION ALL SELECT id, path, n_words, line, true, n, unnest(list_transform(range(greatest(len(ws) - n + 1, 0), least(len(ws) - 1, len(ws) + len(more) - n) + 1), lambda i: list_concat(ws, more)[i + 1 : i + n])) FROM l, ln),
+w1 AS MATERIALIZED (SELECT row_number() OVER () AS k, w0.*, len(list_filter(win, lambda t: list_contains(words, t))) AS known, len(win) AS n_said FROM w0, v WHERE len(win) > 0),
+w AS (SELECT * FROM w1 WHERE CASE WHEN runs THEN known = n_said ELSE 10 * known >= 3 * n_said END),
+c AS (SELECT k, id, path, n_words, line, runs, n, n_said, term, count(*) AS tf FROM (SELECT *, unnest(win) AS term FROM w) GROUP BY ALL),
+pw AS (SELECT c.*, tf * coalesce(idf, 1 - ln({licenses.LEAST_SHARE})) AS pw, sqrt(sum(tf * coalesce(idf, 1 - ln({licenses.LEAST_SHARE})) * tf * coalesce(idf, 1 - ln({licenses.LEAST_SHARE}))) OVER (PARTITION BY k)) AS p_norm FROM c LEFT JOIN idf USING (term)),
+s AS (SELECT id, path, n_words, line, runs, n_said, template, license, round(sum(pw * w) / (t_norm * p_norm), 6) AS score FROM pw JOIN tw USING (n, term) GROUP BY k, id, path, n_words, line, runs, n_said, template, license, t_norm, p_norm),
+m AS (SELECT * FROM s WHERE score >= CASE WHEN template >= {len(licenses.TEMPLATES)} THEN {licenses.SPDX_COSINE} ELSE {licenses.LEAST_COSINE} END AND (NOT runs OR score >= {licenses.RUN_COSINE})),
+bl AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, path, line ORDER BY score DESC, runs, template, n_said) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY score DESC, runs, line, template) AS j, coalesce(sum(n_said) FILTER (NOT runs) OVER (PARTITION BY id, path), sum(n_said) FILTER (runs) OVER (PARTITION BY id, path)) AS said FROM bl),
 own AS (SELECT id, path, license AS own_license, score AS own_score, CAST(line AS BIGINT) AS own_line, 100 * said >= {licenses.FILE_PERCENT} * n_words OR regexp_matches(lower(path), '{licenses.FILE_NAMES}') AS is_file FROM o WHERE j = 1),
-g AS (SELECT above, license FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS above, own_license AS license, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY own_score DESC, path) AS k FROM own WHERE is_file) WHERE k = 1),
-a AS (SELECT dir, above, license, row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) AS k FROM (SELECT DISTINCT dir FROM x) JOIN g ON dir = above OR starts_with(dir, above || '/'))
-SELECT x.id AS doc_id, x.path, own_license, own_score, own_line, coalesce(own_license, a.license) AS license,
-  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS scope,
-  CASE WHEN own_license IS NULL AND a.license IS NOT NULL THEN a.above END AS inherited_from
-FROM x LEFT JOIN own ON own.id = x.id LEFT JOIN a ON a.dir = x.dir AND a.k = 1
+g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS above, own_license AS license FROM own WHERE is_file QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY own_score DESC, path) = 1),
+dd AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM x),
+ab AS (SELECT dir, above, license FROM dd JOIN g ON dir = above OR starts_with(dir, above || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
+SELECT x.id AS doc_id, x.path, own_license, own_score, own_line, coalesce(own_license, ab.license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN ab.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS scope,
+  CASE WHEN own_license IS NULL AND ab.license IS NOT NULL THEN ab.above END AS inherited_from
+FROM x LEFT JOIN own ON own.id = x.id AND own.path = x.path LEFT JOIN ab ON ab.dir = regexp_extract(x.path, '^(.*)/[^/]*$', 1)
 """
 
 
+OP10_SQL = _licenses_sql("SELECT doc_id, lang, source, text FROM documents")
+
+#: Lines added to documents by their id modulo seven, so that scores differ from 1 and windows run over lines.
+PLANTED = {
+    1: "Copyright 2020. This is licensed under some Apache License of version 2.0 or later",
+    2: "Released under the terms of the MIT License, as is",
+    3: "x = 1 # licensed under the GNU General Public License,\n# version 3 and no other license",
+    4: "# SPDX-License-Identifier: MIT",
+    5: "You may use this file in compliance with the Apache License",
+    6: "this is licensed under the\nBSD 3-Clause License",
+}
+
+
+def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's scan over documents that got lines which match templates in part, over line ends, or by an identifier."""
+    docs = table(spark, sf_dir, "documents")
+    line = F.element_at(F.create_map(*(F.lit(x) for k, said in PLANTED.items() for x in (k, said))), (F.col("doc_id") % 7).cast("int"))
+    return license_scan(docs.withColumn("text", F.concat_ws("\n", "text", line)), license_path())
+
+
+LICENSE_WINDOWS_SQL = _licenses_sql("SELECT doc_id, lang, source, concat_ws(chr(10), text, CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN replace('{said}', '~', chr(10))".replace("\n", "~") for k, said in PLANTED.items()) + " END) AS text FROM documents")
+
+
 def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), Joining(shingle=3, percent=90))
 
@@ -241,5 +277,5 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {"op11_set_relations": op11_set_relations, "op12_divergence": op12_divergence, "op13_repair": op13_repair, "op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {"op12_divergence": OP12_SQL, "repetition_base": REPETITION_BASE_SQL, "op10_license_scan": OP10_SQL, "op6_deletion_join": OP6_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}
+QUERIES = {"license_windows": license_windows, "op11_set_relations": op11_set_relations, "op12_divergence": op12_divergence, "op13_repair": op13_repair, "op10_license_scan": op10_license_scan, "op6_deletion_join": op6_deletion_join, "op2_trie_counts": op2_trie_counts, "op7_mixture": op7_mixture, "op8_cover_trees": op8_cover_trees, "op1_setsketch": op1_setsketch, "op4_line_field": op4_line_field, "op9_toxic_segments": op9_toxic_segments, "op3_repetition": op3_repetition, "repetition_base": repetition_base, "op5_bpe": op5_bpe}
+ORACLES: dict[str, str] = {"license_windows": LICENSE_WINDOWS_SQL, "op12_divergence": OP12_SQL, "repetition_base": REPETITION_BASE_SQL, "op10_license_scan": OP10_SQL, "op6_deletion_join": OP6_SQL, "op7_mixture": OP7_SQL, "op8_cover_trees": OP8_SQL}

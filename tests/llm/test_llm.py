@@ -626,6 +626,12 @@ def test_whole_and_wrapped_licences(spark):
     assert (got[60][0], got[61][0], got[62][0], got[63][0], got[70][0], got[71][0]) == ("MIT", "Apache-2.0", None, "GPL-2.0", "Apache-2.0", None)
 
 
+def test_planted_lines_score_apart(spark):
+    """What the SQL is held against isn't made of whole matches only."""
+    got = {(r.own_license, r.own_score) for r in QUERIES["license_windows"](spark, DATA).where("scope = 'own'").collect()}
+    assert len({s for _, s in got}) > 3 and min(s for _, s in got) < 0.8 and len({x for x, _ in got}) > 3
+
+
 def test_every_template_holds_an_anchor():
     assert all(re.search(licenses.ANCHORS, said.lower()) for _, said in licenses.TEMPLATES + licenses.SPDX)
 

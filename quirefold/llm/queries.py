@@ -224,25 +224,29 @@ FROM x LEFT JOIN own ON own.id = x.id AND own.path = x.path LEFT JOIN ab ON ab.d
 
 OP10_SQL = _licenses_sql("SELECT doc_id, lang, source, text FROM documents")
 
-#: Lines added to documents by their id modulo seven, so that scores differ from 1 and windows run over lines.
+#: Lines added to documents by their id modulo eleven, so that scores differ from 1 and windows run over lines.
 PLANTED = {
-    1: "Copyright 2020. This is licensed under some Apache License of version 2.0 or later",
+    1: "Copyright 2020. This is licensed under the Apache License, Release 2.0",
     2: "Released under the terms of the MIT License, as is",
     3: "x = 1 # licensed under the GNU General Public License,\n# version 3 and no other license",
     4: "# SPDX-License-Identifier: MIT",
     5: "You may use this file in compliance with the Apache License",
     6: "this is licensed under the\nBSD 3-Clause License",
+    7: "subject to all terms of the Mozilla Public License, v. 1.1",
+    8: "dedicated to the public domain by CC0 4.0",
+    9: "released under an ISC License; all rights are reserved",
+    10: "licensed under GNU Lesser General Public License, version 2",
 }
 
 
 def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10's scan over documents that got lines which match templates in part, over line ends, or by an identifier."""
     docs = table(spark, sf_dir, "documents")
-    line = F.element_at(F.create_map(*(F.lit(x) for k, said in PLANTED.items() for x in (k, said))), (F.col("doc_id") % 7).cast("int"))
+    line = F.element_at(F.create_map(*(F.lit(x) for k, said in PLANTED.items() for x in (k, said))), (F.col("doc_id") % 11).cast("int"))
     return license_scan(docs.withColumn("text", F.concat_ws("\n", "text", line)), license_path())
 
 
-LICENSE_WINDOWS_SQL = _licenses_sql("SELECT doc_id, lang, source, concat_ws(chr(10), text, CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN replace('{said}', '~', chr(10))".replace("\n", "~") for k, said in PLANTED.items()) + " END) AS text FROM documents")
+LICENSE_WINDOWS_SQL = _licenses_sql("SELECT doc_id, lang, source, concat_ws(chr(10), text, CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN replace('{said}', '~', chr(10))".replace("\n", "~") for k, said in PLANTED.items()) + " END) AS text FROM documents")
 
 
 def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

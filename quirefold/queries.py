@@ -59,7 +59,7 @@ SELECT query_id, f.doc_id, f.page_number, round(score, 6) AS score, row_number()
 def retrieve_full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _others(spark, sf_dir)
     # one collection searched as a whole
-    found = R.top_by(R.scored(chunks, asked).where("chunk_id <> query_id"), ["query_id"], 5, ["chunk_id"])
+    found = R.best(chunks, asked, 5, [], apart=True)
     return R.full_pages(found, chunks, ["query_id"]).withColumn("score", F.round("score", 6))
 
 
@@ -67,7 +67,7 @@ def retrieve_full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_SCORED} SELECT query_id, doc_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5""")
 def chunk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _others(spark, sf_dir)
-    found = R.top_by(R.scored(chunks, asked).where("chunk_id <> query_id"), ["query_id", "doc_id"], 5, ["chunk_id"])
+    found = R.best(chunks, asked, 5, ["doc_id"], apart=True)
     return found.select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 

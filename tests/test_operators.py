@@ -300,3 +300,37 @@ def test_trees_by_numbers(spark):
     for r in N.walk(N.subtree(left, kept, spark.createDataFrame([(t,) for t in tops], "node_id string"))).orderBy("start_id", "place").collect():
         again.setdefault(r.start_id, []).append((r.node_id, r.depth))
     assert again == {t: below(t, gone) for t in tops}
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_best_by_blocks(spark, monkeypatch, block):
+    """The best of each group against plain sums: ties, equal and odd vectors, many blocks; one plan whatever the questions."""
+    monkeypatch.setattr(R, "BLOCK", block)
+    random.seed(4)
+    vector = lambda: [random.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]
+    chunks = [(k, k % 3, f"t{k}", vector()) for k in range(120)] + [(500, 0, "null", None), (501, 1, "part", [1.0, None, 0.0, 0.0]), (502, 2, "long", [1.0] * 5), (503, None, "zero", [0.0] * 4)]
+    asked = [(k, vector()) for k in range(0, 60, 3)] + [(900, [1.0] * 5), (901, None)]
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return 0.0
+        m = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / m, 9) if m else 0.0
+
+    docs = spark.createDataFrame(chunks, "chunk_id long, doc_id long, text string, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id long, query_vec array<double>").repartition(2)
+    for by in ([], ["doc_id"]):
+        got: dict = {}
+        found = R.best(docs, questions, 4, by, apart=True)
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault((r.query_id, r.doc_id if by else 0), []).append((r.chunk_id, round(r.score, 9), r.text))
+        want: dict = {}
+        for q, v in asked:
+            for c, d, t, w in sorted(chunks, key=lambda x: (-cosine(v, x[3]), x[0])):
+                held = want.setdefault((q, d if by else 0), [])
+                if c != q and len(held) < 4:
+                    held.append((c, cosine(v, w), t))
+        assert got == want
+    size = lambda q: R.best(docs, q, 4, [])._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    many = spark.createDataFrame([(k, [1.0]) for k in range(5000)], questions.schema).repartition(2)
+    assert size(questions) == size(many)

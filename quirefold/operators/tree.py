@@ -35,13 +35,13 @@ def build_index(outline: DataFrame, parts: DataFrame, key: str = "doc_id", stric
     if strict:
         none_of(missing_nodes(outline, parts, key), "outline numbers without a node")
     last = parts.groupBy(key, "number").agg(F.max(F.struct("seq", "content"))["content"].alias("content"))
-    rows = numbered(outline, key).join(last, [key, "number"], "left").withColumn("node_id", node_id(F.col(key), F.col("kind"), F.col("number")))
-    rows = rows.withColumn("content", F.when(F.col("kind") == "abstract", F.col("name")).otherwise(F.coalesce("content", F.lit(""))))
-    lost = last.join(outline.select(key, "number"), [key, "number"], "left_anti")
-    orphan = node_id(F.col(key), F.lit("orphan"), F.col("number"))
-    orphans = lost.select(orphan.alias("node_id"), key, "number", F.lit("orphan").alias("kind"), F.lit("").alias("name"), "content", orphan.alias("tree"), *(F.lit(0).cast("long").alias(c) for c in PLACE[1:]))
-    top = node_id(F.col(key), F.lit("root"), F.lit(-1))
-    nodes = rows.select("node_id", key, "number", "kind", "name", "content", top.alias("tree"), F.col("ord").alias("first"), "last", "depth").unionByName(orphans)
+    rows = numbered(outline, key).join(last, [key, "number"], "full_outer")
+    lost = F.col("ord").isNull()
+    rows = rows.withColumn("kind", F.when(lost, "orphan").otherwise(F.col("kind"))).withColumn("node_id", node_id(F.col(key), F.col("kind"), F.col("number")))
+    content = F.when(F.col("kind") == "abstract", F.col("name")).otherwise(F.coalesce("content", F.lit("")))
+    top = F.when(lost, F.col("node_id")).otherwise(node_id(F.col(key), F.lit("root"), F.lit(-1)))
+    place = (F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in (("ord", "first"), ("last", "last"), ("depth", "depth")))
+    nodes = rows.select("node_id", key, "number", "kind", F.when(lost, "").otherwise(F.col("name")).alias("name"), content.alias("content"), top.alias("tree"), *place)
     edges = numbered(outline, key).where("parent_number is not null")
     return nodes, edges.select(node_id(F.col(key), F.col("parent_kind"), F.col("parent_number")).alias("parent_id"), node_id(F.col(key), F.col("kind"), F.col("number")).alias("child_id"), "child_ord")
 

@@ -9,7 +9,7 @@ from quirefold.plans.ingest import erase, ingest, read_documents, stored_documen
 from quirefold.scratch import Scope
 from quirefold.session import session
 from quirefold.sources.config import QueryConfig, StructureConfig, load, made
-from quirefold.sources.graph import Bolt, export
+from quirefold.sources.graph_format import write_graph
 
 
 def structure(config: StructureConfig) -> None:
@@ -28,7 +28,7 @@ def structure(config: StructureConfig) -> None:
         if "tree" in config.steps:
             nodes, edges = tree_index(stored_documents(spark, config.storage_dir), config.storage_dir)
             if config.graph_uri:
-                export(nodes, edges, Bolt(config.graph_uri, config.graph_user, config.graph_password, config.graph_database))
+                write_graph(spark, nodes, edges, uri=config.graph_uri, user=config.graph_user, password=config.graph_password, database=config.graph_database)
     made_here.release()
 
 

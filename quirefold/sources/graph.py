@@ -10,9 +10,9 @@ from quirefold.operators.checks import none_of
 from quirefold.operators.tree import upsert_edges
 
 WIPE = "MATCH (n) DETACH DELETE n"
-UNIQUE = "CREATE CONSTRAINT tree_node_id IF NOT EXISTS FOR (n:TreeNode) REQUIRE n.node_id IS UNIQUE"
-NODES = "UNWIND $rows AS row MERGE (n:TreeNode {node_id: row.node_id}) SET n += row"
-EDGES = "UNWIND $rows AS row MATCH (a:TreeNode {node_id: row.parent_id}), (b:TreeNode {node_id: row.child_id}) MERGE (a)-[e:PARENT_OF]->(b) SET e.child_ord = row.child_ord"
+UNIQUE = "CREATE CONSTRAINT doc_part_id IF NOT EXISTS FOR (n:DocPart) REQUIRE n.part_id IS UNIQUE"
+NODES = "UNWIND $rows AS row MERGE (n:DocPart {part_id: row.node_id}) SET n += row"
+EDGES = "UNWIND $rows AS row MATCH (a:DocPart {part_id: row.parent_id}), (b:DocPart {part_id: row.child_id}) MERGE (a)-[e:PARENT_OF]->(b) SET e.child_ord = row.child_ord"
 
 
 @dataclass(frozen=True)

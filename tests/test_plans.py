@@ -374,3 +374,31 @@ def test_ingestion_that_breaks_off(spark, tmp_path, monkeypatch):
     os.makedirs(f"{storage}/runs/left/documents")
     gone = runs.sweep(spark, storage)  # and the folders of tries that recorded nothing
     assert "left" in gone and len(os.listdir(f"{storage}/runs")) == 2 and stored_documents(spark, storage).count() == 5
+
+
+def test_graph_format(spark, tmp_path, monkeypatch):
+    """A tree goes to a store by batches, edges after all nodes; a job with a failing task leaves nothing staged and nothing merged."""
+    import sqlite3
+
+    from quirefold.sources import graph_format
+
+    path = str(tmp_path / "store.db")
+    here = os.path.dirname(os.path.abspath(__file__))
+    (tmp_path / "double_here.py").write_text(f"import os, sys\nos.environ['GRAPH_DOUBLE'] = {path!r}\nsys.path[:0] = [{here!r}]\nfrom graph_double import Session\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "double_here.py"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    ask = lambda q: sqlite3.connect(path).execute(q).fetchall()
+    nodes = spark.createDataFrame([(f"n{k}", k % 3, f"name {k}") for k in range(95)], "node_id string, doc_id long, name string").repartition(4)
+    edges = spark.createDataFrame([(f"n{k // 2}", f"n{k}", k) for k in range(1, 95)] + [("n0", "lost", 1)], "parent_id string, child_id string, child_ord long").repartition(3)
+    for _ in range(2):  # a second run replaces the first
+        graph_format.write_graph(spark, nodes, edges, batch=10, connect="double_here:Session")
+        assert ask("select count(*) from node") == [(95,)] and ask("select count(*) from edge") == [(94,)] and ask("select count(*) from staged") == [(0,)]
+    ran = [r[0] for r in ask("select statement from ran")]
+    assert ran.index(graph_format.PLACE["edges"]) > ran.index(graph_format.PLACE["nodes"]) and ran.count(graph_format.WIPE_SOME) > 5
+    bad = nodes.unionByName(spark.createDataFrame([("new", 1, "poison"), ("other", 1, "x")], nodes.schema))
+    with pytest.raises(Exception, match="refuses"):
+        bad.write.format(graph_format.FORMAT).options(kind="nodes", batch="10", connect="double_here:Session").mode("append").save()
+    assert ask("select count(*) from staged") == [(0,)] and ask("select count(*) from node where id in ('new', 'other')") == [(0,)]
+    with pytest.raises(Violation):
+        graph_format.write_graph(spark, nodes.unionByName(nodes), edges, connect="double_here:Session")
+    assert ask("select count(*) from node") == [(95,)]

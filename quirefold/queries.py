@@ -19,6 +19,7 @@ from quirefold.operators import sections as S
 from quirefold.operators import store as D
 from quirefold.operators import tree as N
 from quirefold.operators.checks import lacking
+from quirefold.plans import runs
 from quirefold.plans.answer import Router, document_tools, index_chunks, stored_index
 from quirefold.scratch import Scratch
 from quirefold.sources import files as FS
@@ -539,6 +540,12 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "events").select("event_id", F.regexp_replace(shown, "\\s", "").alias("shown"), shown.contains("\n").alias("set_out"))
 
 
+@query("""SELECT event_id, regexp_replace(props, '^\\{"k": ([0-9]+)\\}$', concat('{', chr(10), '  "k": \\1', chr(10), '}')) AS shown FROM events""")
+def display_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each property set out, to the letter: what a viewer shows."""
+    return X.table(spark, sf_dir, "events").select("event_id", T.display(F.col("props")).alias("shown"))
+
+
 @query(f"""WITH {X.MD_SQL} SELECT doc_id, sha256(concat('{prompts.TOC}', CASE WHEN doc_id % 4 < 2 THEN 'The pages are slides.' || chr(10) ELSE '' END, string_split(text, '--- end page 10')[1])) AS prompt_sha256 FROM md""")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _stored(spark, sf_dir)
@@ -575,6 +582,19 @@ def bag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("SELECT source, count(*) AS n, count(DISTINCT sha256(text)) AS n_hashes FROM documents WHERE doc_id % 4 <> 3 GROUP BY source")
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and hashes stored in three runs, one of them tried twice, beside a fourth that broke off before its record."""
+    storage = Scratch(spark).root
+    docs = X.table(spark, sf_dir, "documents").withColumn("hash", F.sha2("text", 256))
+    for k in (0, 1, 1, 2):
+        part = docs.where(F.col("doc_id") % 4 == k)
+        runs.publish(spark, storage, runs.run_id(part, "doc_id"), {"documents": part.select("doc_id", "source", "text"), "hashes": part.select("doc_id", "hash")})
+    docs.where("doc_id % 4 = 3").select("doc_id", "source", "text").write.parquet(f"{storage}/runs/broken/documents")
+    both = runs.table(spark, storage, "documents").join(runs.table(spark, storage, "hashes"), "doc_id")
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("hash").alias("n_hashes"))
+
+
 @query("""SELECT doc_id, name, value FROM (SELECT doc_id, 'lang' AS name, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents) WHERE value IS NOT NULL""")
 def metadata_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.key_values(X.table(spark, sf_dir, "documents"), "doc_id", ["lang", "source", "n_chars"])

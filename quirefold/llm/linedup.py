@@ -181,6 +181,25 @@ def _place(prefix: str = "") -> Column:
     return F.struct(*(F.col(f"{prefix}{c}") for c in ("o", "t", "no")))
 
 
+#: Characters up to which a pair is verified by edit distance; longer lines by their common beginning, which is linear.
+SHORT_LINE = 200
+
+
+def within_one_edit(a: Column, b: Column) -> Column:
+    """Whether a character put in, taken out or changed makes b of a: what follows the first difference must be equal. That is found by
+    halving, so a line of any length costs a few comparisons of its bytes."""
+    na, nb = F.char_length(a), F.char_length(b)
+    least = F.least(na, nb)
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    same = F.aggregate(powers, F.lit(0), lambda n, step: F.when((step <= least - n) & (F.substr(a, n + 1, step) == F.substr(b, n + 1, step)), n + step).otherwise(n))
+
+    def after(skip_a: int, skip_b: int) -> Column:
+        return F.substr(a, same + 1 + skip_a) == F.substr(b, same + 1 + skip_b)
+
+    long_ = F.when(na == nb, after(1, 1)).when(na == nb + 1, after(1, 0)).when(nb == na + 1, after(0, 1)).otherwise(F.lit(False))
+    return F.when(F.greatest(na, nb) <= SHORT_LINE, F.levenshtein(a, b, 1) >= 0).otherwise(long_)
+
+
 def duplicate_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHARS, text: str = "text") -> DataFrame:
     """(o, t, dropped): for each row that loses lines the sorted numbers (from 0) of those lines. o is doc_id, t a hash of the text.
 
@@ -210,7 +229,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHAR
         places = near.select("o", "t", "no").unionByName(near.select(F.col("wo").alias("o"), F.col("wt").alias("t"), F.col("wno").alias("no"))).distinct()
         said = scratch.write(_texts(docs, places), "texts")
         other_side = said.select(F.col("o").alias("wo"), F.col("t").alias("wt"), F.col("no").alias("wno"), F.col("line").alias("wline"))
-        sure = near.join(said, ["o", "t", "no"]).join(other_side, ["wo", "wt", "wno"]).where(F.levenshtein("line", "wline") <= max_edits).select("h1", "h2", F.lit(True).alias("near"))
+        sure = near.join(said, ["o", "t", "no"]).join(other_side, ["wo", "wt", "wno"]).where(within_one_edit(F.col("line"), F.col("wline"))).select("h1", "h2", F.lit(True).alias("near"))
         distinct = distinct.join(sure, ["h1", "h2"], "left")
     else:
         distinct = distinct.withColumn("near", F.lit(False))
@@ -231,6 +250,7 @@ def drop_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST_CHARS, te
     size = gone.agg(F.sum(40 + 8 * F.size("__dropped"))).first()[0] or 0
     joined = keyed.join(F.broadcast(gone) if size <= common.BROADCAST_BYTES else gone, ["__o", "__t"], "left")
     parts = F.split(t, "\n")
-    rest = F.array_join(F.filter(parts, lambda line, k: ~F.array_contains(F.col("__dropped"), k.cast("long"))), "\n")
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1), "__dropped")  # by hashing: linear in both
+    rest = F.array_join(F.transform(stay, lambda k: F.get(parts, k.cast("int"))), "\n")
     left = joined.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(rest))
     return left.where(F.col("__dropped").isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(*names)

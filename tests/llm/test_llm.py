@@ -20,7 +20,7 @@ from quirefold.llm.common import table
 from quirefold.llm.counts import Trie, count_tokens, zipf_scores
 from quirefold.llm.graph import components
 from quirefold.llm.licenses import license_scan
-from quirefold.llm.linedup import drop_lines, duplicate_lines
+from quirefold.llm.linedup import drop_lines, duplicate_lines, within_one_edit
 from quirefold.llm.mixing import budgets, mix
 from quirefold.llm.neardup import Sketching, joint_estimate, near_duplicates, shingle_sets, sketch
 from quirefold.llm.queries import ORACLES, QUERIES
@@ -468,6 +468,34 @@ def test_dropped_lines(spark):
     assert got == {0: (f"{long}\nshort", "x"), 2: ("short\nshort", "z"), 3: (None, "n")}
 
 
+def test_one_edit(spark):
+    random.seed(8)
+    pairs = []
+    for n in (1, 3, 150, 199, 200, 201, 300, 5000):
+        for _ in range(12):
+            a = "".join(random.choice("ab漢") for _ in range(n))
+            b = a
+            for _ in range(random.randint(0, 2)):
+                j, c = random.randrange(len(b) + 1), random.choice([0, 1, 2])
+                b = b[:j] + (random.choice("ab漢🙂") if c else "") + b[j + (c != 1) :]
+            pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", within_one_edit(F.col("a"), F.col("b")).alias("near")).collect()
+    assert [r.near for r in got] == [near(a, b, 1) for a, b in pairs]
+
+
+def test_lines_of_a_million_characters(spark):
+    """One edit apart, two edits apart, and a document that loses 20,000 lines: in seconds."""
+    line = "".join(random.Random(1).choice("abcdefgh ") for _ in range(1_000_000))
+    many = "\n".join(f"a line of its own with number {k}" for k in range(20_000))
+    rows = [(0, line), (1, line[:500_000] + "X" + line[500_001:]), (2, "Y" + line[:-1] + "Z"), (3, many), (4, many + "\nand one more line here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in drop_lines(docs, least=40).collect()}
+    assert set(got) == {0, 2, 3, 4}
+    assert {r.doc_id: len(r.text) for r in drop_lines(docs.where("doc_id > 2"), 0).collect()} == {3: len(many), 4: len("and one more line here")}
+    assert time.perf_counter() - began < 60
+
+
 # ---- mixing
 
 

@@ -334,3 +334,33 @@ def test_best_by_blocks(spark, monkeypatch, block):
     size = lambda q: R.best(docs, q, 4, [])._jdf.queryExecution().optimizedPlan().toString().count("\n")
     many = spark.createDataFrame([(k, [1.0]) for k in range(5000)], questions.schema).repartition(2)
     assert size(questions) == size(many)
+
+
+def test_fanout_of_any_size(spark, monkeypatch):
+    """A question meets the chunks of its own documents only, in blocks; the plan is no larger for many questions."""
+    import numpy as np
+
+    monkeypatch.setattr(R, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    rows = [(d, 10 * c + d, [float(x) for x in rng.integers(-3, 4, 4)]) for c in range(20) for d in range(3)] + [(1, 900, None), (1, 901, [0.0] * 4), (1, 902, [1.0, 2.0]), (None, 903, [1.0] * 4)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id long, embedding array<float>")
+    asked = [(q, [float(x) for x in rng.integers(-3, 4, 4)]) for q in range(5000)]
+    questions = spark.createDataFrame(asked, "query_id long, query_vec array<float>")
+    routed = questions.select("query_id", (F.col("query_id") % 4).alias("doc_id"))
+
+    def cosine(a, b):
+        if a is None or len(a) != len(b):
+            return 0.0
+        n = float(np.linalg.norm(a) * np.linalg.norm(b))
+        return round(float(np.dot(a, b)) / n, 6) if n else 0.0
+
+    got = R.compare_fanout(routed, chunks, questions, 3)
+    found = {}
+    for r in got.where("query_id < 60").collect():
+        found.setdefault((r.query_id, r.doc_id), []).append((r["rank"], round(r.score, 6), r.chunk_id))
+    for q, v in asked[:60]:
+        best = sorted((-cosine(e, v), c) for d, c, e in rows if d == q % 4)[:3]
+        assert sorted(found.get((q, q % 4), [])) == [(k + 1, -s, c) for k, (s, c) in enumerate(best)]
+    assert got.count() == 3 * 3750
+    size = lambda n: R.compare_fanout(spark.createDataFrame([(q, q % 3) for q in range(n)], routed.schema), chunks, questions, 3)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(5000) == size(5)

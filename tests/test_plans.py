@@ -402,3 +402,21 @@ def test_graph_format(spark, tmp_path, monkeypatch):
     with pytest.raises(Violation):
         graph_format.write_graph(spark, nodes.unionByName(nodes), edges, connect="double_here:Session")
     assert ask("select count(*) from node") == [(95,)]
+
+
+def test_prompts_stay_where_they_are_made(spark):
+    """A prompt that is an expression is made after its rows are dealt out, and neither it nor what `only` leaves out comes back."""
+    rows = spark.createDataFrame([(k, f"text {k}", b"x") for k in range(20)], "k long, text string, content binary")
+    said = generated(rows, F.concat(F.lit("Say it.\n\n"), "text"), "said", Offline(), attachment="content", only=["k"])
+    assert sorted(map(tuple, said.collect())) == [(k, f"text {k}") for k in range(20)] and said.columns == ["k", "said"]
+    plan = said._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Say it.") < plan.index("Repartition")
+
+
+def test_tools_are_embedded_once(spark):
+    """The tools' embeddings are stored with the router, so no use pays for them again."""
+    from quirefold.plans.answer import document_tools
+
+    tools = document_tools(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, summary string"), Offline())
+    chunks = spark.createDataFrame([(1, 1, 0, "1-1-0", "one", [0.0] * 64)], "doc_id long, page_number long, chunk_ord long, chunk_id string, text string, embedding array<float>")
+    assert "MapInPandas" not in Router(chunks, tools, Offline()).tools._jdf.queryExecution().optimizedPlan().toString()

@@ -48,17 +48,20 @@ def cached(rows: DataFrame, path: str, key: str, make) -> DataFrame:
 
 def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 32, wait: float = 5.0, image: str | None = None) -> DataFrame:
     """(doc_id, text, nb_pages) from page rows (doc_id, page_number, content, and for the fallback perhaps a column with an image)."""
-    asked = pages.withColumn("__p", F.lit(prompts.TRANSCRIBE))
-    said = generated(asked, "__p", "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait, image=image)
+    said = generated(pages, F.lit(prompts.TRANSCRIBE), "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait, image=image, only=["doc_id", "page_number"])
     return P.assemble(said.select("doc_id", "page_number", "text"))
 
 
 def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provider | None = None, workers: int = 32) -> DataFrame:
     """(doc_id, filename, format, nb_pages, text) of PDF files (doc_id, path, content). Transcripts come from the cache table as they are;
-    files that it lacks are cut into pages, transcribed, and appended to it. A file that can't be read raises."""
-    none_of(pdf.probe(files).where("nb_pages is null").select("path", "error"), "files that can't be read")
-    texts = cached(files, cache, "doc_id", lambda rows: transcribe(pdf.pages(rows, ["doc_id"]), provider, fallback, workers))
-    shape = pdf.probe(files).join(files.select("path", "doc_id"), "path").select("doc_id", basename(F.col("path")).alias("filename"), "format", "nb_pages")
+    files that it lacks are cut into pages, transcribed, and appended to it. A file that can't be read raises.
+
+    Reading files is the work here: they are dealt out to all tasks, however few the tasks are that hold them, and probed once."""
+    dealt = files.repartition("path")
+    seen = Scratch(files.sparkSession).write(pdf.probe(dealt), "probed")
+    none_of(seen.where("nb_pages is null").select("path", "error"), "files that can't be read")
+    texts = cached(files, cache, "doc_id", lambda rows: transcribe(pdf.pages(rows.repartition("doc_id"), ["doc_id"]), provider, fallback, workers))
+    shape = seen.join(files.select("path", "doc_id"), "path").select("doc_id", basename(F.col("path")).alias("filename"), "format", "nb_pages")
     return shape.join(texts.select("doc_id", "text"), "doc_id")
 
 
@@ -72,14 +75,13 @@ def read_documents(spark: SparkSession, path: str, root: str, cache: str, provid
 
 def contexts(docs: DataFrame, provider: Provider, strict: bool = False) -> DataFrame:
     """docs with context, the model's JSON as VARIANT; null where it is missing or malformed unless strict."""
-    said = generated(docs.withColumn("__p", F.concat(F.lit(prompts.CONTEXT), "text")), "__p", "__said", provider)
-    return said.withColumn("context", T.strict_json_block(F.col("__said")) if strict else T.json_block(F.col("__said"))).drop("__p", "__said")
+    said = generated(docs, F.concat(F.lit(prompts.CONTEXT), "text"), "__said", provider)
+    return said.withColumn("context", T.strict_json_block(F.col("__said")) if strict else T.json_block(F.col("__said"))).drop("__said")
 
 
 def extracted_tocs(docs: DataFrame, provider: Provider) -> DataFrame:
-    asked = docs.withColumn("__p", prompts.toc_prompt(T.head_pages(F.col("text")), F.col("format") == "landscape"))
-    said = generated(asked, "__p", "__said", provider)
-    return said.withColumn("extracted_toc", T.sentinel(T.strip(F.col("__said")))).drop("__p", "__said")
+    said = generated(docs, prompts.toc_prompt(T.head_pages(F.col("text")), F.col("format") == "landscape"), "__said", provider)
+    return said.withColumn("extracted_toc", T.sentinel(T.strip(F.col("__said")))).drop("__said")
 
 
 def created_tocs(docs: DataFrame, provider: Provider) -> DataFrame:
@@ -90,17 +92,17 @@ def created_tocs(docs: DataFrame, provider: Provider) -> DataFrame:
     tocs = markdown_toc(portrait.withColumn("stem", T.stem(F.col("filename"))))
     portrait = portrait.join(tocs.withColumnRenamed("toc", "created_toc"), "doc_id")
     slides = docs.where("format = 'landscape'")
-    draft = generated(slides.withColumn("__p", F.concat(F.lit(prompts.DRAFT_TOC), "text")), "__p", "__draft", provider)
-    checked = generated(draft.withColumn("__p", F.concat(F.lit(prompts.CHECK_TOC), "__draft")), "__p", "__said", provider)
-    slides = checked.withColumn("created_toc", T.strip(T.unwrap_any(F.col("__said")))).drop("__p", "__draft", "__said")
+    draft = generated(slides, F.concat(F.lit(prompts.DRAFT_TOC), "text"), "__draft", provider)
+    checked = generated(draft, F.concat(F.lit(prompts.CHECK_TOC), "__draft"), "__said", provider)
+    slides = checked.withColumn("created_toc", T.strip(T.unwrap_any(F.col("__said")))).drop("__draft", "__said")
     return portrait.unionByName(slides)
 
 
 def landscape_pages(docs: DataFrame, provider: Provider) -> DataFrame:
     """docs with pages: titles of a landscape document's pages; empty for others, which cause no call."""
     slides = docs.where("format = 'landscape'")
-    said = generated(slides.withColumn("__p", F.concat(F.lit(prompts.PAGES), "text")), "__p", "__said", provider)
-    slides = said.withColumn("pages", T.strip(F.col("__said"))).drop("__p", "__said")
+    said = generated(slides, F.concat(F.lit(prompts.PAGES), "text"), "__said", provider)
+    slides = said.withColumn("pages", T.strip(F.col("__said"))).drop("__said")
     return docs.where("format <> 'landscape'").withColumn("pages", F.lit("")).unionByName(slides)
 
 
@@ -109,8 +111,8 @@ def structures(docs: DataFrame, provider: Provider) -> DataFrame:
     toc = T.first_toc(F.col("extracted_toc"), F.col("created_toc"))
     slides = docs.where("format = 'landscape'")
     none_of(slides.where(toc.isNull() | (F.coalesce("pages", F.lit("")) == "")).select("doc_id"), "no contents or pages")
-    said = generated(slides.withColumn("__p", F.concat(F.lit(prompts.GROUP), toc, F.lit("\n"), "pages")), "__p", "__said", provider)
-    slides = said.withColumn("structure", T.strip(T.unwrap_any(F.col("__said")))).drop("__p", "__said")
+    said = generated(slides, F.concat(F.lit(prompts.GROUP), toc, F.lit("\n"), "pages"), "__said", provider)
+    slides = said.withColumn("structure", T.strip(T.unwrap_any(F.col("__said")))).drop("__said")
     return docs.where("format = 'portrait'").withColumn("structure", F.col("created_toc")).unionByName(slides)
 
 

@@ -364,3 +364,20 @@ def test_fanout_of_any_size(spark, monkeypatch):
     assert got.count() == 3 * 3750
     size = lambda n: R.compare_fanout(spark.createDataFrame([(q, q % 3) for q in range(n)], routed.schema), chunks, questions, 3)._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert size(5000) == size(5)
+
+
+def test_files_in_one_part_are_read_by_many_tasks(spark):
+    """PDF files that lie in one partition are dealt out before they are parsed, and probed in one pass that is stored."""
+    import tempfile
+
+    from quirefold.functions.models import Offline
+    from quirefold.plans.ingest import documents
+    from quirefold.sources.pdf import text_pdf
+
+    rows = [(k, f"file:///in/{k}.pdf", text_pdf([f"page {k} (a) \\ %{p}" for p in range(3)])) for k in range(40)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, content binary").coalesce(1)
+    found = documents(files, tempfile.mkdtemp() + "/cache", Offline())
+    got = {r.doc_id: (r.nb_pages, r.text) for r in found.collect()}
+    assert all(n == 3 and f"page {k} (a) \\ %2" in text for k, (n, text) in got.items()) and len(got) == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan

@@ -123,13 +123,14 @@ def call(provider: Provider, prompt: str, attachment: bytes | None, attempts: in
 WINDOW = 4
 
 
-def dealt(df: DataFrame, workers: int, window: int = WINDOW) -> tuple[DataFrame, int]:
+def dealt(df: DataFrame, workers: int, window: int = WINDOW, spread: bool = True) -> tuple[DataFrame, int]:
     """df dealt to as many tasks as may run at once, and the calls that each may have open: tasks x calls is no more than `workers`, so the
-    whole stage has no more open, whatever the cluster. Needs spark.speculation off, as session() has it."""
+    whole stage has no more open, whatever the cluster. spread: rows are shuffled for it; without, tasks take whole parts of a stored table as
+    they lie (one that no call makes, or its calls would be open in the same stage). Needs spark.speculation off, as session() has it."""
     if workers < 1:
         raise ValueError("workers must be positive")
     window = min(window, workers)
-    return df.repartition(workers // window), window
+    return df.repartition(workers // window) if spread else df.coalesce(workers // window), window
 
 
 class _Calls:
@@ -179,7 +180,7 @@ async def acall(provider: Provider, prompt: str, attachment: bytes | None, attem
     raise AssertionError
 
 
-def generated(df: DataFrame, prompt: str | Column, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 32, strict: bool = True, image: str | None = None, only: list[str] | None = None) -> DataFrame:
+def generated(df: DataFrame, prompt: str | Column, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 32, strict: bool = True, image: str | None = None, only: list[str] | None = None, spread: bool = True) -> DataFrame:
     """df (or its columns `only`) with `into`, the answer to its prompt (a column's name, or an expression), and for strict False `into`_error (null if it went well).
 
     The whole stage has no more than `workers` calls open (see dealt()): rows are dealt to a few tasks, each with a window of calls that
@@ -189,7 +190,7 @@ def generated(df: DataFrame, prompt: str | Column, into: str, provider: Provider
     text doesn't come back with the answer; nor do columns that `only` leaves out.
     """
     names = df.columns if only is None else only
-    rows, window = dealt(df, workers)
+    rows, window = dealt(df, workers, spread=spread)
     rows = rows.select(*names, *{c for c in (attachment, image) if c and c not in names}, (F.col(prompt) if isinstance(prompt, str) else prompt).alias("__prompt"))
     schema = f"{', '.join(f'`{c}` {df.schema[c].dataType.simpleString()}' for c in names)}, {into} string, {into}_error string"
 

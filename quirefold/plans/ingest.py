@@ -73,18 +73,18 @@ def read_documents(spark: SparkSession, path: str, root: str, cache: str, provid
     return documents(named, cache, provider, fallback, workers).join(data, "doc_id")
 
 
-def contexts(docs: DataFrame, provider: Provider, strict: bool = False) -> DataFrame:
+def contexts(docs: DataFrame, provider: Provider, strict: bool = False, spread: bool = True) -> DataFrame:
     """docs with context, the model's JSON as VARIANT; null where it is missing or malformed unless strict."""
-    said = generated(docs, F.concat(F.lit(prompts.CONTEXT), "text"), "__said", provider)
+    said = generated(docs, F.concat(F.lit(prompts.CONTEXT), "text"), "__said", provider, spread=spread)
     return said.withColumn("context", T.strict_json_block(F.col("__said")) if strict else T.json_block(F.col("__said"))).drop("__said")
 
 
-def extracted_tocs(docs: DataFrame, provider: Provider) -> DataFrame:
-    said = generated(docs, prompts.toc_prompt(T.head_pages(F.col("text")), F.col("format") == "landscape"), "__said", provider)
+def extracted_tocs(docs: DataFrame, provider: Provider, spread: bool = True) -> DataFrame:
+    said = generated(docs, prompts.toc_prompt(T.head_pages(F.col("text")), F.col("format") == "landscape"), "__said", provider, spread=spread)
     return said.withColumn("extracted_toc", T.sentinel(T.strip(F.col("__said")))).drop("__said")
 
 
-def created_tocs(docs: DataFrame, provider: Provider) -> DataFrame:
+def created_tocs(docs: DataFrame, provider: Provider, spread: bool = True) -> DataFrame:
     """Portrait: from the headings of the reformatted text. Landscape: a draft, then a check of it. The branches are parted before
     the model is called."""
     none_of(docs.where("format = 'portrait' and not is_reformatted").select("doc_id"), "portrait documents must be reformatted first")
@@ -92,26 +92,26 @@ def created_tocs(docs: DataFrame, provider: Provider) -> DataFrame:
     tocs = markdown_toc(portrait.withColumn("stem", T.stem(F.col("filename"))))
     portrait = portrait.join(tocs.withColumnRenamed("toc", "created_toc"), "doc_id")
     slides = docs.where("format = 'landscape'")
-    draft = generated(slides, F.concat(F.lit(prompts.DRAFT_TOC), "text"), "__draft", provider)
+    draft = generated(slides, F.concat(F.lit(prompts.DRAFT_TOC), "text"), "__draft", provider, spread=spread)
     checked = generated(draft, F.concat(F.lit(prompts.CHECK_TOC), "__draft"), "__said", provider)
     slides = checked.withColumn("created_toc", T.strip(T.unwrap_any(F.col("__said")))).drop("__draft", "__said")
     return portrait.unionByName(slides)
 
 
-def landscape_pages(docs: DataFrame, provider: Provider) -> DataFrame:
+def landscape_pages(docs: DataFrame, provider: Provider, spread: bool = True) -> DataFrame:
     """docs with pages: titles of a landscape document's pages; empty for others, which cause no call."""
     slides = docs.where("format = 'landscape'")
-    said = generated(slides, F.concat(F.lit(prompts.PAGES), "text"), "__said", provider)
+    said = generated(slides, F.concat(F.lit(prompts.PAGES), "text"), "__said", provider, spread=spread)
     slides = said.withColumn("pages", T.strip(F.col("__said"))).drop("__said")
     return docs.where("format <> 'landscape'").withColumn("pages", F.lit("")).unionByName(slides)
 
 
-def structures(docs: DataFrame, provider: Provider) -> DataFrame:
+def structures(docs: DataFrame, provider: Provider, spread: bool = True) -> DataFrame:
     """Portrait: the created contents. Landscape: the model's grouping of the pages below the contents; these must be there."""
     toc = T.first_toc(F.col("extracted_toc"), F.col("created_toc"))
     slides = docs.where("format = 'landscape'")
     none_of(slides.where(toc.isNull() | (F.coalesce("pages", F.lit("")) == "")).select("doc_id"), "no contents or pages")
-    said = generated(slides, F.concat(F.lit(prompts.GROUP), toc, F.lit("\n"), "pages"), "__said", provider)
+    said = generated(slides, F.concat(F.lit(prompts.GROUP), toc, F.lit("\n"), "pages"), "__said", provider, spread=spread)
     slides = said.withColumn("structure", T.strip(T.unwrap_any(F.col("__said")))).drop("__said")
     return docs.where("format = 'portrait'").withColumn("structure", F.col("created_toc")).unionByName(slides)
 
@@ -131,9 +131,10 @@ def ingest(docs: DataFrame, storage: str, provider: Provider, most: int = 50) ->
             none_of(lacking(fresh, ["filename", "format", "nb_pages", "text"]), "documents that lack something")
             run = runs.run_id(fresh, "hash")
             stage = f"{storage}/stage/{run}-{uuid.uuid4().hex[:8]}"
+            # a table as it was stored, which the stages read without a shuffle: the first one reads what the cache's own join deals out
             now = cached(fresh, f"{storage}/reformatted", "hash", lambda rows: reformatted(rows, provider, most).withColumn("is_reformatted", F.lit(True)))
             for name, work in (("contexts", contexts), ("extracted", extracted_tocs), ("created", created_tocs), ("pages", landscape_pages), ("structures", structures)):
-                now = stored(work(now, provider), f"{stage}/{name}")
+                now = stored(work(now, provider, spread=False), f"{stage}/{name}")
             if (meanwhile := runs.table(spark, storage, "hashes")) is not None:
                 now = now.join(meanwhile.select("hash").distinct(), "hash", "left_anti")
             runs.publish(spark, storage, run, {"documents": now.drop("hash"), "hashes": now.select("hash")})

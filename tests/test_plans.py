@@ -11,7 +11,7 @@ from quirefold.functions.models import Blocked, Busy, Offline, call, generated,
 from quirefold.operators.checks import Violation
 from quirefold.plans import runs
 from quirefold.plans.answer import Router, document_tools, index_chunks, stored_index
-from quirefold.plans.ingest import ingest, read_documents, stored_documents, tree_index
+from quirefold.plans.ingest import ingest, landscape_pages, read_documents, stored_documents, tree_index
 from quirefold.plans.inspect import metadata, picker, rendered_outline
 from quirefold.sources import graph, pdf
 from quirefold.sources.config import QueryConfig, StructureConfig, api_key, load, made, parse
@@ -420,3 +420,12 @@ def test_tools_are_embedded_once(spark):
     tools = document_tools(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, summary string"), Offline())
     chunks = spark.createDataFrame([(1, 1, 0, "1-1-0", "one", [0.0] * 64)], "doc_id long, page_number long, chunk_ord long, chunk_id string, text string, embedding array<float>")
     assert "MapInPandas" not in Router(chunks, tools, Offline()).tools._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_tables_are_not_shuffled_for_calls(spark, tmp_path):
+    """A stage over a stored table takes its parts as they lie, in no more tasks than may call."""
+    spark.range(0, 400, 1, 40).selectExpr("id as doc_id", "'landscape' as format", "concat('text ', id) as text").write.parquet(f"{tmp_path}/docs")
+    said = landscape_pages(spark.read.parquet(f"{tmp_path}/docs"), Offline(), spread=False)
+    assert said.count() == 400
+    plan = said._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Coalesce 8" in plan

@@ -140,7 +140,7 @@ def _kept(least: int):
             last = int(np.flatnonzero(_changes(held["lang"]) | _changes(held["term"]))[-1])
             if last:
                 yield from scan(held.slice(0, last)).to_batches()
-            open_ = _summed([held.slice(last)])  # a term's rows are no more than its sources
+            open_ = _summed([held.slice(last)]).sort_by("source")  # a term's rows are no more than its sources; summing leaves them in any order
         if open_ is not None:
             yield from scan(open_).to_batches()
 

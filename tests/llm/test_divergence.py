@@ -87,3 +87,15 @@ def test_shares_are_exact():
     assert share(n, of).tolist() == [1 + 10**9 * a // b for a, b in zip(n.tolist(), of.tolist())]
     with pytest.raises(ValueError, match="occurrences"):
         share(np.array([1]), np.array([1 << 60]))
+
+
+def test_an_open_term_keeps_its_sources_in_order(monkeypatch):
+    """Sums come in any order; a source that goes on in the next batch must still meet its earlier rows."""
+    import pyarrow as pa
+
+    summed = D._summed
+    monkeypatch.setattr(D, "_summed", lambda parts: summed(parts).sort_by([("source", "descending")]))
+    rows = [("en", "a", s, 1, 1) for s in ("x", "y", "z") for _ in range(4)]
+    whole = pa.table([list(c) for c in zip(*rows)], names=["lang", "term", "source", "docs", "n"])
+    got = pa.Table.from_batches(D._kept(6)(iter(whole.to_batches(5))))
+    assert sorted((r["source"], r["n"], r["total"]) for r in got.to_pylist()) == [("x", 4, 12), ("y", 4, 12), ("z", 4, 12)]

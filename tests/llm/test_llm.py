@@ -664,6 +664,39 @@ def test_every_template_holds_an_anchor():
     assert all(re.search(licenses.ANCHORS, said.lower()) for _, said in licenses.TEMPLATES + licenses.SPDX)
 
 
+def test_patterns_say_the_same():
+    random.seed(31)
+    assert sorted(licenses.ANCHOR_WORDS) == sorted(w for part in licenses.ANCHORS.split("|") for w in ([part.replace("[sc]", c) for c in "sc"] if "[sc]" in part else [part]))
+    for _ in range(2000):
+        said = "".join(random.choice("ab1.-. \n") for _ in range(random.randint(0, 30)))
+        assert [m[0] for m in re.finditer(licenses.TERM_ONWARD, said)] == [m[0] for m in re.finditer(licenses.TERM, said)]
+
+
+def test_a_term_of_many_parts(spark):
+    """The pattern of a term took a deeper stack for each of its parts."""
+    files = [(0, "a/0.txt", "x" + "-x" * 200_000 + "\nReleased under the MIT License."), (1, "a/1.txt", "nothing")]
+    got = {r.doc_id: (r.own_license, r.own_line) for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert got == {0: ("MIT", 1), 1: (None, None)}
+
+
+def test_a_file_of_many_lines(spark):
+    """Time in proportion to the lines: whole texts were carried along with each of their lines."""
+    text = "\n".join(f"x{k} = y # a licence of its own {k}" for k in range(100_000)) + "\n# this is licensed under the\n# BSD 3-Clause License"
+    rows = spark.createDataFrame([(0, "a/0.txt", text)], "doc_id long, path string, text string")
+    began = time.time()
+    assert [(r.own_license, r.own_line) for r in license_scan(rows, F.col("path")).collect()] == [("BSD-3-Clause", 100_000)]
+    assert time.time() - began < 90
+
+
+def test_a_licence_text_in_two_rows(spark):
+    """Rows of one id and path are one file, also where terms are counted only in files that come near a licence text."""
+    words = dict(licenses.license_texts())["GPL-1.0"].split()
+    half = len(words) // 2
+    files = [(0, "a/0.txt", " ".join(words[:half])), (0, "a/0.txt", " ".join(words[half:])), (1, "b/1.txt", " ".join(words[: half // 4]) + " license"), (None, None, " ".join(words))]
+    got = {(r.doc_id, r.path, r.own_license) for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert {g[:2] for g in got if g[2] == "GPL-1.0"} == {(0, "a/0.txt"), (None, None)}
+
+
 def test_recall_of_wrapped_headers(spark):
     """Each statement wrapped at a width, behind comment marks, within code: nine of ten must be found."""
     random.seed(21)

@@ -24,25 +24,28 @@ def missing_nodes(outline: DataFrame, parts: DataFrame, key: str = "doc_id") ->
     return outline.where("number >= 0").select(key, "number").join(parts.select(key, "number"), [key, "number"], "left_anti")
 
 
-def build_index(outline: DataFrame, parts: DataFrame, key: str = "doc_id", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def build_index(outline: DataFrame, parts: DataFrame, key: str = "doc_id", strict: bool = True, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from outlines and parts (key, number, seq, content): pages or sections; of equal numbers the last counts.
 
     nodes: node_id, key, number, kind (root, abstract, page, section, orphan), name, content, and where they stand: tree (the id of the
     node on top), first and last (bounds of what lies below, in order of a walk), depth. Abstract nodes hold their title; parts
     outside the outline are orphans, each a tree of its own. edges: parent_id, child_id, child_ord in outline order. A
-    node's number finds its parent on the way of the scan that numbers the outline, so edges need no join.
+    node's number finds its parent on the way of the scan that numbers the outline, so edges need no join. scratch: the numbered
+    outline is written there, for where both tables are read; each of them scans the outline for itself otherwise.
     """
     if strict:
         none_of(missing_nodes(outline, parts, key), "outline numbers without a node")
     last = parts.groupBy(key, "number").agg(F.max(F.struct("seq", "content"))["content"].alias("content"))
-    rows = numbered(outline, key).join(last, [key, "number"], "full_outer")
+    lines = numbered(outline, key)
+    lines = scratch.write(lines, "numbered") if scratch else lines
+    rows = lines.join(last, [key, "number"], "full_outer")
     lost = F.col("ord").isNull()
     rows = rows.withColumn("kind", F.when(lost, "orphan").otherwise(F.col("kind"))).withColumn("node_id", node_id(F.col(key), F.col("kind"), F.col("number")))
     content = F.when(F.col("kind") == "abstract", F.col("name")).otherwise(F.coalesce("content", F.lit("")))
     top = F.when(lost, F.col("node_id")).otherwise(node_id(F.col(key), F.lit("root"), F.lit(-1)))
     place = (F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in (("ord", "first"), ("last", "last"), ("depth", "depth")))
     nodes = rows.select("node_id", key, "number", "kind", F.when(lost, "").otherwise(F.col("name")).alias("name"), content.alias("content"), top.alias("tree"), *place)
-    edges = numbered(outline, key).where("parent_number is not null")
+    edges = lines.where("parent_number is not null")
     return nodes, edges.select(node_id(F.col(key), F.col("parent_kind"), F.col("parent_number")).alias("parent_id"), node_id(F.col(key), F.col("kind"), F.col("number")).alias("child_id"), "child_ord")
 
 
@@ -110,16 +113,18 @@ def is_above(a: str, b: str) -> Column:
     return (F.col(f"{a}.tree") == F.col(f"{b}.tree")) & (F.col(f"{a}.first") <= F.col(f"{b}.first")) & (F.col(f"{b}.first") <= F.col(f"{a}.last"))
 
 
-def subtree(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+def subtree(nodes: DataFrame, edges: DataFrame, start: DataFrame, own: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Below each start (node_id): start_id, node columns, depth (0 at the start) and path (place in a walk of the whole tree): a range of the
     start's tree, by one join. Nodes of one tree, stored in order of first, are pruned by it. Nodes without numbers get them from the edges
-    first; edges that were changed by hand ask for renumber()."""
+    first; edges that were changed by hand ask for renumber(). own: start is made of rows of nodes as they are, with their numbers, so these
+    aren't looked up. carry: columns of the starts that go along, as start_*."""
     if not set(PLACE) <= set(nodes.columns):
-        nodes = renumber(nodes, edges)
-    starts = nodes.join(start.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("start_id"), *PLACE)
+        nodes, own = renumber(nodes, edges), False
+    starts = start if own else nodes.join(start.select("node_id").distinct(), "node_id", "left_semi")
+    starts = starts.select(F.col("node_id").alias("start_id"), *PLACE, *(F.col(c).alias(f"start_{c}") for c in carry))
     found = nodes.alias("n").join(starts.alias("s"), is_above("s", "n"))
     mine = [F.col(f"n.{c}") for c in nodes.columns if c not in PLACE]
-    return found.select("s.start_id", *mine, (F.col("n.depth") - F.col("s.depth")).alias("depth"), F.col("n.first").alias("path"))
+    return found.select("s.start_id", *(f"s.start_{c}" for c in carry), *mine, (F.col("n.depth") - F.col("s.depth")).alias("depth"), F.col("n.first").alias("path"))
 
 
 def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:

@@ -234,8 +234,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return N.build_index(_outlines(spark, sf_dir), _parts(spark, sf_dir), strict=False)
+def _index(spark: SparkSession, sf_dir: str, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    return N.build_index(_outlines(spark, sf_dir), _parts(spark, sf_dir), strict=False, scratch=scratch)
 
 
 @query(f"WITH {_OUTLINE} SELECT * FROM ol")
@@ -275,15 +275,16 @@ def outline_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.outline(slides.unionByName(papers))
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes as they are stored: with their numbers, in order."""
-    nodes, edges = _index(spark, sf_dir)
-    return Scratch(spark).write(nodes.sortWithinPartitions("tree", "first"), "nodes"), edges
+def _placed(spark: SparkSession, sf_dir: str, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The nodes as they are stored: with their numbers, in order. both: the edges are read too, so the outline is numbered once for both."""
+    scratch = Scratch(spark)
+    nodes, edges = _index(spark, sf_dir, scratch if both else None)
+    return scratch.write(nodes.sortWithinPartitions("tree", "first"), "nodes"), edges
 
 
 def _walk(spark: SparkSession, sf_dir: str, order: str, start: str) -> DataFrame:
     nodes, edges = _placed(spark, sf_dir)
-    below = N.subtree(nodes, edges, nodes.where(start).select("node_id"))
+    below = N.subtree(nodes, edges, nodes.where(start), own=True)
     return N.walk(below, order).select("doc_id", "number", "depth", "place")
 
 
@@ -406,10 +407,10 @@ st(doc_id, number, top, depth) AS (SELECT doc_id, number, number, 0 FROM cut WHE
 SELECT doc_id, number, CAST(top AS BIGINT) AS top, CAST(depth AS BIGINT) AS depth FROM st""")
 def tree_detached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents lose their first heading: what lay below it is walked from tops of its own, by the numbers it had."""
-    nodes, edges = _placed(spark, sf_dir)
+    nodes, edges = _placed(spark, sf_dir, both=True)
     nodes = Scratch(spark).write(N.delete_node(nodes, edges, nodes.where("number = -2 and doc_id % 2 = 0"))[0].where("kind <> 'orphan'"), "cut")
-    tops = nodes.where("tree = node_id").select(F.col("node_id").alias("start_id"), F.col("number").alias("top"))
-    return N.subtree(nodes, edges, tops.select(F.col("start_id").alias("node_id"))).join(tops, "start_id").select("doc_id", "number", "top", "depth")
+    below = N.subtree(nodes, edges, nodes.where("tree = node_id"), own=True, carry=("number",))
+    return below.select("doc_id", "number", F.col("start_number").alias("top"), "depth")
 
 
 @query(f"WITH {_OUTLINE}, {_NODES} SELECT kind, count(*) AS n FROM nd GROUP BY kind")

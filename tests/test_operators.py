@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from quirefold.functions import text as T
 from quirefold.operators import outline as O
 from quirefold.operators import pages as P
@@ -11,6 +12,7 @@ from quirefold.operators import retrieval as R
 from quirefold.operators import sections as S
 from quirefold.operators import tree as N
 from quirefold.operators.checks import Violation
+from quirefold.scratch import Scratch
 
 
 def one(spark, function, *values):
@@ -143,6 +145,33 @@ def test_index(spark):
     assert N.delete_document(nodes, edges, 0)[0].isEmpty()
 
 
+def test_index_numbered_once(spark):
+    """Where both tables are read, edges come from the numbers that the nodes were made with: the outline isn't scanned again."""
+    docs = spark.createDataFrame([(0, 2, "d.pdf", "# A\n- Page 1 : a\n## B\n- Page 2 : b"), (1, 1, "e.pdf", "# A")], "doc_id long, nb_pages long, filename string, structure string")
+    tree, parts = O.landscape_outline(docs), spark.createDataFrame([], "doc_id long, number long, seq long, content string")
+    (nodes, edges), (_, apart) = N.build_index(tree, parts, strict=False, scratch=Scratch(spark)), N.build_index(tree, parts, strict=False)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert scans(edges) == 0 and scans(nodes) == 0 and scans(apart) > 0
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, apart.collect()))
+    tops = nodes.where("kind = 'root' or number = -2")
+    looked_up = N.subtree(nodes, edges, tops.select("node_id")).select("start_id", "node_id", "depth")
+    below = N.subtree(nodes, edges, tops, own=True, carry=("number",))
+    assert sorted(map(tuple, below.select("start_id", "node_id", "depth").collect())) == sorted(map(tuple, looked_up.collect()))
+    assert {r.start_number for r in below.where("node_id = start_id").select("start_number").collect()} == {-1, -2}
+    bare = nodes.drop(*N.PLACE)
+    again = N.subtree(bare, edges, bare.where("kind = 'root' or number = -2"), own=True, carry=("number",))
+    assert sorted(map(tuple, again.select("start_id", "node_id", "depth").collect())) == sorted(map(tuple, looked_up.collect()))
+
+
+def test_tree_detached_scans_once(spark, monkeypatch):
+    from quirefold import queries
+
+    given = []
+    monkeypatch.setattr(N, "delete_node", lambda nodes, edges, gone, plain=N.delete_node: given.append(edges) or plain(nodes, edges, gone))
+    queries.QUERIES["tree_detached"](spark, DATA)
+    assert "MapInArrow" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_full_pages(spark):
     chunks = spark.createDataFrame([(0, 1, 0, "a", "x", [1.0, 0.0]), (0, 1, 1, "b", "y", [0.9, 0.1]), (0, 2, 2, "c", "z", [0.9, 0.1])], "doc_id long, page_number long, chunk_ord long, chunk_id string, text string, embedding array<float>")
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vec array<float>")

@@ -41,6 +41,9 @@ class Offline:
     """A provider without a network that always gives the same: embeddings are hashed bags of words, texts follow rules that keep
     what the parsers rely on."""
 
+    #: It waits for nothing: a call is work of its task.
+    waits = False
+
     def __init__(self, dim: int = 64):
         self.dim = dim
 
@@ -123,6 +126,12 @@ def call(provider: Provider, prompt: str, attachment: bytes | None, attempts: in
 WINDOW = 4
 
 
+def window_of(provider: Provider) -> int:
+    """Calls that a task has open at once: one where calls are work of the task itself (waits is False), which more threads don't shorten; as
+    many more tasks then share what may be open."""
+    return WINDOW if getattr(provider, "waits", True) else 1
+
+
 def dealt(df: DataFrame, workers: int, window: int = WINDOW, spread: bool = True) -> tuple[DataFrame, int]:
     """df dealt to as many tasks as may run at once, and the calls that each may have open: tasks x calls is no more than `workers`, so the
     whole stage has no more open, whatever the cluster. spread: rows are shuffled for it; without, tasks take whole parts of a stored table as
@@ -135,7 +144,7 @@ def dealt(df: DataFrame, workers: int, window: int = WINDOW, spread: bool = True
 
 class _Calls:
     """Calls of one task: up to `window` open at once, those of the next batch too while the last ones of this one are awaited. A provider
-    with a coroutine `agenerate` is awaited on one loop, any other is called by threads."""
+    with a coroutine `agenerate` is awaited on one loop, any other is called by threads, or where it is asked if the window is one."""
 
     def __init__(self, provider: Provider, window: int):
         self.awaited = hasattr(provider, "agenerate")
@@ -144,9 +153,13 @@ class _Calls:
             self.slots = asyncio.Semaphore(window)
             threading.Thread(target=self.loop.run_forever, daemon=True).start()
         else:
-            self.pool = ThreadPoolExecutor(window)
+            self.pool = ThreadPoolExecutor(window) if window > 1 else None
 
     def submit(self, one, aone, *row) -> Future:
+        if not self.awaited and self.pool is None:
+            done = Future()
+            done.set_result(one(*row))
+            return done
         if not self.awaited:
             return self.pool.submit(one, *row)
 
@@ -159,7 +172,7 @@ class _Calls:
     def close(self) -> None:
         if self.awaited:
             self.loop.call_soon_threadsafe(self.loop.stop)
-        else:
+        elif self.pool is not None:
             self.pool.shutdown(wait=True, cancel_futures=True)
 
 
@@ -180,7 +193,7 @@ async def acall(provider: Provider, prompt: str, attachment: bytes | None, attem
     raise AssertionError
 
 
-def generated(df: DataFrame, prompt: str | Column, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 32, strict: bool = True, image: str | None = None, only: list[str] | None = None, spread: bool = True) -> DataFrame:
+def generated(df: DataFrame, prompt: str | Column, into: str, provider: Provider, attachment: str | None = None, attempts: int = 10, wait: float = 5.0, fallback: Provider | None = None, workers: int = 32, strict: bool = True, image: str | None = None, only: list[str] | None = None, spread: bool = True, window: int = WINDOW) -> DataFrame:
     """df (or its columns `only`) with `into`, the answer to its prompt (a column's name, or an expression), and for strict False `into`_error (null if it went well).
 
     The whole stage has no more than `workers` calls open (see dealt()): rows are dealt to a few tasks, each with a window of calls that
@@ -190,7 +203,7 @@ def generated(df: DataFrame, prompt: str | Column, into: str, provider: Provider
     text doesn't come back with the answer; nor do columns that `only` leaves out.
     """
     names = df.columns if only is None else only
-    rows, window = dealt(df, workers, spread=spread)
+    rows, window = dealt(df, workers, window, spread)
     rows = rows.select(*names, *{c for c in (attachment, image) if c and c not in names}, (F.col(prompt) if isinstance(prompt, str) else prompt).alias("__prompt"))
     schema = f"{', '.join(f'`{c}` {df.schema[c].dataType.simpleString()}' for c in names)}, {into} string, {into}_error string"
 

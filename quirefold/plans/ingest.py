@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.functions.models import Provider, generated, reformatted
+from quirefold.functions.models import Provider, generated, reformatted, window_of
 from quirefold.functions.text import basename, relative
 from quirefold.operators import pages as P
 from quirefold.operators.checks import lacking, none_of
@@ -46,9 +46,9 @@ def cached(rows: DataFrame, path: str, key: str, make) -> DataFrame:
     return spark.read.parquet(path).join(rows.select(key).distinct(), key, "left_semi").dropDuplicates([key]) if exists(spark, path) else make(rows)
 
 
-def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 32, wait: float = 5.0, image: str | None = None) -> DataFrame:
+def transcribe(pages: DataFrame, provider: Provider, fallback: Provider | None = None, workers: int = 32, wait: float = 5.0, image: str | None = None, spread: bool = True) -> DataFrame:
     """(doc_id, text, nb_pages) from page rows (doc_id, page_number, content, and for the fallback perhaps a column with an image)."""
-    said = generated(pages, F.lit(prompts.TRANSCRIBE), "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait, image=image, only=["doc_id", "page_number"])
+    said = generated(pages, F.lit(prompts.TRANSCRIBE), "text", provider, attachment="content", fallback=fallback, workers=workers, wait=wait, image=image, only=["doc_id", "page_number"], spread=spread, window=window_of(provider))
     return P.assemble(said.select("doc_id", "page_number", "text"))
 
 
@@ -56,11 +56,17 @@ def documents(files: DataFrame, cache: str, provider: Provider, fallback: Provid
     """(doc_id, filename, format, nb_pages, text) of PDF files (doc_id, path, content). Transcripts come from the cache table as they are;
     files that it lacks are cut into pages, transcribed, and appended to it. A file that can't be read raises.
 
-    Reading files is the work here: they are dealt out to all tasks, however few the tasks are that hold them, and probed once."""
-    dealt = files.repartition("path")
-    seen = Scratch(files.sparkSession).write(pdf.probe(dealt), "probed")
+    Reading files is the work here: they are dealt out to all tasks, however few the tasks are that hold them, and each is parsed once.
+    Files that the cache holds are only probed. Pages are written, so calls take them as they lie, without a shuffle."""
+    scratch = Scratch(files.sparkSession)
+    known, new = cache_split(files, files.sparkSession.read.parquet(cache), "doc_id") if exists(files.sparkSession, cache) else (None, files)
+    opened = scratch.write(pdf.opened(new.repartition("path"), ["doc_id", "path"]), "opened")
+    seen = opened.where("page_number = 0").select("path", "nb_pages", "format", "error")
+    if known is not None:
+        seen = seen.unionByName(scratch.write(pdf.probe(known.repartition("path")), "probed"))
     none_of(seen.where("nb_pages is null").select("path", "error"), "files that can't be read")
-    texts = cached(files, cache, "doc_id", lambda rows: transcribe(pdf.pages(rows.repartition("doc_id"), ["doc_id"]), provider, fallback, workers))
+    pages = opened.where("page_number > 0").select("doc_id", "page_number", "content")
+    texts = cached(files, cache, "doc_id", lambda rows: transcribe(pages, provider, fallback, workers, spread=False))
     shape = seen.join(files.select("path", "doc_id"), "path").select("doc_id", basename(F.col("path")).alias("filename"), "format", "nb_pages")
     return shape.join(texts.select("doc_id", "text"), "doc_id")
 

@@ -429,3 +429,24 @@ def test_stored_tables_are_not_shuffled_for_calls(spark, tmp_path):
     assert said.count() == 400
     plan = said._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Coalesce 8" in plan
+
+
+def test_files_are_opened_once(spark):
+    """One parse of a file tells what probe() and pages() tell, also of files that can't be read and of those without pages."""
+    good, wide, none = pdf.text_pdf(["one", "two (2)", ""]), pdf.text_pdf(["x"], 800, 600), pdf.text_pdf([])
+    rows = [("a", "/a.pdf", good), ("b", "/b.pdf", wide), ("c", "/c.pdf", b"%PDF-1.4 broken"), ("d", "/d.pdf", none), ("e", "/e.pdf", None)]
+    files = spark.createDataFrame(rows, "doc_id string, path string, content binary")
+    got = pdf.opened(files, ["doc_id", "path"]).collect()
+    heads = sorted((r.path, r.nb_pages, r.format, r.error) for r in got if r.page_number == 0)
+    assert heads == sorted(map(tuple, pdf.probe(files).select("path", "nb_pages", "format", "error").collect()))
+    cut = sorted((r.doc_id, r.page_number, bytes(r.content)) for r in got if r.page_number)
+    assert cut == sorted((r.doc_id, r.page_number, bytes(r.content)) for r in pdf.pages(files, ["doc_id"], strict=False).collect()) and len(cut) == 4
+
+
+def test_calls_that_are_work_of_their_task(spark):
+    """A provider that waits for nothing is called in a task for each call that may be open, not by threads of a few tasks."""
+    from quirefold.functions.models import window_of
+
+    rows = spark.range(64).selectExpr("id", "concat('p', id) as p")
+    said = generated(rows, "p", "said", Offline(), workers=12, window=window_of(Offline())).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in said}) == 12 and window_of(Flaky([])) == 4

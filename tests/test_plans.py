@@ -450,3 +450,22 @@ def test_calls_that_are_work_of_their_task(spark):
     rows = spark.range(64).selectExpr("id", "concat('p', id) as p")
     said = generated(rows, "p", "said", Offline(), workers=12, window=window_of(Offline())).withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in said}) == 12 and window_of(Flaky([])) == 4
+
+
+def test_calls_share_their_context(spark, monkeypatch):
+    """Pages that several questions share are put together once for all of them; every call keeps its own answer, over groups of any size."""
+    from quirefold.functions import models
+    from quirefold.operators.retrieval import shared_contexts
+
+    monkeypatch.setattr(models, "GROUP", 7)
+    chunks = spark.createDataFrame([(0, 1, k, f"c{k}", f"text {k}") for k in range(3)] + [(0, 2, 0, "d", "other"), (9, 9, 0, "e", "unused")], "doc_id long, page_number long, chunk_ord long, chunk_id string, text string")
+    hits = [(q, 0, p, 1.0, r) for q in range(40) for r, p in enumerate((1, 2) if q % 2 else (2, 1), 1)] + [(99, 0, 2, 1.0, 1)]
+    asked, contexts = shared_contexts(spark.createDataFrame(hits, "query_id long, doc_id long, page_number long, score double, rank long"), chunks)
+    page = "text 0\ntext 1\ntext 2"
+    assert sorted(r.context for r in contexts.collect()) == sorted(["other", f"{page}\nother", f"other\n{page}"])
+    rows = spark.createDataFrame([(q, None if q == 3 else f"q{q}") for q in range(40)] + [(70, "alone")], "query_id long, query string").join(asked, "query_id", "left")
+    said = models.generated_each(rows, contexts, "__pages", "query", ("Say.\n\n", "\n"), "context", "said", Offline(), workers=8)
+    want = {q: None if q == 3 else f"q{q} text 0 text 1 text 2 other" if q % 2 else f"q{q} other text 0 text 1 text 2" for q in range(40)} | {70: "alone"}
+    assert said.columns == ["query_id", "query", "said"] and {r.query_id: r.said for r in said.collect()} == want and said.count() == 41
+    with pytest.raises(Exception, match="no"):
+        models.generated_each(rows.withColumn("query", F.lit("bad")), contexts, "__pages", "query", ("Say.\n\n", "\n"), "context", "said", Fails()).collect()

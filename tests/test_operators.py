@@ -410,3 +410,48 @@ def test_files_in_one_part_are_read_by_many_tasks(spark):
     assert all(n == 3 and f"page {k} (a) \\ %2" in text for k, (n, text) in got.items()) and len(got) == 40
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def test_floors_over_blocks(spark, monkeypatch):
+    """Searches of a whole collection and of each document hold what scoring every pair gives, over many blocks, with ties, vectors without
+    a direction and rows that are handed on early."""
+    import numpy as np
+
+    from quirefold.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (700, 6)).astype(float).tolist()
+    vectors[5], vectors[6], vectors[7], vectors[8] = None, [0.0] * 6, [float("nan")] + [1.0] * 5, [1.0, 2.0]
+    rows = [(k % 3, f"c{k * 7919 % 1000:03d}", v) for k, v in enumerate(vectors)]
+    asked = [(q, rng.integers(-2, 3, 6).astype(float).tolist()) for q in range(40)] + [(90, None), (91, [0.0] * 6)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id long, query_vec array<double>").repartition(2)
+
+    def score(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return 0.0
+        x, y = (np.array(v) / n if (n := np.sqrt(np.square(v).sum())) != 0 else np.zeros(len(v)) for v in (a, b))
+        return float(np.round(x @ y, 12)) + 0.0
+
+    def top(q, v, members):
+        scored = [(score(c[2], v), c[1]) for c in members]
+        scored.sort(key=lambda s: (-(np.inf if np.isnan(s[0]) else s[0]), s[1]))
+        return [(q, tie, rank, None if np.isnan(s) else round(s, 9)) for rank, (s, tie) in enumerate(scored[:4], 1)]
+
+    def plain(found):
+        return sorted((r.query_id, r.chunk_id, r["rank"], None if np.isnan(r.score) else round(r.score, 9)) for r in found.collect())
+
+    monkeypatch.setattr(R, "BLOCK", 64)
+    monkeypatch.setattr(R, "HELD", 50)
+    key = lambda r: (r[0], r[1])
+    assert sorted(plain(R.best(chunks, questions, 4, [])), key=key) == sorted((r for q, v in asked for r in top(q, v, rows)), key=key)
+    met = questions.withColumn("doc_id", F.col("query_id") % 3)
+    assert sorted(plain(R.best_met(chunks, met, 4, "doc_id")), key=key) == sorted((r for q, v in asked for r in top(q, v, [c for c in rows if c[0] == q % 3])), key=key)
+
+
+def test_short_pages_are_one_piece(spark):
+    """Pages that fit are chunked without their sentences becoming rows; the chunks are those of the scan."""
+    texts = ["One. Two!\n\nThree four?  Five", "  \n ", " wide space.  End　", "a\u0001b c.", "x " * 9 + "y. z", ""]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_number long, text string").withColumn("doc_id", F.lit(1))
+    got = {r.page_number: (r.chunk_ord, r.n_tokens, r.text) for r in P.chunk_sentences(pages, 20).collect()}
+    assert got == {0: (0, 5, "One. Two! Three four? Five"), 2: (0, 3, "wide space.\u00a0 End"), 3: (0, 3, "a b c."), 4: (0, 11, "x x x x x x x x x y. z")}
